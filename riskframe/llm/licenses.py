@@ -142,7 +142,7 @@ def directories(path: Column) -> Column:
 def scan_licenses(docs: DataFrame, least: float = 0.55, mostly: float = 0.5) -> DataFrame:
     """docs (doc_id, path, text) as doc_id, path, license, cosine, is_license_file, inherited_from, effective_license."""
     own = written(classified(docs.select("doc_id", "path", "text"), fit(docs), least, mostly), "licenses")
-    folder = F.element_at(directories(F.col("path")), 1)
+    folder = F.try_element_at(directories(F.col("path")), F.lit(1))
     files = own.where("is_license_file").select(folder.alias("dir"), "license", "cosine").where("dir is not null")
     licensed = files.groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license"))["license"].alias("dir_license"))
     # Each directory once: its ancestors meet the licensed directories, the nearest wins.
