@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm.spans import scan
+from riskframe.llm.tables import written
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -28,13 +29,9 @@ def features(word: str) -> list[str]:
     return [word, word[:4] + "-", word[:5] + "-"] if len(word) > 5 else [word, word[:4] + "-"] if len(word) == 5 else [word]
 
 
-def sentence_features(text: str) -> list[list[str]]:
-    """The distinct features of each sentence that has any."""
-    out = []
-    for sentence in SENTENCE.findall(text.lower()):
-        if found := sorted({f for w in set(WORD.findall(sentence)) for f in features(w)}):
-            out.append(found)
-    return out
+def sentence_features(text: str) -> list[set[str]]:
+    """The distinct features of each sentence."""
+    return [{f for w in set(WORD.findall(sentence)) for f in features(w)} for sentence in SENTENCE.findall(text.lower())] or [set()]
 
 
 class Model:
@@ -72,58 +69,35 @@ class Scorer(dict):
         return score, found
 
 
-def train(bags: list[tuple[int, list[list[str]]]], rate: float = 0.25, rounds: int = 300, l2: float = 2e-4, min_docs: int = 5, most: int = 5_000, weight: float = 1.0) -> Model:
-    """Weights from (label, features of each sentence) of some documents; `weight` is that of a clean one.
+def train(y: np.ndarray, sentences: np.ndarray, row: np.ndarray, col: np.ndarray, n_features: int, *, rate: float = 0.25, rounds: int = 300, l2: float = 2e-4, weight: float = 1.0) -> np.ndarray:
+    """Weights of the features and, last, the bias, by Adam on the noisy-or likelihood.
 
-    Features in at least min_docs documents take part, at most `most`: those whose counts differ most between
-    the labels (chi-squared), ties by name.
+    y and sentences (how many): of each document; row (sentence, counted over all documents) and col (feature):
+    what stands where; weight: of a clean document.
     """
-    count: dict[str, list[int]] = {}
-    n = [0, 0]
-    for y, sentences in bags:
-        n[y] += 1
-        for f in {f for s in sentences for f in s}:
-            count.setdefault(f, [0, 0])[y] += 1
-    if not n[0] or not n[1]:
-        return Model({}, 5.0 if n[1] else -12.0)
-    total = n[0] + n[1]
-
-    def chi2(c: list[int]) -> float:
-        e = (c[0] + c[1]) * n[1] / total
-        return (c[1] - e) ** 2 / max(e * (1 - n[1] / total), 1e-9)
-
-    ranked = sorted((-chi2(c), f) for f, c in count.items() if sum(c) >= min_docs)
-    names = [f for x, f in ranked if -x >= 10.8][:most]
-    place = {f: i for i, f in enumerate(names)}
-    columns, rows, docs, labels = [], [], [], []
-    sentence = 0
-    for d, (y, sentences) in enumerate(bags):
-        labels.append(y)
-        for s in sentences or [[]]:
-            own = [place[f] for f in s if f in place]
-            columns += own
-            rows += [sentence] * len(own)
-            docs.append(d)
-            sentence += 1
-    col, row, doc, y = np.array(columns, int), np.array(rows, int), np.array(docs), np.array(labels)
-    w, bias = np.zeros(len(names) + 1), -7.0
-    w[-1] = bias
+    doc, total = np.repeat(np.arange(len(y)), sentences), int(sentences.sum())
+    w = np.zeros(n_features + 1)
+    w[-1] = -7.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     share = np.where(y == 1, 1.0, weight)
     for t in range(1, rounds + 1):
-        z = w[-1] + np.bincount(row, w[col], sentence)
+        z = w[-1] + np.bincount(row, w[col], total)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y)))
         pull = np.where(y == 1, none / np.maximum(1 - none, 1e-6), -1.0) * share
         slope = np.minimum(pull, 50)[doc] * p
-        grad = np.append(np.bincount(col, slope[row], len(names)), slope.sum()) / total - l2 * np.append(w[:-1], 0)
+        grad = np.append(np.bincount(col, slope[row], n_features), slope.sum()) / len(y) - l2 * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w += rate * (1 - t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    return Model({f: float(x) for f, x in zip(names, w, strict=False) if abs(x) > 1e-3}, float(w[-1]))
+    return w
+
 
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_docs: int = 5, most: int = 5_000) -> Model:
+    """Trains on at most `sample` documents of each label of labels (doc_id, y), the first by a hash of the id.
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Trains on at most `sample` documents of each label of labels (doc_id, y), the first by a hash of the id."""
+    Features in at least min_docs of them take part, at most `most`: those whose counts differ most between the
+    labels (chi-squared), ties by name. Only their places in the sentences come to the driver.
+    """
     ids = None
     n = {}
     for y in (0, 1):
@@ -131,15 +105,41 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         n[y] = own.count()
         own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         ids = own if ids is None else ids.union(own)
-    chosen = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids), F.col("id") == F.col("doc_id"))
+    chosen = written(docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids), F.col("id") == F.col("doc_id")).select("id", "y", "text"), "sample")
+    size, share = chosen.agg(F.count(F.lit(1)), F.avg("y")).first()
+    if not size or share in (0.0, 1.0):
+        return Model({}, 5.0 if share else -12.0)
+
+    def distinct_features():
+        return lambda columns: [columns[0], [sorted(set().union(*sentence_features(t or ""))) for t in columns[1]]]
+
+    each = scan(chosen, ("y", "text"), "y int, f array<string>", distinct_features).select("y", F.explode("f").alias("f"))
+    expected = F.col("n") * share
+    chi2 = (F.col("pos") - expected) ** 2 / (expected * (1 - share))
+    counts = each.groupBy("f").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).withColumn("chi2", chi2)
+    names = [r[0] for r in counts.where("chi2 >= 10.8").orderBy(F.desc("chi2"), "f").limit(most).select("f").collect()]
+    place = {f: i for i, f in enumerate(names)}
 
-    def rows_of():
-        return lambda columns: [columns[0], columns[1], [sentence_features(t or "") for t in columns[2]]]
+    def places():
+        def rows(columns: list) -> list[list]:
+            out: list[list] = [columns[0], columns[1], [], [], []]
+            for text in columns[2]:
+                found = sentence_features(text or "")
+                at = [(i, place[f]) for i, s in enumerate(found) for f in sorted(s) if f in place]
+                out[2].append(len(found))
+                out[3].append([i for i, _ in at])
+                out[4].append([f for _, f in at])
+            return out
 
-    found = scan(chosen.select("id", "y", "text"), ("id", "y", "text"), "id long, y int, bag array<array<string>>", rows_of)
-    bags = [(r[1], r[2]) for r in sorted(found.collect(), key=lambda r: r[0] or 0)]
-    weight = (n[0] / max(1, min(n[0], sample))) / max(1e-9, n[1] / max(1, min(n[1], sample))) if n[1] else 1.0
-    return train(bags, weight=weight)
+        return rows
+
+    t = scan(chosen, ("id", "y", "text"), "id long, y int, n int, s array<int>, f array<int>", places).orderBy("id", "y", "n").toArrow().combine_chunks()
+    sentences = t["n"].to_numpy()
+    start = np.repeat(np.cumsum(sentences) - sentences, t["s"].combine_chunks().value_lengths().to_numpy())
+    row, col = t["s"].combine_chunks().flatten().to_numpy() + start, t["f"].combine_chunks().flatten().to_numpy()
+    taken = {y: max(1, min(n[y], sample)) for y in n}
+    w = train(t["y"].to_numpy(), sentences, row, col, len(names), weight=(n[0] / taken[0]) / (n[1] / taken[1]))
+    return Model({f: float(x) for f, x in zip(names, w, strict=False) if abs(x) > 1e-3}, float(w[-1]))
 
 
 def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
