@@ -23,21 +23,26 @@ from riskframe.llm.spans import scan
 from riskframe.llm.tables import written
 
 # The notices that licences ask for, or their first sentences.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "MIT": "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. BSD License",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
-    "LGPL-3.0": "GNU Lesser General Public License as published by the Free Software Foundation version 3",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "CC-BY-4.0": "Licensed under CC BY 4.0. Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0. Creative Commons Attribution-NonCommercial 4.0 International License",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0. Creative Commons Attribution-ShareAlike 4.0 International License",
-    "CC0-1.0": "To the extent possible under law, the author has waived all copyright. CC0 1.0 Universal public domain dedication",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. ISC License",
-    "Unlicense": "This is free and unencumbered software released into the public domain. Unlicense",
-    "Proprietary": "All rights reserved. Copyright",
-}
+TEMPLATES = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("MIT", "Released under the MIT License"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ("BSD-3-Clause", "Released under the BSD License"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("GPL-3.0", "Licensed under the GNU General Public License version 3"),
+    ("GPL-3.0", "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License version 3"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("CC0-1.0", "CC0 1.0 Universal public domain dedication"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("Proprietary", "All rights reserved"),
+    ("Proprietary", "Copyright. All rights reserved"),
+)
 TRIGGER = re.compile(r"(?ai:licen[sc]e|copyright|rights reserved|public domain|permission is hereby|spdx|redistribution)")
 TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
@@ -53,10 +58,10 @@ class Index:
 
     def __init__(self, idf: dict[str, float], unseen: float) -> None:
         self.idf, self.unseen = idf, unseen
-        self.postings: dict[str, list[tuple[str, float]]] = {}
-        for name, text in TEMPLATES.items():
+        self.postings: dict[str, list[tuple[str, str, float]]] = {}
+        for name, text in TEMPLATES:
             for term, w in self.vector(text).items():
-                self.postings.setdefault(term, []).append((name, w))
+                self.postings.setdefault(term, []).append((name, text, w))
 
     def vector(self, text: str) -> dict[str, float]:
         v = {t: (1 + math.log(n)) * self.idf.get(t, self.unseen) for t, n in terms(text).items()}
@@ -66,13 +71,13 @@ class Index:
     def best(self, text: str) -> tuple[float, str | None]:
         dots: Counter = Counter()
         for term, w in self.vector(text).items():
-            for name, x in self.postings.get(term, ()):
-                dots[name] += w * x
-        return min(((-s, name) for name, s in dots.items()), default=(0.0, None))
+            for name, template, x in self.postings.get(term, ()):
+                dots[name, template] += w * x
+        return min(((-s, name) for (name, _), s in dots.items()), default=(0.0, None))
 
 
 def template_terms() -> list[str]:
-    return sorted({t for text in TEMPLATES.values() for t in terms(text)})
+    return sorted({t for _, text in TEMPLATES for t in terms(text)})
 
 
 def fit(docs: DataFrame) -> Index:
