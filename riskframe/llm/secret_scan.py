@@ -112,21 +112,18 @@ class Automaton:
 
     def infer(self) -> None:
         """Promotes or merges the states next to the promoted ones, the nearest first."""
-        red, edge = [0], deque((0, c) for c in sorted(self.to[0]))
-        while edge:
-            source, c = edge.popleft()
+        red = [0]
+        # A merge may add transitions to any promoted state, so the edge is looked up anew each time.
+        while edge := next(((r, c) for r in red for c in sorted(self.to[r]) if self.to[r][c] not in red), None):
+            source, c = edge
             blue = self.to[source][c]
-            if blue in red:
-                continue
             for state in red:
                 if self.alike(state, blue):
                     self.to[source][c] = state
                     self.merge(state, blue)
-                    edge.extend((state, d) for d in sorted(self.to[state]) if self.to[state][d] not in red and (state, d) not in edge)
                     break
             else:
                 red.append(blue)
-                edge.extend((blue, d) for d in sorted(self.to[blue]))
         place = {old: new for new, old in enumerate(red)}
         self.count = [self.count[r] for r in red]
         self.to = [{c: place[t] for c, t in self.to[r].items()} for r in red]
