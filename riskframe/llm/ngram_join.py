@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.llm.tables import drop_written, written
@@ -218,16 +218,17 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def differences(pairs: DataFrame, sets: DataFrame, percent: int, shared) -> DataFrame:
-    """From (p, x, n_least, n_most of p's sets): (p, x, probe, keys), the prefixes of x ^ p to be joined on.
+    """From (p, x, n_least, n_most of p's sets): (p, x, size, n, probe, keys), the prefixes of x ^ p to be joined on.
 
-    probe: the prefix of a set that is not linked with p, to meet those of sets whose difference is no larger.
+    size: of x; n: of x ^ p. probe: the prefix of a set that is not linked with p, to meet those of sets whose
+    difference is no larger.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
-        names = ["p", "x", "probe", "keys"]
+        names = ["p", "x", "size", "n", "probe", "keys"]
         for batch in batches:
-            out: list[tuple[int, int, bool, np.ndarray]] = []
+            out: list[tuple[int, int, int, int, bool, np.ndarray]] = []
             ids = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
             for (p, x, least, most), sp, sx in zip(ids, batch.column(4), batch.column(5), strict=True):
                 hp, hx = (v.values.to_numpy().view(U) for v in (sp, sx))
@@ -243,14 +244,25 @@ def differences(pairs: DataFrame, sets: DataFrame, percent: int, shared) -> Data
                     t = -(-(n + other - d) // 2)
                 else:
                     t = -(-(2 * n - d) // 2)
-                    out.append((p, x, True, order[: n - max(1, n - d) + 1]))
-                out.append((p, x, False, order[: n - max(1, t) + 1]))
-            ends = np.cumsum([0, *(len(o[3]) for o in out)]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, U), *(o[3] for o in out)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.bool_()), keys], names)
+                    out.append((p, x, size, n, True, order[: n - max(1, n - d) + 1]))
+                out.append((p, x, size, n, False, order[: n - max(1, t) + 1]))
+            ends = np.cumsum([0, *(len(o[5]) for o in out)]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, U), *(o[5] for o in out)]).view(np.int64))
+            numbers = [pa.array([o[i] for o in out], pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*numbers, pa.array([o[4] for o in out], pa.bool_()), keys], names)
 
     full = pairs.join(sets.select(F.col("node").alias("p"), F.col("s").alias("sp")), "p").join(sets.select(F.col("node").alias("x"), F.col("s").alias("sx")), "x")
-    return full.select("p", "x", "n_least", "n_most", "sp", "sx").mapInArrow(run, "p long, x long, probe boolean, keys array<long>")
+    return full.select("p", "x", "n_least", "n_most", "sp", "sx").mapInArrow(run, "p long, x long, size long, n long, probe boolean, keys array<long>")
+
+
+def may_be_linked(percent: int) -> Column:
+    """Whether x and y, if this key is the first that their differences share, may be similar enough.
+
+    Then they share no more than what is left from here (left, left_y), and of n + n_y elements all that the two
+    do not share tell x from y. Similar sets pass at their first key, so none is lost.
+    """
+    apart = F.col("n") + F.col("n_y") - 2 * F.least("left", "left_y")
+    return (apart * (100 + percent) <= (F.col("size") + F.col("size_y")) * (100 - percent)) & (100 * F.least("size", "size_y") >= percent * F.greatest("size", "size_y"))
 
 
 def stars(shared: DataFrame, order) -> DataFrame:
@@ -303,9 +315,10 @@ def components(docs: DataFrame, percent: int = 80, size: int = 5, log=None) -> D
         sizes = star.groupBy("p").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"))
         keys = written(differences(star.drop("n").join(sizes, "p"), sets, percent, common), "differences")
         comp = labels.select(F.col("node").alias("x"), "comp")
-        rows = keys.join(comp, "x").select("p", "x", "comp", "probe", F.explode("keys").alias("key"))
-        index = rows.where(~F.col("probe")).select("p", "key", F.col("x").alias("y"), F.col("comp").alias("other"))
-        met = rows.where("probe").join(index, ["p", "key"]).where("comp != other")
+        rows = keys.join(comp, "x").select("p", "x", "comp", "probe", "size", "n", F.posexplode("keys").alias("at", "key"))
+        rows = rows.withColumn("left", F.col("n") - F.col("at"))
+        index = rows.where(~F.col("probe")).select("p", "key", F.col("x").alias("y"), F.col("comp").alias("other"), F.col("size").alias("size_y"), F.col("n").alias("n_y"), F.col("left").alias("left_y"))
+        met = rows.where("probe").join(index, ["p", "key"]).where("comp != other").where(may_be_linked(percent))
         add(written(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs"), "differences")
     own = first.join(labels.select("node", "comp"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")
     least = own.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
