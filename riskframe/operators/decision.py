@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.rowwise import per_row_rule
-from riskframe.operators.rank_metrics import score_curve
+from riskframe.operators.rank_metrics import ranking_metrics, score_curve
 
 
 def evaluate(df: DataFrame, y: str, flag: Column, amount: str, review_cost: float, by: tuple[str, ...] = (), c_fp: float = 1.0, c_fn: float = 10.0) -> DataFrame:
@@ -94,3 +94,13 @@ def prevalence_grid(df: DataFrame, y: str, p: str, threshold: float, priors: tup
     g = g.withColumn("prior", F.explode(F.array(*(F.lit(x) for x in priors))))
     rate = F.col("prior") * F.col("tpr") + (1 - F.col("prior")) * F.col("fpr")
     return g.select("prior", rate.alias("review_rate"), F.try_divide(F.col("prior") * F.col("tpr"), rate).alias("precision"), (rate * 10_000).alias("alerts_per_10k"))
+
+
+def synthesis(df: DataFrame, arm: str, y: str, p: str, amount: str, review_cost: float, thresholds: list[float]) -> DataFrame:
+    """By arm: ranking quality, Brier score, and the cheapest threshold of the grid with its cost and savings."""
+    quality = ranking_metrics(df, y, p, (arm,)).select(arm, "pr_auc", "roc_auc")
+    whole = df.groupBy(arm).agg(F.avg((F.col(p) - F.col(y)) ** 2).alias("brier"), F.sum(F.col(amount) * F.col(y)).alias("none"))
+    curve = cost_curve(df, y, p, amount, review_cost, thresholds, (arm,))
+    best = curve.groupBy(arm).agg(F.min(F.struct(F.round("cost", 4).alias("cost"), "threshold")).alias("m"))
+    rows = quality.join(whole, arm).join(best, arm)
+    return rows.select(arm, "pr_auc", "roc_auc", "brier", "m.threshold", "m.cost", F.try_divide(F.col("none") - F.col("m.cost"), F.col("none")).alias("savings"))

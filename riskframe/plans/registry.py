@@ -36,7 +36,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load() -> None:
-    from riskframe.plans import decisions, features, monitoring, profiles  # noqa: F401
+    from riskframe.plans import audits, decisions, features, monitoring, profiles  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -99,3 +99,29 @@ def digest(df: DataFrame) -> tuple[int, int]:
     """Row count and an order-free digest of the content."""
     r = df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*df.columns))).first()
     return r[0], r[1] or 0
+
+
+def decision_log(log: DataFrame, history: DataFrame, key: str, day: str, features: list[str], low: int | None = None, high: int | None = None) -> DataFrame:
+    """The log with its event day (of the history, never the wall clock) and the wanted features out of its JSON as
+    doubles; days from low to high. JSON nulls and what does not parse become null."""
+    if bad := [f for f in features if not re.fullmatch(r"[a-z_][a-z0-9_]*", f)]:
+        raise ValueError(f"not lower-case identifiers: {bad}")
+    days = history.select(key, day)
+    if low is not None:
+        days = days.where(F.col(day) >= low)
+    if high is not None:
+        days = days.where(F.col(day) <= high)
+    expanded = log.withColumns({f: F.get_json_object("features", f"$.{f}").try_cast("double") for f in features})
+    return expanded.join(days, key)
+
+
+def day_payloads(df: DataFrame, day: str, at: int, base: list[str], block: list[str]) -> DataFrame:
+    """One event day as JSON payloads: the base fields and the block as a map, nulls kept."""
+    v = F.map_from_arrays(F.array(*(F.lit(c) for c in block)), F.array(*(F.col(c).cast("double") for c in block)))
+    return df.where(F.col(day) == at).select(F.to_json(F.struct(*base, v.alias("v")), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def parse_payloads(df: DataFrame, schema: str, block: list[str]) -> DataFrame:
+    """Payloads (JSON text) back to typed columns; schema holds the base fields, the block becomes doubles."""
+    x = df.select(F.from_json("payload", f"{schema}, v map<string, double>").alias("x"))
+    return x.select("x.*").select("*", *(F.col("v")[c].alias(c) for c in block)).drop("v")
