@@ -234,6 +234,20 @@ def test_licenses(spark):
     assert out[2]["inherited_from"] == "a/b" and out[1]["is_license_file"] and not out[4]["is_license_file"]
 
 
+def license_rows(spark, rows):
+    return {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+
+
+def test_license_headers_do_not_depend_on_row_count_or_neighbours(spark):
+    lines = {1: ("MIT", "Released under the MIT License, see the LICENSE file for details."), 2: ("MIT", "This project is released under the MIT License."), 3: ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), 4: ("Proprietary", "Copyright 2020 Some Name, Some Town. All rights reserved.")}
+    for n in (0, 20_000):
+        rows = [(i, None, f"some prose\n{line}\n" + "other words here " * 20) for i, (_, line) in lines.items()]
+        rows += [(i, None, f"text {i}\nLicensed under terms {i} of seller {i}") for i in range(10, 10 + n // 100)] + [(i, None, "plain") for i in range(1000, 1000 + n)]
+        out = license_rows(spark, rows)
+        assert {i: out[i]["license"] for i in lines} == {i: name for i, (name, _) in lines.items()}
+        assert not any(r["license"] for i, r in out.items() if i >= 10)
+
+
 def operators(spark, docs):
     bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     yield toxicity.score(docs, toxicity.Model({"x": 1.0}, -5.0))
