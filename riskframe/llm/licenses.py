@@ -4,7 +4,7 @@ The lines of every text that use a word of licensing are its headers. The docume
 from the texts that have headers, a Spark aggregate of their distinct terms. For each notice, the best window of
 a line, as long as the notice, is compared with it by the cosine of their vectors; a document's own licence is
 that of its best header, and "all rights reserved" counts only where no other licence is found. The whole text,
-less its copyright lines, is compared with the notices: where the template makes up
+less its copyright lines, is compared with the notices and with full licence texts: where the template makes up
 at least `mostly` of its squared weight (the cosine squared), it is a licence file and licenses its directory. A
 document without a licence of its own takes that of the nearest directory above it that has one, found by joining
 paths.
@@ -15,6 +15,7 @@ the best cosine counts, ties to the smaller licence name.
 
 from __future__ import annotations
 
+import importlib.resources
 import math
 import re
 from collections import Counter
@@ -76,7 +77,8 @@ def terms_of(text: str) -> set[str]:
 
 
 def full_texts() -> list[tuple[str, str]]:
-    return []
+    folder = importlib.resources.files(__package__) / "license_texts"
+    return sorted((f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in folder.iterdir() if f.name.endswith(".txt"))
 
 
 def rank(cosine: float, name: str) -> tuple[bool, float, str]:

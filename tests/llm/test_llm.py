@@ -248,6 +248,32 @@ def test_license_headers_do_not_depend_on_row_count_or_neighbours(spark):
         assert not any(r["license"] for i, r in out.items() if i >= 10)
 
 
+def test_license_weights_are_the_whole_tables(spark, monkeypatch):
+    """Terms whose counts are joined weigh the same as those that every task has."""
+    rows = [(i, f"d{i}/x", f"words {i} here\nReleased under {'very ' * (i % 3)}the {'new' * (i % 2)} MIT License{i % 5} {i}") for i in range(60)]
+    rows += [(99, "m/LICENSE", "Copyright (c) 2021 Me\n\n" + dict(licenses.full_texts())["MIT"] + "\nextra words at the end")]
+    a = license_rows(spark, rows)
+    monkeypatch.setattr(licenses, "FREQUENT", 1)
+    b = license_rows(spark, rows)
+    assert {i: (r["license"], round(r["cosine"], 9), r["is_license_file"]) for i, r in a.items()} == {i: (r["license"], round(r["cosine"], 9), r["is_license_file"]) for i, r in b.items()}
+    assert len({r["license"] for r in a.values()}) > 1
+
+
+def test_full_license_texts_license_their_directory(spark):
+    import textwrap
+
+    texts = dict(licenses.full_texts())
+    rows, want = [], {}
+    for i, (name, text) in enumerate(sorted(texts.items())):
+        wrapped = "\n\n".join(textwrap.fill(p, 70) for p in text.split("\n\n"))
+        rows += [(2 * i, f"{name}/LICENSE", f"Copyright (c) 2024 Jane Roe\n\n{wrapped}"), (2 * i + 1, f"{name}/src/x.txt", "plain text")]
+        want |= {2 * i: name, 2 * i + 1: name}
+    rows.append((1000, "prose/a.txt", texts["MIT"] + " ".join(f"story{i} goes on" for i in range(900))))
+    out = license_rows(spark, rows)
+    assert {i: out[i]["effective_license"] for i in want} == want
+    assert all(out[2 * i]["is_license_file"] for i in range(len(texts))) and not out[1000]["is_license_file"]
+
+
 def operators(spark, docs):
     bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     yield toxicity.score(docs, toxicity.Model({"x": 1.0}, -5.0))
