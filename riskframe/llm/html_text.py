@@ -152,7 +152,8 @@ class Layout:
         self.open: list[str] = []
         self.off = 0  # depth of the outermost hidden element, 0 if none
         self.lists: list[int] = []  # counters of open lists; -1: bullets
-        self.tables: list[tuple[Page, list[list[list[str]]], list[int]]] = []
+        # Of each open table: the page around it, its rows, the lists around it, and its captions and loose text.
+        self.tables: list[tuple[Page, list[list[list[str]]], list[int], Page]] = []
         self.pre = 0
 
     def start(self, tag: str, attributes: str) -> None:
@@ -172,8 +173,9 @@ class Layout:
         if hidden(tag, attributes):
             self.off = len(self.open)
         elif tag == "table":
-            self.tables.append((self.page, [], self.lists))
-            self.page, self.lists = Page(), []
+            own = Page()
+            self.tables.append((self.page, [], self.lists, own))
+            self.page, self.lists = own, []
         elif tag == "tr" and self.tables:
             self.tables[-1][1].append([])
         elif tag in ("td", "th") and self.tables:
@@ -247,13 +249,13 @@ class Layout:
             return tag
         if tag in ("td", "th") and self.tables:
             cell = self.page.done()
-            self.page = Page()
+            self.page = self.tables[-1][3]
             if not self.tables[-1][1]:
                 self.tables[-1][1].append([])
             self.tables[-1][1][-1].append(cell)
         elif tag == "table" and self.tables:
-            loose = self.page.done()
-            self.page, rows, self.lists = self.tables.pop()
+            self.page, rows, self.lists, own = self.tables.pop()
+            loose = own.done()
             self.page.put(loose, 1)
             self.page.put(aligned([r for r in rows if any(any(c) for c in r)]), 2)
         elif tag in ("ul", "ol") and self.lists:

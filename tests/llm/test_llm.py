@@ -227,6 +227,11 @@ def test_html_layout():
     assert html_text.visible_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_html_text_of_a_table_outside_its_cells():
+    assert html_text.visible_text("<table><caption>Sales</caption><tr><td>1</table>") == "Sales\n\n1"
+    assert html_text.visible_text("<table>a<tr>b<td>1</td>c<td>2<tr>d<td><table><caption>In</caption><td>3</table></table>end") == "abc\nd\n\n1   2\nIn\n\n3\n\nend"
+
+
 def test_licenses(spark):
     rows = [(1, "a/LICENSE", "Licensed under the Apache License, Version 2.0"), (2, "a/b/c/x.txt", "plain text"), (3, "a/b/LICENSE", "Released under the MIT License."), (4, "a/y.txt", "words\nLicensed under CC BY-NC 4.0.\n" + "more words " * 50), (5, "z/x.txt", "plain"), (6, None, None)]
     out = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
