@@ -2,7 +2,8 @@
 
 A tree builder keeps the stack of open elements, with end tags that HTML implies (p before a block, li before
 li, cells, rows, options, terms); visibility rules drop what is never shown (head, scripts, templates, hidden
-attributes and styles). Text is written as it is laid out: collapsed white space, blank lines around blocks,
+attributes and styles). The head ends at its end tag or at the first text or tag that is not head content. All
+options of a select, the text of a textarea, of svg text elements and of formulas are visible. Text is written as it is laid out: collapsed white space, blank lines around blocks,
 list markers by depth, preformatted text as it is, and tables with their columns aligned. The stack is a list,
 so no nesting is too deep.
 
@@ -21,7 +22,13 @@ from riskframe.llm.spans import scan
 # Elements by how HTML lays them out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math select datalist title textarea".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title".split())
+HEAD = frozenset("html head base basefont bgsound link meta title script style template noscript noframes".split())
+PLAIN = frozenset("textarea xmp".split())  # raw text that is shown as it is
+# In svg and math: what is not drawn, where HTML goes on, and the tags that end them elsewhere.
+FOREIGN_UNSEEN = frozenset("defs desc metadata symbol clippath mask pattern marker annotation annotation-xml mphantom".split())
+INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure table form fieldset hr".split())
 BLOCK = SPACED | frozenset("html body div section article header footer nav aside main address li dt dd tr caption legend details summary figcaption center option".split())
 CLOSES_P = BLOCK - {"html", "body", "tr", "option"}
@@ -37,7 +44,6 @@ ENDS = {
     "thead": ({"tbody", "tfoot", "caption", "tr", "td", "th"}, {"table"}),
     "tbody": ({"thead", "tbody", "caption", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
-    "body": ({"head"}, set()),
 }
 P_SCOPE = {"td", "th", "table", "caption", "button", "li", "blockquote"}
 
@@ -155,22 +161,53 @@ class Layout:
         # Of each open table: the page around it, its rows, the lists around it, and its captions and loose text.
         self.tables: list[tuple[Page, list[list[list[str]]], list[int], Page]] = []
         self.pre = 0
+        self.roots = 0  # open svg and math elements
+
+    def foreign(self) -> int | None:
+        """The place of the svg or math element whose content the open element is, not HTML."""
+        if self.roots:
+            for i in range(len(self.open) - 1, -1, -1):
+                if self.open[i] in ("svg", "math"):
+                    return i
+                if self.open[i] in INTEGRATION:
+                    return None
+        return None
+
+    def end_head(self) -> None:
+        if self.open and self.open[-1] == "head":
+            self.pop()
+
+    def start(self, tag: str, attributes: str) -> bool:
+        """Whether raw text follows, which is no markup up to the end tag."""
+        if tag not in HEAD:
+            self.end_head()
+        while tag in BREAKOUT and (root := self.foreign()) is not None:
+            while len(self.open) > root:
+                self.pop()
+        foreign = tag not in ("svg", "math") and self.foreign() is not None
+        self.begin(tag, attributes)
+        if (foreign or tag in ("svg", "math")) and attributes.endswith("/"):
+            if self.open[-1] == tag:
+                self.pop()
+            return False
+        return tag in RAW and (not foreign or tag in ("script", "style"))
 
-    def start(self, tag: str, attributes: str) -> None:
+    def begin(self, tag: str, attributes: str) -> None:
         if tag in CLOSES_P and "p" in self.open:
             self.end_within({"p"}, P_SCOPE)
         if tag in ENDS:
             self.end_within(*ENDS[tag])
         if tag in ("td", "th") and self.tables and not self.in_row():
-            self.start("tr", "")
+            self.begin("tr", "")
         if tag in VOID:
             if not self.off:
                 self.void(tag, attributes)
             return
         self.open.append(tag)
+        self.roots += tag in ("svg", "math")
         if self.off:
             return
-        if hidden(tag, attributes):
+        if hidden(tag, attributes) or self.roots and tag in FOREIGN_UNSEEN:
             self.off = len(self.open)
         elif tag == "table":
             own = Page()
@@ -199,8 +236,13 @@ class Layout:
             self.pre += 1
         elif tag == "q":
             self.text('"')
+        elif tag == "optgroup":
+            self.page.want(1)
+            self.text(attribute(attributes, "label"))
         elif tag in BLOCK:
             self.page.want(2 if tag in SPACED else 1)
+        elif tag in PLAIN or tag == "text" and self.roots:
+            self.page.want(1)
 
     def in_row(self) -> bool:
         for tag in reversed(self.open):
@@ -243,6 +285,7 @@ class Layout:
 
     def pop(self) -> str:
         tag = self.open.pop()
+        self.roots -= tag in ("svg", "math")
         if self.off:
             if len(self.open) < self.off:
                 self.off = 0
@@ -273,9 +316,21 @@ class Layout:
             self.text('"')
         elif tag in BLOCK:
             self.page.want(2 if tag in SPACED else 1)
+        elif tag in PLAIN or tag == "text" and self.roots:
+            self.page.want(1)
         return tag
 
+    def plain(self, text: str) -> None:
+        """Text of a textarea or the like: its line ends stay."""
+        self.pre += 1
+        self.text(text.removeprefix("\r").removeprefix("\n"))
+        self.pre -= 1
+
     def text(self, text: str) -> None:
+        if self.off and text.strip():
+            self.end_head()
+        if (root := self.foreign()) is not None and self.open[root] == "svg" and "text" not in self.open[root:]:
+            return  # svg draws only its text elements
         if self.off or self.tables and self.open and self.open[-1] in ("table", "tr", "thead", "tbody", "tfoot") and not text.strip():
             return
         if self.pre:
@@ -312,10 +367,12 @@ def visible_text(source: str) -> str:
             if slash:
                 layout.end(tag)
             else:
-                layout.start(tag, attributes)
-                if tag in RAW:  # up to its end tag, nothing is markup
+                if layout.start(tag, attributes):
                     close = re.compile(rf"(?i)</{re.escape(tag)}(?=[\s/>])").search(source, at)
-                    at = close.start() if close else n
+                    end = close.start() if close else n
+                    if tag in PLAIN:
+                        layout.plain(html.unescape(source[at:end]) if tag == "textarea" else source[at:end])
+                    at = end
         else:
             layout.text("<")
             at = mark + 1

@@ -232,6 +232,25 @@ def test_html_text_of_a_table_outside_its_cells():
     assert html_text.visible_text("<table>a<tr>b<td>1</td>c<td>2<tr>d<td><table><caption>In</caption><td>3</table></table>end") == "abc\nd\n\n1   2\nIn\n\n3\n\nend"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>T</title><p>text", "text"),
+        ("<html><head><title>T</title><meta charset=x><noscript><p>no</noscript>bare <b>text</b>", "bare text"),
+        ("<head><title>T</title></head><body>text", "text"),
+        ("<head><title>T</title><body>text", "text"),
+        ("a <textarea rows=2>\nx &amp; y\n  <b>z</textarea> b", "a\nx & y\n  <b>z\nb"),
+        ("<form><select><optgroup label=Fruit><option>Apple<option selected>Pear</select></form>", "Fruit\nApple\nPear"),
+        ("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> holds.", "So x=1 holds."),
+        ("a<svg><title>no</title><title/><defs><text>no</text></defs><g>no<text x=1>Label <tspan>one</tspan></text><path d='M0'/><text>two</text></g></svg>b", "a\nLabel one\ntwo\nb"),
+        ("<svg><foreignObject><p>in HTML</p></foreignObject><path d='M0'><p>after", "in HTML\n\nafter"),
+        ("<svg hidden><text>no</text></svg><textarea hidden>no</textarea>yes", "yes"),
+    ],
+)
+def test_html_shows_all_that_is_visible(page, text):
+    assert html_text.visible_text(page) == text
+
+
 def test_licenses(spark):
     rows = [(1, "a/LICENSE", "Licensed under the Apache License, Version 2.0"), (2, "a/b/c/x.txt", "plain text"), (3, "a/b/LICENSE", "Released under the MIT License."), (4, "a/y.txt", "words\nLicensed under CC BY-NC 4.0.\n" + "more words " * 50), (5, "z/x.txt", "plain"), (6, None, None)]
     out = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
