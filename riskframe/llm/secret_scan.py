@@ -2,9 +2,10 @@
 
 For each kind, the credentials that the patterns find in a bounded sample of documents are the labelled
 strings. Their prefix tree becomes a probabilistic automaton by merging states whose outgoing frequencies
-agree (Hoeffding's bound at each state and, recursively, at those that both lead to). Every candidate token
-of every text is scored by its log-likelihood a character against an automaton of ordinary tokens; those that
-fit a credential format better than `margin` join the spans.
+agree (Hoeffding's bound at each state and, recursively, at those that both lead to). Every token of eight or
+more characters that a credential may have is scored, in every text, by its log-likelihood a character against
+an automaton of ordinary tokens; those that fit a credential format better than `margin` join the spans. A dot
+that ends a token is left out where the token fits without it.
 
 Null and empty texts have no spans; without a labelled string of a kind, that kind has no automaton.
 """
@@ -25,10 +26,12 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{8,}")
 END = "$"
 #: Rows of the sample that the automata are inferred from, and labelled strings of a kind among them.
 SAMPLE_ROWS, SAMPLE_STRINGS = 20_000, 400
+#: Ordinary tokens that theirs is inferred from: more, as numbers and addresses are few among the words.
+SAMPLE_ORDINARY = 4_000
 
 
 def base_matches(text: str) -> list[tuple[int, int, int, str]]:
@@ -146,8 +149,8 @@ def infer(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_strings: int =
             known, other = [], []
             for text in columns[0]:
                 matches = base_matches(text or "")
-                known.append([f"{k}{s[:200]}" for _, k, _, s in matches[:20]])
-                other.append([t[:200] for t in re.findall(r"[A-Za-z0-9+/_=-]{8,}", text or "") if not any(t in m[3] or m[3] in t for m in matches)][:4])
+                known.append(sorted({f"{k}{s}" for _, k, _, s in matches}))
+                other.append(sorted({m[0] for m in CANDIDATE.finditer(text or "") if not any(a < m.end() and m.start() < b for a, _, b, _ in matches)}))
             return [known, other]
 
         return rows
@@ -158,7 +161,7 @@ def infer(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_strings: int =
     tokens = written(tokens.distinct().select("t", F.when(F.col("known"), F.substring("t", 1, 1)).otherwise("-").alias("kind")), "tokens")
     strings: dict[str, list[str]] = {}
     for kind in ("0", "1", "2", "-"):
-        for (t,) in tokens.where(F.col("kind") == kind).orderBy(F.xxhash64("t"), "t").limit(sample_strings).select("t").collect():
+        for (t,) in tokens.where(F.col("kind") == kind).orderBy(F.xxhash64("t"), "t").limit(SAMPLE_ORDINARY if kind == "-" else sample_strings).select("t").collect():
             strings.setdefault(kind, []).append(t)
     automata = {k: Automaton(sorted(x[1:] for x in strings[str(k)])) for k in range(len(KINDS)) if str(k) in strings}
     return automata, Automaton(sorted(strings["-"])) if "-" in strings else None
@@ -171,15 +174,20 @@ def find(docs: DataFrame, margin: float = 0.5, *, sample_rows: int = SAMPLE_ROWS
 
     def rows_of():
         kinds, plain = shared.value
-        known: dict[str, int | None] = {}
+        known: dict[str, tuple[int, int] | None] = {}
 
-        def fits(token: str) -> int | None:
+        def fits(token: str) -> tuple[int, int] | None:
+            """The kind and the length of the credential that a token is."""
             if token not in known:
                 if len(known) > 100_000:
                     known.clear()
-                least = plain.score(token) + margin
-                best = max(((a.score(token), -k) for k, a in kinds.items()), default=(least, 0))
-                known[token] = -best[1] if best[0] > least else None
+                found = None
+                for own in dict.fromkeys((token.rstrip("."), token)):
+                    if len(own) >= 8 and not found:
+                        least = plain.score(own) + margin
+                        best = max(((a.score(own), -k) for k, a in kinds.items()), default=(least, 0))
+                        found = (-best[1], len(own)) if best[0] > least else None
+                known[token] = found
             return known[token]
 
         def rows(columns: list) -> list[list]:
@@ -189,7 +197,7 @@ def find(docs: DataFrame, margin: float = 0.5, *, sample_rows: int = SAMPLE_ROWS
                 base: list[Span] = [m[:3] for m in base_matches(text)]
                 spans = base
                 if plain and kinds:
-                    more = [(m.start(), k, m.end()) for m in CANDIDATE.finditer(text) if not m[0].isalpha() and (k := fits(m[0])) is not None]
+                    more = [(m.start(), x[0], m.start() + x[1]) for m in CANDIDATE.finditer(text) if (x := fits(m[0]))]
                     more = [x for x in more if not any(b[0] < x[2] and x[0] < b[2] for b in base)]
                     spans = sorted(base + more) if more else base
                 counts = [0, 0, 0]

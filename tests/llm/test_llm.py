@@ -131,6 +131,31 @@ def test_automaton_prefers_its_format():
     assert a.score("AKIA" + "Q7" * 8) > a.score("interestingly-not-a-key") + 1
 
 
+def test_secrets_short_dotted_and_of_letters(spark):
+    r = random.Random(4)
+
+    def some(n, chars):
+        return "".join(r.choice(chars) for _ in range(n))
+
+    words = [some(r.randrange(3, 14), "aeinorstlmdgh") for _ in range(3000)]
+    made = (lambda: some(9, "0123456789"), lambda: f"{some(3, '0123456789')}.{some(4, 'ABCDEFGH')}.{some(4, '0123456789')}", lambda: some(12, "QZXKWVJPTRMN"))
+    rows = [(i, " ".join(r.choices(words, k=40)) + f" token = {made[i % 3]()}" + " ".join(r.choices(words, k=9)) + ".") for i in range(600)]
+    bare = {1000 + k: f() for k, f in enumerate(made)}
+    rows += [(i, f"we saw {key}. then {r.choice(words)}") for i, key in bare.items()]
+    out = {x["doc_id"]: x["spans"] for x in secret_scan.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: out[i] for i in bare} == {i: f"assign:7:{7 + len(key)}" for i, key in bare.items()}
+    assert sum("," in out[i] for i in range(600)) < 6  # ordinary words are none
+
+
+def test_secret_automata_learn_from_all_matches_uncut(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(secret_scan, "Automaton", lambda strings: learned.append(strings))
+    keys = [f"{i}" * (8 if i > 1 else 300) for i in range(1, 60)]
+    text = " ".join(f"token={k}" for k in keys) + " " + " ".join("some-word-" + "x" * i for i in range(250))
+    secret_scan.infer(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert set(keys) <= set(learned[0]) and len(learned[-1]) == 250
+
+
 def test_classifiers_hold_out(spark):
     for f, n, held, label in ((queries.op1_toxicity, 4, 2, "toxic"), (queries.op6_quality, 5, 0, "quality")):
         rows = f(spark, "/root/testdata/sf0.01").collect()
