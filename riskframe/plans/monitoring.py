@@ -83,6 +83,25 @@ def c1_retrain_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.verdict(days, "tx_day", {"feature": 0.03, "review": 0.02, "score": 0.05, "recall": 0.4})
 
 
+def measured_days(d: DataFrame, labels: DataFrame) -> DataFrame:
+    """d as of data(), labels (id, y): by day the signals that verdict() reads, measured from scores and labels."""
+    train = d.where("split = 'train'")
+    psi = D.daily_psi(d, D.build_reference(train, FEATURES), FEATURES, "tx_day")
+    excess = M.emergent(psi, F.col("tx_day") < 14, "tx_day").select("tx_day", "excess")
+    score = D.daily_psi(d, D.build_reference(train, ["p"]), ["p"], "tx_day").select("tx_day", F.col("psi").alias("score_psi"))
+    rate = d.groupBy("tx_day").agg((F.avg((F.col("p") >= 0.7).cast("double")) - 0.3).alias("review_deviation"))
+    log = d.select("id", "tx_day", "p", (F.col("p") >= 0.7).cast("int").alias("flag"))
+    recall = M.rolling_recall(M.daily_performance(M.attach_labels(log, labels, "id"), "tx_day", "y", "p", "flag"), "tx_day").select("tx_day", "rolling_recall")
+    return excess.join(score, "tx_day").join(rate, "tx_day").join(recall, "tx_day", "left")
+
+
+@query()
+def c1_measured_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = data(spark, sf_dir)
+    labels = d.where("k % 3 <> 0").select("id", "y")  # those of a third have not come in
+    return M.verdict(measured_days(d, labels), "tx_day", {"feature": 0.03, "review": 0.02, "score": 0.05, "recall": 0.4})
+
+
 CONTRIB = TX + ", c AS (SELECT id, 'v' || (k % 4) AS feature, amount - 50 AS contribution FROM tx UNION ALL SELECT id, 'amt_log', CAST(k - 50 AS DOUBLE) FROM tx UNION ALL SELECT id, 'card_freq', CAST(k % 7 - 3 AS DOUBLE) FROM tx) "
 
 
