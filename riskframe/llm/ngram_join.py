@@ -1,29 +1,31 @@
 """Jaccard self-join on word shingles by PartEnum signatures, and the components that its links form.
 
 Sets of hashed 5-word shingles are joined within bands of sizes (powers of two; a set whose partners may fall
-into the next band joins there too). In a band, sets that are similar enough differ in at most d shingles, so
-the domain is cut into more than d + r parts: at least r parts are alike in both, and every subset of r parts is
-a signature (r = 2 for small d, else 1). Empty parts say nothing and are left out: a set with fewer than d + r
-non-empty parts also joins on a finer partition, and so on, until it has enough. Of its parts a set enumerates
-the first d + r of an order that all sets share: those with the most shingles that are not common come first.
-Sets that agree on all but d of their parts still agree on r of those. Which shingles are common is learned from
-a bounded sample; it bears on the cost alone, not on the result.
-
-Equal sets are one node from the start. A signature's sets are not paired with one another: each meets a pivot
-(the set with the fewest rare shingles), verified pairs merge components, and a second round takes other pivots.
-Where a signature still spans components, its sets are joined on how they differ from their pivot p: with
-Dx = x ^ p, similar x and y must share (|Dx| + |Dy| - d) / 2 elements of their differences, so a prefix of each
-(rare shingles first) must meet. A set that is linked with p needs no pair with another such set. Two similar
-sets share a signature and so a pivot: no link between components is lost.
-
-Documents with fewer words than a shingle are one shingle; null and empty ones have no set and link with
-nothing. Repeated rows with one id share a component; rows with a null id take no part (null component).
-Sets are told apart by 64-bit hashes.
+into the next band joins there too). In a band, sets that are similar enough differ in at most d shingles. The
+domain is cut into N units of three parts each, and every two parts of a unit are a signature. d differing
+shingles spoil min(2 d, N + d) signatures at most, so of any order that all sets share a set enumerates one more
+than that: those with the most shingles that are not common come first. Signatures without shingles say nothing
+and are left out: a set with too few also joins on a finer partition, and so on, until it has enough. Which
+shingles are common, and which signatures are hot, is learned from a bounded sample; it bears on the cost alone,
+not on the result.
+
+Equal sets are one node from the start. A signature's sets are not paired with one another: they form the star of
+a pivot (the set with the fewest rare shingles). Two similar sets share a signature and so a star. Within a star,
+a set that is similar to the pivot is linked; each other set x must be told from all the rest, by how they differ
+from the pivot p: with Dx = x ^ p, |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|. A star of bounded size is one group of a
+task, which counts these overlaps. Larger ones are dealt over tasks by set, and their sets are joined on a prefix
+of Dx: similar ones share (|Dx| + |Dy| - d) / 2 elements of their differences, so the prefixes must meet.
+
+Documents with fewer words than a shingle are one shingle; null and empty ones have no set, link with nothing and
+are their own component. An id that is repeated with another text is another document, with a component of its
+own; rows with a null id take no part (null component). Ties of a component go to the smallest id. Texts of any
+length are whole sets. An empty table has an empty result, and other columns of any name play no part. Sets are
+told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,16 @@ from pyspark.sql import functions as F
 
 from riskframe.llm.tables import drop_written, written
 
-#: Bands whose sets differ in this many shingles at most enumerate subsets of two parts.
-SUBSETS = 6
-#: Documents (about) in which common shingles are sought, and those that are remembered.
-SAMPLE, COMMON = 5_000, 200_000
+#: Rows that a task holds as Python strings at once.
+ROWS = 256
+#: Documents (about) in which common shingles and hot signatures are sought, and how many are remembered.
+SAMPLE, COMMON, HOT = 5_000, 200_000, 50_000
+#: Sampled texts that share a signature which counts as hot.
+HOT_LEAST = 25
+#: Stars with more sets or shingles than these are dealt over several tasks.
+STAR_SETS, STAR_SHINGLES = 1_000, 1_000_000
+#: Earlier keys of its prefix that a row of the join on differences knows.
+EARLIER = 8
 #: Nodes whose ids are broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
 #: Words and nodes that a task remembers.
@@ -76,17 +84,26 @@ def shingles(text: str, words: Words, size: int = 5) -> np.ndarray:
     return np.unique(mix(out + U(min(size, len(h)))))
 
 
-def part_signatures(h: np.ndarray, m: np.ndarray, rare: np.ndarray, parts: int, keep: int) -> tuple[np.ndarray, int]:
-    """The first `keep` parts as hashes of what they hold, and the number of non-empty ones. m: mix(h)."""
-    part = ((h >> U(32)) * U(parts)) >> U(32)
+def part_signatures(h: np.ndarray, m: np.ndarray, rare: np.ndarray, units: int, keep: int) -> tuple[np.ndarray, int]:
+    """The first `keep` signatures (what two parts of a unit hold, hashed), and how many are not empty. m: mix(h)."""
+    part = (((h >> U(32)) * U(3 * units)) >> U(32)).astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    size = np.add.reduceat(rare, starts)
-    sig = mix(np.add.reduceat(m, starts) + np.array([parts], U) * K4)
-    return sig[np.lexsort((sig, -size))[:keep]], len(starts)
+    at = part[starts]
+    holds = np.zeros(3 * units, U)
+    holds[at] = mix(np.add.reduceat(m, starts) + np.array([units], U) * K4)
+    scarce, some = np.zeros(3 * units, np.int64), np.zeros(3 * units, bool)
+    scarce[at], some[at] = np.add.reduceat(rare, starts), True
+    holds, scarce, some = holds.reshape(-1, 3), scarce.reshape(-1, 3), some.reshape(-1, 3)
+    two = [(0, 1), (0, 2), (1, 2)]
+    sig = np.concatenate([mix(holds[:, i] * K1 + holds[:, j] * K2 + U(i + j)) for i, j in two])
+    rich = np.concatenate([scarce[:, i] + scarce[:, j] for i, j in two])
+    full = np.flatnonzero(np.concatenate([some[:, i] | some[:, j] for i, j in two]))
+    sig, rich = sig[full], rich[full]
+    return sig[np.lexsort((sig, -rich))[:keep]], len(full)
 
 
 def rare(h: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """1 for the shingles that are not in common (sorted), else 0."""
+    """1 for the hashes that are not in common (sorted), else 0."""
     if not len(common):
         return np.ones(len(h), np.int64)
     return (common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h).astype(np.int64)
@@ -102,95 +119,186 @@ def signatures(h: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
     for band in range(a.bit_length(), most.bit_length() + 1):
         upper = (1 << band) - 1
         d = (a + min(upper, most)) * (100 - percent) // (100 + percent)
-        d_band = 2 * upper * (100 - percent) // (100 + percent)
-        subset = 2 if d_band <= SUBSETS else 1
-        parts, filled = 2 * d_band + 8, 0
-        while filled < d + subset:
-            sig, filled = part_signatures(h, m, scarce, parts, d + subset)
-            if subset == 2:
-                i, j = np.triu_indices(len(sig), 1)
-                sig = mix(np.minimum(sig[i], sig[j]) * K1 + np.maximum(sig[i], sig[j]))
+        units, filled, keep = 2 * upper * (100 - percent) // (100 + percent) * 11 // 20 + 2, 0, 1
+        while filled < keep:
+            keep = min(2 * d, units + d) + 1
+            sig, filled = part_signatures(h, m, scarce, units, keep)
             out.append(sig)
-            if filled == a:  # all parts hold one shingle
-                break
-            parts *= 4
+            units *= 4
     return np.unique(np.concatenate(out))
 
 
-def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
-    """The shingles that most texts of a sample share (two at least), COMMON of them at most."""
+def sampled(docs: DataFrame) -> DataFrame:
+    """(text) of about SAMPLE documents, the same at each run."""
+    every = max(1, docs.count() // SAMPLE)
+    return written(docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(every)) == 0).select("text"), "sample")
+
+
+def often(sample: DataFrame, hashes_of: Callable[[str], np.ndarray], least: int, most: int) -> np.ndarray:
+    """Sorted: those of a text's hashes that `least` distinct texts of a sample share, `most` of them at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
-            sets = [shingles(t or "", words, size) for t in batch.column(0).to_pylist()]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, U), *sets]).view(np.int64))], ["s"])
+            yield pa.RecordBatch.from_arrays([lists_of([hashes_of(t or "") for t in batch.column(0).to_pylist()])], ["s"])
 
-    every = max(1, docs.count() // SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(every)) == 0).select("text").mapInArrow(run, "s array<long>")
-    counts = some.dropDuplicates().select(F.explode("s").alias("h")).groupBy("h").count().where("count > 1")
-    found = counts.orderBy(F.desc("count"), "h").limit(COMMON).select("h").toArrow()["h"].to_numpy()
+    counts = sample.mapInArrow(run, "s array<long>").dropDuplicates().select(F.explode("s").alias("h")).groupBy("h").count()
+    found = counts.where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).select("h").toArrow()["h"].to_numpy()
     return np.sort(found.view(U))
 
 
+def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, U), *arrays]).view(np.int64))
+
+
+def node_of(h: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(h.tobytes()) - 2**63
+
+
 def features(docs: DataFrame, percent: int, size: int, shared) -> DataFrame:
-    """doc_id, n_shingles, node (a hash of the set), rare (shingles) and sigs: those of a node once, at least, in each task."""
+    """doc_id, text_hash, n_shingles, node (a hash of the set), rare (shingles), and the signatures, hot and others.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    Those of a node come once, at least, in each task. shared: (common shingles, hot signatures), broadcast.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = Words(), set()
+        common, hot = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                counts, nodes, sigs, scarce = [], [], [], []
-                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                counts, nodes, scarce, sigs, hot_sigs = [], [], [], [], []
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     h = shingles(text or "", words, size)
-                    counts.append(len(h))
                     own, node = np.empty(0, U), None
-                    scarce.append(int(rare(h, shared.value).sum()))
                     if len(h) and i is not None:
-                        node = xxhash.xxh64_intdigest(h.tobytes()) - 2**63
+                        node = node_of(h)
                         if node not in seen and 200 * len(h) // percent * (100 - percent) // (100 + percent):
-                            own = signatures(h, percent, shared.value)
+                            own = signatures(h, percent, common)
                         if len(seen) >= REMEMBERED:
                             seen.clear()
                         seen.add(node)
+                    among = rare(own, hot) == 0
+                    counts.append(len(h))
                     nodes.append(node)
-                    sigs.append(own)
-                ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, U), *sigs]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(scarce, pa.int64()), lists], ["doc_id", "n_shingles", "node", "rare", "sigs"])
+                    scarce.append(int(rare(h, common).sum()))
+                    sigs.append(own[~among])
+                    hot_sigs.append(own[among])
+                numbers = [pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(scarce, pa.int32())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), *numbers, lists_of(sigs), lists_of(hot_sigs)],
+                    ["doc_id", "text_hash", "n_shingles", "node", "rare", "sigs", "hot"],
+                )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, rare long, sigs array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, rare int, sigs array<long>, hot array<long>")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, n, s): the shingle hashes of the wanted (doc_id, node)."""
+def stars(each: DataFrame) -> DataFrame:
+    """Distinct (p, x): each node with the pivot of each of its signatures, the one with the fewest rare shingles.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    Hot signatures, a bounded number, are aggregated before any shuffle; the pivots are broadcast to their nodes.
+    """
+    order = F.struct("rare", F.xxhash64("node").alias("o"), "node")
+    first = F.min(order).over(Window.partitionBy("sig"))
+    cold = each.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "node", "rare").select(first["node"].alias("p"), F.col("node").alias("x"))
+    hot = each.where(F.size("hot") > 0).select(F.explode("hot").alias("sig"), "node", "rare")
+    pivots = hot.groupBy("sig").agg(F.min(order)["node"].alias("p"))
+    hot = hot.join(F.broadcast(pivots), "sig").select("p", F.col("node").alias("x"))
+    return cold.where("p != x").union(hot.where("p != x")).distinct()
 
+
+def members_of(each: DataFrame, star: DataFrame) -> DataFrame:
+    """(id, x, ps): a document that holds the set x, and the stars that x belongs to, also as their pivot.
+
+    Of a star: p, the least and the greatest size of its sets, and salts: the tasks it needs, 0 if it is small.
+    """
+    nodes = each.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"))
+    star = star.union(star.select("p", F.col("p").alias("x")).distinct()).join(nodes, F.col("x") == F.col("node"))
+    sizes = star.groupBy("p").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("sum_n"), F.min("n").alias("n_least"), F.max("n").alias("n_most"))
+    large = (F.col("k") > STAR_SETS) | (F.col("sum_n") > STAR_SHINGLES)
+    salts = F.when(large, F.ceil(F.greatest(F.col("k") / STAR_SETS, F.col("sum_n") / STAR_SHINGLES))).otherwise(F.lit(0).cast("long"))
+    sizes = sizes.select("p", "n_least", "n_most", salts.alias("salts"))
+    return star.join(sizes, "p").groupBy("id", "x").agg(F.collect_list(F.struct("p", "n_least", "n_most", "salts")).alias("ps"))
+
+
+def sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """(x, ps, s): the shingle hashes of x, for members (id, x, ps)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                sets = [shingles(t or "", words, size) for t in batch.column(1).to_pylist()]
-                kept = [h for node, h in zip(batch.column(0).to_pylist(), sets, strict=True) if len(h) and xxhash.xxh64_intdigest(h.tobytes()) - 2**63 == node]
-                ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
-                nodes = pa.array([xxhash.xxh64_intdigest(h.tobytes()) - 2**63 for h in kept], pa.int64())
-                yield pa.RecordBatch.from_arrays([nodes, pa.array(list(map(len, kept)), pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, U), *kept]).view(np.int64))], ["node", "n", "s"])
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                sets = [shingles(t or "", words, size) for t in batch.column(2).to_pylist()]
+                # Repeated rows of an id may come with another text; the node tells them apart.
+                kept = pa.array([len(h) > 0 and node_of(h) == x for h, x in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists_of(sets)], ["x", "ps", "s"]).filter(kept)
+
+    size_of = members.agg(F.count(F.lit(1)), F.sum(F.size("ps"))).first()
+    if size_of[0] <= BROADCAST_NODES and (size_of[1] or 0) <= 4 * BROADCAST_NODES:
+        members = F.broadcast(members)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(members, F.col("doc") == F.col("id"))
+    return texts.select("x", "ps", "text").mapInArrow(run, "x long, ps array<struct<p:long,n_least:long,n_most:long,salts:long>>, s array<long>")
 
-    if wanted.count() <= BROADCAST_NODES:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, F.col("id") == F.col("doc_id"))
-    # Ids of repeated rows may come with another text; the node tells them apart.
-    return texts.select("node", "text").mapInArrow(run, "node long, n long, s array<long>").dropDuplicates(["node"])
+
+def star_links(p: int, sets: dict[int, np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) that join all of the star's sets that links among them join.
+
+    Sets that are similar to the pivot are one component. Each of the others is compared with all sets at once:
+    with Dx = x ^ p, |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|, and the elements of Dx say which sets share them.
+    """
+    hp = sets[p]
+    names = [x for x in sets if x != p]
+    apart = [np.setxor1d(sets[x], hp, assume_unique=True) for x in names]
+    sizes, n = np.array([len(sets[x]) for x in names]), np.array([len(d) for d in apart])
+    near = n * (100 + percent) <= (sizes + len(hp)) * (100 - percent)
+    links = [(p, x) for x, k in zip(names, near, strict=True) if k]
+    if len(names) < 2 or near.all():
+        return links
+    ids, count = np.unique(np.concatenate(apart), return_inverse=True, return_counts=True)[1:]
+    member = np.repeat(np.arange(len(names)), n)[np.argsort(ids, kind="stable")]
+    starts, ends = np.cumsum(count) - count, np.cumsum(n)
+    root = np.where(near, -1, np.arange(len(names)))
+    for i in np.flatnonzero(~near):
+        own = ids[ends[i] - n[i] : ends[i]]
+        own = own[count[own] > 1]
+        long = count[own]
+        others = member[np.arange(long.sum()) + np.repeat(starts[own] - (np.cumsum(long) - long), long)]
+        differ = n[i] + n - 2 * np.bincount(others, minlength=len(names))
+        alike = differ * (100 + percent) <= (sizes[i] + sizes) * (100 - percent)
+        for j in np.flatnonzero(alike & (root != root[i])):
+            if root[j] != root[i]:
+                links.append((names[i], names[j]))
+                root[root == root[j]] = root[i]
+    return links
+
+
+def closed(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within stars of bounded size, from (p, x, s); the pivot is one of its x."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, sets = None, {}
+
+        def out() -> pa.RecordBatch:
+            links = star_links(p, sets, percent) if p in sets else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for q, x, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if q != p:
+                    yield out()
+                    p, sets = q, {}
+                sets[x] = s.values.to_numpy().view(U).copy()
+        yield out()
+
+    return members.repartition("p").sortWithinPartitions("p").mapInArrow(run, "a long, b long")
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (node, n, comp) with the components that links (a, b) join: each takes the smallest label."""
+    """labels (node, comp) with the components that links (a, b) join: each takes the smallest label."""
     ends = labels.select("node", "comp")
     edges = links.join(ends.toDF("a", "u"), "a").join(ends.toDF("b", "v"), "b").where("u != v").select("u", "v").distinct()
     edges = written(edges, "edges")
@@ -200,7 +308,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
         up = written(up, "parents")
         jump = up.select(F.col("u").alias("p"), F.col("p").alias("pp"))
         up2 = up.join(jump, "p", "left").select("u", F.coalesce("pp", "p").alias("p"))
-        new = written(labels.join(up2, labels["comp"] == up2["u"], "left").select("node", "n", F.coalesce("p", "comp").alias("comp")), "labels")
+        new = written(labels.join(up2, labels["comp"] == up2["u"], "left").select("node", F.coalesce("p", "comp").alias("comp")), "labels")
         left = edges.join(up2.toDF("u", "pu"), "u").join(up2.toDF("v", "pv"), "v").where("pu != pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct()
         left = written(left, "edges")
         for old in (edges, up, labels):
@@ -211,24 +319,25 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough."""
-    a, b = sets.toDF("a", "na", "sa"), sets.toDF("b", "nb", "sb")
+    a, b = (sets.select(F.col("x").alias(c), F.size("s").alias(f"n{c}"), F.col("s").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     out = pairs.join(a, "a").join(b, "b").withColumn("both", both)
     return out.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def differences(pairs: DataFrame, sets: DataFrame, percent: int, shared) -> DataFrame:
-    """From (p, x, n_least, n_most of p's sets): (p, x, size, n, probe, keys), the prefixes of x ^ p to be joined on.
+def differences(members: DataFrame, percent: int, shared) -> DataFrame:
+    """From (p, n_least, n_most, salts, x, s): (p, x, near, size, n, probe, keys), the prefixes of x ^ p to be joined on.
 
-    size: of x; n: of x ^ p. probe: the prefix of a set that is not linked with p, to meet those of sets whose
-    difference is no larger.
+    near: x is similar to p; size: of x; n: of x ^ p. probe: the prefix of a set that is not near, to meet those
+    of sets whose difference is no larger. A pivot's set comes in `salts` copies, so that a star has as many tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
-        names = ["p", "x", "size", "n", "probe", "keys"]
+        common = shared.value[0]
+        names = ["p", "x", "near", "size", "n", "probe", "keys"]
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_()]
         for batch in batches:
-            out: list[tuple[int, int, int, int, bool, np.ndarray]] = []
+            out: list[tuple] = []
             ids = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
             for (p, x, least, most), sp, sx in zip(ids, batch.column(4), batch.column(5), strict=True):
                 hp, hx = (v.values.to_numpy().view(U) for v in (sp, sx))
@@ -239,20 +348,22 @@ def differences(pairs: DataFrame, sets: DataFrame, percent: int, shared) -> Data
                 order = np.concatenate([added[few], np.sort(np.concatenate([added[~few], gone]))])
                 n, size = len(order), len(hx)
                 d = (size + min(most, size * 100 // percent)) * (100 - percent) // (100 + percent)
-                if n * (100 + percent) <= (len(hp) + size) * (100 - percent):
+                near = n * (100 + percent) <= (len(hp) + size) * (100 - percent)
+                if near:
                     other = (len(hp) + max(least, -(-size * percent // 100))) * (100 - percent) // (100 + percent) + 1
                     t = -(-(n + other - d) // 2)
                 else:
                     t = -(-(2 * n - d) // 2)
-                    out.append((p, x, size, n, True, order[: n - max(1, n - d) + 1]))
-                out.append((p, x, size, n, False, order[: n - max(1, t) + 1]))
-            ends = np.cumsum([0, *(len(o[5]) for o in out)]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, U), *(o[5] for o in out)]).view(np.int64))
-            numbers = [pa.array([o[i] for o in out], pa.int64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([*numbers, pa.array([o[4] for o in out], pa.bool_()), keys], names)
+                    out.append((p, x, near, size, n, True, order[: n - max(1, n - d) + 1]))
+                out.append((p, x, near, size, n, False, order[: n - max(1, t) + 1]))
+            columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*columns, lists_of([o[6] for o in out])], names)
 
-    full = pairs.join(sets.select(F.col("node").alias("p"), F.col("s").alias("sp")), "p").join(sets.select(F.col("node").alias("x"), F.col("s").alias("sx")), "x")
-    return full.select("p", "x", "n_least", "n_most", "sp", "sx").mapInArrow(run, "p long, x long, size long, n long, probe boolean, keys array<long>")
+    each = members.where("p != x").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts")))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
+    pivots = members.where("p = x").select("p", F.col("s").alias("sp"), copies.alias("salt"))
+    full = each.join(pivots, ["p", "salt"]).select("p", "x", "n_least", "n_most", "sp", F.col("s").alias("sx"))
+    return full.mapInArrow(run, "p long, x long, near boolean, size long, n long, probe boolean, keys array<long>")
 
 
 def may_be_linked(percent: int) -> Column:
@@ -265,63 +376,49 @@ def may_be_linked(percent: int) -> Column:
     return (apart * (100 + percent) <= (F.col("size") + F.col("size_y")) * (100 - percent)) & (100 * F.least("size", "size_y") >= percent * F.greatest("size", "size_y"))
 
 
-def stars(shared: DataFrame, order) -> DataFrame:
-    """Distinct (p, x): each set with the pivot of each of its signatures, the first by `order` (and node)."""
-    first = F.min(F.struct(order.alias("o"), "node")).over(Window.partitionBy("sig"))
-    return shared.select(first["node"].alias("p"), F.col("node").alias("x")).where("p != x").distinct()
+def met(keys: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of different components whose differences meet in their prefixes and may be similar.
+
+    A pair that meets in several keys should count once, at the first. A row knows the EARLIER keys before its own:
+    where two rows share one of those, the pair has met before.
+    """
+    comp = labels.select(F.col("node").alias("x"), "comp")
+    before = F.slice("keys", F.greatest(F.col("at") - EARLIER, F.lit(0)) + 1, F.least("at", F.lit(EARLIER)))
+    rows = keys.select("*", F.posexplode("keys").alias("at", "key")).withColumns({"left": F.col("n") - F.col("at"), "before": before}).drop("keys")
+    rows = rows.join(comp, "x").select("p", "key", "x", "comp", "probe", "size", "n", "left", "before")
+    index = rows.where(~F.col("probe")).select("p", "key", *(F.col(c).alias(f"{c}_y") for c in ("x", "comp", "size", "n", "left", "before")))
+    both = rows.where("probe").join(index, ["p", "key"])
+    both = both.where((F.col("comp") != F.col("comp_y")) & may_be_linked(percent) & ~F.arrays_overlap("before", "before_y"))
+    return both.select(F.least("x", "x_y").alias("a"), F.greatest("x", "x_y").alias("b")).distinct()
 
 
 def components(docs: DataFrame, percent: int = 80, size: int = 5, log=None) -> DataFrame:
-    """For each row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
-    each = written(features(docs, percent, size, common), "shingles")
-    sig = Window.partitionBy("sig")
-    rows = each.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "node")
-    rows = rows.select("sig", "node", F.min("node").over(sig).alias("lo"), F.max("node").over(sig).alias("hi")).where("lo != hi").select("sig", "node")
-    shared = written(rows.distinct(), "shared")
-    first = each.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("rare").alias("rare"))
-    wanted = written(first.join(shared.select("node").distinct(), "node").select("doc_id", "node"), "wanted")
-    sets = written(sets_of(docs, wanted, size), "sets")
-    labels = written(sets.select("node", "n", F.col("node").alias("comp")), "labels")
-    shared = written(shared.join(first.select("node", "rare"), "node"), "ranked")
-
-    def open_groups() -> DataFrame:
-        """The signatures whose sets are still in several components."""
-        g = shared.join(labels.select("node", "comp"), "node").withColumns({"lo": F.min("comp").over(sig), "hi": F.max("comp").over(sig)})
-        return written(g.where("lo != hi").select("sig", "node", "rare"), "open")
-
-    def add(pairs: DataFrame, what: str) -> None:
-        nonlocal labels
-        comp = labels.select("node", "n", "comp")
-        near = pairs.join(comp.toDF("a", "m", "ca"), "a").join(comp.toDF("b", "k", "cb"), "b")
-        near = near.where((F.col("ca") != F.col("cb")) & (100 * F.least("m", "k") >= percent * F.greatest("m", "k"))).select("a", "b")
-        links = written(linked(near, sets, percent), "links")
-        if log:
-            log(what, shared.count(), pairs.count(), links.count())
-        labels = merged(labels, links)
-        drop_written(links)
-
-    def as_pairs(star: DataFrame) -> DataFrame:
-        return written(star.select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b")).distinct(), "pairs")
-
-    add(as_pairs(stars(shared, F.struct("rare", F.xxhash64("node")))), "pivots")
-    shared = open_groups()
-    if not shared.isEmpty():
-        add(as_pairs(stars(shared, F.xxhash64("node"))), "other pivots")
-        shared = open_groups()
-    if not shared.isEmpty():
-        star = stars(shared, F.struct("rare", F.xxhash64("node")))
-        star = star.join(labels.select(F.col("node").alias("x"), "n"), "x")
-        sizes = star.groupBy("p").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"))
-        keys = written(differences(star.drop("n").join(sizes, "p"), sets, percent, common), "differences")
-        comp = labels.select(F.col("node").alias("x"), "comp")
-        rows = keys.join(comp, "x").select("p", "x", "comp", "probe", "size", "n", F.posexplode("keys").alias("at", "key"))
-        rows = rows.withColumn("left", F.col("n") - F.col("at"))
-        index = rows.where(~F.col("probe")).select("p", "key", F.col("x").alias("y"), F.col("comp").alias("other"), F.col("size").alias("size_y"), F.col("n").alias("n_y"), F.col("left").alias("left_y"))
-        met = rows.where("probe").join(index, ["p", "key"]).where("comp != other").where(may_be_linked(percent))
-        add(written(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs"), "differences")
-    own = first.join(labels.select("node", "comp"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")
+    """For each row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), text_hash."""
+    log = log or (lambda *_: None)
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    sample, words = sampled(docs), Words()
+    common = often(sample, lambda text: shingles(text, words, size), 2, COMMON)
+    hot = often(sample, lambda text: signatures(h, percent, common) if len(h := shingles(text, words, size)) > 1 else np.empty(0, U), HOT_LEAST, HOT)
+    shared = broadcast((common, hot))
+    each = written(features(docs, percent, size, shared), "shingles")
+    star = written(stars(each), "stars")
+    sets = written(sets_of(docs, written(members_of(each, star), "members"), size), "sets")
+    members = sets.select(F.explode("ps").alias("star"), "x", "s").select("star.*", "x", "s")
+    links = closed(members.where("salts = 0").select("p", "x", "s"), percent)
+    keys = written(differences(members.where("salts > 0"), percent, shared), "differences")
+    links = written(links.union(keys.where("near").select("p", "x")), "links")
+    labels = written(star.select(F.explode(F.array("p", "x")).alias("node")).distinct().select("node", F.col("node").alias("comp")), "labels")
+    labels = merged(labels, links)
+    log("stars", star.count(), links.count(), keys.count())
+    if not keys.isEmpty():
+        pairs = written(met(keys, labels, percent), "pairs")
+        more = written(linked(pairs, sets, percent), "links")
+        log("differences", pairs.count(), more.count())
+        labels = merged(labels, more)
+    nodes = each.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    own = nodes.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")
     least = own.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_node = own.join(least, "comp").select(F.col("node").alias("k"), "component_id")
     out = each.join(by_node, each["node"] == by_node["k"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id"))
+    own_id = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", own_id).alias("component_id"), "text_hash")

@@ -58,7 +58,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.components(read(spark, sf_dir, "documents"))
+    return ngram_join.components(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,7 +184,12 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-def test_ngram_join_by_brute_force(spark):
+@pytest.mark.parametrize("way", ["groups of a task", "stars over tasks", "hot signatures"])
+def test_ngram_join_by_brute_force(spark, monkeypatch, way):
+    if way == "stars over tasks":
+        monkeypatch.setattr(ngram_join, "STAR_SETS", 2)
+    if way == "hot signatures":
+        monkeypatch.setattr(ngram_join, "HOT_LEAST", 2)
     r = random.Random(7)
     words = [f"w{i}" for i in range(3000)]
     docs = []
@@ -214,6 +219,24 @@ def test_ngram_join_by_brute_force(spark):
     assert [rows[i]["n_shingles"] for i in range(len(docs))] == list(map(len, sets))
 
 
+def test_similar_sets_share_a_signature():
+    """Also at the limit, in small sets and over the edge of a band of sizes; common shingles change nothing of it."""
+    r = np.random.default_rng(3)
+    for n in (*range(2, 40), 63, 64, 120, 127, 128, 250, 255, 400, 511):
+        for _ in range(12):
+            a = np.unique(r.integers(0, 2**64, n, np.uint64))
+            gone = int(r.integers(0, n // 9 + 1))
+            added = (n - gone) * 100 // 80 - n if gone < n // 9 else n // 9
+            added = max(0, min(added, (100 * (n - gone) - 80 * n) // 80))
+            b = np.unique(np.concatenate([a[gone:], r.integers(0, 2**64, added, np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            assert 100 * both >= 80 * (len(a) + len(b) - both)
+            if len(b) == n and not gone:
+                continue
+            common = np.sort(r.choice(a, n // 3, replace=False))
+            assert len(np.intersect1d(ngram_join.signatures(a, 80, common), ngram_join.signatures(b, 80, common)))
+
+
 def test_decontamination_without_the_set_is_the_same(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     a, b = (sorted(map(tuple, decontaminate.scan(docs, bench, most).collect())) for most in (100_000, 10))
