@@ -262,14 +262,14 @@ class Encoder:
         return b"".join(map(self.vocabulary.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, vocabulary_path: str, pattern: str, *, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
-    """For each row: `keep`, n_tokens, ids (array<int>, if asked for), ids_sha256 and decoded_sha256 of its whole text.
+def encode(docs: DataFrame, vocabulary_path: str, pattern: str, *, with_ids: bool = True) -> DataFrame:
+    """For each row: doc_id, n_tokens, ids (array<int>, if asked for), ids_sha256 and decoded_sha256 of its whole text.
 
     The vocabulary (a fixed file of some 50,000 merges) is read on the driver and broadcast as its text.
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    columns = docs.select(*keep, "text")
+    columns = docs.select("doc_id", "text")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(shared.value), pattern)

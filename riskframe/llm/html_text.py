@@ -1,19 +1,28 @@
 """Visible text of whole HTML pages, laid out.
 
-A tree builder keeps the stack of open elements, with end tags that HTML implies (p before a block, li before
-li, cells, rows, options, terms); visibility rules drop what is never shown (head, scripts, templates, hidden
-attributes and styles). The head ends at its end tag or at the first text or tag that is not head content. All
-options of a select, the text of a textarea, of svg text elements and of formulas are visible. Text is written as it is laid out: collapsed white space, blank lines around blocks,
-list markers by depth, preformatted text as it is, and tables with their columns aligned. The stack is a list,
-so no nesting is too deep.
-
-Null, empty and markup-free input has defined text (null: empty); repeated rows each keep theirs.
+A tree builder keeps the open elements, with end tags that HTML implies (p before a block, li before li, cells,
+rows, options, terms), and lays out each element as it opens and closes; visibility rules drop what is never shown
+(head, scripts, templates, hidden attributes, and styles, also those that a style element gives to tags, classes and
+ids; rules that are nested or combine elements are not read). What is visible inside an invisible element is shown.
+The head ends at its end tag or at the first text or tag that is not head content. All options of a select, the text
+of a textarea, of svg text elements and of formulas are visible.
+
+Text is written as it is laid out: collapsed white space, blank lines around blocks, list markers by depth,
+preformatted text as it is, and tables with their columns aligned, cells that span columns or rows among them. A cell
+wider than WIDEST characters does not widen its column, so that the text stays in proportion to the page; cells
+beyond COLUMNS columns are not moved by those that span rows. No nesting is too deep, and the time grows with the
+length of the page: after a tag whose quotes do not close, tags end at the next ">".
+
+Null, empty and markup-free input has defined text (null: empty); repeated rows each keep theirs, and ties do not
+arise. An empty table has an empty result; other columns of any name play no part.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
@@ -45,11 +54,20 @@ ENDS = {
     "tbody": ({"thead", "tbody", "caption", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
 }
+INLINE = frozenset("b i em strong span a font u small code".split())
+BULLETS = -(10**10)
 P_SCOPE = {"td", "th", "table", "caption", "button", "li", "blockquote"}
 
-TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-HIDDEN_STYLE = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
+TAG = re.compile(r"</?([A-Za-z][^\s/>]*+)")
+TAG_END = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
+ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+NOT_DISPLAYED = re.compile(r"(?i)display\s*:\s*none")
+VISIBILITY = re.compile(r"(?i)visibility\s*:\s*(hidden|collapse|visible)")
+SELECTOR = re.compile(r"([a-z][a-z0-9]*)?((?:[.#][\w-]+)*)", re.ASCII | re.IGNORECASE)
+LONG_NUMBER = re.compile(r"&#(?:[xX][0-9a-fA-F]{8,}+|[0-9]{8,}+);?")
+INTEGER = re.compile(r"\s*([+-]?[0-9]{1,9})(?![0-9])")
+#: Characters that a cell widens its column to, at most, and columns that cells spanning rows may block.
+WIDEST, COLUMNS = 80, 1_000
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -121,58 +139,146 @@ class Page:
         return self.lines
 
 
-def hidden(tag: str, attributes: str) -> bool:
-    if tag in UNSEEN:
-        return True
-    if "hidden" not in attributes.lower() and "none" not in attributes.lower() and "collapse" not in attributes.lower():
-        return False
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    return "hidden" in found or (tag == "input" and found.get("type", "").lower() == "hidden") or bool(HIDDEN_STYLE.search(html.unescape(found.get("style", ""))))
-
-
-def attribute(attributes: str, name: str) -> str:
-    for m in ATTRIBUTE.finditer(attributes):
-        if m[1].lower() == name:
-            return html.unescape(m[2] or m[3] or m[4] or "")
-    return ""
-
-
-def aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Rows of cells (lines each) with columns as wide as their widest line, two spaces apart."""
-    width: list[int] = []
+def unescape(text: str) -> str:
+    """Character references as the characters that they stand for; those of no character as U+FFFD, however long."""
+    if "&#" in text:
+
+        def short(m: re.Match) -> str:
+            mark = "&#x" if m[0][2] in "xX" else "&#"
+            digits = m[0].removeprefix("&#").lstrip("xX").rstrip(";").lstrip("0") or "0"
+            return html.unescape(f"{mark}{digits};") if len(digits) < 8 else "\ufffd"
+
+        text = LONG_NUMBER.sub(short, text)
+    return html.unescape(text) if "&" in text else text
+
+
+def attributes_of(source: str) -> dict[str, str]:
+    """The attributes of a tag by name in lower case; of repeated ones the first."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(source):
+        found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def integer(text: str, least: int, most: int, other: int) -> int:
+    m = INTEGER.match(text)
+    return min(max(int(m[1]), least), most) if m else other
+
+
+Rule = tuple[str, frozenset[str]]  # a tag (or ""), and the classes and ids (".x", "#x") that it must have
+
+
+def style_rules(css: str) -> tuple[list[Rule], list[Rule]]:
+    """The selectors that a style sheet does not display, and those that it makes invisible."""
+    gone, unseen, depth, start, head = [], [], 0, 0, ""
+    first, *commented = css.split("/*")
+    for m in re.finditer(r"[{}]", first + "".join(c.partition("*/")[2] for c in commented)):
+        part = m.string[start : m.start()]
+        start = m.end()
+        if m[0] == "{":
+            depth += 1
+            head = part if depth == 1 else ""
+            continue
+        depth = max(0, depth - 1)
+        if depth or not head or "@" in head:
+            continue
+        shown = VISIBILITY.findall(part)
+        into = gone if NOT_DISPLAYED.search(part) else unseen if shown and shown[-1].lower() != "visible" else None
+        if into is not None:
+            for selector in head.split(","):
+                if (own := SELECTOR.fullmatch(selector.strip())) and own[0]:
+                    into.append(((own[1] or "").lower(), frozenset(re.findall(r"[.#][\w-]+", own[2]))))
+        head = ""
+    return gone, unseen
+
+
+def aligned(rows: list[list[tuple[int, int, list[str]]]]) -> list[str]:
+    """Rows of cells (columns and rows spanned, lines) with columns as wide as their widest line, two spaces apart."""
+    placed: list[list[tuple[int, list[str]]]] = []
+    width: dict[int, int] = {}
+    blocked: dict[int, int] = {}  # columns that cells of earlier rows span, for how many more rows
     for row in rows:
-        for i, cell in enumerate(row):
-            if i == len(width):
-                width.append(0)
-            width[i] = max(width[i], *(len(x) for x in cell), 0)
-    out = []
-    for row in rows:
-        for k in range(max((len(c) for c in row), default=0)):
-            out.append("  ".join((c[k] if k < len(c) else "").ljust(width[i]) for i, c in enumerate(row)).rstrip())
-    return out
+        now, blocked = blocked, {c: n - 1 for c, n in blocked.items() if n > 1}
+        column, out = 0, []
+        for columns, down, lines in row:
+            while column in now:
+                column += 1
+            out.append((column, lines))
+            own = max(map(len, lines), default=0)
+            width[column] = max(width.get(column, 0), own if columns == 1 and own <= WIDEST else 0)
+            if down > 1:
+                blocked |= dict.fromkeys(range(column, min(column + columns, COLUMNS)), down - 1)
+            column += columns
+        placed.append(out)
+    offset, at = {}, 0
+    for column in sorted(width):
+        offset[column] = at
+        at += width[column] + 2
+    text = []
+    for row in placed:
+        for k in range(max((len(lines) for _, lines in row), default=0)):
+            line, size = [], 0
+            for column, lines in row:
+                if k < len(lines) and lines[k]:
+                    gap = max(offset[column] - size, 2 if size else 0)
+                    line += [" " * gap, lines[k]]
+                    size += gap + len(lines[k])
+            text.append("".join(line).rstrip())
+    return text
 
 
 class Layout:
     def __init__(self) -> None:
         self.page = Page()
         self.open: list[str] = []
-        self.off = 0  # depth of the outermost hidden element, 0 if none
-        self.lists: list[int] = []  # counters of open lists; -1: bullets
+        self.places: dict[str, list[int]] = {}  # of each tag: where it stands among the open elements
+        self.blocks: list[int] = []  # where blocks and cells stand
+        self.seen: list[bool] = [True]  # visibility of the open elements
+        self.off = 0  # depth of the outermost element that is not displayed, 0 if none
+        self.rules: tuple[list[Rule], list[Rule]] = ([], [])
+        self.lists: list[int] = []  # counters of open lists; BULLETS: none
         # Of each open table: the page around it, its rows, the lists around it, and its captions and loose text.
-        self.tables: list[tuple[Page, list[list[list[str]]], list[int], Page]] = []
+        self.tables: list[tuple[Page, list[list[tuple[int, int, list[str]]]], list[int], Page]] = []
+        self.spans: list[tuple[int, int]] = []  # columns and rows of the open cells
         self.pre = 0
         self.roots = 0  # open svg and math elements
 
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of tags, -1 if none is open."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
     def foreign(self) -> int | None:
         """The place of the svg or math element whose content the open element is, not HTML."""
         if self.roots:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i] in ("svg", "math"):
-                    return i
-                if self.open[i] in INTEGRATION:
-                    return None
+            root = self.last(("svg", "math"))
+            if root > self.last(INTEGRATION):
+                return root
         return None
 
+    def style(self, css: str) -> None:
+        for own, more in zip(self.rules, style_rules(css), strict=True):
+            own += more
+
+    def push(self, tag: str, seen: bool) -> None:
+        if tag in BLOCK or tag in ("td", "th"):
+            self.blocks.append(len(self.open))
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(tag)
+        self.seen.append(seen)
+
+    def shown(self, tag: str, attributes: dict[str, str]) -> tuple[bool, bool]:
+        """Whether an element is displayed, and whether it is visible."""
+        style = attributes.get("style", "")
+        own = {f".{c}" for c in attributes.get("class", "").split()} | {f"#{i}" for i in attributes.get("id", "").split()}
+
+        def meets(rules: list[Rule]) -> bool:
+            return any((not t or t == tag) and need <= own for t, need in rules)
+
+        gone = tag in UNSEEN or "hidden" in attributes or bool(NOT_DISPLAYED.search(style)) or meets(self.rules[0])
+        said = VISIBILITY.findall(style)
+        seen = said[-1].lower() == "visible" if said else self.seen[-1] and not meets(self.rules[1])
+        return not gone, seen
+
     def end_head(self) -> None:
         if self.open and self.open[-1] == "head":
             self.pop()
@@ -193,7 +299,7 @@ class Layout:
         return tag in RAW and (not foreign or tag in ("script", "style"))
 
     def begin(self, tag: str, attributes: str) -> None:
-        if tag in CLOSES_P and "p" in self.open:
+        if tag in CLOSES_P and self.places.get("p"):
             self.end_within({"p"}, P_SCOPE)
         if tag in ENDS:
             self.end_within(*ENDS[tag])
@@ -203,11 +309,13 @@ class Layout:
             if not self.off:
                 self.void(tag, attributes)
             return
-        self.open.append(tag)
+        found = attributes_of(attributes) if attributes and not attributes.isspace() else {}
+        displayed, seen = self.shown(tag, found)
+        self.push(tag, seen)
         self.roots += tag in ("svg", "math")
         if self.off:
             return
-        if hidden(tag, attributes) or self.roots and tag in FOREIGN_UNSEEN:
+        if not displayed or self.roots and tag in FOREIGN_UNSEEN:
             self.off = len(self.open)
         elif tag == "table":
             own = Page()
@@ -217,13 +325,14 @@ class Layout:
             self.tables[-1][1].append([])
         elif tag in ("td", "th") and self.tables:
             self.page = Page()
+            self.spans.append((integer(found.get("colspan", ""), 1, 1_000, 1), integer(found.get("rowspan", ""), 1, 65_534, 1)))
         elif tag in ("ul", "ol"):
             self.page.want(1 if self.lists else 2)
-            self.lists.append(int(attribute(attributes, "start") or 1) if tag == "ol" and (attribute(attributes, "start") or "1").lstrip("-").isdecimal() else -1)
+            self.lists.append(integer(found.get("start", ""), -(10**9), 10**9, 1) if tag == "ol" else BULLETS)
         elif tag == "li":
             self.page.want(1)
             self.page.indent = max(0, len(self.lists) - 1)
-            if self.lists and self.lists[-1] >= 0:
+            if self.lists and self.lists[-1] != BULLETS:
                 self.page.prefix = f"{self.lists[-1]}. "
                 self.lists[-1] += 1
             else:
@@ -238,53 +347,50 @@ class Layout:
             self.text('"')
         elif tag == "optgroup":
             self.page.want(1)
-            self.text(attribute(attributes, "label"))
+            self.text(found.get("label", ""))
         elif tag in BLOCK:
             self.page.want(2 if tag in SPACED else 1)
         elif tag in PLAIN or tag == "text" and self.roots:
             self.page.want(1)
 
     def in_row(self) -> bool:
-        for tag in reversed(self.open):
-            if tag in ("tr", "table"):
-                return tag == "tr"
-        return False
+        return self.last(("tr",)) > self.last(("table",))
 
     def void(self, tag: str, attributes: str) -> None:
         if tag == "br":
             self.page.line_break()
-        elif tag == "hr":
-            self.page.put(["---"], 2)
-        elif tag == "img" and (alt := attribute(attributes, "alt")):
-            self.page.text(alt)
+        elif tag in ("hr", "img"):
+            found = attributes_of(attributes)
+            if all(self.shown(tag, found)):
+                if tag == "hr":
+                    self.page.put(["---"], 2)
+                else:
+                    self.page.text(found.get("alt", ""))
 
     def end_within(self, tags: set[str], stop: set[str]) -> None:
         """Ends the open elements down to the outermost of tags that no element of stop encloses."""
-        last = None
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i] in tags:
-                last = i
-            elif self.open[i] in stop:
-                break
-        if last is not None:
+        stop_at = self.last(stop)
+        inside = [p[k] for t in tags if (p := self.places.get(t)) and (k := bisect_right(p, stop_at)) < len(p)]
+        if inside:
+            last = min(inside)
             while len(self.open) > last:
                 self.pop()
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self.start("br", "")
-        elif tag in self.open:
-            if tag in ("b", "i", "em", "strong", "span", "a", "font", "u", "small", "code") and self.open[-1] != tag:
-                for other in reversed(self.open):  # an inline end tag does not end a block
-                    if other == tag:
-                        break
-                    if other in BLOCK or other in ("td", "th"):
-                        return
+        elif self.places.get(tag):
+            if tag in INLINE and self.blocks and self.blocks[-1] > self.places[tag][-1]:
+                return  # an inline end tag does not end a block
             while self.pop() != tag:
                 pass
 
     def pop(self) -> str:
         tag = self.open.pop()
+        self.seen.pop()
+        self.places[tag].pop()
+        if self.blocks and self.blocks[-1] == len(self.open):
+            self.blocks.pop()
         self.roots -= tag in ("svg", "math")
         if self.off:
             if len(self.open) < self.off:
@@ -295,12 +401,12 @@ class Layout:
             self.page = self.tables[-1][3]
             if not self.tables[-1][1]:
                 self.tables[-1][1].append([])
-            self.tables[-1][1][-1].append(cell)
+            self.tables[-1][1][-1].append((*self.spans.pop(), cell))
         elif tag == "table" and self.tables:
             self.page, rows, self.lists, own = self.tables.pop()
             loose = own.done()
             self.page.put(loose, 1)
-            self.page.put(aligned([r for r in rows if any(any(c) for c in r)]), 2)
+            self.page.put(aligned(rows), 2)
         elif tag in ("ul", "ol") and self.lists:
             self.lists.pop()
             self.page.indent = max(0, len(self.lists) - 1)
@@ -329,9 +435,9 @@ class Layout:
     def text(self, text: str) -> None:
         if self.off and text.strip():
             self.end_head()
-        if (root := self.foreign()) is not None and self.open[root] == "svg" and "text" not in self.open[root:]:
+        if (root := self.foreign()) is not None and self.open[root] == "svg" and self.last(("text",)) < root:
             return  # svg draws only its text elements
-        if self.off or self.tables and self.open and self.open[-1] in ("table", "tr", "thead", "tbody", "tfoot") and not text.strip():
+        if self.off or not self.seen[-1] or self.tables and self.open and self.open[-1] in ("table", "tr", "thead", "tbody", "tfoot") and not text.strip():
             return
         if self.pre:
             lines = text.replace("\r\n", "\n").split("\n")
@@ -346,13 +452,14 @@ class Layout:
 
 
 def visible_text(source: str) -> str:
-    layout, at, n = Layout(), 0, len(source)
+    layout, at, n, quotes = Layout(), 0, len(source), True
+    end_of: dict[str, re.Pattern] = {}
     while at < n:
         mark = source.find("<", at)
         if mark < 0:
             mark = n
         if mark > at:
-            layout.text(html.unescape(source[at:mark]))
+            layout.text(unescape(source[at:mark]))
         if mark == n:
             break
         if source.startswith("<!--", mark):
@@ -362,17 +469,25 @@ def visible_text(source: str) -> str:
             close = source.find(">", mark)
             at = n if close < 0 else close + 1
         elif m := TAG.match(source, mark):
-            slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-            tag, at = tag.lower(), m.end()
-            if slash:
+            end = TAG_END.match(source, m.end()) if quotes else None
+            if end is None:
+                quotes = False
+            stop = end.end() if end else source.find(">", m.end()) + 1
+            if not stop:  # a tag that never ends is no text either
+                break
+            tag, attributes, at = m[1].lower(), source[m.end() : stop - 1], stop
+            if source[mark + 1] == "/":
                 layout.end(tag)
-            else:
-                if layout.start(tag, attributes):
-                    close = re.compile(rf"(?i)</{re.escape(tag)}(?=[\s/>])").search(source, at)
-                    end = close.start() if close else n
-                    if tag in PLAIN:
-                        layout.plain(html.unescape(source[at:end]) if tag == "textarea" else source[at:end])
-                    at = end
+            elif layout.start(tag, attributes):
+                if tag not in end_of:
+                    end_of[tag] = re.compile(rf"(?i)</{re.escape(tag)}(?=[\s/>])")
+                close = end_of[tag].search(source, at)
+                stop = close.start() if close else n
+                if tag in PLAIN:
+                    layout.plain(unescape(source[at:stop]) if tag == "textarea" else source[at:stop])
+                elif tag == "style":
+                    layout.style(source[at:stop])
+                at = stop
         else:
             layout.text("<")
             at = mark + 1

@@ -393,7 +393,10 @@ def met(keys: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
 
 def components(docs: DataFrame, percent: int = 80, size: int = 5, log=None) -> DataFrame:
-    """For each row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), text_hash."""
+    """For each row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), text_hash, component_key.
+
+    component_key tells components apart even where their smallest ids are the same, as an id may have several texts.
+    """
     log = log or (lambda *_: None)
     broadcast = docs.sparkSession.sparkContext.broadcast
     sample, words = sampled(docs), Words()
@@ -418,7 +421,7 @@ def components(docs: DataFrame, percent: int = 80, size: int = 5, log=None) -> D
     nodes = each.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     own = nodes.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")
     least = own.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    by_node = own.join(least, "comp").select(F.col("node").alias("k"), "component_id")
+    by_node = own.join(least, "comp").select(F.col("node").alias("k"), "component_id", F.col("comp").alias("component_key"))
     out = each.join(by_node, each["node"] == by_node["k"], "left")
     own_id = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", own_id).alias("component_id"), "text_hash")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", own_id).alias("component_id"), "text_hash", "component_key")

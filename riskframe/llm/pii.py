@@ -6,12 +6,15 @@ digits and at/dot disguises become "@" and ".". Each rewritten piece keeps its p
 identifier found in the rewritten text is mapped back to the source characters that it came from. Only
 identifiers that touch a rewritten piece are added; those of the text as it stands always stay.
 
-Null and empty texts have no spans. Repeated rows each get their own result.
+Null and empty texts have no spans. Repeated rows each get their own result. Texts of any length are scanned whole,
+in time that grows with their length. Spans that begin together are ordered by kind. An empty table has an empty
+result; find() reads doc_id and text alone, redact() passes columns of any name through.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 
 from pyspark.sql import DataFrame
@@ -22,7 +25,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+# From the start of a run of digits only, and without going back in it: linear on long runs.
+DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -37,33 +41,53 @@ LOOKALIKES = dict(
     )
 )
 INVISIBLE = "​‌‍⁠﻿­"
-DIGITS = {w: str(n) for n, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0", "plus": "+", "dot": ".", "point": "."}
+# The digits 0 to 9 in the languages of the corpus.
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine",
+    "null eins zwei drei vier fünf sechs sieben acht neun",
+    "zéro un deux trois quatre cinq six sept huit neuf",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve",
+)
+DIGITS = {w: str(n) for words in NUMBER_WORDS for n, w in enumerate(words.split())}
+DIGITS |= {"oh": "0", "plus": "+", "más": "+", "dot": ".", "point": ".", "punkt": ".", "punto": "."}
 TIMES = {"double": 2, "triple": 3}
+AT, DOT = "at|arobase|arroba", "dot|punkt|punto|point"
 
 
 def look_alike(char: str) -> str | None:
-    """The ASCII character that a character stands for, if it is a disguise."""
-    code = ord(char)
-    if 0xFF01 <= code <= 0xFF5E:
-        return chr(code - 0xFEE0)
-    if 0x0660 <= code <= 0x0669 or 0x06F0 <= code <= 0x06F9:
-        return str(code & 15)
-    if 0x1D400 <= code <= 0x1D7FF:
-        import unicodedata
-
-        plain = unicodedata.normalize("NFKC", char)
-        return plain if plain.isascii() else None
-    return "" if char in INVISIBLE else LOOKALIKES.get(char)
-
-
-_word = "|".join(k for k in DIGITS if k not in ("oh", "plus", "dot", "point"))
-ODD_CHAR = re.compile(f"[{''.join(LOOKALIKES)}{INVISIBLE}٠-٩۰-۹！-～\U0001d400-\U0001d7ff]")
-SPELLED = re.compile(rf"(?ai:\b(?:plus[\s-]+)?(?:(?:double|triple)[\s-]+)?(?:{_word})(?:(?:[\s-]+(?:{_word}|oh|double|triple|dot|point))){{2,}}\b)")
-SPELLED_HINT = re.compile(rf"(?ai:\b(?:{_word})[\s-]+(?:{_word}|dot|point|double|triple)\b)")
-IN_BRACKETS = re.compile(r"(?ai:\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*)")
+    """The ASCII character that a character stands for, if it is a disguise: digits of any script, styled letters, full width."""
+    if char in INVISIBLE:
+        return ""
+    if char in LOOKALIKES:
+        return LOOKALIKES[char]
+    if (digit := unicodedata.digit(char, None)) is not None:
+        return str(digit)
+    plain = unicodedata.normalize("NFKC", char)
+    return plain if len(plain) == 1 and plain.isascii() and plain.isprintable() and not plain.isspace() else None
+
+
+#: Where characters with a plain form stand in Unicode: scripts with digits of their own, forms, styled letters, enclosed ones.
+BLOCKS = ((0x80, 0x2E80), (0xFE00, 0x10000), (0x104A0, 0x104AA), (0x1D400, 0x1D800), (0x1F100, 0x1F200))
+PLAIN = {c: p for a, b in BLOCKS for c in map(chr, range(a, b)) if (p := look_alike(c)) is not None}
+ODD_CHAR = re.compile(f"[{''.join(PLAIN)}]")
+
+
+def spelled_patterns(words: str) -> tuple[list[str], re.Pattern, re.Pattern]:
+    """The words of a language, a run of two that may begin an identifier, and whole runs."""
+    word = "|".join(words.split())
+    more = f"{word}|oh|double|triple|{DOT}"
+    hint = re.compile(rf"(?i:\b(?:{word})[\s-]+(?:{more})\b)")
+    run = re.compile(rf"(?i:\b(?:(?:plus|más)[\s-]+)?(?:(?:double|triple)[\s-]+)?(?:{word})(?:[\s-]+(?:{more})){{2,}}\b)")
+    return words.split(), hint, run
+
+
+SPELLED = [spelled_patterns(words) for words in NUMBER_WORDS]
+IN_BRACKETS = re.compile(rf"(?ai:[\[({{<]\s*({AT}|{DOT})\s*[\])}}>])")
+AT_IN_BRACKETS = re.compile(rf"(?ai:[\[({{<]\s*(?:{AT})\b)")
 # A bare "at" counts only where a spelled or bracketed dot follows the next word.
-BARE_AT = re.compile(r"(?ai:(?<=[a-z0-9_%+-])\s+at\s+(?=[a-z0-9-]+(?:\s+dot\s+|\s*[\[({<]\s*dot\s*[\])}>]\s*)[a-z0-9-]))")
-BARE_DOT = re.compile(r"(?ai:(?<=[a-z0-9_%+-])\s+dot\s+(?=[a-z0-9-]))")
+BARE_AT = re.compile(rf"(?ai:(?<=[a-z0-9_%+-])\s+(?:{AT})\s+(?=[a-z0-9-]+(?:\s+(?:{DOT})\s+|\s*[\[({{<]\s*(?:{DOT})\s*[\])}}>]\s*)[a-z0-9-]))")
+BARE_DOT = re.compile(rf"(?ai:(?<=[a-z0-9_%+-])\s+(?:{DOT})\s+(?=[a-z0-9-]))")
+DOT_HINT, AT_WORDS = DOT.split("|"), AT.split("|")
 
 
 def luhn(digits: str) -> bool:
@@ -89,7 +113,7 @@ def plain_spans(text: str) -> list[Span]:
         for part in parts:
             starts.append(starts[-1] + len(part) + 1)
         for i in range(0, len(parts) - 3, 4):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts[i : i + 4]):
+            if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in parts[i : i + 4]):
                 spans.append((starts[i], 1, starts[i + 4] - 1))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:
@@ -120,9 +144,7 @@ def rewrites(text: str) -> list[tuple[int, int, str]]:
     """What the transducers change: (start, end, replacement), apart from one another, by start."""
     found: list[tuple[int, int, str]] = []
     if not text.isascii():
-        for m in ODD_CHAR.finditer(text):
-            if (plain := look_alike(m[0])) is not None:
-                found.append((m.start(), m.end(), plain))
+        found = [(m.start(), m.end(), PLAIN[m[0]]) for m in ODD_CHAR.finditer(text)]
     if found:  # words may be spelled with look-alikes: the rest works on text of the same length
         chars = list(text)
         for start, _, plain in found:
@@ -131,13 +153,23 @@ def rewrites(text: str) -> list[tuple[int, int, str]]:
         text = "".join(chars)
     low = text.lower() if text.isascii() else text.translate(ASCII_LOWER)
     more: list[tuple[int, int, str]] = []
-    if SPELLED_HINT.search(text):
-        more += [(m.start(), m.end(), spelled(m[0])) for m in SPELLED.finditer(text)]
-    if "dot" in low or "at" in low and re.search(r"[\[({<]\s*at", low):
-        more += [(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in IN_BRACKETS.finditer(text)]
-        if "dot" in low:
-            more += [(m.start(), m.end(), "@") for m in BARE_AT.finditer(text)]
-            more += [(m.start(), m.end(), ".") for m in BARE_DOT.finditer(text)]
+    for words, hint, run in SPELLED:
+        if any(w in low for w in words) and hint.search(text):
+            more += [(m.start(), m.end(), spelled(m[0])) for m in run.finditer(text)]
+    if any(w in low for w in DOT_HINT) or AT_IN_BRACKETS.search(text):
+        free = 0
+        for m in IN_BRACKETS.finditer(text):
+            start, end = m.span()
+            while start > free and text[start - 1].isspace():
+                start -= 1
+            while end < len(text) and text[end].isspace():
+                end += 1
+            free = end
+            more.append((start, end, "@" if m[1].lower() in AT_WORDS else "."))
+        bare_at = [(m.start(), m.end(), "@") for m in BARE_AT.finditer(text)]
+        # Without an "@" or a number a bare dot makes no identifier.
+        if bare_at or "@" in text or any(x[2] != "." for x in more):
+            more += bare_at + [(m.start(), m.end(), ".") for m in BARE_DOT.finditer(text)]
     if more:
         more.sort(key=lambda x: (x[0], -x[1]))
         kept, free = [], 0

@@ -6,6 +6,8 @@ grids. The tables are learned by cyclic boosting: round after round, each featur
 score adds the bins' values: sigmoid(intercept + sum of tables[bin]).
 
 Null and empty texts have defined features (zeros), so they have a score; ties and repeated rows score alike.
+Texts of any length are read whole. Without labels, or with one kind of them, every text has the same score. An
+empty table has an empty result; other columns of any name play no part.
 """
 
 from __future__ import annotations
@@ -21,8 +23,6 @@ from riskframe.llm.spans import scan
 FEATURES = ("log_chars", "word_length", "upper", "digits", "space", "lines", "exclaim", "bars", "marks", "stops", "rare_marks", "distinct_words", "repeated_lines", "longest_word", "capital_words")
 UPPER = bytes(range(65, 91))
 DIGIT = bytes(range(48, 58))
-#: Labelled documents that the tables are fitted on, at most.
-SAMPLE = 20_000
 
 
 def features(text: str) -> list[float]:
@@ -167,6 +167,8 @@ def train(x: np.ndarray, y: np.ndarray, bins: int = 32, grid: int = 8, n_pairs:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Trains on the documents of labels (doc_id, y), a bounded table (see tables.labelled)."""
     chosen = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(labels), F.col("id") == F.col("doc_id"))
+    # An id that is repeated counts once, with its smallest text: what comes to the driver stays bounded.
+    chosen = chosen.groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def rows_of():
         return lambda columns: [columns[0], columns[1], [features(t or "") for t in columns[2]]]
@@ -176,18 +178,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train(np.array([r[2] for r in rows]).reshape(-1, len(FEATURES)), np.array([r[1] for r in rows], float))
 
 
-def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` and score (0 to 1, higher: better)."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """For each row: doc_id and score (0 to 1, higher: better)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows_of():
         own = shared.value
 
         def rows(columns: list) -> list[list]:
-            x = np.array([features(t or "") for t in columns[-1]]).reshape(-1, len(FEATURES))
-            return [*columns[:-1], own.score(x).tolist()]
+            x = np.array([features(t or "") for t in columns[1]]).reshape(-1, len(FEATURES))
+            return [columns[0], own.score(x).tolist()]
 
         return rows
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(f"`{c}`" for c in keep)).schema.fields)
-    return scan(docs, (*(f"`{c}`" for c in keep), "text"), f"{kept}, score double", rows_of)
+    return scan(docs, ("doc_id", "text"), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double", rows_of)

@@ -39,5 +39,22 @@ def scan(docs: DataFrame, columns: tuple[str, ...], schema: str, rows_of: Callab
     return selected.mapInArrow(scanned, schema)
 
 
+def kept(docs: DataFrame, column: str, keep_of: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of docs that a function of their values in a column keeps, as they are.
+
+    Only the places of columns are used, so their names may clash with anything. keep_of() is called once in each task.
+    """
+    place = docs.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = keep_of()
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                yield batch.filter(pa.array(f(batch.column(place).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()

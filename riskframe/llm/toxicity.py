@@ -5,7 +5,9 @@ of its sentences is: P = 1 - prod(1 - p). The weights are trained on that noisy-
 labels alone, and the same sentence scores then say which sentences offend.
 
 Features of a word: the word and its first 4 and 5 letters, lower case. Null and empty texts have one empty
-sentence, so their score is that of the bias alone; ties and repeated rows score alike.
+sentence, so their score is that of the bias alone; ties and repeated rows score alike. Texts of any length are
+read whole, in time that grows with their length. Without labels no text is toxic (score near 0), with labels of
+one kind all texts have that one. An empty table has an empty result; other columns of any name play no part.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.spans import scan
+from riskframe.llm.spans import kept, scan
 from riskframe.llm.tables import written
 
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -105,7 +107,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_docs: int
         n[y] = own.count()
         own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         ids = own if ids is None else ids.union(own)
-    chosen = written(docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids), F.col("id") == F.col("doc_id")).select("id", "y", "text"), "sample")
+    chosen = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids), F.col("id") == F.col("doc_id"))
+    # An id that is repeated counts once, with its smallest text: the sample stays bounded.
+    chosen = written(chosen.groupBy("id", "y").agg(F.min("text").alias("text")), "sample")
     size, share = chosen.agg(F.count(F.lit(1)), F.avg("y")).first()
     if not size or share in (0.0, 1.0):
         return Model({}, 5.0 if share else -12.0)
@@ -142,22 +146,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_docs: int
     return Model({f: float(x) for f, x in zip(names, w, strict=False) if abs(x) > 1e-3}, float(w[-1]))
 
 
-def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
-    """`keep`, score (0 to 1), and the sentences with p >= 0.5 as offending: array of (start, end, p).
-
-    with_text: text is among `keep` and travels with the scores instead of being joined back.
-    """
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """For each row: doc_id, score (0 to 1), and the sentences with p >= 0.5 as offending: array of (start, end, p)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = keep.index("text") if with_text else -1
 
     def rows_of():
         scorer = Scorer(shared.value)
 
         def rows(columns: list) -> list[list]:
-            scored = [scorer.sentences(t or "") for t in columns[place]]
-            return [*columns[: len(keep)], [s for s, _ in scored], [o for _, o in scored]]
+            scored = [scorer.sentences(t or "") for t in columns[1]]
+            return [columns[0], [s for s, _ in scored], [o for _, o in scored]]
 
         return rows
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(f"`{c}`" for c in keep)).schema.fields)
-    return scan(docs, (*(f"`{c}`" for c in keep), *["text"] * (not with_text)), f"{kept}, score double, offending array<struct<start:int,end:int,p:double>>", rows_of)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return scan(docs, ("doc_id", "text"), f"doc_id {kind}, score double, offending array<struct<start:int,end:int,p:double>>", rows_of)
+
+
+def below(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows of docs whose texts score below the threshold, with all their columns, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep_of():
+        scorer = Scorer(shared.value)
+        return lambda texts: [scorer.sentences(t or "", 1.0)[0] < threshold for t in texts]
+
+    return kept(docs, "text", keep_of)
