@@ -1,5 +1,11 @@
 """A training corpus from documents: toxic ones go, one of each near-duplicate group stays, benchmark leaks go,
-personal data is masked, and what is left becomes tokens."""
+personal data is masked, and what is left becomes tokens.
+
+Null and empty texts are not toxic, similar or leaked: they stay, and have no tokens. Rows without an id stay too, as
+far as their texts are clean. Rows are told apart by id and text; repeated ones become one in the second stage. An
+empty table gives an empty corpus; texts are read whole, and further columns of any name pass through all stages but
+the last.
+"""
 
 from __future__ import annotations
 
@@ -13,31 +19,49 @@ from riskframe.llm.tables import read, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold. The model learns from the labelled rows of the raw table."""
-    columns = docs.columns
-    model = toxicity_model(spark, sf_dir, read(spark, sf_dir, "documents"))
-    scores = toxicity.score(docs, model, keep=tuple(columns), with_text=True)
-    return scores.where(F.col("score") < THRESHOLD).select(*(f"`{c}`" for c in columns))
+    """Documents whose texts score below the threshold. The model learns from the labelled rows of the raw table."""
+    return toxicity.below(docs, toxicity_model(spark, sf_dir, read(spark, sf_dir, "documents")), THRESHOLD)
+
+
+def rows_like(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of docs that agree with one of keys (doc_id, text_hash) in id and text (left_semi), or with none (left_anti).
+
+    Rows are told by both, as an id may come with several texts, and may be null.
+    """
+    same = docs["doc_id"].eqNullSafe(keys["doc_id"]) & (F.xxhash64(docs["text"]) == keys["text_hash"])
+    return docs.join(keys, same, how)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; documents without words all stay."""
-    groups = ngram_join.components(docs)
-    kept = groups.where((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull()).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each component: that with the smallest id, and of its rows one.
+
+    Documents without words and rows without an id are in no group and all stay.
+    """
+    rows = ngram_join.components(docs).where("component_key IS NOT NULL")
+    each = written(rows.groupBy("component_key", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")), "grouped")
+    first = each.groupBy("component_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    each = each.join(first, "component_key").withColumn("is_first", F.struct("doc_id", "text_hash") == F.col("first"))
+    dropped = written(each.where(~F.col("is_first")).select("doc_id", "text_hash"), "dropped")
+    again = written(each.where("is_first AND n > 1").select("doc_id", "text_hash"), "again")
+    once = rows_like(docs, dropped.union(again), "left_anti")
+    if again.isEmpty():
+        return once
+    return once.union(rows_like(docs, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule does not call contaminated, whole."""
-    bad = decontaminate.scan(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    found = decontaminate.scan(docs, read(spark, sf_dir, "benchmark"))
+    return rows_like(docs, written(found.where("contaminated").select("doc_id", "text_hash").distinct(), "leaks"), "left_anti")
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by placeholders."""
     return pii.redact(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, the tokens of each text and their hashes."""
     return bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN)
 
 
