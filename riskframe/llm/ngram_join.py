@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,19 +158,22 @@ def node_of(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes()) - 2**63
 
 
-def features(docs: DataFrame, percent: int, size: int, shared) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node (a hash of the set), rare (shingles), and the signatures, hot and others.
+def signed(docs: DataFrame, percent: int, size: int, shared) -> DataFrame:
+    """A row for each signature: sig, hot (the signature, if it is hot), node (a hash of the set), rare (shingles).
 
-    Those of a node come once, at least, in each task. shared: (common shingles, hot signatures), broadcast.
+    The first row of a document, which has one in any case, also says doc_id, text_hash and n_shingles. A node's
+    signatures come once, at least, in each task. Where there is none, or a hot one, sig just spreads the rows.
+    shared: (common shingles, hot signatures), broadcast.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = Words(), set()
         common, hot = shared.value
+        spread = mix(np.array([TaskContext.get().partitionId() + 1], U) * K4)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                counts, nodes, scarce, sigs, hot_sigs = [], [], [], [], []
+                counts, nodes, scarce, sigs = [], [], [], []
                 for i, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     h = shingles(text or "", words, size)
                     own, node = np.empty(0, U), None
@@ -180,34 +184,43 @@ def features(docs: DataFrame, percent: int, size: int, shared) -> DataFrame:
                         if len(seen) >= REMEMBERED:
                             seen.clear()
                         seen.add(node)
-                    among = rare(own, hot) == 0
                     counts.append(len(h))
                     nodes.append(node)
                     scarce.append(int(rare(h, common).sum()))
-                    sigs.append(own[~among])
-                    hot_sigs.append(own[among])
-                numbers = [pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(scarce, pa.int32())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), *numbers, lists_of(sigs), lists_of(hot_sigs)],
-                    ["doc_id", "text_hash", "n_shingles", "node", "rare", "sigs", "hot"],
-                )
+                    sigs.append(own)
+                rows = np.maximum(1, [len(x) for x in sigs])
+                sig = np.concatenate([x if len(x) else np.zeros(1, U) for x in sigs])
+                of = pa.array(np.repeat(np.arange(len(rows)), rows))
+                first = np.zeros(len(sig), bool)
+                first[np.cumsum(rows) - rows] = True
+                among = rare(sig, hot) == 0
+                loose = among | (np.repeat([len(x) for x in sigs], rows) == 0)
+                spread = spread + U(len(sig))
+                key = np.where(loose, mix(spread - np.arange(len(sig), dtype=U)), sig)
+                once = pa.array(np.where(first, np.repeat(np.arange(len(rows)), rows), 0), mask=~first)
+                columns = [pa.array(key.view(np.int64)), pa.array(sig.view(np.int64), mask=~among)]
+                columns += [pa.array(nodes, pa.int64()).take(of), pa.array(scarce, pa.int32()).take(of)]
+                columns += [c.take(once) for c in (batch.column(0), batch.column(1), pa.array(counts, pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["sig", "hot", "node", "rare", "doc_id", "text_hash", "n_shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, rare int, sigs array<long>, hot array<long>")
+    return rows.mapInArrow(run, "sig long, hot long, node long, rare int, doc_id long, text_hash long, n_shingles long")
 
 
-def stars(each: DataFrame) -> DataFrame:
-    """Distinct (p, x): each node with the pivot of each of its signatures, the one with the fewest rare shingles.
+def starred(signed_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n_shingles, node) of each document, and the distinct (p, x): nodes with their signatures' pivots.
 
-    Hot signatures, a bounded number, are aggregated before any shuffle; the pivots are broadcast to their nodes.
+    A signature's pivot is its node with the fewest rare shingles. One shuffle by signature; hot ones, a bounded
+    number, are aggregated before any and their pivots broadcast.
     """
     order = F.struct("rare", F.xxhash64("node").alias("o"), "node")
-    first = F.min(order).over(Window.partitionBy("sig"))
-    cold = each.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "node", "rare").select(first["node"].alias("p"), F.col("node").alias("x"))
-    hot = each.where(F.size("hot") > 0).select(F.explode("hot").alias("sig"), "node", "rare")
-    pivots = hot.groupBy("sig").agg(F.min(order)["node"].alias("p"))
-    hot = hot.join(F.broadcast(pivots), "sig").select("p", F.col("node").alias("x"))
-    return cold.where("p != x").union(hot.where("p != x")).distinct()
+    rows = signed_rows.withColumn("p", F.min(order).over(Window.partitionBy("sig"))["node"])
+    rows = written(rows.where("p != node OR n_shingles IS NOT NULL OR hot IS NOT NULL").drop("sig"), "signatures")
+    hot = rows.where("hot IS NOT NULL").select("hot", "node", "rare")
+    pivots = hot.groupBy("hot").agg(F.min(order)["node"].alias("p"))
+    hot = hot.join(F.broadcast(pivots), "hot")
+    star = rows.where("hot IS NULL").select("p", "node").union(hot.select("p", "node")).where("p != node").toDF("p", "x").distinct()
+    return rows.where("n_shingles IS NOT NULL").select("doc_id", "text_hash", "n_shingles", "node"), written(star, "stars")
 
 
 def members_of(each: DataFrame, star: DataFrame) -> DataFrame:
@@ -403,8 +416,7 @@ def components(docs: DataFrame, percent: int = 80, size: int = 5, log=None) -> D
     common = often(sample, lambda text: shingles(text, words, size), 2, COMMON)
     hot = often(sample, lambda text: signatures(h, percent, common) if len(h := shingles(text, words, size)) > 1 else np.empty(0, U), HOT_LEAST, HOT)
     shared = broadcast((common, hot))
-    each = written(features(docs, percent, size, shared), "shingles")
-    star = written(stars(each), "stars")
+    each, star = starred(signed(docs, percent, size, shared))
     sets = written(sets_of(docs, written(members_of(each, star), "members"), size), "sets")
     members = sets.select(F.explode("ps").alias("star"), "x", "s").select("star.*", "x", "s")
     links = closed(members.where("salts = 0").select("p", "x", "s"), percent)
