@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.rowwise import logit, sigmoid
+from riskframe.functions.rowwise import apply_calibrator, logit, sigmoid
+from riskframe.operators.ordered import quantiles
 
 LOW, HIGH = -30.0, 30.0
 
@@ -28,20 +29,27 @@ def arm_weights(df: DataFrame, y: str, ratio: float) -> DataFrame:
 
 def standardised(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls to the training median, then centred and scaled by training rows (constant columns to 0)."""
-    medians = train.agg(*(F.percentile(c, 0.5).alias(c) for c in columns)).first()
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c] if medians[c] is not None else 0.0)) for c in columns}
+    long = train.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "feature", "x")
+    medians = {r["feature"]: r["value"] for r in quantiles(long, ["feature"], "x", [0.5]).collect()}
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c, 0.0))) for c in columns}
     s = train.agg(*(F.avg(x).alias(f"m_{c}") for c, x in filled.items()), *(F.stddev_pop(x).alias(f"s_{c}") for c, x in filled.items())).first()
     return df.withColumns({c: F.coalesce(F.try_divide(x - (s[f"m_{c}"] or 0.0), F.lit(s[f"s_{c}"] or 0.0)), F.lit(0.0)) for c, x in filled.items()})
 
 
+def distinct_scores(df: DataFrame, y: str, p: str) -> DataFrame:
+    """(_z, _y, _k): log-odds, label and how many rows have both; kept, as each step of a fit reads it again."""
+    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(logit(F.col(p)).alias("_z"), F.col(y).cast("double").alias("_y"))
+    return rows.agg(F.count(F.lit(1)).cast("double").alias("_k")).persist()
+
+
 def fit_shift(df: DataFrame, y: str, p: str, rounds: int = 6, steps: int = 32) -> float | None:
     """b with the least log loss of sigmoid(logit(p) + b): sum(sigmoid - y) rises in b, so each round weighs `steps`
     values in one aggregate and keeps the interval where the sign turns. None without both classes."""
-    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(logit(F.col(p)).alias("_z"), F.col(y).cast("double").alias("_y"))
+    rows = distinct_scores(df, y, p)
     low, high = LOW, HIGH
     for _ in range(rounds):
         points = [low + (high - low) * i / steps for i in range(steps + 1)]
-        sums = rows.agg(F.min("_y").alias("least"), F.max("_y").alias("most"), *(F.sum(sigmoid(F.col("_z") + b) - F.col("_y")).alias(f"s{i}") for i, b in enumerate(points))).first()
+        sums = rows.agg(F.min("_y").alias("least"), F.max("_y").alias("most"), *(F.sum((sigmoid(F.col("_z") + b) - F.col("_y")) * F.col("_k")).alias(f"s{i}") for i, b in enumerate(points))).first()
         if sums["least"] is None or sums["least"] == sums["most"]:
             return None
         at = next((i for i in range(1, steps + 1) if sums[f"s{i}"] >= 0), steps)
@@ -51,12 +59,12 @@ def fit_shift(df: DataFrame, y: str, p: str, rounds: int = 6, steps: int = 32) -
 
 def fit_platt(df: DataFrame, y: str, p: str, rounds: int = 25) -> tuple[float, float] | None:
     """(a, b) of sigmoid(a * logit(p) + b) by Newton steps, five sums each. None without both classes or a spread."""
-    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(logit(F.col(p)).alias("_z"), F.col(y).cast("double").alias("_y"))
+    rows = distinct_scores(df, y, p)
     a, b = 1.0, 0.0
     for _ in range(rounds):
         q = sigmoid(a * F.col("_z") + b)
-        w, e, z = q * (1 - q), q - F.col("_y"), F.col("_z")
-        s = rows.agg(F.min("_y"), F.max("_y"), F.sum(e * z), F.sum(e), F.sum(w * z * z), F.sum(w * z), F.sum(w)).first()
+        w, e, z, k = q * (1 - q), q - F.col("_y"), F.col("_z"), F.col("_k")
+        s = rows.agg(F.min("_y"), F.max("_y"), F.sum(e * z * k), F.sum(e * k), F.sum(w * z * z * k), F.sum(w * z * k), F.sum(w * k)).first()
         if s[0] is None or s[0] == s[1]:
             return None
         g1, g0, h11, h10, h00 = s[2:]
@@ -70,6 +78,19 @@ def fit_platt(df: DataFrame, y: str, p: str, rounds: int = 25) -> tuple[float, f
     return a, b
 
 
+Calibrator = tuple[str, float, float]  # kind, a, b
+IDENTITY: Calibrator = ("identity", 1.0, 0.0)
+
+
+def analytic(odds_factor: float) -> Calibrator:
+    """The calibrator that takes an assumed factor out of the odds: b = -ln(factor)."""
+    return "analytic", 1.0, -math.log(odds_factor)
+
+
+def calibrated(p: Column, found: Calibrator) -> Column:
+    return apply_calibrator(p, *found)
+
+
 def choose(df: DataFrame, y: str, p: str, fold: str) -> DataFrame:
     """Calibrators fitted on all folds but the last, and their log loss on the last: (kind, a, b, log_loss), the best first."""
     last = df.agg(F.max(fold)).first()[0]

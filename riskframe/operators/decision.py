@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.rowwise import per_row_rule
+from riskframe.operators.ordered import bucket_edges, quantile_list, running
 from riskframe.operators.rank_metrics import ranking_metrics, score_curve
 
 
@@ -36,7 +37,7 @@ def evaluate(df: DataFrame, y: str, flag: Column, amount: str, review_cost: floa
 
 def threshold_grid(df: DataFrame, p: str, n: int = 400) -> list[float]:
     """Quantiles, equal steps and one half: a bounded list, sorted."""
-    q = df.agg(F.percentile(p, F.array(*(F.lit(i / (n - 1)) for i in range(n))))).first()[0] or []
+    q = quantile_list(df, p, [i / (n - 1) for i in range(n)])
     return sorted({*q, *(i / (n - 1) for i in range(n)), 0.5})
 
 
@@ -96,6 +97,34 @@ def prevalence_grid(df: DataFrame, y: str, p: str, threshold: float, priors: tup
     return g.select("prior", rate.alias("review_rate"), F.try_divide(F.col("prior") * F.col("tpr"), rate).alias("precision"), (rate * 10_000).alias("alerts_per_10k"))
 
 
+def prevalence_costs(df: DataFrame, y: str, p: str, amount: str, priors: list[float], costs: list[float]) -> DataFrame:
+    """By assumed prevalence and review cost: the cheapest threshold on prior-shifted scores, and what it catches.
+
+    Classes are weighted to the prevalence, rows are not resampled. A review costs the same either way, a missed
+    positive its amount (null: nothing). Of equal costs the higher threshold holds, first of all to review none.
+    """
+    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+    g = rows.groupBy(F.col(p).cast("double").alias("p")).agg(F.sum(y).cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(y) * F.coalesce(F.col(amount), F.lit(0.0))).alias("loss"))
+    c = running(g, [], "p", ["pos", "n", "loss"], bucket_edges(df, p), descending=True)
+    totals = c.agg(F.max("all_pos").alias("all_pos"), F.max("all_n").alias("all_n"), F.max("all_loss").alias("all_loss"))
+    point = ["p", "upto_pos", "upto_n", "upto_loss", "all_pos", "all_n", "all_loss"]
+    nothing = totals.select(F.lit(None).cast("double").alias("p"), *(F.lit(0.0).alias(x) for x in point[1:4]), *point[4:])
+    grid = F.array(*(F.struct(F.lit(float(a)).alias("prevalence"), F.lit(float(b)).alias("review_cost")) for a in priors for b in costs))
+    r = c.select(*point).union(nothing).select("*", F.inline(grid))
+    own = F.col("all_pos") / F.col("all_n")
+    w1, w0 = F.col("prevalence") / own, (1 - F.col("prevalence")) / (1 - own)
+    cost = F.col("review_cost") * (w1 * F.col("upto_pos") + w0 * (F.col("upto_n") - F.col("upto_pos"))) + w1 * (F.col("all_loss") - F.col("upto_loss"))
+    r = r.withColumns({"cost": cost, "_own": own})
+    best = r.groupBy("prevalence", "review_cost").agg(F.min_by(F.struct(*r.columns), F.struct(F.round("cost", 6), -F.coalesce("p", F.lit(float("inf"))))).alias("b")).select("b.*")
+    tpr, fpr = F.try_divide("upto_pos", "all_pos"), F.try_divide(F.col("upto_n") - F.col("upto_pos"), F.col("all_n") - F.col("all_pos"))
+    rate = F.col("prevalence") * F.col("recall") + (1 - F.col("prevalence")) * F.col("fpr")
+    factor = (F.col("prevalence") / (1 - F.col("prevalence"))) / (F.col("_own") / (1 - F.col("_own")))
+    best = best.withColumns({"recall": tpr, "fpr": fpr, "recall_value": F.try_divide("upto_loss", "all_loss")}).withColumn("review_rate", rate)
+    threshold = F.col("p") * factor / (1 - F.col("p") + F.col("p") * factor)
+    precision = F.try_divide(F.col("prevalence") * F.col("recall"), F.col("review_rate"))
+    return best.select("prevalence", "review_cost", threshold.alias("threshold"), "recall", "recall_value", "fpr", "review_rate", precision.alias("precision"), (10_000 * F.col("review_rate")).alias("alerts_per_10k"))
+
+
 def synthesis(df: DataFrame, arm: str, y: str, p: str, amount: str, review_cost: float, thresholds: list[float]) -> DataFrame:
     """By arm: ranking quality, Brier score, and the cheapest threshold of the grid with its cost and savings."""
     quality = ranking_metrics(df, y, p, (arm,)).select(arm, "pr_auc", "roc_auc")

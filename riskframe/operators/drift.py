@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.operators.ordered import bucket_edges, next_value, quantiles, running
+
 EPS = 1e-6
 
 
@@ -16,15 +18,22 @@ def bin_of(x: Column, edges: list[float]) -> Column:
     return F.when(x.isNotNull(), F.size(F.filter(a, lambda e: x >= e)))
 
 
+def frozen(reference: DataFrame) -> DataFrame:
+    """A reference as a local table, which is not computed again where it is used: a row a feature, few numbers each."""
+    return reference.sparkSession.createDataFrame(reference.collect(), reference.schema)
+
+
 def build_reference(df: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
     """(feature, edges, props, missing_share): unique interior quantiles and the shares of their bins."""
-    q = F.array(*(F.lit(i / bins) for i in range(1, bins)))
     long = df.select(*(F.col(c).cast("double").alias(c) for c in features)).unpivot([], features, "feature", "x")
-    edges = long.groupBy("feature").agg(F.array_sort(F.array_distinct(F.percentile("x", q))).alias("edges"), F.avg(F.col("x").isNull().cast("double")).alias("missing_share"))
+    cuts = quantiles(long, ["feature"], "x", [i / bins for i in range(1, bins)])
+    cuts = cuts.groupBy("feature").agg(F.array_sort(F.collect_set("value")).alias("edges"))
+    shares = long.groupBy("feature").agg(F.avg(F.col("x").isNull().cast("double")).alias("missing_share"))
+    edges = frozen(shares.join(cuts, "feature", "left").select("feature", F.coalesce("edges", F.array().cast("array<double>")).alias("edges"), "missing_share"))
     counted = bin_counts(long, edges).where("bin is not null").groupBy("feature", "bin").agg(F.sum("n").alias("n"))
     props = full_bins(edges).join(counted, ["feature", "bin"], "left").withColumn("p", F.coalesce("n", F.lit(0)) / F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("feature")))
     per = props.groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "p"))), lambda s: s["p"]).alias("props"))
-    return edges.join(per, "feature").select("feature", "edges", "props", "missing_share")
+    return frozen(edges.join(per, "feature").select("feature", "edges", "props", "missing_share"))
 
 
 def bin_counts(long: DataFrame, reference: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -61,9 +70,9 @@ def wasserstein(current: DataFrame, reference: DataFrame, columns: list[str]) ->
     """(feature, distance): area between the two distribution functions, over the reference's deviation."""
     long = current.select(F.lit(1).alias("cur"), *columns).union(reference.select(F.lit(0), *columns)).unpivot(["cur"], columns, "feature", "x").where("x is not null")
     g = long.groupBy("feature", "x").agg(F.sum("cur").alias("c"), F.sum(1 - F.col("cur")).alias("r"))
-    w = Window.partitionBy("feature").orderBy("x")
-    all_ = Window.partitionBy("feature")
-    f = F.abs(F.try_divide(F.sum("c").over(w), F.sum("c").over(all_)) - F.try_divide(F.sum("r").over(w), F.sum("r").over(all_)))
-    area = g.withColumns({"_f": f, "_dx": F.lead("x").over(w) - F.col("x")}).groupBy("feature").agg(F.sum(F.col("_f") * F.col("_dx")).alias("_area"))
+    edges = bucket_edges(long, "x")
+    c = next_value(running(g, ["feature"], "x", ["c", "r"], edges), ["feature"], "x", edges)
+    f = F.abs(F.try_divide(F.col("upto_c"), F.col("all_c")) - F.try_divide(F.col("upto_r"), F.col("all_r")))
+    area = c.groupBy("feature").agg(F.sum(f * (F.col("next") - F.col("x"))).alias("_area"))
     std = reference.agg(*(F.stddev_pop(c).alias(c) for c in columns)).unpivot([], columns, "feature", "_std")
     return area.join(std, "feature").select("feature", F.try_divide(F.coalesce("_area", F.lit(0.0)), F.col("_std")).alias("distance"))

@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.operators.ordered import quantiles
+
 
 def split_summary(df: DataFrame, split: str = "split", day: str = "tx_day", y: str = "y") -> DataFrame:
     """Rows, day range, share of all rows, positives and rate of each split."""
@@ -39,9 +41,11 @@ def class_balance(df: DataFrame, y: str) -> DataFrame:
 
 
 def describe_by(df: DataFrame, group: str, x: str) -> DataFrame:
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = df.groupBy(group).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max"))
-    return g.select(group, "n", "mean", "std", "min", *(F.col("q")[i].alias(f"q{p}") for i, p in enumerate((25, 50, 75))), "max")
+    g = df.groupBy(group).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    probs = {25: 0.25, 50: 0.5, 75: 0.75}
+    q = quantiles(df.select(group, F.col(x).alias("x")), [group], "x", list(probs.values())).groupBy(F.col(group).alias("_g"))
+    q = q.agg(*(F.max(F.when(F.col("prob") == v, F.col("value"))).alias(f"q{k}") for k, v in probs.items()))
+    return g.join(q, F.col(group).eqNullSafe(F.col("_g")), "left").select(group, "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def missing_share(df: DataFrame, columns: list[str]) -> DataFrame:

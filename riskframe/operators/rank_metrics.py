@@ -1,31 +1,25 @@
 """Ranking metrics over a score: rows collapse to distinct scores first, ties count together.
 
-Running sums over all scores would put them into one task. Here a score belongs to a bucket by its value; sums
-run within a bucket and over the few bucket totals, so scores are dealt over many tasks.
+Running sums go by buckets of the score (see ordered.py), so that scores are dealt over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+from riskframe.operators.ordered import bucket_edges, quantile_list, running
 
 
 def score_curve(df: DataFrame, y: str, p: str, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """by, p, pos, n, and from the highest score down: tp and seen (this score among them); all_pos and all_neg."""
     w = F.col(weight) if weight else F.lit(1)
     rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
-    g = rows.groupBy(*by, F.col(p).cast("double").alias("p")).agg(F.sum(F.col(y) * w).cast("double").alias("pos"), F.sum(w).cast("double").alias("n"))
-    g = g.withColumn("_b", F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), F.floor(F.col("p") * BUCKETS))).cast("int"))
-    totals = g.groupBy(*by, "_b").agg(F.sum("pos").alias("_pos"), F.sum("n").alias("_n"))
-    above = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    totals = totals.withColumns({"_tp": F.coalesce(F.sum("_pos").over(above), F.lit(0.0)), "_seen": F.coalesce(F.sum("_n").over(above), F.lit(0.0)), "all_pos": F.sum("_pos").over(whole), "T": F.sum("_n").over(whole)})
-    own = Window.partitionBy(*by, "_b").orderBy(F.desc("p"))
-    joined = g.join(totals.drop("_pos", "_n"), [*by, "_b"])
-    tp, seen = F.col("_tp") + F.sum("pos").over(own), F.col("_seen") + F.sum("n").over(own)
-    return joined.select(*by, "p", "pos", "n", tp.alias("tp"), seen.alias("seen"), "all_pos", (F.col("T") - F.col("all_pos")).alias("all_neg"))
+    g = rows.groupBy(*by, F.col(p).cast("double").alias("p"))
+    g = g.agg(F.sum(F.col(y) * w).cast("double").alias("pos"), F.sum(w).cast("double").alias("n"))
+    c = running(g, list(by), "p", ["pos", "n"], bucket_edges(df, p), descending=True)
+    all_neg = F.col("all_n") - F.col("all_pos")
+    return c.select(*by, "p", "pos", "n", F.col("upto_pos").alias("tp"), F.col("upto_n").alias("seen"), "all_pos", all_neg.alias("all_neg"))
 
 
 def ranking_metrics(df: DataFrame, y: str, p: str, by: tuple[str, ...] = (), weight: str | None = None, precision: float = 0.5) -> DataFrame:
@@ -58,8 +52,7 @@ def proper_scores(df: DataFrame, y: str, p: str, by: tuple[str, ...] = ()) -> Da
 
 def quantile_edges(df: DataFrame, x: str, bins: int) -> list[float]:
     """Unique interior quantiles (linear interpolation): a bounded list."""
-    q = df.agg(F.percentile(x, F.array(*(F.lit(i / bins) for i in range(1, bins))))).first()[0]
-    return sorted(set(q or []))
+    return sorted(set(quantile_list(df, x, [i / bins for i in range(1, bins)])))
 
 
 def reliability_curve(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
@@ -75,23 +68,47 @@ def feature_auc(df: DataFrame, columns: list[str], y: str, least: int = 100) ->
     long = df.select(y, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot([y], columns, "feature", "x")
     share = long.groupBy("feature").agg(F.avg(F.col("x").isNotNull().cast("double")).alias("coverage"), F.count("x").alias("_n"), F.min(F.when(F.col("x").isNotNull(), F.col(y))).alias("_lo"), F.max(F.when(F.col("x").isNotNull(), F.col(y))).alias("_hi"))
     g = long.where("x is not null").groupBy("feature", "x").agg(F.sum(y).cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
-    down = Window.partitionBy("feature").orderBy(F.desc("x"))
-    c = g.withColumn("tp", F.sum("pos").over(down))
-    auc = c.groupBy("feature").agg(F.try_divide(F.sum((F.col("n") - F.col("pos")) * (F.col("tp") - F.col("pos") / 2)), F.sum("pos") * (F.sum("n") - F.sum("pos"))).alias("auc"))
+    c = running(g, ["feature"], "x", ["pos"], bucket_edges(long, "x"), descending=True)
+    above = F.sum((F.col("n") - F.col("pos")) * (F.col("upto_pos") - F.col("pos") / 2))
+    auc = c.groupBy("feature").agg(F.try_divide(above, F.sum("pos") * (F.sum("n") - F.sum("pos"))).alias("auc"))
     out = share.where((F.col("_n") >= least) & (F.col("_lo") != F.col("_hi"))).join(auc, "feature")
     return out.select("feature", "auc", F.greatest("auc", 1 - F.col("auc")).alias("separation"), "coverage")
 
 
-def day_bootstrap(df: DataFrame, y: str, p: str, day: str, draws: int, seed: int = 0) -> DataFrame:
-    """(draw, pr_auc): average precision over days resampled with replacement.
+def draw_weights(days: DataFrame, day: str, draws: int, seed: int) -> DataFrame:
+    """(draw, day, weight): as many days as there are, picked with replacement, for each draw.
 
-    Scores collapse to (day, score) before they meet the draws, a small table of (draw, day, multiplicity).
+    The pick is a hash of draw, place and seed, so that it is the same in each run. days: a row a day, few.
     """
-    spark = df.sparkSession
-    per_day = df.groupBy(day, p).agg(F.sum(y).alias("_pos"), F.count(F.lit(1)).alias("_n"))
-    days = [r[0] for r in df.select(day).distinct().orderBy(day).collect()]
-    picks = spark.range(draws * len(days)).select((F.col("id") % draws).cast("int").alias("draw"), F.element_at(F.array(*(F.lit(d) for d in days)), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(len(days))) + 1).cast("int")).alias(day))
-    weight = picks.groupBy("draw", day).agg(F.count(F.lit(1)).alias("_w"))
-    rows = per_day.join(weight, day)
-    long = rows.select("draw", p, F.lit(1).alias("_y"), (F.col("_pos") * F.col("_w")).alias("_k")).union(rows.select("draw", p, F.lit(0), (F.col("_n") - F.col("_pos")) * F.col("_w")))
-    return ranking_metrics(long.where("_k > 0"), "_y", p, ("draw",), "_k").select("draw", "pr_auc")
+    listed = days.agg(F.sort_array(F.collect_set(day)).alias("days"))
+    picks = listed.select("days", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    picks = picks.select("days", "draw", F.explode(F.sequence(F.lit(0), F.size("days") - 1)).alias("place"))
+    pick = F.conv(F.substring(F.md5(F.concat_ws(":", "draw", "place", F.lit(seed)).cast("binary")), 1, 8), 16, 10).cast("long")
+    return picks.groupBy("draw", F.get("days", pick % F.size("days")).alias(day)).agg(F.count(F.lit(1)).alias("weight"))
+
+
+def day_bootstrap(df: DataFrame, y: str, p: str, day: str, threshold: float, draws: int = 2_000, seed: int = 0) -> DataFrame:
+    """(draw, pr_auc, precision, recall) over days resampled with replacement.
+
+    Scores collapse to (day, score) before they meet the draws, a small table of (draw, day, weight).
+    """
+    per_day = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(day, F.col(p).cast("double").alias("_p"))
+    per_day = per_day.agg(F.sum(y).cast("double").alias("_pos"), F.count(F.lit(1)).cast("double").alias("_n"))
+    weights = draw_weights(df.select(day).where(F.col(day).isNotNull()).distinct(), day, draws, seed)
+    scores = per_day.join(weights, day).groupBy("draw", "_p").agg(F.sum(F.col("_pos") * F.col("weight")).alias("pos"), F.sum(F.col("_n") * F.col("weight")).alias("n"))
+    c = running(scores, ["draw"], "_p", ["pos", "n"], bucket_edges(df, p), descending=True)
+    above = F.col("_p") >= threshold
+    tp = F.sum(F.when(above, F.col("pos")))
+    out = c.groupBy("draw").agg(
+        F.try_divide(F.sum(F.col("pos") * F.col("upto_pos") / F.col("upto_n")), F.max("all_pos")).alias("pr_auc"),
+        F.try_divide(tp, F.sum(F.when(above, F.col("n")))).alias("precision"),
+        F.try_divide(tp, F.max("all_pos")).alias("recall"),
+    )
+    return out
+
+
+def bootstrap_interval(draws: DataFrame, metrics: list[str], level: float = 0.95) -> DataFrame:
+    """(metric, low, median, high): percentiles over the draws, which are few."""
+    long = draws.unpivot(["draw"], metrics, "metric", "v")
+    q = F.percentile("v", F.array(*(F.lit(x) for x in ((1 - level) / 2, 0.5, (1 + level) / 2))))
+    return long.groupBy("metric").agg(q.alias("q")).select("metric", *(F.col("q")[i].alias(n) for i, n in enumerate(("low", "median", "high"))))

@@ -104,6 +104,16 @@ def a32_prevalence_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d).withColumn("alerts_per_10k", F.round("alerts_per_10k", 4))
 
 
-@query()
+BOOT = TX + """, days AS (SELECT list(tx_day ORDER BY tx_day) AS d FROM (SELECT DISTINCT tx_day FROM tx WHERE tx_day IS NOT NULL)),
+w AS (SELECT draw, d[1 + CAST('0x' || substr(md5(draw || ':' || place || ':0'), 1, 8) AS BIGINT) % len(d)] AS tx_day, count(*) AS w FROM days, range(2000) a(draw), (SELECT unnest(range(0, len(d))) AS place FROM days) GROUP BY ALL),
+s AS (SELECT tx_day, p, CAST(sum(y) AS DOUBLE) AS pos, CAST(count(*) AS DOUBLE) AS n FROM tx GROUP BY ALL),
+g AS (SELECT draw, p, sum(pos * w) AS pos, sum(n * w) AS n FROM s JOIN w USING (tx_day) GROUP BY ALL),
+c AS (SELECT *, sum(pos) OVER o AS tp, sum(n) OVER o AS seen FROM g WINDOW o AS (PARTITION BY draw ORDER BY p DESC)),
+m AS (SELECT draw, sum(pos * tp / seen) / sum(pos) AS pr_auc, sum(pos) FILTER (WHERE p >= 0.7) / sum(n) FILTER (WHERE p >= 0.7) AS precision, sum(pos) FILTER (WHERE p >= 0.7) / sum(pos) AS recall FROM c GROUP BY draw)
+"""
+
+
+@query(BOOT + " UNION ALL ".join(f"SELECT '{m}' AS metric, round(quantile_cont({m}, 0.025), 6) AS low, round(median({m}), 6) AS median, round(quantile_cont({m}, 0.975), 6) AS high FROM m" for m in ("pr_auc", "precision", "recall")))
 def a59_day_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.day_bootstrap(tx(spark, sf_dir), "y", "p", "tx_day", 200)
+    draws = M.day_bootstrap(tx(spark, sf_dir), "y", "p", "tx_day", 0.7)
+    return rounded(M.bootstrap_interval(draws, ["pr_auc", "precision", "recall"]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskframe.operators import profile as P
 from riskframe.operators import windows as W
+from riskframe.operators.ordered import quantiles
 from riskframe.plans.registry import query, rounded
 from riskframe.plans.views import TX, table, tx
 
@@ -88,4 +89,5 @@ def a63_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(TX + "SELECT round(median(amount), 6) AS p50, round(quantile_cont(amount, 0.95), 6) AS p95, round(quantile_cont(amount, 0.99), 6) AS p99 FROM tx")
 def a62_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tx(spark, sf_dir).agg(*(F.percentile("amount", q / 100).alias(f"p{q}") for q in (50, 95, 99))))
+    q = quantiles(tx(spark, sf_dir), [], "amount", [0.5, 0.95, 0.99])
+    return rounded(q.agg(*(F.max(F.when(F.col("prob") == p / 100, F.col("value"))).alias(f"p{p}") for p in (50, 95, 99))))
