@@ -138,5 +138,28 @@ def block_of(feature: Column) -> Column:
     return F.when(feature.startswith("V-group"), "anonymised").otherwise("named")
 
 
+def stateless(df: DataFrame, t: str, counters: list[str], amount: str, domains: tuple[str, str] | None = None, flags: tuple[str, ...] = ()) -> DataFrame:
+    """The row-wise features in the order that they depend on one another: time, anchors, amount, domains, flags."""
+    df = amount_features(anchors(time_parts(df, t), counters), amount)
+    if domains:
+        a, b = domains
+        df = df.withColumns({f"{c}_{n}": f(F.col(c)) for c in domains for n, f in (("provider", domain_provider), ("suffix", domain_suffix))})
+        df = df.withColumn("domain_match", match_flag(F.lower(a), F.lower(b)))
+    return df.withColumns({c: map_flag(F.col(c)) for c in flags})
+
+
+def render_feature(feature: Column, groups: dict[str, str]) -> Column:
+    """The group of an anonymous feature ("V-group 3" for group g3) in place of its name; other names as they are."""
+    if not groups:
+        return feature
+    named = F.create_map(*(F.lit(x) for pair in groups.items() for x in pair))
+    return F.coalesce(F.concat(F.lit("V-group "), F.substr(named[feature], F.lit(2))), feature)
+
+
+def explode_reasons(df: DataFrame, id: str, reasons: str) -> DataFrame:
+    """(id, rank, feature, contribution) of an array of reason structs; rows without reasons have none."""
+    return df.select(id, F.posexplode(reasons).alias("_at", "_r")).select(id, (F.col("_at") + 1).alias("rank"), "_r.feature", "_r.contribution")
+
+
 def perturb(df: DataFrame, column: str, factor: float) -> DataFrame:
     return df.withColumn(column, F.col(column) * factor)

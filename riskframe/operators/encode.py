@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,6 +57,20 @@ class FeatureEncoder:
         self.names = [c for c in self.numeric if c not in constant] + [f"{c}_freq" for c in self.frequency] + [f"{c}_code" for c in self.ordinal]
         return self
 
+    def save(self, path: str) -> None:
+        """The maps as Parquet, and the column lists and feature names as a line of JSON, under path."""
+        self.freq_map.write.mode("overwrite").parquet(f"{path}/frequency")
+        self.ord_map.write.mode("overwrite").parquet(f"{path}/ordinal")
+        lists = json.dumps({"frequency": self.frequency, "ordinal": self.ordinal, "numeric": self.numeric, "names": self.names})
+        self.freq_map.sparkSession.createDataFrame([(lists,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/lists")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FeatureEncoder:
+        lists = json.loads(spark.read.text(f"{path}/lists").first()[0])
+        out = cls(lists["frequency"], lists["ordinal"], lists["numeric"])
+        out.names, out.freq_map, out.ord_map = lists["names"], spark.read.parquet(f"{path}/frequency"), spark.read.parquet(f"{path}/ordinal")
+        return out
+
     def transform(self, df: DataFrame, keep: list[str]) -> DataFrame:
         df = encode(df, self.freq_map, self.frequency, "n", "_freq", 0)
         return encode(df, self.ord_map, self.ordinal, "code", "_code", -1).select(*keep, *self.names)

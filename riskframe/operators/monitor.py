@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.operators.drift import drift_summary
 from riskframe.operators.rank_metrics import ranking_metrics
 from riskframe.operators.windows import persistent
 
@@ -35,20 +36,39 @@ def emergent(psi: DataFrame, baseline, day: str) -> DataFrame:
     return x.groupBy(day).agg(F.max("excess").alias("excess"), F.min_by("feature", F.struct(-F.col("excess"), F.col("feature"))).alias("feature"))
 
 
-def verdict(days: DataFrame, day: str, limits: dict[str, float], persist: int = 2) -> DataFrame:
-    """days: (day, excess, review_deviation, score_psi, rolling_recall). Retrain on lost performance, or on feature drift with a
-    moved review rate that persists; investigate on any signal; else none. With the reasons."""
-    c = {
-        "feature": F.coalesce(F.col("excess") >= limits["feature"], F.lit(False)),
-        "review": F.coalesce(F.abs("review_deviation") >= limits["review"], F.lit(False)),
-        "score": F.coalesce(F.col("score_psi") >= limits["score"], F.lit(False)),
-        "performance": F.coalesce(F.col("rolling_recall") < limits["recall"], F.lit(False)),
-    }
-    d = days.withColumns({f"_{k}": x for k, x in c.items()})
+def daily_table(scored: DataFrame, psi: DataFrame, score_psi: DataFrame, day: str, p: str, point: dict[str, float], threshold: float) -> DataFrame:
+    """By day: n, review_rate and its deviation relative to the operating point, score_psi, and the drift summary of psi."""
+    rate = F.avg((F.col(p) >= threshold).cast("double"))
+    base = scored.groupBy(day).agg(F.count(F.lit(1)).alias("n"), rate.alias("review_rate"))
+    base = base.withColumn("review_deviation", F.col("review_rate") / point["review_rate"] - 1)
+    return base.join(score_psi.select(day, F.col("psi").alias("score_psi")), day, "left").join(drift_summary(psi, day), day, "left")
+
+
+def merged_days(drift: DataFrame, *others: DataFrame, day: str) -> DataFrame:
+    """The daily drift table with further daily tables joined to it; its days alone count, what is missing is null."""
+    for other in others:
+        drift = drift.join(other, day, "left")
+    return drift
+
+
+SIGNALS = ("feature", "score", "review", "attribution", "performance")
+
+
+def verdict(days: DataFrame, day: str, limits: dict[str, float], recall: float, persist: int = 2) -> DataFrame:
+    """By day: decision, reason, n_signals and how far the pooled recall fell below that of the operating point.
+
+    days: (day, excess, score_psi, review_deviation, named_shift, rolling_recall); limits: one for each of SIGNALS,
+    passed only from above. Retrain on lost performance, or on feature drift with a moved review rate that persists;
+    investigate on any signal; else no_action. What is null says nothing.
+    """
+    drop = (recall - F.col("rolling_recall")) / recall
+    seen = {"feature": F.col("excess"), "score": F.col("score_psi"), "review": F.abs("review_deviation"), "attribution": F.abs("named_shift"), "performance": drop}
+    d = days.withColumns({f"_{k}": F.coalesce(seen[k] > limits[k], F.lit(False)) for k in SIGNALS})
     d = d.withColumn("_held", persistent(F.col("_feature") & F.col("_review"), day, persist))
-    reasons = F.concat_ws(",", *(F.when(F.col(f"_{k}"), F.lit(k)) for k in c))
-    any_ = F.col("_feature") | F.col("_review") | F.col("_score") | F.col("_performance")
-    return d.select(day, F.when(F.col("_performance") | F.col("_held"), "retrain").when(any_, "investigate").otherwise("none").alias("decision"), reasons.alias("reason"))
+    reasons = F.concat_ws(", ", *(F.when(F.col(f"_{k}"), F.lit(k)) for k in SIGNALS))
+    n = sum((F.col(f"_{k}").cast("int") for k in SIGNALS), F.lit(0))
+    decision = F.when(F.col("_performance") | F.col("_held"), "retrain").when(n > 0, "investigate").otherwise("no_action")
+    return d.select(day, decision.alias("decision"), F.coalesce(F.nullif(reasons, F.lit("")), F.lit("-")).alias("reason"), n.alias("n_signals"), drop.alias("recall_drop"))
 
 
 def reason_codes(contributions: DataFrame, id: str, k: int = 3) -> DataFrame:

@@ -6,25 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions.rowwise import feature_family
+from riskframe.operators import attribution as AT
 from riskframe.operators import drift as D
 from riskframe.operators import monitor as M
 from riskframe.plans.registry import query, rounded
 from riskframe.plans.views import TX, tx
+from riskframe.sources import io
 
 FEATURES = ["amount", "k"]
-REF = TX + """, long AS (SELECT tx_day, split, 'amount' AS feature, CASE WHEN k % 9 = 0 THEN NULL ELSE amount END AS x FROM tx UNION ALL SELECT tx_day, split, 'k', CAST(k AS DOUBLE) FROM tx),
+REF = TX + """, long AS (SELECT tx_day, split, 'amount' AS feature, CASE WHEN k % 9 = 0 THEN NULL ELSE amount END AS x FROM tx UNION ALL SELECT tx_day, split, 'k', CAST(k AS DOUBLE) FROM tx{more}),
 ref AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]))) AS edges, avg(CAST(x IS NULL AS INTEGER)) AS missing_share FROM long WHERE split = 'train' GROUP BY feature),
 binned AS (SELECT l.tx_day, l.split, l.feature, CASE WHEN x IS NOT NULL THEN len(list_filter(edges, lambda e: x >= e)) END AS bin FROM long l JOIN ref USING (feature)),
 bins AS (SELECT feature, unnest(range(0, len(edges) + 1)) AS bin, missing_share FROM ref),
 props AS (SELECT b.feature, b.bin, any_value(b.missing_share) AS missing_share, count(x.feature) / sum(count(x.feature)) OVER (PARTITION BY b.feature) AS p FROM bins b LEFT JOIN (SELECT * FROM binned WHERE split = 'train') x ON x.feature = b.feature AND x.bin = b.bin GROUP BY b.feature, b.bin)
 """
-PSI = REF + """, r AS (SELECT feature, bin, p * (1 - missing_share) AS r FROM props UNION ALL SELECT feature, -1, missing_share FROM ref),
+PSI = """, r AS (SELECT feature, bin, p * (1 - missing_share) AS r FROM props UNION ALL SELECT feature, -1, missing_share FROM ref),
 n AS (SELECT tx_day, feature, coalesce(bin, -1) AS bin, count(*) AS n FROM binned GROUP BY ALL),
 g AS (SELECT d.tx_day, r.feature, r.bin, greatest(r.r, 1e-6) AS r, greatest(coalesce(n.n, 0) / sum(coalesce(n.n, 0)) OVER (PARTITION BY d.tx_day, r.feature), 1e-6) AS c
   FROM (SELECT DISTINCT tx_day FROM tx) d CROSS JOIN r LEFT JOIN n ON n.tx_day = d.tx_day AND n.feature = r.feature AND n.bin = r.bin),
 h AS (SELECT tx_day, feature, c / sum(c) OVER (PARTITION BY tx_day, feature) AS c, r / sum(r) OVER (PARTITION BY tx_day, feature) AS r FROM g),
-psi AS (SELECT tx_day, feature, sum((c - r) * ln(c / r)) AS psi FROM h GROUP BY ALL)
+all_psi AS (SELECT tx_day, feature, sum((c - r) * ln(c / r)) AS psi FROM h GROUP BY ALL),
+psi AS (SELECT * FROM all_psi WHERE feature <> 'p')
 """
+SCORED = REF.replace("{more}", " UNION ALL SELECT tx_day, split, 'p', p FROM tx") + PSI
+REF = REF.replace("{more}", "")
+PSI = REF + PSI
 
 
 def data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +54,23 @@ def a45_daily_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(psi_of(spark, sf_dir))
 
 
-@query(PSI + "SELECT tx_day, round(max(psi), 6) AS max_psi, arg_max(feature, psi) AS top_feature, count(*) FILTER (WHERE psi >= 0.1) AS n_warn, count(*) FILTER (WHERE psi >= 0.25) AS n_alert FROM psi GROUP BY tx_day")
+POINT = {"review_rate": 0.3, "recall": 0.31}
+DRIFT = """, base AS (SELECT tx_day, count(*) AS n, avg(CAST(p >= 0.7 AS INTEGER)) AS review_rate FROM tx GROUP BY tx_day),
+drift AS (SELECT b.tx_day, any_value(n) AS n, any_value(review_rate) AS review_rate, any_value(review_rate) / 0.3 - 1 AS review_deviation, max(psi) FILTER (WHERE feature = 'p') AS score_psi, max(psi) FILTER (WHERE feature <> 'p') AS max_psi,
+  arg_max(feature, psi) FILTER (WHERE feature <> 'p') AS top_feature, count(*) FILTER (WHERE feature <> 'p' AND psi >= 0.1) AS n_warn, count(*) FILTER (WHERE feature <> 'p' AND psi >= 0.25) AS n_alert FROM base b JOIN all_psi USING (tx_day) GROUP BY b.tx_day)
+"""
+
+
+def drift_table(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The daily drift table of data(), and the PSI of its features."""
+    psi = D.daily_psi(d, D.build_reference(d.where("split = 'train'"), [*FEATURES, "p"]), [*FEATURES, "p"], "tx_day")
+    features = psi.where("feature <> 'p'")
+    return M.daily_table(d, features, psi.where("feature = 'p'"), "tx_day", "p", POINT, 0.7), features
+
+
+@query(SCORED + DRIFT + "SELECT tx_day, n, round(review_rate, 6) AS review_rate, round(review_deviation, 6) AS review_deviation, round(score_psi, 6) AS score_psi, round(max_psi, 6) AS max_psi, top_feature, n_warn, n_alert FROM drift")
 def a46_drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.drift_summary(psi_of(spark, sf_dir), "tx_day"))
+    return rounded(drift_table(data(spark, sf_dir))[0])
 
 
 @query(PSI + ", b AS (SELECT feature, median(psi) AS level FROM psi WHERE tx_day < 14 GROUP BY feature) SELECT tx_day, round(max(psi - level), 6) AS excess, arg_max(feature, psi - level) AS feature FROM psi JOIN b USING (feature) GROUP BY tx_day")
@@ -72,34 +92,69 @@ def a50_matured_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.daily_performance(M.attach_labels(log, labels, "id"), "tx_day", "y", "p", "flag"))
 
 
-DAYS = PSI + ", d AS (SELECT tx_day, max(psi) AS excess, avg(CAST(p >= 0.7 AS INTEGER)) - 0.3 AS dev, max(psi) / 2 AS score_psi, 1 - tx_day / 40.0 AS rr FROM psi JOIN tx USING (tx_day) GROUP BY tx_day), f AS (SELECT tx_day, excess >= 0.03 AS a, abs(dev) >= 0.02 AS b, score_psi >= 0.05 AS c, rr < 0.4 AS e FROM d), held AS (SELECT *, row_number() OVER (ORDER BY tx_day) >= 2 AND min(a AND b) OVER (ORDER BY tx_day ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS held FROM f) "
+PERFORMANCE = """, known AS (SELECT *, CAST(p >= 0.7 AS INTEGER) AS f FROM tx WHERE k % 3 <> 0),
+perf AS (SELECT tx_day, sum(f * y) / nullif(sum(y), 0) AS recall, sum(y) AS positives FROM known GROUP BY tx_day),
+rolled AS (SELECT tx_day, CASE WHEN count(recall) OVER w >= 3 THEN sum(recall * positives) OVER w / sum(CASE WHEN recall IS NOT NULL THEN positives END) OVER w END AS rolling_recall FROM perf WINDOW w AS (ORDER BY tx_day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
+"""
 
 
-@query(DAYS + "SELECT tx_day, CASE WHEN e OR held THEN 'retrain' WHEN a OR b OR c OR e THEN 'investigate' ELSE 'none' END AS decision, concat_ws(',', CASE WHEN a THEN 'feature' END, CASE WHEN b THEN 'review' END, CASE WHEN c THEN 'score' END, CASE WHEN e THEN 'performance' END) AS reason FROM held")
-def c1_retrain_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    psi = psi_of(spark, sf_dir).groupBy("tx_day").agg(F.max("psi").alias("excess"))
-    rate = tx(spark, sf_dir).groupBy("tx_day").agg((F.avg((F.col("p") >= 0.7).cast("double")) - 0.3).alias("review_deviation"))
-    days = psi.join(rate, "tx_day").withColumns({"score_psi": F.col("excess") / 2, "rolling_recall": 1 - F.col("tx_day") / F.lit(40.0)})
-    return M.verdict(days, "tx_day", {"feature": 0.03, "review": 0.02, "score": 0.05, "recall": 0.4})
+def performance(d: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Daily performance and pooled recall over the rows whose labels have come in: by default those of a third have not."""
+    log = d.select("id", "tx_day", "p", (F.col("p") >= 0.7).cast("int").alias("flag"))
+    labels = io.labels(d.where("k % 3 <> 0"), "id", "y") if labels is None else labels
+    return M.rolling_recall(M.daily_performance(M.attach_labels(log, labels, "id"), "tx_day", "y", "p", "flag"), "tx_day")
+
+
+@query(TX + PERFORMANCE + "SELECT tx_day, round(rolling_recall, 6) AS rolling_recall FROM rolled")
+def w9_rolling_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(performance(tx(spark, sf_dir)).select("tx_day", "rolling_recall"))
+
+
+SHARES = """, mass AS (SELECT tx_day, sum(abs(k - 50) + abs(k % 7 - 3)) / sum(abs(k - 50) + abs(k % 7 - 3) + abs(raw - 50)) AS share FROM (SELECT *, amount AS raw FROM tx) WHERE p >= 0.7 GROUP BY tx_day),
+shares AS (SELECT tx_day, 100 * (share - (SELECT sum(abs(k - 50) + abs(k % 7 - 3)) / sum(abs(k - 50) + abs(k % 7 - 3) + abs(amount - 50)) FROM tx WHERE p >= 0.7 AND tx_day < 14)) AS named_shift FROM mass)
+"""
+
 
+def named_shift(d: DataFrame) -> DataFrame:
+    """By day: percentage points by which the named share of flagged rows' contributions left its level before day 14."""
+    parts = [(F.lit("V-group 1"), F.col("raw") - 50), (F.lit("amt_log"), (F.col("k") - 50).cast("double")), (F.lit("card_freq"), (F.col("k") % 7 - 3).cast("double"))]
+    c = d.where("p >= 0.7").select("id", "tx_day", F.inline(F.array(*(F.struct(f.alias("feature"), x.alias("contribution")) for f, x in parts))))
+    daily = AT.attribution_share(c, "tx_day", "id").select("tx_day", "named_share")
+    level = AT.attribution_share(c.where("tx_day < 14").withColumn("tx_day", F.lit(0)), "tx_day", "id").select(F.col("named_share").alias("level"))
+    return daily.join(F.broadcast(level)).select("tx_day", (100 * (F.col("named_share") - F.col("level"))).alias("named_shift"))  # one level
 
-def measured_days(d: DataFrame, labels: DataFrame) -> DataFrame:
-    """d as of data(), labels (id, y): by day the signals that verdict() reads, measured from scores and labels."""
-    train = d.where("split = 'train'")
-    psi = D.daily_psi(d, D.build_reference(train, FEATURES), FEATURES, "tx_day")
+
+LIMITS = {"feature": 0.03, "score": 0.05, "review": 0.1, "attribution": 4.0, "performance": 0.1}
+LEVELS = ", lev AS (SELECT feature, median(psi) AS level FROM psi WHERE tx_day < 14 GROUP BY feature), em AS (SELECT tx_day, max(psi - level) AS excess FROM psi JOIN lev USING (feature) GROUP BY tx_day)"
+JOINED = SCORED + DRIFT + PERFORMANCE + SHARES + LEVELS + ", d AS (SELECT drift.*, excess, named_shift, rolling_recall FROM drift LEFT JOIN em USING (tx_day) LEFT JOIN shares USING (tx_day) LEFT JOIN rolled USING (tx_day))"
+
+
+def signals(d: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """The daily drift table with the emergent excess, the attribution shift and the pooled recall."""
+    drift, psi = drift_table(d)
     excess = M.emergent(psi, F.col("tx_day") < 14, "tx_day").select("tx_day", "excess")
-    score = D.daily_psi(d, D.build_reference(train, ["p"]), ["p"], "tx_day").select("tx_day", F.col("psi").alias("score_psi"))
-    rate = d.groupBy("tx_day").agg((F.avg((F.col("p") >= 0.7).cast("double")) - 0.3).alias("review_deviation"))
-    log = d.select("id", "tx_day", "p", (F.col("p") >= 0.7).cast("int").alias("flag"))
-    recall = M.rolling_recall(M.daily_performance(M.attach_labels(log, labels, "id"), "tx_day", "y", "p", "flag"), "tx_day").select("tx_day", "rolling_recall")
-    return excess.join(score, "tx_day").join(rate, "tx_day").join(recall, "tx_day", "left")
+    return M.merged_days(drift, excess, named_shift(d), performance(d, labels).select("tx_day", "rolling_recall"), day="tx_day")
+
+
+@query(JOINED + "SELECT tx_day, n, round(score_psi, 6) AS score_psi, round(excess, 6) AS excess, round(named_shift, 6) AS named_shift, round(rolling_recall, 6) AS rolling_recall FROM d")
+def j14_daily_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(signals(data(spark, sf_dir)).select("tx_day", "n", "score_psi", "excess", "named_shift", "rolling_recall"))
+
 
+VERDICT = """, seen AS (SELECT tx_day, coalesce(excess > 0.03, false) AS a, coalesce(score_psi > 0.05, false) AS b, coalesce(abs(review_deviation) > 0.1, false) AS c, coalesce(abs(named_shift) > 4, false) AS e, (0.31 - rolling_recall) / 0.31 AS fall FROM d),
+sig AS (SELECT *, coalesce(fall > 0.1, false) AS h FROM seen), held AS (SELECT *, row_number() OVER (ORDER BY tx_day) >= 2 AND min(a AND c) OVER (ORDER BY tx_day ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS held, CAST(a AS INTEGER) + CAST(b AS INTEGER) + CAST(c AS INTEGER) + CAST(e AS INTEGER) + CAST(h AS INTEGER) AS n_signals FROM sig)
+SELECT tx_day, CASE WHEN h OR held THEN 'retrain' WHEN n_signals > 0 THEN 'investigate' ELSE 'no_action' END AS decision,
+coalesce(nullif(concat_ws(', ', CASE WHEN a THEN 'feature' END, CASE WHEN b THEN 'score' END, CASE WHEN c THEN 'review' END, CASE WHEN e THEN 'attribution' END, CASE WHEN h THEN 'performance' END), ''), '-') AS reason, n_signals, round(fall, 6) AS recall_drop FROM held"""
 
-@query()
+
+@query(JOINED + VERDICT)
+def c1_retrain_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(M.verdict(signals(data(spark, sf_dir)), "tx_day", LIMITS, POINT["recall"]))
+
+
+@query(JOINED + VERDICT.replace(", n_signals, round(fall, 6) AS recall_drop", ""))
 def c1_measured_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = data(spark, sf_dir)
-    labels = d.where("k % 3 <> 0").select("id", "y")  # those of a third have not come in
-    return M.verdict(measured_days(d, labels), "tx_day", {"feature": 0.03, "review": 0.02, "score": 0.05, "recall": 0.4})
+    return M.verdict(signals(data(spark, sf_dir)), "tx_day", LIMITS, POINT["recall"]).select("tx_day", "decision", "reason")
 
 
 CONTRIB = TX + ", c AS (SELECT id, 'v' || (k % 4) AS feature, amount - 50 AS contribution FROM tx UNION ALL SELECT id, 'amt_log', CAST(k - 50 AS DOUBLE) FROM tx UNION ALL SELECT id, 'card_freq', CAST(k % 7 - 3 AS DOUBLE) FROM tx) "

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 # The type of a raw column, by its name alone; the first rule that matches holds.
 TYPE_RULES = ((r"(transactionid|transactiondt)$", "bigint"), (r"isfraud$", "smallint"), (r"(c|d|v)\d+$|(card[1235]|addr[12]|dist[12]|transactionamt)$|id_(0\d|1[01])$", "double"))
@@ -55,6 +57,63 @@ def append_once(batch: DataFrame, store: str, key: str) -> None:
     new.write.mode("append").parquet(store)
 
 
+def labels(df: DataFrame, key: str, y: str) -> DataFrame:
+    """The label lookup: a row for each key that has a label."""
+    return df.where(F.col(key).isNotNull() & F.col(y).isNotNull()).select(key, y).dropDuplicates([key])
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str, tasks: int, columns: list[str] | None = None, **options: str) -> DataFrame:
+    """A table of a database in `tasks` key ranges between the smallest and the largest key, one query each.
+
+    The bounds are asked for first; rows with a null key are in the first range. Column pruning and filters reach
+    the database.
+    """
+    read = spark.read.format("jdbc").option("url", url).options(**options)
+    low, high = read.option("query", f"SELECT min({key}) AS a, max({key}) AS b FROM {table}").load().first()
+    source = read.option("dbtable", table).option("fetchsize", "100000")
+    if low is not None and tasks > 1:
+        source = source.options(partitionColumn=key, lowerBound=str(low), upperBound=str(high + 1), numPartitions=str(tasks))
+    df = source.load()
+    return df.select(*columns) if columns else df
+
+
+@dataclass(frozen=True)
+class Partition:
+    """A split with its roles: label, day, amount and key columns, and the ordered features."""
+
+    df: DataFrame
+    y: str
+    day: str
+    amount: str
+    key: str
+    features: list[str]
+
+
+DAY_NAMES = ("tx_day", "day", "transactiondt")  # the first that a table has
+
+
+def load_partition(df: DataFrame, y: str, amount: str, key: str, drop: tuple[str, ...] = ()) -> Partition:
+    """Resolves the day column and the features (as float) of a split. Fails, while it runs, on amounts that are
+    missing, negative or not finite, as costs could not be told."""
+    day = next((c for c in DAY_NAMES if c in df.columns), None)
+    if day is None or (gone := [c for c in (y, amount, key) if c not in df.columns]):
+        raise ValueError(f"no day column among {DAY_NAMES}" if day is None else f"missing columns: {gone}")
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType | BooleanType)}
+    features = [c for c in df.columns if c in numeric and c not in {y, day, key, *DAY_NAMES, *drop}]
+    a = F.col(amount).cast("double")
+    fine = a.isNotNull() & (a >= 0) & (a < float("inf"))
+    checked = F.when(fine, a).otherwise(F.raise_error(F.concat(F.lit("bad amount of "), F.col(key).cast("string"))).cast("double"))
+    days = F.col(day).cast("int") if day != "transactiondt" else F.floor(F.col(day) / 86_400).cast("int")
+    roles = [F.col(key), F.col(y), days.alias("day"), checked.alias("amount_role")]
+    return Partition(df.select(*roles, *(F.col(c).cast("float").alias(c) for c in features)), y, "day", "amount_role", key, features)
+
+
+def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """A report table as CSV with a header or as JSON lines, in the place of an older one."""
+    writer = df.write.mode("overwrite")
+    writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
+
+
 def with_sentinel(c: Column, sentinel: str = "__NULL__") -> Column:
     return F.coalesce(c.cast("string"), F.lit(sentinel))
 
