@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -69,7 +70,12 @@ def look_alike(char: str) -> str | None:
 #: Where characters with a plain form stand in Unicode: scripts with digits of their own, forms, styled letters, enclosed ones.
 BLOCKS = ((0x80, 0x2E80), (0xFE00, 0x10000), (0x104A0, 0x104AA), (0x1D400, 0x1D800), (0x1F100, 0x1F200))
 PLAIN = {c: p for a, b in BLOCKS for c in map(chr, range(a, b)) if (p := look_alike(c)) is not None}
-ODD_CHAR = re.compile(f"[{''.join(PLAIN)}]")
+
+
+@lru_cache(10_000)
+def any_of(chars: str) -> re.Pattern:
+    """Finds characters of a text's own: a class of all in PLAIN is slow to search for."""
+    return re.compile(f"[{chars}]")
 
 
 def spelled_patterns(words: str) -> tuple[list[str], re.Pattern, re.Pattern]:
@@ -143,15 +149,15 @@ def spelled(run: str) -> str:
 def rewrites(text: str) -> list[tuple[int, int, str]]:
     """What the transducers change: (start, end, replacement), apart from one another, by start."""
     found: list[tuple[int, int, str]] = []
-    if not text.isascii():
-        found = [(m.start(), m.end(), PLAIN[m[0]]) for m in ODD_CHAR.finditer(text)]
+    if not text.isascii() and (odd := PLAIN.keys() & set(text)):
+        found = [(m.start(), m.end(), PLAIN[m[0]]) for m in any_of("".join(sorted(odd))).finditer(text)]
     if found:  # words may be spelled with look-alikes: the rest works on text of the same length
         chars = list(text)
         for start, _, plain in found:
             if len(plain) == 1:
                 chars[start] = plain
         text = "".join(chars)
-    low = text.lower() if text.isascii() else text.translate(ASCII_LOWER)
+    low = text.lower()
     more: list[tuple[int, int, str]] = []
     for words, hint, run in SPELLED:
         if any(w in low for w in words) and hint.search(text):
@@ -183,9 +189,6 @@ def rewrites(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 def disguised_spans(text: str) -> list[Span]:
     """The identifiers that show only in the rewritten text, as spans of the source."""
     pieces = rewrites(text)
