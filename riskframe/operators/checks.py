@@ -14,7 +14,7 @@ from riskframe.functions.rowwise import apply_calibrator, prior_correction
 from riskframe.operators import audit
 from riskframe.operators import validate as V
 from riskframe.operators.split import Fold
-from riskframe.sources.io import compare_frames, digest
+from riskframe.sources.io import compare_frames, digest, exists
 
 Check = tuple[str, DataFrame]  # a name, and one row with a count of what breaks it
 
@@ -197,8 +197,7 @@ class Ledger:
         self.spark, self.path = spark, path
 
     def entries(self) -> list[dict]:
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(self.path)):
+        if not exists(self.spark, self.path):
             return []
         lines = self.spark.read.text(self.path).collect()  # one an opening: few
         return sorted((json.loads(r[0]) for r in lines), key=lambda e: (e["opened"], e["name"]))

@@ -36,7 +36,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load() -> None:
-    from riskframe.plans import audits, decisions, features, learning, monitoring, profiles, validation  # noqa: F401
+    from riskframe.plans import audits, decisions, features, learning, monitoring, profiles, reports, streams, validation  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -43,18 +43,26 @@ def publish_features(df: DataFrame, path: str, partition: str = "partition") ->
     df.write.mode("overwrite").partitionBy(partition).parquet(path)
 
 
-def append_once(batch: DataFrame, store: str, key: str) -> None:
-    """Appends the rows whose key the store does not have; one of repeated keys. Safe to run again."""
+def exists(spark: SparkSession, path: str) -> bool:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
+
+
+def append_once(batch: DataFrame, store: str, key: str, by: str | None = None) -> None:
+    """Appends the rows whose key the store does not have; one of repeated keys. Safe to run again.
+
+    by: a column that partitions the store and that a key always has the same value of, such as its event day: then
+    only the partitions that the batch touches are read.
+    """
     spark = batch.sparkSession
     new = batch.dropDuplicates([key])
-    try:
-        known = spark.read.parquet(store).select(key)
-    except Exception as e:  # the first batch finds no store
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    else:
-        new = new.join(known, key, "left_anti")
-    new.write.mode("append").parquet(store)
+    if exists(spark, store):
+        known = spark.read.schema(batch.schema).parquet(store)
+        if by:
+            known = known.join(batch.select(by).distinct(), by, "left_semi")
+        new = new.join(known.select(key), key, "left_anti")
+    writer = new.write.mode("append")
+    (writer.partitionBy(by) if by else writer).parquet(store)
 
 
 def labels(df: DataFrame, key: str, y: str) -> DataFrame:

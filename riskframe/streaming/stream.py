@@ -2,46 +2,115 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from riskframe.sources.io import append_once
+from riskframe.functions.rowwise import decide
+from riskframe.sources.io import append_once, validate_payload
 
 DAY = 86_400
 
 
-def entity_features(stream: DataFrame, key: str, t: str, amount: str, id: str, window: int = 7 * DAY) -> DataFrame:
+def entity_features(stream: DataFrame, key: str, t: str, amount: str, id: str, window: int = 7 * DAY, idle: str | None = None) -> DataFrame:
     """(id, key, cnt_window, sum_window, cnt_hist, gap) of each row from strictly earlier rows of its key.
 
-    State of a key: the times and amounts inside the window, the count of all, the last time. Rows of a batch
-    are taken in the order of time; ties do not see each other. Rows older than what was seen still count for
-    later ones, as history does.
+    State of a key: the times and amounts of its last window, how many came before, and when the last of those did.
+    Rows of a batch are taken in the order of time; ties do not see each other. Rows older than what was seen still
+    count for later ones, as history does. Null amounts are no part of sums; null keys are one key.
+
+    idle: how long a key may stay away before its state goes (such as "90 days"); its history then begins anew.
     """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, amounts, n, last = (list(state.get[0]), list(state.get[1]), *state.get[2:]) if state.exists else ([], [], 0, None)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        old_t, old_a, dropped, before = state.get if state.exists else ([], [], 0, None)
         rows = pd.concat(list(frames)).sort_values([t, id], kind="stable")
-        out = []
-        for now, ties in rows.groupby(t, sort=True):
-            now = int(now)
-            inside = [i for i, s in enumerate(times) if now - window <= s < now]
-            seen, total = len(inside), float(sum(amounts[i] for i in inside))
-            for i in ties[id]:
-                out.append((int(i), k[0], seen, total if seen else None, n, None if last is None or last >= now else now - last))
-            times += [now] * len(ties)
-            amounts += [float(a) for a in ties[amount]]
-            n += len(ties)
-            last = now if last is None else max(last, now)
-        keep = [i for i, s in enumerate(times) if s >= last - window]
-        state.update(([times[i] for i in keep], [amounts[i] for i in keep], n, last))
-        yield pd.DataFrame(out, columns=["id", "key", "cnt_window", "sum_window", "cnt_hist", "gap"]).astype({"cnt_hist": "int64"})
+        times = np.concatenate([np.array(old_t, np.int64), rows[t].to_numpy(np.int64)])
+        amounts = np.concatenate([np.array(old_a, float), rows[amount].to_numpy(float)])
+        order = np.argsort(times, kind="stable")
+        times, amounts = times[order], amounts[order]
+        now = rows[t].to_numpy(np.int64)
+        low, high = np.searchsorted(times, now - window), np.searchsorted(times, now)
+        known = np.concatenate([[0], np.cumsum(~np.isnan(amounts))])
+        sums = np.concatenate([[0.0], np.cumsum(np.nan_to_num(amounts))])
+        last = np.where(high > 0, times[np.maximum(high - 1, 0)], np.nan if before is None else before)
+        out = {
+            "id": rows[id].to_numpy(np.int64),
+            "key": pd.array([k[0]] * len(rows), dtype="Int64"),
+            "cnt_window": high - low,
+            "sum_window": np.where(known[high] > known[low], sums[high] - sums[low], np.nan),
+            "cnt_hist": dropped + high,
+            "gap": np.where(last < now, now - last, np.nan),
+        }
+        cut = int(np.searchsorted(times, times[-1] - window))
+        if cut:
+            dropped, before = dropped + cut, int(times[cut - 1])
+        state.update((times[cut:].tolist(), amounts[cut:].tolist(), dropped, before))
+        if idle:
+            state.setTimeoutDuration(idle)
+        yield pd.DataFrame(out)
 
     out_schema = "id long, key long, cnt_window long, sum_window double, cnt_hist long, gap double"
-    return stream.groupBy(key).applyInPandasWithState(step, out_schema, "times array<long>, amounts array<double>, n long, last long", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return stream.groupBy(key).applyInPandasWithState(step, out_schema, "times array<long>, amounts array<double>, dropped long, before long", "append", timeout)
+
+
+def validated(stream: DataFrame, schema: str, required: list[str], block: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) payloads of a stream with a JSON text column `payload`: parsed, and as they came.
+
+    Good ones parse, have every required field, and a map v whose keys are exactly the block's names.
+    """
+    read = stream.withColumn("_x", F.from_json("payload", f"{schema}, v map<string, double>"))
+    flat = read.select("payload", F.col("_x").isNull().alias("_unread"), "_x.*").withColumn("v", F.coalesce("v", F.create_map().cast("map<string,double>")))
+    good, bad = validate_payload(flat, required, "v", block)
+    return good.where("NOT _unread").select(*(c for c in good.columns if c not in ("payload", "v", "_unread")), *(F.col("v")[c].alias(c) for c in block)), bad.select("payload")
+
+
+def scored(batch: DataFrame, id: str, p: Column, threshold: float, contributions: dict[str, Column], k: int = 3) -> DataFrame:
+    """The batch's decisions: id, p, decision, and for reviews alone the k largest positive contributions as reasons."""
+    parts = F.array(*(F.struct((-c).alias("_order"), F.lit(name).alias("feature"), c.alias("contribution")) for name, c in contributions.items()))
+    top = F.slice(F.array_sort(F.filter(parts, lambda x: x["contribution"] > 0)), 1, k)
+    reasons = F.transform(top, lambda x: F.struct(x["feature"].alias("feature"), x["contribution"].alias("contribution")))
+    d = batch.withColumns({"p": p, "reasons": reasons})
+    return d.select(id, "p", decide(F.col("p"), threshold).alias("decision"), F.when(F.col("p") >= threshold, F.col("reasons")).alias("reasons"))
+
+
+def score_sink(stream: DataFrame, log: str, checkpoint: str, id: str, decide_batch: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Each row of a stream scored once into a decision log, however often a batch is run again."""
+    return append_sink(stream, log, id, checkpoint, decide_batch)
+
+
+def replay(df: DataFrame, day: str, first: int, last: int, process: Callable[[DataFrame, int], None]) -> list[int]:
+    """Days from first to last in ascending order, each wholly processed before the next, as later ones see its
+    writes; days without rows are left out. Returns the days processed."""
+    days = [r[0] for r in df.where(F.col(day).between(first, last)).select(day).distinct().orderBy(day).collect()]
+    for d in days:
+        process(df.where(F.col(day) == d), d)
+    return days
+
+
+def recompute_window(table: DataFrame, path: str, day: str, first: int, last: int) -> None:
+    """Writes the days of a window anew, in the place of what the store had of them; other days stay.
+
+    Late and re-scored rows are right after it, and a second run changes nothing. A day that has no rows any more
+    is emptied.
+    """
+    spark = table.sparkSession
+    window = F.col(day).between(first, last)
+    table.where(window).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    left = table.where(window).select(day).distinct()
+    gone = spark.read.parquet(path).where(window).select(day).distinct().join(left, day, "left_anti").collect()
+    for (d,) in gone:
+        own = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{day}={d}")
+        own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
 
 
 def daily(stream: DataFrame, ts: str, p: str, threshold: float, delay: str = "1 day") -> DataFrame:
@@ -60,6 +129,19 @@ def matured(decisions: DataFrame, labels: DataFrame, key: str, delay: str = "30
     return d.join(other, within, "left").drop("_k")
 
 
-def append_sink(stream: DataFrame, store: str, key: str, checkpoint: str):
+def append_sink(stream: DataFrame, store: str, key: str, checkpoint: str, change: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> StreamingQuery:
     """Each key once in the store, however often a batch is run again."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: append_once(batch, store, key)).trigger(availableNow=True).start()
+    writer = stream.writeStream.option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(lambda batch, _: append_once(change(batch), store, key)).trigger(availableNow=True).start()
+
+
+def run_through(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All that a stream has now, as a table under folder: appended rows, or the last complete result."""
+    out = f"{folder}/rows"
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "complete":
+        writer = writer.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    else:
+        writer = writer.format("parquet").option("path", out)
+    writer.start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
