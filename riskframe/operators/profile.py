@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.operators.ordered import quantiles
@@ -55,16 +57,51 @@ def missing_share(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, corr) for a < b over rows where both are present; null where one is constant. One pass."""
-    pairs = list(combinations(columns, 2))
-    stats = []
-    for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-        stats += [F.covar_pop(x, y).alias(f"c{i}"), F.stddev_pop(x).alias(f"x{i}"), F.stddev_pop(y).alias(f"y{i}")]
-    wide = df.agg(*stats)
-    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.try_divide(F.col(f"c{i}"), F.col(f"x{i}") * F.col(f"y{i}")).alias("corr")) for i, (a, b) in enumerate(pairs)))
-    return wide.select(F.inline(rows))
+    """(a, b, corr) for a < b over rows where both are present; null where one is constant.
+
+    Each task sums products of whole blocks of columns, centred on their means: as many numbers as there are pairs,
+    whatever the rows.
+    """
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, corr double")
+    row = df.agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in columns)).first()
+    means = np.array([row[c] or 0.0 for c in columns])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(columns)
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - means
+            has = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            total += np.stack([has.T @ has, x.T @ has, (x * x).T @ has, x.T @ x])
+        i, j = np.triu_indices(k, 1)
+        n, s, q, p = total
+        out = [i, j, n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int32 if at < 2 else float)) for at, v in enumerate(out)], ["i", "j", *SUMS])
+
+    numbers = df.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)))
+    sums = numbers.mapInArrow(products, "i int, j int, " + ", ".join(f"{c} double" for c in SUMS)).groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in SUMS))
+    n = F.col("n")
+
+    def spread(s: str, q: str, at: Column) -> Column:
+        """n^2 times the variance; null where it is no more than rounding leaves of a constant."""
+        v = n * F.col(q) - F.col(s) ** 2
+        mean = F.array(*(F.lit(float(m)) for m in means))[at]
+        return F.when((v > 1e-12 * n * F.col(q)) & (F.col(q) > n * (1e-12 * mean) ** 2), v)
+
+    names = F.array(*(F.lit(c) for c in columns))
+    corr = (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(spread("sx", "sxx", F.col("i")) * spread("sy", "syy", F.col("j")))
+    return sums.select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), corr.alias("corr"))
+
+
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, distinct) of the values that are not null: values collapse before they are counted."""
+    long = df.select(*(F.col(c).cast("string").alias(c) for c in columns)).unpivot([], columns, "feature", "v").where("v IS NOT NULL")
+    return long.groupBy("feature", "v").agg(F.lit(1).alias("one")).groupBy("feature").agg(F.count("one").alias("distinct"))
 
 
 def missing_blocks(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -76,18 +113,19 @@ def missing_blocks(df: DataFrame, columns: list[str]) -> DataFrame:
 def reduce_correlated(df: DataFrame, columns: list[str], limit: float = 0.75) -> list[str]:
     """The columns kept: within a block of equal null counts, by distinct count from high to low (ties by place), a
     column stays if its correlation with every one kept is below the limit. Two aggregates; greedy on k x k numbers."""
-    counts = df.agg(*(F.count_if(F.col(c).isNull()).alias(f"m_{c}") for c in columns), *(F.count_distinct(c).alias(f"d_{c}") for c in columns)).first()
+    missing = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns)).first()
+    distinct = {r["feature"]: r["distinct"] for r in distinct_counts(df, columns).collect()}
     kept: list[str] = []
     blocks: dict[int, list[str]] = {}
     for c in columns:
-        blocks.setdefault(counts[f"m_{c}"], []).append(c)
+        blocks.setdefault(missing[c], []).append(c)
     for block in blocks.values():
         corr = {}
         if len(block) > 1:
             for r in correlation(df, block).collect():
                 corr[r["a"], r["b"]] = corr[r["b"], r["a"]] = r["corr"]
         own: list[str] = []
-        for c in sorted(block, key=lambda c: (-counts[f"d_{c}"], columns.index(c))):
+        for c in sorted(block, key=lambda c: (-distinct.get(c, 0), columns.index(c))):
             if all(corr[c, k] is None or abs(corr[c, k]) < limit for k in own):
                 own.append(c)
         kept += own

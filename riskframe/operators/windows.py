@@ -1,7 +1,8 @@
 """Strictly-past windows by entity: the current row and its exact timestamp ties never count.
 
-All frames of one key share one shuffle and sort. A sliding frame aggregates its rows anew for each row, so a
-key with very many rows within a window goes to past_window_by_prefix, which subtracts two expanding frames.
+All frames of one key share one shuffle and sort. A sliding frame aggregates its rows anew for each row, which a key
+with very many rows within a window cannot afford: past_window_by_prefix and leaving_windows subtract running frames
+instead, in time that grows with the rows of a key alone.
 """
 
 from __future__ import annotations
@@ -75,17 +76,47 @@ def past_distinct(df: DataFrame, key: str, t: str, other: str, id: str, name: st
     return flagged.withColumn(name, F.coalesce(F.sum("_first").over(past(key, t, None)), F.lit(0))).drop("_first")
 
 
+def leaving_windows(df: DataFrame, key: str, t: str, value: str, windows: dict[str, int], names: tuple[str, str], more: dict[str, Column], real: Column | None = None) -> DataFrame:
+    """df with the count of rows and the sum of values in each [t - seconds, t), and `more`: columns over history().
+
+    A row enters at its time and leaves each window some seconds later. With both events in the order of time,
+    what is inside is what entered before t less what left before t: running frames only, one shuffle and one sort.
+    A sum without values is null. real: which rows count (all by default). names: of counts and of sums, before
+    the label.
+    """
+    own = F.struct(*df.columns)
+    counts = F.lit(1) if real is None else real.cast("int")
+    events = [F.struct(F.lit(0).alias("_k"), F.col(t).alias("_e"), own.alias("_row"))]
+    events += [F.struct(F.lit(i).alias("_k"), (F.col(t) + seconds).alias("_e"), F.lit(None).alias("_row")) for i, seconds in enumerate(windows.values(), 1)]
+    rows = df.repartition(key).select(F.col(key).alias("_key"), F.col(value).cast("double").alias("_v"), counts.alias("_c"), F.inline(F.array(*events)))
+    w = history("_key", "_e")
+    entered = lambda x, k: F.coalesce(F.sum(F.when(F.col("_k") == k, x)).over(w), F.lit(0))
+    v, has = F.col("_v"), F.col("_v").isNotNull().cast("int")
+    out: dict[str, Column] = {}
+    for i, label in enumerate(windows, 1):
+        out[f"{names[0]}_{label}"] = entered(F.col("_c"), 0) - entered(F.col("_c"), i)
+        out[f"{names[1]}_{label}"] = F.when(entered(has, 0) > entered(has, i), entered(v, 0) - entered(v, i))
+    found = rows.select("_row", "_k", *(c.alias(n) for n, c in (out | more).items())).where("_k = 0")
+    return found.select("_row.*", *out, *more)
+
+
+def history(key: str, t: str) -> Window:
+    return past(key, t, None)
+
+
 def entity_aggregates(df: DataFrame, keys: dict[str, str], t: str, amount: str, id: str, others: dict[str, str]) -> DataFrame:
     """Velocity features of each entity key: counts and sums in windows, history means and deviations, ratio and
     z-score of the amount, gaps, and distinct counts of `others` for the last key."""
+    windows = {"1h": HOUR, "24h": DAY, "7d": 7 * DAY}
+    w = history("_key", "_e")
+    entered = F.col("_k") == 0
     for prefix, key in keys.items():
-        cols = {}
-        for label, seconds in (("1h", HOUR), ("24h", DAY), ("7d", 7 * DAY)):
-            cols[f"{prefix}_cnt_{label}"] = F.count(F.lit(1)).over(past(key, t, seconds))
-            cols[f"{prefix}_amt_sum_{label}"] = F.sum(amount).over(past(key, t, seconds))
-        everything = past(key, t, None)
-        cols |= {f"{prefix}_amt_mean_hist": F.avg(amount).over(everything), f"{prefix}_amt_std_hist": F.stddev_samp(amount).over(everything), f"{prefix}_gap": secs_since_prev(key, t)}
-        df = df.withColumns(cols)
+        more = {
+            f"{prefix}_amt_mean_hist": F.avg(F.when(entered, F.col("_v"))).over(w),
+            f"{prefix}_amt_std_hist": F.stddev_samp(F.when(entered, F.col("_v"))).over(w),
+            f"{prefix}_gap": F.col("_e") - F.max(F.when(entered, F.col("_e"))).over(w),
+        }
+        df = leaving_windows(df, key, t, amount, windows, (f"{prefix}_cnt", f"{prefix}_amt_sum"), more)
         mean, std = F.col(f"{prefix}_amt_mean_hist"), F.col(f"{prefix}_amt_std_hist")
         df = df.withColumns({f"{prefix}_amt_ratio": safe_ratio(F.col(amount), mean), f"{prefix}_amt_z": safe_ratio(F.col(amount) - mean, std)})
     last = list(keys)[-1]
@@ -94,19 +125,23 @@ def entity_aggregates(df: DataFrame, keys: dict[str, str], t: str, amount: str,
     return df
 
 
-def history_lookup(requests: DataFrame, history: DataFrame, key: str, t: str, amount: str, id: str, windows: dict[str, int | None]) -> DataFrame:
-    """For each request, aggregates of strictly earlier history rows of its key, all windows in one pass.
+def history_lookup(requests: DataFrame, history_rows: DataFrame, key: str, t: str, amount: str, id: str, windows: dict[str, int | None]) -> DataFrame:
+    """For each request, aggregates of strictly earlier history rows of its key: id, t, counts, sums, gap.
 
-    The join is on the key with the time as a residual; a key's history is read once for all its requests.
+    Requests and history go by key in the order of time, all windows in one pass: no pair of a request and a
+    history row is formed. A null key is a key of its own.
     """
-    past_rows = history.select(F.col(key).alias("_k"), F.col(t).alias("_t"), F.col(amount).alias("_a"))
-    joined = requests.join(past_rows, (F.col(key) == F.col("_k")) & (F.col("_t") < F.col(t)), "left")
-    aggs = []
+    both = requests.select(F.col(id).alias("_id"), F.col(key).alias("_k0"), F.col(t).alias("_t"), F.lit(None).cast("double").alias("_a"), F.lit(False).alias("_h"))
+    both = both.union(history_rows.select(F.lit(None), F.col(key), F.col(t), F.col(amount).cast("double"), F.lit(True)))
+    w = history("_key", "_e")
+    real = (F.col("_k") == 0) & (F.col("_c") == 1)
+    more = {"gap": F.col("_e") - F.max(F.when(real, F.col("_e"))).over(w)}
     for label, seconds in windows.items():
-        inside = F.col("_t").isNotNull() if seconds is None else F.col("_t") >= F.col(t) - seconds
-        aggs += [F.count_if(F.coalesce(inside, F.lit(False))).alias(f"cnt_{label}"), F.sum(F.when(inside, F.col("_a"))).alias(f"sum_{label}")]
-    aggs.append((F.col(t) - F.max("_t")).alias("gap"))
-    return joined.groupBy(id, t).agg(*aggs)
+        if seconds is None:
+            more |= {f"cnt_{label}": F.count_if(real).over(w), f"sum_{label}": F.sum(F.when(real, F.col("_v"))).over(w)}
+    limited = {label: seconds for label, seconds in windows.items() if seconds is not None}
+    out = leaving_windows(both, "_k0", "_t", "_a", limited, ("cnt", "sum"), more, F.col("_h")).where("NOT _h")
+    return out.select(F.col("_id").alias(id), F.col("_t").alias(t), *(f"{n}_{label}" for label in windows for n in ("cnt", "sum")), "gap")
 
 
 def trailing_mean(x: str, order: str, rows: int, by: tuple[str, ...] = (), least: int = 1) -> Column:

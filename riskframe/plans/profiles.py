@@ -74,10 +74,19 @@ def a17_missing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.missing_blocks(d, ["a", "b", "c"])
 
 
-@query()
+# No column but the last correlates with another, so the greedy choice is: of two that do, the one with more distinct values.
+REDUCED = """WITH v AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), w AS (SELECT * FROM v UNION ALL SELECT a.vec_id, 1000, 2 * a.x + 0.001 * b.x FROM v a JOIN v b USING (vec_id) WHERE a.i = 0 AND b.i = 1),
+d AS (SELECT i, row_number() OVER (ORDER BY count(DISTINCT x) DESC, i) AS place FROM w GROUP BY i), c AS (SELECT a.i, b.i AS other FROM w a JOIN w b ON a.vec_id = b.vec_id AND a.i <> b.i GROUP BY a.i, b.i HAVING abs(corr(a.x, b.x)) >= 0.75)
+SELECT 'v' || d.i AS feature FROM d WHERE NOT EXISTS (FROM c JOIN d e ON e.i = c.other WHERE c.i = d.i AND e.place < d.place)"""
+
+
+@query(REDUCED)
 def a18_reduce_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "embeddings").select(*(F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(16)))
-    d = d.withColumn("v16", F.col("v0") * 2 + 0.001 * F.col("v1"))
+    """All components of the embeddings, and one more that follows the first."""
+    e = table(spark, sf_dir, "embeddings")
+    size = e.agg(F.max(F.size("embedding"))).first()[0]
+    d = e.select(*(F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(size)))
+    d = d.withColumn("v1000", F.col("v0") * 2 + 0.001 * F.col("v1"))
     kept = P.reduce_correlated(d, d.columns)
     return P.missing_share(d, kept).select("feature")
 

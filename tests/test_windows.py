@@ -2,8 +2,9 @@
 
 import math
 import random
-import statistics
+from bisect import bisect_left
 
+import numpy as np
 import pytest
 
 from riskframe.operators import windows as W
@@ -13,16 +14,32 @@ SCHEMA = "id int, key string, t long, v double, o string"
 
 @pytest.fixture(scope="module")
 def rows():
-    r = random.Random(3)
-    return [(i, r.choice(["a", "b", "c", None, "d"]), r.randrange(300) * 500, None if r.random() < 0.12 else round(r.gauss(100, 25), 3), r.choice(["x", "y", None])) for i in range(700)]
+    """A hot key with bursts of ties, quiet keys, a null key, and a key with no values at all."""
+    out = []
+    for burst in range(60):
+        at = 3_000 * burst + burst * burst
+        out += [("hot", at + step // 3, None if step == 4 else 1.5 * burst - step, "xyz"[step % 3]) for step in range(8)]
+    for place, key in enumerate(["calm", "rare", None]):
+        out += [(key, 40_000 * j + 77 * place, 10.0 * place - j * j, None if j % 3 else "x") for j in range(9)]
+    out += [("empty", 900 * j, None, "y") for j in range(12)]
+    return [(i, *row) for i, row in enumerate(random.Random(11).sample(out, len(out)))]
 
 
 def expected(rows, seconds):
+    """By key: times in order, then the stretch [t - seconds, t) by bisection."""
+    by_key = {}
+    for _, key, t, v, _ in sorted(rows, key=lambda r: r[2]):
+        by_key.setdefault(key, ([], []))
+        by_key[key][0].append(t)
+        by_key[key][1].append(v)
     out = {}
     for i, key, t, _, _ in rows:
-        past = [r for r in rows if r[1] == key and r[2] < t and (seconds is None or r[2] >= t - seconds)]
-        values = [r[3] for r in past if r[3] is not None]
-        out[i] = (len(past), sum(values) if values else None, statistics.mean(values) if values else None, statistics.stdev(values) if len(values) > 1 else None)
+        times, values = by_key[key]
+        end = bisect_left(times, t)
+        start = 0 if seconds is None else bisect_left(times, t - seconds)
+        inside = np.array([v for v in values[start:end] if v is not None])
+        n = len(inside)
+        out[i] = (end - start, float(inside.sum()) if n else None, float(inside.mean()) if n else None, float(inside.std(ddof=1)) if n > 1 else None)
     return out
 
 
@@ -58,3 +75,23 @@ def test_ties_do_not_see_each_other(spark):
     df = spark.createDataFrame([("a", 100, 1.0), ("a", 100, 2.0), ("a", 200, 3.0)], "key string, t long, v double")
     found = sorted((r["t"], r["x_all_cnt"], r["x_all_sum"]) for r in W.past_window(df, "key", "t", "v", {"all": None}, "x").collect())
     assert found == [(100, 0, None), (100, 0, None), (200, 2, 3.0)]
+
+
+def test_leaving_windows_are_the_same(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA)
+    windows = {"h": 3_600, "d": 86_400}
+    found = {r["id"]: r for r in W.leaving_windows(df, "key", "t", "v", windows, ("n", "s"), {}).collect()}
+    assert len(found) == len(rows)
+    for label, seconds in windows.items():
+        want = expected(rows, seconds)
+        assert all(found[i][f"n_{label}"] == want[i][0] and close(found[i][f"s_{label}"], want[i][1]) for i in want)
+
+
+def test_history_lookup_sees_strictly_earlier_history_only(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA)
+    requests = df.where("id % 5 = 0")
+    found = {r["id"]: r for r in W.history_lookup(requests.select("id", "key", "t"), df, "key", "t", "v", "id", {"d": 86_400, "all": None}).collect()}
+    assert set(found) == {r[0] for r in rows if r[0] % 5 == 0}
+    for label, seconds in (("d", 86_400), ("all", None)):
+        want = expected(rows, seconds)
+        assert all(r[f"cnt_{label}"] == want[i][0] and close(r[f"sum_{label}"], want[i][1]) for i, r in found.items())
