@@ -76,9 +76,11 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, tasks: int, c
     The bounds are asked for first; rows with a null key are in the first range. Column pruning and filters reach
     the database.
     """
-    read = spark.read.format("jdbc").option("url", url).options(**options)
-    low, high = read.option("query", f"SELECT min({key}) AS a, max({key}) AS b FROM {table}").load().first()
-    source = read.option("dbtable", table).option("fetchsize", "100000")
+    name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    options = {"url": url, "fetchsize": "100000", **options}
+    bounds = spark.read.format("jdbc").options(**options, query=f"SELECT min({name}) AS a, max({name}) AS b FROM {table}")
+    low, high = bounds.load().first()
+    source = spark.read.format("jdbc").options(**options, dbtable=table)
     if low is not None and tasks > 1:
         source = source.options(partitionColumn=key, lowerBound=str(low), upperBound=str(high + 1), numPartitions=str(tasks))
     df = source.load()
