@@ -5,6 +5,7 @@ import random
 import re
 import time
 import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -68,6 +69,8 @@ def test_pii_base_spans(spark, texts):
         said = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)
         assert rows[i]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
         assert set(filter(None, said.split(","))) <= set(filter(None, rows[i]["spans"].split(",")))
+        assert [rows[i][f"n_{k}"] for k in pii.KINDS] == [sum(s[1] == k for s in spans) for k in range(4)]
+        assert rows[i]["spans"] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in pii.all_spans(text)[1])
 
 
 @pytest.mark.parametrize(
@@ -115,6 +118,94 @@ def test_bpe_is_the_library(spark, texts):
             assert own.decode(np.array(ids)) == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_op9_query_is_the_library(spark, texts):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(queries.VOCABULARY)
+    lib.no_truncation(), lib.no_padding()
+    rows = {r["doc_id"]: r for r in queries.op9_bpe(spark, SF).collect()}
+    assert set(rows) == set(texts)
+    for i, text in texts.items():
+        ids = lib.encode(text or "", add_special_tokens=False).ids
+        assert rows[i]["n_tokens"] == len(ids) and rows[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert rows[i]["decoded_sha256"] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_op1_query_is_noisy_or_by_plain_python(spark, texts):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = queries.toxicity_model(spark, SF, docs)
+    rows = {r["doc_id"]: r for r in queries.op1_toxicity(spark, SF).collect()}
+    assert set(rows) == set(texts)
+    for i, text in texts.items():
+        none = 1.0
+        for sentence in re.split(r"[.!?\n]", (text or "").lower()):
+            words = {w for w in re.findall(r"[^\W\d_]+", sentence)}
+            # Each distinct word brings its features, as the scorer has it.
+            z = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in toxicity.features(w))
+            none *= 1 - 1 / (1 + np.exp(-np.clip(z, -50, 50))) if sentence or not text else 1.0
+        assert rows[i]["score"] == pytest.approx(1 - none, abs=1e-6)
+        assert rows[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and rows[i]["predicted"] == int(rows[i]["score"] >= 0.3)
+
+
+def test_op6_query_adds_up_tables_by_plain_python(spark, texts):
+    from bisect import bisect_right
+
+    from riskframe.llm.tables import labelled
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    m = quality.fit(docs, labelled(spark.read.parquet(f"{SF}/labels.parquet"), "quality", 5, 0, queries.MOST_LABELS))
+    rows = {r["doc_id"]: r for r in queries.op6_quality(spark, SF).collect()}
+    assert set(rows) == set(texts)
+    for i, text in texts.items():
+        x = quality.features(text or "")
+        z = m.intercept + sum(t[bisect_right(e.tolist(), v)] for e, t, v in zip(m.edges, m.tables, x, strict=True))
+        for (a, b), t in zip(m.pairs, m.pair_tables, strict=True):
+            z += t[bisect_right(m.pair_edges[a].tolist(), x[a]), bisect_right(m.pair_edges[b].tolist(), x[b])]
+        assert rows[i]["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+        assert rows[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and rows[i]["predicted"] == int(rows[i]["score"] >= 0.3)
+
+
+class PlainPage(HTMLParser):
+    """Words outside the elements that are never shown; no layout."""
+
+    GONE = ("head", "script", "style", "template", "noscript", "iframe", "object", "audio", "video", "canvas")
+    VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        d = dict(attrs)
+        if tag == "img" and d.get("alt") and not any(g for _, g in self.open):
+            self.words += d["alt"].split()
+        if tag not in self.VOID:
+            style = (d.get("style") or "").replace(" ", "").lower()
+            self.open.append((tag, tag in self.GONE or "hidden" in d or "display:none" in style or "visibility:hidden" in style))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(g for _, g in self.open):
+            self.words += data.split()
+
+
+def test_op5_query_has_the_words_of_a_plain_parser(spark):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    rows = {r["page_id"]: r["text"] for r in queries.op5_html_text(spark, SF).collect()}
+    assert set(rows) == set(pages)
+    for i, page in pages.items():
+        plain = PlainPage()
+        plain.feed(page or "")
+        plain.close()
+        marks = lambda words: [w for w in words if w not in ("-", "---") and not re.fullmatch(r"\d+\.", w)]
+        # Layout breaks lines inside words of the source never, so the words are the same in the same order.
+        assert "".join(marks(rows[i].split())) == "".join(marks(plain.words))
+
+
 def test_bpe_tree_and_forest_agree():
     v = bpe.Vocabulary(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
     words = [b"a", b"the", b"aaaaaaa", b"interesting", b"x" * 64, bytes(range(40))]
@@ -132,6 +223,8 @@ def test_secrets(spark, texts):
     for i, text in texts.items():
         said = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in plain_secrets(text))
         assert rows[i]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert [rows[i][f"n_{k}"] for k in secret_scan.KINDS] == [sum(s[1] == k for s in plain_secrets(text)) for k in range(3)]
+        assert set(filter(None, said.split(","))) <= set(filter(None, rows[i]["spans"].split(",")))
 
 
 def test_automaton_prefers_its_format():
