@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm.spans import scan
-from riskframe.llm.tables import written
+from riskframe.llm.tables import join_salted, written
 
 # The notices that licences ask for, or their first sentences.
 TEMPLATES = (
@@ -277,7 +277,7 @@ def scan_licenses(docs: DataFrame, least: float = 0.55, mostly: float = 0.5) ->
     folders = own.select("path", folder.alias("folder")).where("folder is not null").groupBy("folder").agg(F.min("path").alias("path"))
     above = folders.select("folder", F.posexplode(directories(F.col("path"))).alias("up", "dir"))
     nearest = above.join(licensed, "dir").groupBy("folder").agg(F.min(F.struct("up", "dir", "dir_license")).alias("x"))
-    nearest = nearest.select(F.col("folder").alias("f"), F.col("x.dir").alias("inherited_from"), F.col("x.dir_license").alias("dir_license"))
-    out = own.withColumn("folder", folder).join(nearest, F.col("folder") == F.col("f"), "left")
+    nearest = nearest.select("folder", F.col("x.dir").alias("inherited_from"), F.col("x.dir_license").alias("dir_license"))
+    out = join_salted(own.withColumn("folder", folder), nearest, "folder", "path", "left")
     has = F.col("license").isNotNull()
     return out.select("doc_id", "path", "license", "cosine", "is_license_file", F.when(~has, F.col("inherited_from")).alias("inherited_from"), F.coalesce("license", "dir_license").alias("effective_license"))

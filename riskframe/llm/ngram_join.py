@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.llm.tables import drop_written, written
+from riskframe.llm.tables import drop_written, join_salted, written
 
 #: Rows that a task holds as Python strings at once.
 ROWS = 256
@@ -234,7 +234,7 @@ def members_of(each: DataFrame, star: DataFrame) -> DataFrame:
     large = (F.col("k") > STAR_SETS) | (F.col("sum_n") > STAR_SHINGLES)
     salts = F.when(large, F.ceil(F.greatest(F.col("k") / STAR_SETS, F.col("sum_n") / STAR_SHINGLES))).otherwise(F.lit(0).cast("long"))
     sizes = sizes.select("p", "n_least", "n_most", salts.alias("salts"))
-    return star.join(sizes, "p").groupBy("id", "x").agg(F.collect_list(F.struct("p", "n_least", "n_most", "salts")).alias("ps"))
+    return join_salted(star, sizes, "p", "x").groupBy("id", "x").agg(F.collect_list(F.struct("p", "n_least", "n_most", "salts")).alias("ps"))
 
 
 def sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
@@ -431,9 +431,11 @@ def components(docs: DataFrame, percent: int = 80, size: int = 5, log=None) -> D
         log("differences", pairs.count(), more.count())
         labels = merged(labels, more)
     nodes = each.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    own = nodes.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")
-    least = own.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    by_node = own.join(least, "comp").select(F.col("node").alias("k"), "component_id", F.col("comp").alias("component_key"))
+    least = nodes.join(labels, "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    own = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # Nodes in no star are their own component and find no row there.
+    by_node = join_salted(own, least, "comp", "node", "left")
+    by_node = by_node.select(F.col("node").alias("k"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("comp").alias("component_key"))
     out = each.join(by_node, each["node"] == by_node["k"], "left")
     own_id = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", own_id).alias("component_id"), "text_hash", "component_key")

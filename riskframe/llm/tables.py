@@ -45,6 +45,17 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Tasks that the rows of one key are dealt over in join_salted.
+SALTS = 16
+
+
+def join_salted(rows: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """rows joined to small, which has a row for each key; a key may hold a third of rows, so that these are dealt by
+    key and a hash of `spread`, and small comes in SALTS copies."""
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id's text, mod n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
