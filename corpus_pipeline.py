@@ -40,9 +40,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = ngram_join.components(docs).where("component_key IS NOT NULL")
     each = written(rows.groupBy("component_key", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")), "grouped")
     first = each.groupBy("component_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    each = each.join(first, "component_key").withColumn("is_first", F.struct("doc_id", "text_hash") == F.col("first"))
-    dropped = written(each.where(~F.col("is_first")).select("doc_id", "text_hash"), "dropped")
-    again = written(each.where("is_first AND n > 1").select("doc_id", "text_hash"), "again")
+    # Joined on rows, not on components, of which one may hold a third of all rows.
+    first = first.select("first.doc_id", "first.text_hash")
+    dropped = written(each.join(first, ["doc_id", "text_hash"], "left_anti").select("doc_id", "text_hash"), "dropped")
+    again = written(each.where("n > 1").join(first, ["doc_id", "text_hash"], "left_semi").select("doc_id", "text_hash"), "again")
     once = rows_like(docs, dropped.union(again), "left_anti")
     if again.isEmpty():
         return once
