@@ -84,11 +84,9 @@ def leaving_windows(df: DataFrame, key: str, t: str, value: str, windows: dict[s
     A sum without values is null. real: which rows count (all by default). names: of counts and of sums, before
     the label.
     """
-    own = F.struct(*df.columns)
+    marks = [F.struct(F.lit(i).alias("_k"), (F.col(t) + seconds).alias("_e")) for i, seconds in enumerate((0, *windows.values()))]
     counts = F.lit(1) if real is None else real.cast("int")
-    events = [F.struct(F.lit(0).alias("_k"), F.col(t).alias("_e"), own.alias("_row"))]
-    events += [F.struct(F.lit(i).alias("_k"), (F.col(t) + seconds).alias("_e"), F.lit(None).alias("_row")) for i, seconds in enumerate(windows.values(), 1)]
-    rows = df.repartition(key).select(F.col(key).alias("_key"), F.col(value).cast("double").alias("_v"), counts.alias("_c"), F.inline(F.array(*events)))
+    rows = df.repartition(key).withColumns({"_key": F.col(key), "_v": F.col(value).cast("double"), "_c": counts}).select("*", F.inline(F.array(*marks)))
     w = history("_key", "_e")
     entered = lambda x, k: F.coalesce(F.sum(F.when(F.col("_k") == k, x)).over(w), F.lit(0))
     v, has = F.col("_v"), F.col("_v").isNotNull().cast("int")
@@ -96,8 +94,8 @@ def leaving_windows(df: DataFrame, key: str, t: str, value: str, windows: dict[s
     for i, label in enumerate(windows, 1):
         out[f"{names[0]}_{label}"] = entered(F.col("_c"), 0) - entered(F.col("_c"), i)
         out[f"{names[1]}_{label}"] = F.when(entered(has, 0) > entered(has, i), entered(v, 0) - entered(v, i))
-    found = rows.select("_row", "_k", *(c.alias(n) for n, c in (out | more).items())).where("_k = 0")
-    return found.select("_row.*", *out, *more)
+    found = rows.select(*df.columns, "_k", *(c.alias(n) for n, c in (out | more).items())).where("_k = 0")
+    return found.drop("_k")
 
 
 def history(key: str, t: str) -> Window:
