@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, decontaminate, html_text, licenses, ngram_join, pii, quality, secret_scan, topk, toxicity
+from riskframe.llm import bpe, centroids, decontaminate, html_text, licenses, ngram_join, phrases, pii, quality, secret_scan, sentence_piece, topk, toxicity
 from riskframe.llm.tables import fold, labelled, read
 
 #: Labelled rows that the two classifiers may be fitted on.
 MOST_LABELS = 20_000
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 THRESHOLD = 0.3
 
 
@@ -69,8 +70,21 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_piece.encode(read(spark, sf_dir, "documents"), PIECES, with_ids=False)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_decontamination, op4_secrets, op5_html_text, op6_quality, op7_licenses, op8_ngram_join, op9_bpe, op10_topk)}
+    each = (op1_toxicity, op2_pii, op3_decontamination, op4_secrets, op5_html_text, op6_quality, op7_licenses, op8_ngram_join, op9_bpe, op10_topk, op11_centroids, op12_phrases, op13_sentence_piece)
+    return {f.__name__: f for f in each}
 
 
 DECONTAMINATION_SQL = r"""
@@ -128,5 +142,61 @@ SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 10
 """
 
 
+CENTROIDS_SQL = (
+    """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INTEGER) AS c, e AS m FROM v ORDER BY sha256('2:' || vec_id) LIMIT 40
+)"""
+    + "".join(
+        f""", a{i} AS MATERIALIZED (
+  SELECT vec_id, e, min(struct_pack(d := CAST(list_sum(list_transform(range(1, 65), lambda i: (e[i] - m[i]) * (e[i] - m[i]))) AS BIGINT), c := c)) AS b FROM v, c{i} GROUP BY vec_id, e
+), s{i} AS (
+  SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT b.c AS c, unnest(range(1, 65)) AS i, unnest(e) AS x FROM a{i}) GROUP BY c, i
+), c{i + 1} AS MATERIALIZED (
+  SELECT c{i}.c, coalesce(w.m, c{i}.m) AS m FROM c{i} LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM s{i} GROUP BY c) w ON w.c = c{i}.c
+)"""
+        for i in range(6)
+    )
+    + """
+SELECT a5.vec_id, b.c AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c5.m, ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON c5.c = b.c
+"""
+)
+
+PHRASES_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p
+), m AS (
+  SELECT lang, w, unnest(range(1, 6)) AS m FROM w WHERE len(w) > 0
+), g AS (
+  SELECT lang, m, list_slice(w, i, i + m - 1) AS g FROM (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM m WHERE len(w) >= m)
+), f AS MATERIALIZED (
+  SELECT lang, m, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100
+), n AS (
+  SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang
+), c AS (
+  SELECT lang, m, g, f AS a, unnest(range(1, m)) AS k FROM f WHERE m > 1
+), s AS (
+  SELECT c.lang, c.m, c.g, c.a, k, x.f AS l, y.f AS r, n.n, 1000 * CAST(a AS HUGEINT) * n.n // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:c.m] JOIN n ON n.lang = c.lang
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), i AS (
+  SELECT DISTINCT lang, g[i : i + d - 1] AS g, f FROM (SELECT lang, m, g, f, d, unnest(range(1, m - d + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS d FROM f WHERE m > 2))
+), o AS (
+  SELECT lang, g, max(f) AS f FROM i GROUP BY ALL
+), t AS (
+  SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM b LEFT JOIN o ON o.lang = b.lang AND o.g = b.g WHERE 100 * coalesce(o.f, 0) < 100 * a
+)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": DECONTAMINATION_SQL, "op8_ngram_join": NGRAM_JOIN_SQL, "op10_topk": TOPK_SQL}
+    return {"op3_decontamination": DECONTAMINATION_SQL, "op8_ngram_join": NGRAM_JOIN_SQL, "op10_topk": TOPK_SQL, "op11_centroids": CENTROIDS_SQL, "op12_phrases": PHRASES_SQL}
