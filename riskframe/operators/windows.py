@@ -1,12 +1,13 @@
 """Strictly-past windows by entity: the current row and its exact timestamp ties never count.
 
-All frames of one key share one shuffle and sort. A sliding frame aggregates its rows anew for each row, which a key
-with very many rows within a window cannot afford: past_window_by_prefix and leaving_windows subtract running frames
-instead, in time that grows with the rows of a key alone.
+past_window uses sliding frames, which aggregate their rows anew for each row and hold a key in one task: for keys of
+few rows. segmented gives the same numbers in time that grows with the rows alone, with a key dealt over many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,31 +34,9 @@ def past_window(df: DataFrame, key: str, t: str, value: str, windows: dict[str,
     return df.withColumns(out)
 
 
-def past_window_by_prefix(df: DataFrame, id: str, key: str, t: str, value: str, seconds: int, name: str) -> DataFrame:
-    """The same as one window of past_window, from two expanding frames: linear in the rows of a key.
-
-    Values are centred on the key's mean, so that the subtraction does not cancel.
-    """
-    mean = F.avg(value).over(Window.partitionBy(key))
-    base = df.select(F.col(id).alias("_id"), F.col(key).alias("_key"), F.col(t).alias("_t"), F.col(value).cast("double").alias("_v"), mean.alias("_mean"))
-    own = base.withColumns({"_sign": F.lit(1), "_x": F.col("_v") - F.col("_mean"), "_real": F.lit(1)})
-    probe = base.withColumns({"_t": F.col("_t") - seconds, "_sign": F.lit(-1), "_x": F.lit(None).cast("double"), "_real": F.lit(0)})
-    w = Window.partitionBy("_key").orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
-    cum = own.unionByName(probe).withColumns({"_n": F.sum("_real").over(w), "_m": F.count("_x").over(w), "_s": F.sum("_x").over(w), "_q": F.sum(F.col("_x") * F.col("_x")).over(w)})
-    diff = {c: F.sum(F.coalesce(c, F.lit(0)) * F.col("_sign")) for c in ("_n", "_m", "_s", "_q")}
-    out = cum.groupBy("_id").agg(*(x.alias(c) for c, x in diff.items()), F.first("_mean").alias("_mean"))
-    m, s, q = F.col("_m"), F.col("_s"), F.col("_q")
-    some = m > 0
-    return df.join(
-        out.select(
-            F.col("_id").alias(id),
-            F.col("_n").alias(f"{name}_cnt"),
-            F.when(some, s + m * F.col("_mean")).alias(f"{name}_sum"),
-            F.when(some, s / F.nullif(m, F.lit(0)) + F.col("_mean")).alias(f"{name}_mean"),
-            F.when(m > 1, F.sqrt(F.greatest(F.lit(0.0), (q - s * s / F.nullif(m, F.lit(0))) / F.nullif(m - 1, F.lit(0))))).alias(f"{name}_std"),
-        ),
-        id,
-    )
+def past_window_by_prefix(df: DataFrame, key: str, t: str, value: str, seconds: int, name: str) -> DataFrame:
+    """The same as one window of past_window, whatever the rows of a key: see segmented."""
+    return segmented(df, key, t, value, {"w": seconds}).select(*df.columns, *(F.col(f"w_{c}").alias(f"{name}_{c}") for c in STATS))
 
 
 def secs_since_prev(key: str, t: str) -> Column:
@@ -76,70 +55,178 @@ def past_distinct(df: DataFrame, key: str, t: str, other: str, id: str, name: st
     return flagged.withColumn(name, F.coalesce(F.sum("_first").over(past(key, t, None)), F.lit(0))).drop("_first")
 
 
-def leaving_windows(df: DataFrame, key: str, t: str, value: str, windows: dict[str, int], names: tuple[str, str], more: dict[str, Column], real: Column | None = None) -> DataFrame:
-    """df with the count of rows and the sum of values in each [t - seconds, t), and `more`: columns over history().
+#: Seconds of a time bucket of segmented windows, and buckets of a span.
+BUCKET, SPAN = HOUR, 168
+STATS = ("cnt", "sum", "mean", "std")
+
+
+def moments(x: Column, rows: Column, over: Callable[[Column], Column] = lambda c: c) -> Column:
+    """n rows, and of the values m, their sum, mean and sum of squared deviations, as a struct without nulls."""
+    values = F.when(rows, x)
+    some = lambda c: F.coalesce(over(c), F.lit(0.0))
+    m = over(F.count(values))
+    return F.struct(over(F.count_if(rows)).alias("n"), m.alias("m"), some(F.sum(values)).alias("s"), some(F.avg(values)).alias("mean"), (some(F.var_pop(values)) * m).alias("q"))
 
-    A row enters at its time and leaves each window some seconds later. With both events in the order of time,
-    what is inside is what entered before t less what left before t: running frames only, one shuffle and one sort.
-    A sum without values is null. real: which rows count (all by default). names: of counts and of sums, before
-    the label.
-    """
-    marks = [F.struct(F.lit(i).alias("_k"), (F.col(t) + seconds).alias("_e")) for i, seconds in enumerate((0, *windows.values()))]
-    counts = F.lit(1) if real is None else real.cast("int")
-    rows = df.repartition(key).withColumns({"_key": F.col(key), "_v": F.col(value).cast("double"), "_c": counts}).select("*", F.inline(F.array(*marks)))
-    w = history("_key", "_e")
-    entered = lambda x, k: F.coalesce(F.sum(F.when(F.col("_k") == k, x)).over(w), F.lit(0))
-    v, has = F.col("_v"), F.col("_v").isNotNull().cast("int")
-    out: dict[str, Column] = {}
-    for i, label in enumerate(windows, 1):
-        out[f"{names[0]}_{label}"] = entered(F.col("_c"), 0) - entered(F.col("_c"), i)
-        out[f"{names[1]}_{label}"] = F.when(entered(has, 0) > entered(has, i), entered(v, 0) - entered(v, i))
-    found = rows.select(*df.columns, "_k", *(c.alias(n) for n, c in (out | more).items())).where("_k = 0")
-    return found.drop("_k")
 
+def merged(parts: Column) -> Column:
+    """The moments of all parts together: deviations are added up about each part's own mean, nothing is subtracted."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("m"), F.lit(0.0).alias("s"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("q"))
 
-def history(key: str, t: str) -> Window:
-    return past(key, t, None)
+    def both(a: Column, b: Column) -> Column:
+        m = a["m"] + b["m"]
+        share = F.when(m > 0, b["m"] / m).otherwise(0.0)
+        d = b["mean"] - a["mean"]
+        mean = F.when(a["m"] == 0, b["mean"]).otherwise(a["mean"] + d * share)
+        q = F.when(a["m"] == 0, b["q"]).otherwise(a["q"] + b["q"] + d * d * share * a["m"])
+        return F.struct((a["n"] + b["n"]).alias("n"), m.alias("m"), (a["s"] + b["s"]).alias("s"), mean.alias("mean"), q.alias("q"))
 
+    return F.aggregate(parts, zero, both)
 
-def entity_aggregates(df: DataFrame, keys: dict[str, str], t: str, amount: str, id: str, others: dict[str, str]) -> DataFrame:
+
+def segmented(df: DataFrame, key: str, t: str, value: str, windows: dict[str, int | None], *, distinct: dict[str, str] | None = None, real: Column | None = None, source: DataFrame | None = None, bucket: int = BUCKET) -> DataFrame:
+    """df with <label>_cnt, _sum, _mean and _std of each window [t - seconds, t) (None: all before t), `gap`, the seconds
+    since the last earlier row, and <name>_distinct, how many values of a column (null is one) came before.
+
+    A key's time is cut into buckets, and rows are dealt by key and bucket, so that a hot key is spread over as many
+    tasks as it has buckets. A window is the end of one bucket, whole buckets, and the beginning of the row's own: a row
+    stands in its own bucket and, moved on by each window's length, in the one where it leaves, so that one shuffle
+    brings both ends to the rows that ask. Whole buckets are merged from totals, a row for each key and bucket. Sums and
+    moments only ever add what is inside the window. Windows are multiples of `bucket` seconds.
+
+    NaN is a missing value, a null key is a key of its own. real: the rows that count (all by default); the others only
+    ask. source: df, where it is cheaper to read again (the totals come from it).
+    """
+    limited = {label: seconds for label, seconds in windows.items() if seconds is not None}
+    if bad := [s for s in limited.values() if s <= 0 or s % bucket]:
+        raise ValueError(f"windows of {bad} seconds are no multiples of {bucket}")
+    distinct = distinct or {}
+    counts = F.lit(True) if real is None else F.coalesce(real, F.lit(False))
+    x = F.col(value).cast("double")
+
+    def base(d: DataFrame) -> DataFrame:
+        return d.select(F.struct(F.col(key)).alias("_key"), F.col(t).cast("long").alias("_t"), F.when(~F.isnan(x), x).alias("_v"), counts.alias("_c"), F.struct(*(F.col(c) for c in d.columns)).alias("_row"))
+
+    rows, again = base(df), base(df if source is None else source)
+    mark = lambda k, e, r: F.struct(F.lit(k).alias("_k"), e.alias("_e"), r.alias("_row"))
+    none = F.lit(None).cast(rows.schema["_row"].dataType)
+    own = F.array(mark(0, F.col("_t"), F.col("_row")))
+    gone = F.array(*(mark(i, F.col("_t") + s, none) for i, s in enumerate(limited.values(), 1)))
+    events = rows.select("_key", "_v", "_c", F.inline(F.when(F.col("_c"), F.concat(own, gone)).otherwise(own) if limited else own))
+    firsts = None
+    for j, other in enumerate(distinct.values(), 1):
+        first = again.where("_c").groupBy("_key", F.col(f"_row.{other}").alias("_o")).agg(F.min("_t").alias("_t"))
+        first = first.select("_key", F.lit(None).cast("double").alias("_v"), F.lit(False).alias("_c"), F.lit(-j).alias("_k"), F.col("_t").alias("_e"))
+        firsts = first if firsts is None else firsts.union(first)
+        events = events.union(first.withColumn("_row", none))
+    of = lambda e: F.expr(f"({e} - pmod({e}, {bucket})) div {bucket}")
+    asked = F.col("_k") == 0
+    before = Window.partitionBy("_key", "_b").orderBy("_e").rangeBetween(Window.unboundedPreceding, -1)
+    since = Window.partitionBy("_key", "_b").orderBy(F.desc("_e")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ends: dict[str, Column] = {"_head": moments(F.col("_v"), asked & F.col("_c"), lambda c: c.over(before)), "_last": F.max(F.when(asked & F.col("_c"), F.col("_e"))).over(before)}
+    ends |= {f"_d{j}": F.count_if(F.col("_k") == -j).over(before) for j in range(1, len(distinct) + 1)}
+    ends |= {f"_tail{i}": moments(F.col("_v"), F.col("_k") == i, lambda c: c.over(since)) for i in range(1, len(limited) + 1)}
+    found = events.withColumn("_b", of("_e")).withColumns(ends).where(asked).select("_key", "_b", "_row", F.col("_e"), *ends)
+
+    totals = again.select("_key", "_v", "_c", F.lit(0).alias("_k"), F.col("_t").alias("_e"))
+    totals = (totals if firsts is None else totals.union(firsts)).withColumn("_b", of("_e"))
+    each = {"_m": moments(F.col("_v"), F.col("_c")), "_last_t": F.max(F.when(F.col("_c"), F.col("_e")))} | {f"_n{j}": F.count_if(F.col("_k") == -j) for j in range(1, len(distinct) + 1)}
+    totals = totals.groupBy("_key", "_b").agg(*(c.alias(n) for n, c in each.items()))
+    up = Window.partitionBy("_key").orderBy("_b")
+    earlier = up.rowsBetween(Window.unboundedPreceding, -1)
+    whole = {"_last_whole": F.max("_last_t").over(earlier)} | {f"_w{j}": F.coalesce(F.sum(f"_n{j}").over(earlier), F.lit(0)) for j in range(1, len(distinct) + 1)}
+    for i, s in enumerate(limited.values(), 1):
+        if s > bucket:
+            whole[f"_whole{i}"] = F.collect_list("_m").over(up.rangeBetween(1 - s // bucket, -1))
+    if len(limited) < len(windows):
+        # All before: the buckets of the same span before this one, and the spans before it.
+        totals = totals.withColumn("_span", F.expr(f"(_b - pmod(_b, {SPAN})) div {SPAN}"))
+        spans = totals.groupBy("_key", "_span").agg(merged(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_m"))), lambda z: z["_m"])).alias("_s"))
+        spans = spans.withColumn("_spans", F.collect_list("_s").over(Window.partitionBy("_key").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)))
+        whole["_inner"] = F.collect_list("_m").over(Window.partitionBy("_key", "_span").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.withColumns(whole)
+    if len(limited) < len(windows):
+        totals = totals.join(spans.select("_key", "_span", "_spans"), ["_key", "_span"]).withColumn("_all", merged(F.concat("_spans", "_inner")))
+    merges = {f"_whole{i}": merged(F.col(f"_whole{i}")) for i, s in enumerate(limited.values(), 1) if s > bucket}
+    totals = totals.withColumns(merges)
+    kept = [*merges, *(["_all"] if len(limited) < len(windows) else []), "_last_whole", *(f"_w{j}" for j in range(1, len(distinct) + 1))]
+    both = found.join(totals.select("_key", "_b", *kept), ["_key", "_b"], "left")
+    parts: dict[str, Column] = {}
+    at = {label: i for i, label in enumerate(limited, 1)}
+    for label, s in windows.items():
+        pieces = [F.col("_all")] if s is None else [F.col(f"_tail{at[label]}"), *([F.col(f"_whole{at[label]}")] if s > bucket else [])]
+        parts[f"_x_{label}"] = merged(F.array(*pieces, F.col("_head")))
+    both = both.withColumns(parts)
+    out: dict[str, Column] = {}
+    for label in windows:
+        c = F.col(f"_x_{label}")
+        out |= {f"{label}_cnt": c["n"], f"{label}_sum": F.when(c["m"] > 0, c["s"]), f"{label}_mean": F.when(c["m"] > 0, c["mean"]), f"{label}_std": F.when(c["m"] > 1, F.sqrt(c["q"] / (c["m"] - 1)))}
+    out["gap"] = F.col("_e") - F.coalesce("_last", "_last_whole")
+    out |= {f"{name}_distinct": F.col(f"_d{j}") + F.col(f"_w{j}") for j, name in enumerate(distinct, 1)}
+    return both.select("_row.*", *(c.alias(n) for n, c in out.items()))
+
+
+def entity_aggregates(df: DataFrame, keys: dict[str, str], t: str, amount: str, others: dict[str, str]) -> DataFrame:
     """Velocity features of each entity key: counts and sums in windows, history means and deviations, ratio and
     z-score of the amount, gaps, and distinct counts of `others` for the last key."""
-    windows = {"1h": HOUR, "24h": DAY, "7d": 7 * DAY}
-    w = history("_key", "_e")
-    entered = F.col("_k") == 0
+    windows = {"1h": HOUR, "24h": DAY, "7d": 7 * DAY, "hist": None}
+    last, given = list(keys)[-1], df
+    a = F.when(~F.isnan(F.col(amount).cast("double")), F.col(amount))
     for prefix, key in keys.items():
-        more = {
-            f"{prefix}_amt_mean_hist": F.avg(F.when(entered, F.col("_v"))).over(w),
-            f"{prefix}_amt_std_hist": F.stddev_samp(F.when(entered, F.col("_v"))).over(w),
-            f"{prefix}_gap": F.col("_e") - F.max(F.when(entered, F.col("_e"))).over(w),
-        }
-        df = leaving_windows(df, key, t, amount, windows, (f"{prefix}_cnt", f"{prefix}_amt_sum"), more)
-        mean, std = F.col(f"{prefix}_amt_mean_hist"), F.col(f"{prefix}_amt_std_hist")
-        df = df.withColumns({f"{prefix}_amt_ratio": safe_ratio(F.col(amount), mean), f"{prefix}_amt_z": safe_ratio(F.col(amount) - mean, std)})
-    last = list(keys)[-1]
-    for name, other in others.items():
-        df = past_distinct(df, keys[last], t, other, id, f"{last}_{name}_distinct")
+        found = segmented(df, key, t, amount, windows, distinct=others if prefix == last else {}, source=given)
+        names = {f"{label}_{c}": f"{prefix}_{'cnt' if c == 'cnt' else 'amt_sum'}_{label}" for label in ("1h", "24h", "7d") for c in ("cnt", "sum")}
+        names |= {"hist_mean": f"{prefix}_amt_mean_hist", "hist_std": f"{prefix}_amt_std_hist", "gap": f"{prefix}_gap"}
+        names |= {f"{name}_distinct": f"{prefix}_{name}_distinct" for name in others if prefix == last}
+        more = {f"{prefix}_amt_ratio": safe_ratio(a, F.col("hist_mean")), f"{prefix}_amt_z": safe_ratio(a - F.col("hist_mean"), F.col("hist_std"))}
+        df = found.select(*df.columns, *(F.col(c).alias(n) for c, n in names.items()), *(c.alias(n) for n, c in more.items()))
     return df
 
 
+# The features of an account, each of a key level and of a statistic before the row.
+ACCOUNT_FEATURES = (
+    *(("acct", c) for c in ("1h_cnt", "24h_cnt", "7d_cnt", "24h_sum", "24h_mean", "7d_mean", "7d_std", "hist_cnt", "hist_mean", "hist_std", "ratio", "z", "gap", "k5_distinct", "k3_distinct")),
+    *(("addr", c) for c in ("24h_cnt", "7d_cnt", "7d_mean", "gap")),
+    *(("card", c) for c in ("24h_cnt", "7d_cnt", "7d_mean", "hist_cnt", "ratio", "gap")),
+)
+
+
+def account_inputs() -> list[tuple[str, str]]:
+    """(level, statistic) that account_features reads: all but ratio and z, and the history means of these."""
+    return [*(x for x in ACCOUNT_FEATURES if x[1] not in ("ratio", "z")), ("card", "hist_mean")]
+
+
+def account_features(wide: DataFrame, amount: str) -> DataFrame:
+    """wide, with <level>_<statistic> columns, and its ratios and z-scores of the amount."""
+    a, out = F.col(amount), {}
+    for level, stat in ACCOUNT_FEATURES:
+        mean, std = F.col(f"{level}_hist_mean"), F.col(f"{level}_hist_std")
+        if stat in ("ratio", "z"):
+            out[f"{level}_{stat}"] = safe_ratio(a, mean) if stat == "ratio" else safe_ratio(a - mean, std)
+    return wide.withColumns(out)
+
+
+def account_block(df: DataFrame, keys: dict[str, str], t: str, amount: str, others: dict[str, str]) -> DataFrame:
+    """df with the account features of its three keys, `others` (two names to columns) counted for acct alone."""
+    given = df
+    for level, key in keys.items():
+        stats = [c for p, c in account_inputs() if p == level]
+        labels = {c.rsplit("_", 1)[0] for c in stats if c.endswith(STATS)}
+        windows = {label: s for label, s in {"1h": HOUR, "24h": DAY, "7d": 7 * DAY, "hist": None}.items() if label in labels}
+        distinct = {name: c for name, c in others.items() if f"{name}_distinct" in stats}
+        found = segmented(df, key, t, amount, windows, distinct=distinct, source=given)
+        df = found.select(*df.columns, *(F.col(c).alias(f"{level}_{c}") for c in stats))
+    return account_features(df, amount)
+
+
 def history_lookup(requests: DataFrame, history_rows: DataFrame, key: str, t: str, amount: str, id: str, windows: dict[str, int | None]) -> DataFrame:
     """For each request, aggregates of strictly earlier history rows of its key: id, t, counts, sums, gap.
 
-    Requests and history go by key in the order of time, all windows in one pass: no pair of a request and a
-    history row is formed. A null key is a key of its own.
+    Requests and history go by key and time bucket: no pair of a request and a history row is formed, and a hot key
+    is dealt over its buckets. A null key is a key of its own.
     """
-    both = requests.select(F.col(id).alias("_id"), F.col(key).alias("_k0"), F.col(t).alias("_t"), F.lit(None).cast("double").alias("_a"), F.lit(False).alias("_h"))
+    both = requests.select(F.col(id).alias("_id"), F.col(key).alias("_k0"), F.col(t).alias("_at"), F.lit(None).cast("double").alias("_a"), F.lit(False).alias("_h"))
     both = both.union(history_rows.select(F.lit(None), F.col(key), F.col(t), F.col(amount).cast("double"), F.lit(True)))
-    w = history("_key", "_e")
-    real = (F.col("_k") == 0) & (F.col("_c") == 1)
-    more = {"gap": F.col("_e") - F.max(F.when(real, F.col("_e"))).over(w)}
-    for label, seconds in windows.items():
-        if seconds is None:
-            more |= {f"cnt_{label}": F.count_if(real).over(w), f"sum_{label}": F.sum(F.when(real, F.col("_v"))).over(w)}
-    limited = {label: seconds for label, seconds in windows.items() if seconds is not None}
-    out = leaving_windows(both, "_k0", "_t", "_a", limited, ("cnt", "sum"), more, F.col("_h")).where("NOT _h")
-    return out.select(F.col("_id").alias(id), F.col("_t").alias(t), *(f"{n}_{label}" for label in windows for n in ("cnt", "sum")), "gap")
+    out = segmented(both, "_k0", "_at", "_a", windows, real=F.col("_h")).where("NOT _h")
+    return out.select(F.col("_id").alias(id), F.col("_at").alias(t), *(F.col(f"{label}_{n}").alias(f"{n}_{label}") for label in windows for n in ("cnt", "sum")), "gap")
 
 
 def trailing_mean(x: str, order: str, rows: int, by: tuple[str, ...] = (), least: int = 1) -> Column:

@@ -86,7 +86,7 @@ def w1_past_window_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(TX + f"SELECT id, count(*) OVER w AS h7_cnt, round((sum(v) OVER w) + 1e-6, 4) AS h7_sum, round((avg(v) OVER w) + 1e-6, 4) AS h7_mean, round((stddev_samp(v) OVER w) + 1e-6, 4) AS h7_std FROM (SELECT *, CASE WHEN k % 9 = 0 THEN NULL ELSE amount END AS v FROM tx) WINDOW w AS ({D7})")
 def w1_past_window_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tx(spark, sf_dir).withColumn("v", F.when(F.col("k") % 9 != 0, F.col("amount")))
-    return rounded(W.past_window_by_prefix(d, "id", "user_id", "t", "v", 7 * W.DAY, "h7").select("id", "h7_cnt", "h7_sum", "h7_mean", "h7_std"), 4, 1e-6)
+    return rounded(W.past_window_by_prefix(d, "user_id", "t", "v", 7 * W.DAY, "h7").select("id", "h7_cnt", "h7_sum", "h7_mean", "h7_std"), 4, 1e-6)
 
 
 @query(TX + f"SELECT id, count(*) OVER w AS hist_cnt, round((sum(amount) OVER w) + 1e-8, 6) AS hist_sum, round((avg(amount) OVER w) + 1e-8, 6) AS hist_mean, round((stddev_samp(amount) OVER w) + 1e-8, 6) AS hist_std, t - max(t) OVER w AS gap FROM tx WINDOW w AS ({ALL})")
@@ -107,10 +107,13 @@ def w4_past_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.past_distinct(tx(spark, sf_dir), "user_id", "t", "event_type", "id", "types").select("id", "types")
 
 
-def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+def keyed_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tx(spark, sf_dir).withColumn("a", F.col("k") % 4)
-    d = R.entity_keys(d, {"card_key": ["user_id"], "addr_key": ["user_id", "a"], "acct_key": ["user_id", "a", "k3"]})
-    return W.entity_aggregates(d, {"card": "card_key", "addr": "addr_key", "acct": "acct_key"}, "t", "amount", "id", {"category": "k5", "device": "k3"})
+    return R.entity_keys(d, {"card_key": ["user_id"], "addr_key": ["user_id", "a"], "acct_key": ["user_id", "a", "k3"]})
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.entity_aggregates(keyed_tx(spark, sf_dir), {"card": "card_key", "addr": "addr_key", "acct": "acct_key"}, "t", "amount", {"category": "k5", "device": "k3"})
 
 
 def entity_sql() -> str:
@@ -136,6 +139,26 @@ def w7_entity_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d.select("id", *(c for c in d.columns if c.split("_")[0] in ("card", "addr", "acct") and not c.endswith("_key"))), 4, 1e-6)
 
 
+def account_sql() -> str:
+    cols = []
+    for p, c in W.ACCOUNT_FEATURES:
+        key = {"card": "user_id", "addr": "user_id, k % 4", "acct": "user_id, k % 4, k3"}[p]
+        label, _, stat = c.rpartition("_")
+        over = f"(PARTITION BY {key} ORDER BY t RANGE BETWEEN {({'1h': 3600, '24h': 86400, '7d': 604800}.get(label, 'UNBOUNDED'))} PRECEDING AND 1 PRECEDING)"
+        mean, std = f"avg(amount) OVER {over}", f"stddev_samp(amount) OVER {over}"
+        said = {"cnt": f"count(*) OVER {over}", "sum": f"round((sum(amount) OVER {over}) + 1e-6, 4)", "mean": f"round(({mean}) + 1e-6, 4)", "std": f"round(({std}) + 1e-6, 4)", "gap": f"t - max(t) OVER {over}"}
+        said |= {"ratio": f"round((CASE WHEN {mean} <> 0 THEN amount / ({mean}) END) + 1e-6, 4)", "z": f"round((CASE WHEN {std} <> 0 THEN (amount - {mean}) / ({std}) END) + 1e-6, 4)", "distinct": f"coalesce(CAST(sum(f_{label}) OVER {over} AS BIGINT), 0)"}
+        cols.append(f"{said[stat]} AS {p}_{c}")
+    first = ", ".join(f"CAST(row_number() OVER (PARTITION BY user_id, k % 4, k3, {o} ORDER BY t, id) = 1 AS INTEGER) AS f_{o}" for o in ("k5", "k3"))
+    return TX + f"SELECT id, {', '.join(cols)} FROM (SELECT *, {first} FROM tx)"
+
+
+@query(account_sql())
+def w6_account_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = W.account_block(keyed_tx(spark, sf_dir), {"card": "card_key", "addr": "addr_key", "acct": "acct_key"}, "t", "amount", {"k5": "k5", "k3": "k3"})
+    return rounded(d.select("id", *(f"{p}_{c}" for p, c in W.ACCOUNT_FEATURES)), 4, 1e-6)
+
+
 def entity_split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = entities(spark, sf_dir).where("split is not null")
     return rounded(d.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("card_cnt_7d").alias("card_cnt_7d"), F.avg("card_amt_ratio").alias("card_amt_ratio"), F.avg("acct_gap").alias("acct_gap"), F.avg("y").alias("rate")))

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions.rowwise import sigmoid
+from riskframe.operators.windows import ACCOUNT_FEATURES, DAY, HOUR, account_features, account_inputs
+from riskframe.plans.features import keyed_tx
 from riskframe.plans.registry import query, rounded
 from riskframe.plans.views import EPOCH, TX, table, tx
 from riskframe.sources import io
+from riskframe.streaming import keyed
 from riskframe.streaming import stream as ST
 
 
@@ -40,8 +43,50 @@ W = "PARTITION BY user_id ORDER BY t RANGE BETWEEN {} PRECEDING AND 1 PRECEDING"
 
 @query(TX + f"SELECT id, user_id AS key, count(*) OVER ({W.format(604800)}) AS cnt_window, round(sum(amount) OVER ({W.format(604800)}), 4) AS sum_window, count(*) OVER ({W.format('UNBOUNDED')}) AS cnt_hist, CAST(t - max(t) OVER ({W.format('UNBOUNDED')}) AS DOUBLE) AS gap FROM tx")
 def st2_stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = ST.entity_features(event_stream(spark, sf_dir), "user_id", "t", "amount", "id")
-    return rounded(ST.run_through(features, folder(spark, "features")), 4)
+    features = keyed.entity_features(event_stream(spark, sf_dir), {"user": "user_id"}, "t", "amount", "id", {"w": 7 * DAY, "h": None}, [])
+    out = ST.run_through(features, folder(spark, "features"))
+    return rounded(out.select("id", F.col("key").cast("long").alias("key"), F.col("w_cnt").alias("cnt_window"), F.col("w_sum").alias("sum_window"), F.col("h_cnt").alias("cnt_hist"), F.col("gap").cast("double").alias("gap")), 4)
+
+
+def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions with their three text keys as a stream of four files, ten days each; every 17th row is a file late."""
+    at = folder(spark, "arriving")
+    d = keyed_tx(spark, sf_dir).withColumn("f", F.floor(F.col("tx_day") / 10) + F.when(F.col("k") % 17 == 0, 1).otherwise(0))
+    d = d.select("id", "t", "amount", "k5", "k3", "card_key", "addr_key", "acct_key", "f")
+    for f in range(4):
+        d.where(F.col("f") == f).drop("f").coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(d.drop("f").schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
+def arriving_sql() -> str:
+    cols = []
+    for prefix, stat in ACCOUNT_FEATURES:
+        label = stat.rsplit("_", 1)[0]
+        seconds = {"1h": 3600, "24h": DAY, "7d": 7 * DAY}.get(label)
+        own = f"h.t >= r.t - {seconds}" if seconds else "true"
+        kind = {"cnt": "count(h.id)", "sum": "sum(h.amount)", "mean": "avg(h.amount)", "std": "stddev_samp(h.amount)"}.get(stat.rsplit("_", 1)[-1])
+        kind = {"gap": "min(r.t - h.t)", "k5_distinct": "count(DISTINCT h.k5)", "k3_distinct": "count(DISTINCT h.k3)"}.get(stat, f"{kind} FILTER (WHERE {own})")
+        if stat in ("ratio", "z"):
+            mean, std = "avg(h.amount)", "stddev_samp(h.amount)"
+            kind = f"CASE WHEN {mean} <> 0 THEN r.amount / {mean} END" if stat == "ratio" else f"CASE WHEN {std} <> 0 THEN (r.amount - {mean}) / {std} END"
+        cols.append((prefix, f"round(({kind}) + 1e-6, 4)" if stat.endswith(("sum", "mean", "std", "ratio", "z")) else kind, f"{prefix}_{stat}"))
+    parts = []
+    for prefix, key in {"card": "user_id", "addr": "user_id || '_' || k % 4", "acct": "user_id || '_' || k % 4 || '_' || k3"}.items():
+        said = ", ".join(f"{c} AS {name}" for p, c, name in cols if p == prefix)
+        parts.append(f"(SELECT r.id, {said} FROM (SELECT *, {key} AS key FROM a) r LEFT JOIN (SELECT *, {key} AS key FROM a) h ON h.key = r.key AND h.t < r.t AND h.f <= r.f GROUP BY r.id, r.t, r.amount) {prefix}")
+    names = ", ".join(name for _, _, name in cols)
+    return TX + f", a AS (SELECT *, tx_day // 10 + CAST(k % 17 = 0 AS INTEGER) AS f FROM tx) SELECT card.id, {names} FROM {parts[0]} JOIN {parts[1]} USING (id) JOIN {parts[2]} USING (id)"
+
+
+@query(arriving_sql())
+def st2_account_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 account features of each row, from what has arrived in earlier files or is earlier in its own."""
+    windows = {"1h": HOUR, "24h": DAY, "7d": 7 * DAY, "hist": None}
+    keys = {"card": "card_key", "addr": "addr_key", "acct": "acct_key"}
+    stream = keyed.entity_features(arriving(spark, sf_dir), keys, "t", "amount", "id", windows, ["k5", "k3"], lateness=30 * DAY)
+    long = ST.run_through(stream, folder(spark, "accounts"))
+    wide = long.groupBy("id").agg(*(F.max(F.when(F.col("level") == p, F.col(c))).alias(f"{p}_{c}") for p, c in account_inputs()))
+    return rounded(account_features(wide.join(tx(spark, sf_dir).select("id", "amount"), "id"), "amount").select("id", *(f"{p}_{c}" for p, c in ACCOUNT_FEATURES)), 4, 1e-6)
 
 
 @query(TX + "SELECT id, amount, round(CAST(k AS DOUBLE), 6) AS v1, CAST(1 AS DOUBLE) AS v2 FROM tx WHERE k % 9 <> 0 AND k % 5 <> 0 AND k % 7 <> 0")

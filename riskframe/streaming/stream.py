@@ -1,67 +1,16 @@
-"""The same feature semantics on streams: keyed state, daily windows, exactly-once appends, matured labels."""
+"""Streams: validated source, scoring, daily windows, exactly-once appends, matured labels (keyed state: see keyed)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskframe.functions.rowwise import decide
 from riskframe.sources.io import append_once, validate_payload
-
-DAY = 86_400
-
-
-def entity_features(stream: DataFrame, key: str, t: str, amount: str, id: str, window: int = 7 * DAY, idle: str | None = None) -> DataFrame:
-    """(id, key, cnt_window, sum_window, cnt_hist, gap) of each row from strictly earlier rows of its key.
-
-    State of a key: the times and amounts of its last window, how many came before, and when the last of those did.
-    Rows of a batch are taken in the order of time; ties do not see each other. Rows older than what was seen still
-    count for later ones, as history does. Null amounts are no part of sums; null keys are one key.
-
-    idle: how long a key may stay away before its state goes (such as "90 days"); its history then begins anew.
-    """
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        old_t, old_a, dropped, before = state.get if state.exists else ([], [], 0, None)
-        rows = pd.concat(list(frames)).sort_values([t, id], kind="stable")
-        times = np.concatenate([np.array(old_t, np.int64), rows[t].to_numpy(np.int64)])
-        amounts = np.concatenate([np.array(old_a, float), rows[amount].to_numpy(float)])
-        order = np.argsort(times, kind="stable")
-        times, amounts = times[order], amounts[order]
-        now = rows[t].to_numpy(np.int64)
-        low, high = np.searchsorted(times, now - window), np.searchsorted(times, now)
-        known = np.concatenate([[0], np.cumsum(~np.isnan(amounts))])
-        sums = np.concatenate([[0.0], np.cumsum(np.nan_to_num(amounts))])
-        last = np.where(high > 0, times[np.maximum(high - 1, 0)], np.nan if before is None else before)
-        out = {
-            "id": rows[id].to_numpy(np.int64),
-            "key": pd.array([k[0]] * len(rows), dtype="Int64"),
-            "cnt_window": high - low,
-            "sum_window": np.where(known[high] > known[low], sums[high] - sums[low], np.nan),
-            "cnt_hist": dropped + high,
-            "gap": np.where(last < now, now - last, np.nan),
-        }
-        cut = int(np.searchsorted(times, times[-1] - window))
-        if cut:
-            dropped, before = dropped + cut, int(times[cut - 1])
-        state.update((times[cut:].tolist(), amounts[cut:].tolist(), dropped, before))
-        if idle:
-            state.setTimeoutDuration(idle)
-        yield pd.DataFrame(out)
-
-    out_schema = "id long, key long, cnt_window long, sum_window double, cnt_hist long, gap double"
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    return stream.groupBy(key).applyInPandasWithState(step, out_schema, "times array<long>, amounts array<double>, dropped long, before long", "append", timeout)
-
+from riskframe.streaming.keyed import ROCKS
 
 def validated(stream: DataFrame, schema: str, required: list[str], block: list[str]) -> tuple[DataFrame, DataFrame]:
     """(good, bad) payloads of a stream with a JSON text column `payload`: parsed, and as they came.
@@ -137,6 +86,8 @@ def append_sink(stream: DataFrame, store: str, key: str, checkpoint: str, change
 
 def run_through(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """All that a stream has now, as a table under folder: appended rows, or the last complete result."""
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # keyed state needs it; read as a query starts
     out = f"{folder}/rows"
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     if mode == "complete":

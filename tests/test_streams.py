@@ -1,9 +1,11 @@
 """Streams in several batches give what one batch gives."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from riskframe.operators import windows as W
+from riskframe.streaming import keyed
 from riskframe.streaming import stream as ST
 
 SCHEMA = "id long, user_id long, t long, amount double"
@@ -21,16 +23,62 @@ def in_batches(spark, rows, folder, n):
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def test_keyed_state_over_batches_is_the_window(spark, rows, tmp_path):
-    stream = in_batches(spark, rows, f"{tmp_path}/in", 4)
-    out = ST.run_through(ST.entity_features(stream, "user_id", "t", "amount", "id", window=40_000), f"{tmp_path}/out")
-    found = {r["id"]: r for r in out.collect()}
-    df = spark.createDataFrame(rows, SCHEMA)
-    want = W.past_window(df, "user_id", "t", "amount", {"w": 40_000, "h": None}, "x").withColumn("gap", W.secs_since_prev("user_id", "t"))
-    for r in want.collect():
-        f = found[r["id"]]
-        assert (f["cnt_window"], f["cnt_hist"]) == (r["x_w_cnt"], r["x_h_cnt"]) and f["gap"] == r["gap"]
-        assert f["sum_window"] == pytest.approx(r["x_w_sum"]) if r["x_w_sum"] is not None else f["sum_window"] is None
+def arrived(rows, r, batch_of, windows):
+    """What the row of an id sees: strictly earlier rows of its key that are in its batch or an earlier one."""
+    import statistics
+
+    past = [x for x in rows if x[1] == r[1] and x[2] < r[2] and batch_of[x[0]] <= batch_of[r[0]]]
+    out = {}
+    for label, s in windows.items():
+        inside = [x for x in past if s is None or x[2] >= r[2] - s]
+        v = [x[3] for x in inside if x[3] is not None]
+        out |= {f"{label}_cnt": len(inside), f"{label}_sum": sum(v) if v else None, f"{label}_mean": statistics.fmean(v) if v else None, f"{label}_std": statistics.stdev(v) if len(v) > 1 else None}
+    return out | {"gap": r[2] - max(x[2] for x in past) if past else None, "o_distinct": len({x[4] for x in past})}
+
+
+@pytest.mark.parametrize("lateness", [10_000, 10_000_000])
+def test_keyed_state_over_batches_with_late_rows(spark, tmp_path, lateness):
+    import random
+
+    r = random.Random(3)
+    windows = {"w": 43_200, "h": None}
+    rows = [(i, None if i % 13 == 0 else f"key {i % 4}", r.randrange(40) * 1_800 * (1 + i // 60), None if i % 7 == 0 else float(i % 11), None if i % 5 == 0 else "xyz"[i % 3]) for i in range(240)]
+    batch_of = {x[0]: x[0] // 60 for x in rows}
+    schema = "id long, k string, t long, amount double, o string"
+    for b in range(4):
+        spark.createDataFrame([x for x in rows if batch_of[x[0]] == b], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = ST.run_through(keyed.entity_features(stream, {"a": "k"}, "t", "amount", "id", windows, ["o"], lateness=lateness), f"{tmp_path}/out")
+    found = {x["id"]: x for x in out.collect()}
+    assert len(found) == len(rows)
+    for x in rows:
+        before = [y[2] for y in rows if y[1] == x[1] and batch_of[y[0]] < batch_of[x[0]]]
+        late = bool(before) and x[2] // 3_600 < max(before) // 3_600 - lateness // 3_600
+        f = found[x[0]]
+        assert f["late"] == late and f["level"] == "a" and f["key"] == x[1]
+        for c, want in arrived(rows, x, batch_of, windows).items():
+            assert f[c] is None if late or want is None else f[c] == pytest.approx(want), (x, c)
+    assert any(x["late"] for x in found.values()) == (lateness == 10_000)
+
+
+def test_an_idle_key_begins_anew(spark, tmp_path):
+    schema = "id long, k string, t long, amount double"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", keyed.ROCKS)
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    features = keyed.entity_features(stream, {"a": "k"}, "t", "amount", "id", {"h": None}, [], idle=2)
+    query = features.writeStream.format("memory").queryName("idle").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="500 milliseconds").start()
+    try:
+        for i, key in enumerate(["x", "x", "x"]):
+            spark.createDataFrame([(i, key, i, 1.0)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            began = time.time()
+            while spark.table("idle").count() <= i and time.time() - began < 30:
+                time.sleep(0.2)
+            time.sleep(8 if i else 0)
+        found = sorted((r["id"], r["h_cnt"]) for r in spark.table("idle").collect())
+    finally:
+        query.stop()
+    assert found == [(0, 0), (1, 1), (2, 0)]
 
 
 def test_append_sink_after_a_lost_checkpoint(spark, rows, tmp_path):

@@ -6,6 +6,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskframe.operators import windows as W
 
@@ -55,11 +56,56 @@ def test_past_window(spark, rows, seconds):
     assert all(all(map(close, found[i], want[i])) for i in want)
 
 
-def test_prefix_form_is_the_same(spark, rows):
+def matches(found, want, label):
+    return all(found[i][f"{label}_cnt"] == want[i][0] and all(close(found[i][f"{label}_{c}"], x) for c, x in zip(("sum", "mean", "std"), want[i][1:], strict=True)) for i in want)
+
+
+@pytest.mark.parametrize("bucket", [60, 1_800, 3_600])
+def test_segments_are_the_same(spark, rows, bucket):
+    windows = {"h": 3_600, "d": 86_400, "all": None}
     df = spark.createDataFrame(rows, SCHEMA)
-    found = {r[0]: tuple(r)[1:] for r in W.past_window_by_prefix(df.where("key is not null"), "id", "key", "t", "v", 86_400, "x").select("id", "x_cnt", "x_sum", "x_mean", "x_std").collect()}
-    want = expected(rows, 86_400)
-    assert found and all(all(map(close, found[i], want[i])) for i in found)
+    found = {r["id"]: r for r in W.segmented(df, "key", "t", "v", windows, distinct={"o": "o", "v": "v"}, bucket=bucket).collect()}
+    assert len(found) == len(rows) and all(matches(found, expected(rows, s), label) for label, s in windows.items())
+    for r in found.values():
+        past = [x for x in rows if x[1] == r["key"] and x[2] < r["t"]]
+        assert r["o_distinct"] == len({x[4] for x in past}) and r["v_distinct"] == len({x[3] for x in past})
+        assert r["gap"] == (r["t"] - max(x[2] for x in past) if past else None)
+
+
+def test_segments_of_long_histories_negative_times_and_nan(spark):
+    nan = float("nan")
+    rows = [(i, "k", t, v, "o") for i, (t, v) in enumerate([(-700_000, 3.0), (-3_601, 1.0), (-3_600, nan), (-1, 2.0), (0, None), (1, 4.0), (3_600, 8.0), (3_599, 1.0), (900_000, 5.0), (90_000_000, 6.0), (90_000_000, 7.0), (90_000_001, 1.0)])]
+    found = {r["id"]: r for r in W.segmented(spark.createDataFrame(rows, SCHEMA), "key", "t", "v", {"h": 3_600, "w": 604_800, "all": None}).collect()}
+    plain = [(i, k, t, None if v is None or v != v else v, o) for i, k, t, v, o in rows]
+    for label, s in (("h", 3_600), ("w", 604_800), ("all", None)):
+        assert matches(found, expected(plain, s), label)
+
+
+def test_a_value_outside_the_window_does_not_bear_on_it(spark):
+    """Neither NaN nor a value beside which the others vanish, in the same bucket or an earlier one."""
+    day = 30 * 86_400
+    for odd in (float("nan"), 1e17):
+        rows = [(0, "k", 0, odd, ""), (1, "k", day, 1e17, ""), (2, "k", day + 1_000, 5.0, ""), (3, "k", day + 1_100, 7.0, ""), (4, "k", day + 4_000, 1.0, "")]
+        df = spark.createDataFrame(rows, SCHEMA)
+        r = {r["id"]: r for r in W.segmented(df, "key", "t", "v", {"w": 3_600}).collect()}[4]
+        assert (r["w_cnt"], r["w_sum"], r["w_mean"], r["w_std"]) == (2, 12.0, 6.0, pytest.approx(2**0.5))
+        found = {r["id"]: r for r in W.history_lookup(df, df.where("id <> 1"), "key", "t", "v", "id", {"d": 86_400}).collect()}
+        assert found[4]["sum_d"] == 12.0
+        e = W.entity_aggregates(df.where("id <> 1"), {"a": "key"}, "t", "v", {"o": "o"}).where("id = 4").first()
+        assert e["a_amt_sum_24h"] == 12.0 and e["a_o_distinct"] == 1
+
+
+def test_a_hot_key_is_dealt_over_all_tasks(spark):
+    """300,000 rows of one key in 30 days: no task of the windows' stage holds more than its share of the buckets."""
+    df = spark.range(300_000, numPartitions=4).select("id", F.when(F.col("id") >= 0, "hot").alias("key"), (F.col("id") * 8).alias("t"), F.lit(1.0).alias("v"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = W.segmented(df, "key", "t", "v", {"h": 3_600, "d": 86_400}).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(rows) == 16 and max(r["count"] for r in rows) < 300_000 / 16 * 2
 
 
 def test_distinct_and_gap(spark, rows):
@@ -77,16 +123,6 @@ def test_ties_do_not_see_each_other(spark):
     assert found == [(100, 0, None), (100, 0, None), (200, 2, 3.0)]
 
 
-def test_leaving_windows_are_the_same(spark, rows):
-    df = spark.createDataFrame(rows, SCHEMA)
-    windows = {"h": 3_600, "d": 86_400}
-    found = {r["id"]: r for r in W.leaving_windows(df, "key", "t", "v", windows, ("n", "s"), {}).collect()}
-    assert len(found) == len(rows)
-    for label, seconds in windows.items():
-        want = expected(rows, seconds)
-        assert all(found[i][f"n_{label}"] == want[i][0] and close(found[i][f"s_{label}"], want[i][1]) for i in want)
-
-
 def test_history_lookup_sees_strictly_earlier_history_only(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
     requests = df.where("id % 5 = 0")
