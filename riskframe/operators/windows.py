@@ -60,30 +60,36 @@ BUCKET, SPAN = HOUR, 168
 STATS = ("cnt", "sum", "mean", "std")
 
 
-def moments(x: Column, rows: Column, over: Callable[[Column], Column] = lambda c: c) -> Column:
-    """n rows, and of the values m, their sum, mean and sum of squared deviations, as a struct without nulls."""
+def moments(x: Column, rows: Column, deviations: bool, over: Callable[[Column], Column] = lambda c: c) -> Column:
+    """n rows, and of the values m, their sum, and if asked mean and sum of squared deviations, as a struct without nulls."""
     values = F.when(rows, x)
     some = lambda c: F.coalesce(over(c), F.lit(0.0))
     m = over(F.count(values))
-    return F.struct(over(F.count_if(rows)).alias("n"), m.alias("m"), some(F.sum(values)).alias("s"), some(F.avg(values)).alias("mean"), (some(F.var_pop(values)) * m).alias("q"))
+    parts = [over(F.count_if(rows)).alias("n"), m.alias("m"), some(F.sum(values)).alias("s")]
+    if deviations:
+        parts += [some(F.avg(values)).alias("mean"), (some(F.var_pop(values)) * m).alias("q")]
+    return F.struct(*parts)
 
 
-def merged(parts: Column) -> Column:
-    """The moments of all parts together: deviations are added up about each part's own mean, nothing is subtracted."""
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("m"), F.lit(0.0).alias("s"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("q"))
+def both(a: Column, b: Column) -> Column:
+    """The moments of two parts together: deviations are added up about each part's own mean, nothing is subtracted."""
+    m = a["m"] + b["m"]
+    share = F.when(m > 0, b["m"] / m).otherwise(0.0)
+    d = b["mean"] - a["mean"]
+    mean = F.when(a["m"] == 0, b["mean"]).otherwise(a["mean"] + d * share)
+    q = F.when(a["m"] == 0, b["q"]).otherwise(a["q"] + b["q"] + d * d * share * a["m"])
+    return F.struct((a["n"] + b["n"]).alias("n"), m.alias("m"), (a["s"] + b["s"]).alias("s"), mean.alias("mean"), q.alias("q"))
+
 
-    def both(a: Column, b: Column) -> Column:
-        m = a["m"] + b["m"]
-        share = F.when(m > 0, b["m"] / m).otherwise(0.0)
-        d = b["mean"] - a["mean"]
-        mean = F.when(a["m"] == 0, b["mean"]).otherwise(a["mean"] + d * share)
-        q = F.when(a["m"] == 0, b["q"]).otherwise(a["q"] + b["q"] + d * d * share * a["m"])
-        return F.struct((a["n"] + b["n"]).alias("n"), m.alias("m"), (a["s"] + b["s"]).alias("s"), mean.alias("mean"), q.alias("q"))
+def zero() -> Column:
+    return F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("m"), F.lit(0.0).alias("s"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("q"))
 
-    return F.aggregate(parts, zero, both)
+
+def merged(parts: Column) -> Column:
+    return F.aggregate(parts, zero(), both)
 
 
-def segmented(df: DataFrame, key: str, t: str, value: str, windows: dict[str, int | None], *, distinct: dict[str, str] | None = None, real: Column | None = None, source: DataFrame | None = None, bucket: int = BUCKET) -> DataFrame:
+def segmented(df: DataFrame, key: str, t: str, value: str, windows: dict[str, int | None], *, distinct: dict[str, str] | None = None, real: Column | None = None, source: DataFrame | None = None, plain: tuple[str, ...] = (), bucket: int = BUCKET) -> DataFrame:
     """df with <label>_cnt, _sum, _mean and _std of each window [t - seconds, t) (None: all before t), `gap`, the seconds
     since the last earlier row, and <name>_distinct, how many values of a column (null is one) came before.
 
@@ -94,8 +100,10 @@ def segmented(df: DataFrame, key: str, t: str, value: str, windows: dict[str, in
     moments only ever add what is inside the window. Windows are multiples of `bucket` seconds.
 
     NaN is a missing value, a null key is a key of its own. real: the rows that count (all by default); the others only
-    ask. source: df, where it is cheaper to read again (the totals come from it).
+    ask. source: df, where it is cheaper to read again (the totals come from it). plain: windows of which only _cnt and
+    _sum are wanted, which takes less.
     """
+    deep = {label for label in windows if label not in plain}
     limited = {label: seconds for label, seconds in windows.items() if seconds is not None}
     if bad := [s for s in limited.values() if s <= 0 or s % bucket]:
         raise ValueError(f"windows of {bad} seconds are no multiples of {bucket}")
@@ -122,47 +130,54 @@ def segmented(df: DataFrame, key: str, t: str, value: str, windows: dict[str, in
     asked = F.col("_k") == 0
     before = Window.partitionBy("_key", "_b").orderBy("_e").rangeBetween(Window.unboundedPreceding, -1)
     since = Window.partitionBy("_key", "_b").orderBy(F.desc("_e")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ends: dict[str, Column] = {"_head": moments(F.col("_v"), asked & F.col("_c"), lambda c: c.over(before)), "_last": F.max(F.when(asked & F.col("_c"), F.col("_e"))).over(before)}
+    ends: dict[str, Column] = {"_head": moments(F.col("_v"), asked & F.col("_c"), bool(deep), lambda c: c.over(before)), "_last": F.max(F.when(asked & F.col("_c"), F.col("_e"))).over(before)}
     ends |= {f"_d{j}": F.count_if(F.col("_k") == -j).over(before) for j in range(1, len(distinct) + 1)}
-    ends |= {f"_tail{i}": moments(F.col("_v"), F.col("_k") == i, lambda c: c.over(since)) for i in range(1, len(limited) + 1)}
+    ends |= {f"_tail{i}": moments(F.col("_v"), F.col("_k") == i, label in deep, lambda c: c.over(since)) for i, label in enumerate(limited, 1)}
     found = events.withColumn("_b", of("_e")).withColumns(ends).where(asked).select("_key", "_b", "_row", F.col("_e"), *ends)
 
     totals = again.select("_key", "_v", "_c", F.lit(0).alias("_k"), F.col("_t").alias("_e"))
     totals = (totals if firsts is None else totals.union(firsts)).withColumn("_b", of("_e"))
-    each = {"_m": moments(F.col("_v"), F.col("_c")), "_last_t": F.max(F.when(F.col("_c"), F.col("_e")))} | {f"_n{j}": F.count_if(F.col("_k") == -j) for j in range(1, len(distinct) + 1)}
+    each = {"_m": moments(F.col("_v"), F.col("_c"), bool(deep)), "_last_t": F.max(F.when(F.col("_c"), F.col("_e")))} | {f"_n{j}": F.count_if(F.col("_k") == -j) for j in range(1, len(distinct) + 1)}
     totals = totals.groupBy("_key", "_b").agg(*(c.alias(n) for n, c in each.items()))
     up = Window.partitionBy("_key").orderBy("_b")
     earlier = up.rowsBetween(Window.unboundedPreceding, -1)
     whole = {"_last_whole": F.max("_last_t").over(earlier)} | {f"_w{j}": F.coalesce(F.sum(f"_n{j}").over(earlier), F.lit(0)) for j in range(1, len(distinct) + 1)}
-    for i, s in enumerate(limited.values(), 1):
-        if s > bucket:
-            whole[f"_whole{i}"] = F.collect_list("_m").over(up.rangeBetween(1 - s // bucket, -1))
-    if len(limited) < len(windows):
+    sums = lambda over: F.struct(*(F.coalesce(F.sum(F.col("_m")[c]).over(over), F.lit(0)).alias(c) for c in "nms"))
+    for i, (label, seconds) in enumerate(limited.items(), 1):
+        if seconds > bucket:
+            inside = up.rangeBetween(1 - seconds // bucket, -1)
+            whole[f"_whole{i}"] = F.collect_list("_m").over(inside) if label in deep else sums(inside)
+    unlimited = len(limited) < len(windows)
+    deep_all = any(label in deep for label, seconds in windows.items() if seconds is None)
+    if unlimited and not deep_all:
+        whole["_all"] = sums(earlier)
+    if deep_all:
         # All before: the buckets of the same span before this one, and the spans before it.
         totals = totals.withColumn("_span", F.expr(f"(_b - pmod(_b, {SPAN})) div {SPAN}"))
         spans = totals.groupBy("_key", "_span").agg(merged(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_m"))), lambda z: z["_m"])).alias("_s"))
         spans = spans.withColumn("_spans", F.collect_list("_s").over(Window.partitionBy("_key").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)))
         whole["_inner"] = F.collect_list("_m").over(Window.partitionBy("_key", "_span").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.withColumns(whole)
-    if len(limited) < len(windows):
+    if deep_all:
         totals = totals.join(spans.select("_key", "_span", "_spans"), ["_key", "_span"]).withColumn("_all", merged(F.concat("_spans", "_inner")))
-    merges = {f"_whole{i}": merged(F.col(f"_whole{i}")) for i, s in enumerate(limited.values(), 1) if s > bucket}
-    totals = totals.withColumns(merges)
-    kept = [*merges, *(["_all"] if len(limited) < len(windows) else []), "_last_whole", *(f"_w{j}" for j in range(1, len(distinct) + 1))]
-    both = found.join(totals.select("_key", "_b", *kept), ["_key", "_b"], "left")
-    parts: dict[str, Column] = {}
-    at = {label: i for i, label in enumerate(limited, 1)}
-    for label, s in windows.items():
-        pieces = [F.col("_all")] if s is None else [F.col(f"_tail{at[label]}"), *([F.col(f"_whole{at[label]}")] if s > bucket else [])]
-        parts[f"_x_{label}"] = merged(F.array(*pieces, F.col("_head")))
-    both = both.withColumns(parts)
+    totals = totals.withColumns({f"_whole{i}": merged(F.col(f"_whole{i}")) for i, label in enumerate(limited, 1) if label in deep and f"_whole{i}" in whole})
+    kept = [*(c for c in whole if c.startswith("_whole")), *(["_all"] if unlimited else []), "_last_whole", *(f"_w{j}" for j in range(1, len(distinct) + 1))]
+    found = found.join(totals.select("_key", "_b", *kept), ["_key", "_b"], "left")
+    pieces = {label: ["_all"] if seconds is None else [f"_tail{i}", f"_whole{i}"] if seconds > bucket else [f"_tail{i}"] for i, (label, seconds) in [(list(limited).index(x[0]) + 1 if x[0] in limited else 0, x) for x in windows.items()]}
+    first = {f"_x_{label}": both(F.col(own[0]), F.col(own[1] if len(own) > 1 else "_head")) for label, own in pieces.items() if label in deep}
+    second = {f"_x_{label}": both(F.col(f"_x_{label}"), F.col("_head")) for label, own in pieces.items() if label in deep and len(own) > 1}
+    found = found.withColumns(first).withColumns(second) if first else found
     out: dict[str, Column] = {}
-    for label in windows:
-        c = F.col(f"_x_{label}")
-        out |= {f"{label}_cnt": c["n"], f"{label}_sum": F.when(c["m"] > 0, c["s"]), f"{label}_mean": F.when(c["m"] > 0, c["mean"]), f"{label}_std": F.when(c["m"] > 1, F.sqrt(c["q"] / (c["m"] - 1)))}
+    for label, own in pieces.items():
+        if label in deep:
+            c = F.col(f"_x_{label}")
+            out |= {f"{label}_cnt": c["n"], f"{label}_sum": F.when(c["m"] > 0, c["s"]), f"{label}_mean": F.when(c["m"] > 0, c["mean"]), f"{label}_std": F.when(c["m"] > 1, F.sqrt(c["q"] / (c["m"] - 1)))}
+        else:
+            n, m, x = (sum((F.col(p)[c] for p in own), F.col("_head")[c]) for c in "nms")
+            out |= {f"{label}_cnt": n, f"{label}_sum": F.when(m > 0, x)}
     out["gap"] = F.col("_e") - F.coalesce("_last", "_last_whole")
     out |= {f"{name}_distinct": F.col(f"_d{j}") + F.col(f"_w{j}") for j, name in enumerate(distinct, 1)}
-    return both.select("_row.*", *(c.alias(n) for n, c in out.items()))
+    return found.select("_row.*", *(c.alias(n) for n, c in out.items()))
 
 
 def entity_aggregates(df: DataFrame, keys: dict[str, str], t: str, amount: str, others: dict[str, str]) -> DataFrame:
@@ -172,7 +187,7 @@ def entity_aggregates(df: DataFrame, keys: dict[str, str], t: str, amount: str,
     last, given = list(keys)[-1], df
     a = F.when(~F.isnan(F.col(amount).cast("double")), F.col(amount))
     for prefix, key in keys.items():
-        found = segmented(df, key, t, amount, windows, distinct=others if prefix == last else {}, source=given)
+        found = segmented(df, key, t, amount, windows, distinct=others if prefix == last else {}, source=given, plain=("1h", "24h", "7d"))
         names = {f"{label}_{c}": f"{prefix}_{'cnt' if c == 'cnt' else 'amt_sum'}_{label}" for label in ("1h", "24h", "7d") for c in ("cnt", "sum")}
         names |= {"hist_mean": f"{prefix}_amt_mean_hist", "hist_std": f"{prefix}_amt_std_hist", "gap": f"{prefix}_gap"}
         names |= {f"{name}_distinct": f"{prefix}_{name}_distinct" for name in others if prefix == last}
@@ -212,7 +227,8 @@ def account_block(df: DataFrame, keys: dict[str, str], t: str, amount: str, othe
         labels = {c.rsplit("_", 1)[0] for c in stats if c.endswith(STATS)}
         windows = {label: s for label, s in {"1h": HOUR, "24h": DAY, "7d": 7 * DAY, "hist": None}.items() if label in labels}
         distinct = {name: c for name, c in others.items() if f"{name}_distinct" in stats}
-        found = segmented(df, key, t, amount, windows, distinct=distinct, source=given)
+        plain = tuple(label for label in windows if f"{label}_mean" not in stats and f"{label}_std" not in stats)
+        found = segmented(df, key, t, amount, windows, distinct=distinct, source=given, plain=plain)
         df = found.select(*df.columns, *(F.col(c).alias(f"{level}_{c}") for c in stats))
     return account_features(df, amount)
 
@@ -225,7 +241,7 @@ def history_lookup(requests: DataFrame, history_rows: DataFrame, key: str, t: st
     """
     both = requests.select(F.col(id).alias("_id"), F.col(key).alias("_k0"), F.col(t).alias("_at"), F.lit(None).cast("double").alias("_a"), F.lit(False).alias("_h"))
     both = both.union(history_rows.select(F.lit(None), F.col(key), F.col(t), F.col(amount).cast("double"), F.lit(True)))
-    out = segmented(both, "_k0", "_at", "_a", windows, real=F.col("_h")).where("NOT _h")
+    out = segmented(both, "_k0", "_at", "_a", windows, real=F.col("_h"), plain=tuple(windows)).where("NOT _h")
     return out.select(F.col("_id").alias(id), F.col("_at").alias(t), *(F.col(f"{label}_{n}").alias(f"{n}_{label}") for label in windows for n in ("cnt", "sum")), "gap")
 
 
