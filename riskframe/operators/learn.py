@@ -22,6 +22,7 @@ from riskframe.operators import calibrate
 from riskframe.operators.ordered import quantiles
 from riskframe.operators.rank_metrics import ranking_metrics
 from riskframe.operators.split import Fold
+from riskframe.operators.trees import read_trees, tree_contributions
 
 #: Minority rows among which neighbours are sought, the first by a hash of the key.
 NEIGHBOURS_FROM = 4_000
@@ -35,10 +36,13 @@ class Arm:
     weighted: bool = False
     ratio: float | None = None
     strength: float = 1e-3  # of the L2 penalty, or the learning rate of trees
+    trees: int = 10
+    depth: int = 4
+    label: str | None = None
 
     @property
     def name(self) -> str:
-        return "_".join([self.model, *["smote"] * (self.ratio is not None), *["weighted"] * self.weighted, *["natural"] * (self.ratio is None and not self.weighted)])
+        return self.label or "_".join([self.model, *["smote"] * (self.ratio is not None), *["weighted"] * self.weighted, *["natural"] * (self.ratio is None and not self.weighted)])
 
 
 @dataclass(frozen=True)
@@ -118,15 +122,23 @@ class Fitted:
     preparation: Preparation
     model: object
 
+    def explain(self, df: DataFrame, id: str) -> tuple[DataFrame, float]:
+        """((id, feature, contribution), base) of a model of trees, in log-odds; a feature and its missing flag are one."""
+        found = read_trees(self.model)
+        names = [c.removesuffix("_missing") if c not in self.preparation.numbers else c for c in self.preparation.columns]
+        long = tree_contributions(self.preparation.apply(df.select(id, *self.preparation.numbers)), id, self.preparation.columns, found, names)
+        return long.groupBy(id, "feature").agg(F.sum("contribution").alias("contribution")), found.base
+
     def score(self, df: DataFrame, p: str = "p") -> DataFrame:
         prepared = self.preparation.apply(df.withColumn("_row", F.struct(*df.columns)))
         scored = self.model.transform(VectorAssembler(inputCols=self.preparation.columns, outputCol="_x").transform(prepared))
         return scored.select("_row.*", vector_to_array("probability")[1].alias(p))
 
 
-def fit(train: DataFrame, key: str, y: str, features: list[str], arm: Arm, seed: int = 0) -> Fitted:
-    """An arm on training rows: prepared, oversampled if the arm says so, weighted by the ratio of what is left."""
-    preparation = prepare(train, features)
+def fit(train: DataFrame, key: str, y: str, features: list[str], arm: Arm, seed: int = 0, preparation: Preparation | None = None) -> Fitted:
+    """An arm on training rows: prepared (if it is not yet), oversampled if the arm says so, weighted by the ratio of
+    what is left."""
+    preparation = preparation or prepare(train, features)
     rows = preparation.apply(train.select(key, y, *features))
     if arm.ratio is not None:
         rows = smote(rows, key, y, preparation.columns, arm.ratio, seed=seed)
@@ -139,7 +151,7 @@ def fit(train: DataFrame, key: str, y: str, features: list[str], arm: Arm, seed:
     if arm.model == "logreg":
         estimator = LogisticRegression(regParam=arm.strength, standardization=False, maxIter=100, tol=1e-6, **common)
     elif arm.model == "gbt":
-        estimator = GBTClassifier(maxIter=10, maxDepth=4, maxBins=63, stepSize=max(0.05, arm.strength), seed=seed, **common)
+        estimator = GBTClassifier(maxIter=arm.trees, maxDepth=arm.depth, maxBins=63, stepSize=max(0.05, arm.strength), seed=seed, **common)
     else:
         raise ValueError(f"no such model: {arm.model}")
     return Fitted(preparation, estimator.fit(rows))
@@ -171,13 +183,22 @@ def cross_validate(df: DataFrame, key: str, y: str, features: list[str], folds:
 
 
 def search(df: DataFrame, key: str, y: str, features: list[str], folds: list[Fold], arms: list[Arm], day: str = "tx_day") -> DataFrame:
-    """(arm, strength, mean and deviation of pr_auc over the folds), the best first."""
-    out = None
-    for arm in arms:
-        m = cross_validate(df, key, y, features, folds, arm, day).groupBy("arm").agg(F.avg("pr_auc").alias("mean_pr_auc"), F.stddev_pop("pr_auc").alias("std_pr_auc"))
-        m = m.withColumn("strength", F.lit(arm.strength))
-        out = m if out is None else out.union(m)
-    return out.orderBy(F.desc("mean_pr_auc"), "arm", "strength")
+    """(arm, strength, trees, depth, mean and deviation of pr_auc over the folds), the best first.
+
+    A fold's training rows are read, and their medians taken, once for all arms.
+    """
+    each = None
+    for f in folds:
+        train, valid = (x.select(key, y, *features).persist() for x in parts(df, f, day))
+        preparation = prepare(train, features)
+        for i, arm in enumerate(arms):
+            scored = fit(train, key, y, features, arm, preparation=preparation).score(valid)
+            m = ranking_metrics(scored, y, "p").select(F.lit(i).alias("_i"), "pr_auc").collect()  # one row
+            row = df.sparkSession.createDataFrame([(i, arm.name, arm.strength, arm.trees, arm.depth, m[0]["pr_auc"])], "_i int, arm string, strength double, trees int, depth int, pr_auc double")
+            each = row if each is None else each.union(row)
+        train.unpersist(), valid.unpersist()
+    out = each.groupBy("_i", "arm", "strength", "trees", "depth").agg(F.avg("pr_auc").alias("mean_pr_auc"), F.stddev_pop("pr_auc").alias("std_pr_auc")).drop("_i")
+    return out.orderBy(F.desc("mean_pr_auc"), "arm", "strength", "trees", "depth")
 
 
 def calibrator(oof: DataFrame, y: str, kind: str | None = None) -> tuple[str, float, float]:
@@ -196,6 +217,11 @@ def refit_and_score(train: DataFrame, valid: DataFrame, key: str, y: str, featur
     return scored.withColumn("p", apply_calibrator(F.col("p_raw"), *found))
 
 
+def df_of(few: DataFrame) -> DataFrame:
+    """A table of a few rows, computed now."""
+    return few.sparkSession.createDataFrame(few.collect(), few.schema)
+
+
 def select_arm(train: DataFrame, valid: DataFrame, key: str, y: str, features: list[str], folds: list[Fold], arms: list[Arm], rules: Callable[[DataFrame], DataFrame], day: str = "tx_day") -> DataFrame:
     """By arm, the best on validation first: calibrator, ranking metrics, and what `rules` says of its scores (a row)."""
     out = None
@@ -204,6 +230,8 @@ def select_arm(train: DataFrame, valid: DataFrame, key: str, y: str, features: l
         scored = refit_and_score(train, valid, key, y, features, arm, found).persist()
         m = ranking_metrics(scored, y, "p").select("pr_auc", "roc_auc", "prevalence")
         row = m.crossJoin(rules(scored)).select(F.lit(arm.name).alias("arm"), F.lit(found[0]).alias("calibrator"), "*")  # one row each
+        row = df_of(row)
+        scored.unpersist()
         out = row if out is None else out.union(row)
     return out.orderBy(F.desc("pr_auc"), "arm")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskframe.operators import calibrate as CA
 from riskframe.operators import decision as D
 from riskframe.operators import learn as L
+from riskframe.operators import monitor as MO
 from riskframe.operators import split as S
 from riskframe.plans.registry import query, rounded
 from riskframe.plans.views import TX, tx
@@ -62,6 +63,44 @@ def m8_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.compare(d.where("split = 'train'"), {"valid": d.where("split = 'valid'")}, "id", "y", FEATURES, {"gbt": L.Arm("gbt", strength=0.1)}), 4)
 
 
+TREES = L.Arm("gbt", strength=0.1, trees=20, depth=5)
+
+
+@query(LEARN + """, v AS (SELECT count(*) AS n FROM r WHERE split = 'valid'), f(feature) AS (VALUES ('amount'), ('k'), ('hour'), ('history'))
+SELECT feature, n AS "rows", CAST(0 AS BIGINT) AS "off", true AS matters FROM f, v WHERE feature IN ('amount', 'k') UNION ALL SELECT feature, n, 0, false FROM f, v WHERE feature NOT IN ('amount', 'k')""")
+def m20_tree_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By feature: rows explained, rows of which the contributions and the base miss the model's log-odds, and whether
+    the feature matters (a tenth of the whole mass), as the label's makeup says."""
+    d = rows(spark, sf_dir)
+    fitted = L.fit(d.where("split = 'train'"), "id", "y", FEATURES, TREES)
+    valid = d.where("split = 'valid'")
+    contributions, base = fitted.explain(valid, "id")
+    margins = fitted.score(valid).select("id", F.log(F.col("p") / (1 - F.col("p"))).alias("margin"))
+    off = contributions.groupBy("id").agg((F.sum("contribution") + base).alias("total")).join(margins, "id", "full").agg(F.count_if(F.coalesce(F.abs(F.col("total") - F.col("margin")) > 1e-6, F.lit(True))).alias("off"))
+    mass = contributions.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.abs("contribution")).alias("mass"))
+    all_ = mass.agg(F.sum("mass").alias("all"))
+    return mass.crossJoin(all_).crossJoin(off).select("feature", "rows", "off", (F.col("mass") > 0.1 * F.col("all")).alias("matters"))  # four rows and one each
+
+
+@query(LEARN + "SELECT CAST(count(*) AS BIGINT) AS \"rows\", true AS all_positive, true AS in_order FROM r WHERE split = 'valid'")
+def t3_tree_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three largest positive contributions of each row, from the fitted trees."""
+    d = rows(spark, sf_dir)
+    valid = d.where("split = 'valid'")
+    contributions, _ = L.fit(d.where("split = 'train'"), "id", "y", FEATURES, TREES).explain(valid, "id")
+    codes = MO.reason_codes(contributions, "id", 3).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "contribution"))).alias("c"))
+    seen = valid.select("id").join(codes, "id", "left")
+    fell = F.forall(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.get("c", i - 1)["contribution"] >= F.get("c", i)["contribution"])
+    return seen.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.min(F.forall("c", lambda x: x["contribution"] > 0).cast("int")) == 1, F.lit(True)).alias("all_positive"), F.coalesce(F.min(F.when(F.size("c") > 1, fell.cast("int"))) == 1, F.lit(True)).alias("in_order"))
+
+
+@query()
+def m10_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid over the learning rate, the number and the depth of trees."""
+    arms = [L.Arm("gbt", strength=rate, trees=n, depth=depth) for rate in (0.1, 0.3) for n, depth in ((10, 2), (20, 4))]
+    return rounded(L.search(rows(spark, sf_dir), "id", "y", FEATURES, FOLDS[:2], arms), 4)
+
+
 @query()
 def m9_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.cross_validate(rows(spark, sf_dir), "id", "y", FEATURES, FOLDS, ARMS[0]), 4)
