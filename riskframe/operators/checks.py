@@ -5,6 +5,7 @@ A report does not stop at what it finds: passed() raises for callers that want t
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from riskframe.functions.rowwise import apply_calibrator, prior_correction
 from riskframe.operators import audit
 from riskframe.operators import validate as V
 from riskframe.operators.split import Fold
-from riskframe.sources.io import compare_frames, digest, exists
+from riskframe.sources.io import compare_frames, create_once, digest, exists
 
 Check = tuple[str, DataFrame]  # a name, and one row with a count of what breaks it
 
@@ -158,7 +159,7 @@ def serving_report(history: DataFrame, served: DataFrame, batch: DataFrame, log:
     )
 
 
-def monitoring_report(log: DataFrame, sealed: DataFrame, history_days: DataFrame, reference: DataFrame, self_psi: DataFrame, verdicts: DataFrame, key: str, day: str, window: tuple[int, int], contract: list[str], n: int, most_missing: float, threshold: Column, digests: tuple[tuple[int, int], tuple[int, int]]) -> DataFrame:
+def monitoring_report(log: DataFrame, sealed: DataFrame, history_days: DataFrame, reference: DataFrame, self_psi: DataFrame, verdicts: DataFrame, key: str, day: str, window: tuple[int, int], contract: list[str], n: int, most_missing: float, threshold: Column, digests: tuple[tuple[int, str], tuple[int, str]]) -> DataFrame:
     """C7: sealed keys out of the log, its days inside the window, sources as frozen, one threshold, a well-formed
     monitored set, references that reproduce themselves, no repeats, and a baseline that calls for no retraining."""
     names = reference.select("feature")
@@ -191,7 +192,10 @@ def stale_reasons(cached: dict[str, object], current: dict[str, object]) -> list
 
 
 class Ledger:
-    """A read-once ledger of sealed tables: a line of JSON for each opening, with a digest of the content."""
+    """A read-once ledger of sealed tables: a file of JSON for each opening, with a digest of the content.
+
+    The file is created or the opening fails: of two at once, one is refused.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
@@ -199,19 +203,20 @@ class Ledger:
     def entries(self) -> list[dict]:
         if not exists(self.spark, self.path):
             return []
-        lines = self.spark.read.text(self.path).collect()  # one an opening: few
+        lines = self.spark.read.text(self.path).where("value <> ''").collect()  # one an opening: few
         return sorted((json.loads(r[0]) for r in lines), key=lambda e: (e["opened"], e["name"]))
 
     def open(self, name: str, df: DataFrame, opened: str, purpose: str) -> DataFrame:
         """df, its opening recorded. A second opening, or a content that changed since the first, is refused."""
         rows, content = digest(df)
+        entry = json.dumps({"name": name, "opened": opened, "purpose": purpose, "rows": rows, "digest": content})
+        if create_once(self.spark, f"{self.path}/{hashlib.sha256(name.encode()).hexdigest()}.json", entry):
+            return df
         for e in self.entries():
             if e["name"] == name:
                 changed = (e["rows"], e["digest"]) != (rows, content)
                 raise PermissionError(f"{name} was opened at {e['opened']} for {e['purpose']}" + (", and has changed since" if changed else ""))
-        entry = json.dumps({"name": name, "opened": opened, "purpose": purpose, "rows": rows, "digest": content})
-        self.spark.createDataFrame([(entry,)], "value string").coalesce(1).write.mode("append").text(self.path)
-        return df
+        raise PermissionError(f"{name} is being opened")
 
     def problems(self, tables: dict[str, DataFrame]) -> list[str]:
         """Sealed tables opened more than once or never, and those whose content is not what was opened."""

@@ -70,7 +70,7 @@ def wasserstein(current: DataFrame, reference: DataFrame, columns: list[str]) ->
     """(feature, distance): area between the two distribution functions, over the reference's deviation."""
     long = current.select(F.lit(1).alias("cur"), *columns).union(reference.select(F.lit(0), *columns)).unpivot(["cur"], columns, "feature", "x").where("x is not null")
     g = long.groupBy("feature", "x").agg(F.sum("cur").alias("c"), F.sum(1 - F.col("cur")).alias("r"))
-    edges = bucket_edges(long, "x")
+    edges = bucket_edges(long, "x", ["feature"])
     c = next_value(running(g, ["feature"], "x", ["c", "r"], edges), ["feature"], "x", edges)
     f = F.abs(F.try_divide(F.col("upto_c"), F.col("all_c")) - F.try_divide(F.col("upto_r"), F.col("all_r")))
     area = c.groupBy("feature").agg(F.sum(f * (F.col("next") - F.col("x"))).alias("_area"))

@@ -11,26 +11,41 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of an order, and the share of the rows that their edges are taken from.
-BUCKETS, SHARE = 256, 0.02
+#: Buckets of an order, of that of each group, and the share of the rows that their edges are taken from.
+BUCKETS, GROUP_BUCKETS, SHARE = 256, 64, 0.02
 
 
-def bucket_edges(values: DataFrame, x: str) -> list[float]:
-    """At most BUCKETS - 1 increasing values that cut a sample of a column into equal parts."""
-    probs = F.array(*(F.lit(i / BUCKETS) for i in range(1, BUCKETS)))
-    cut = values.select(F.col(x).cast("double").alias("x")).sample(SHARE, seed=1).agg(F.percentile_approx("x", probs, F.lit(10 * BUCKETS))).first()[0]
-    return sorted(set(cut or []))
+def bucket_edges(values: DataFrame, x: str, by: list[str] | None = None) -> list[float] | DataFrame:
+    """At most BUCKETS - 1 increasing values that cut a sample of a column into equal parts.
+
+    by: groups whose values lie apart, such as features, get edges of their own, a local table of (by, _edges): there
+    are few groups.
+    """
+    n = GROUP_BUCKETS if by else BUCKETS
+    probs = F.array(*(F.lit(i / n) for i in range(1, n)))
+    sample = values.select(*(by or []), F.col(x).cast("double").alias("x")).sample(SHARE, seed=1)
+    cut = F.percentile_approx("x", probs, F.lit(10 * n))
+    if not by:
+        return sorted(set(sample.agg(cut).first()[0] or []))
+    own = sample.groupBy(*by).agg(F.array_sort(F.array_distinct(cut)).alias("_edges"))
+    return values.sparkSession.createDataFrame(own.collect(), own.schema)
 
 
-def bucketed(df: DataFrame, x: str, edges: list[float]) -> DataFrame:
+def bucketed(df: DataFrame, x: str, edges: list[float] | DataFrame) -> DataFrame:
     """df with _b: how many edges are at or below x."""
+    if isinstance(edges, DataFrame):
+        by = [c for c in edges.columns if c != "_edges"]
+        own = edges.select(*(F.col(c).alias(f"_e_{c}") for c in by), "_edges")
+        below = F.size(F.filter("_edges", lambda e: e <= F.col(x).cast("double")))
+        joined = df.join(own, [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in by], "left")
+        return joined.select(*df.columns, F.when(F.col("_edges").isNull(), 0).otherwise(below).alias("_b"))
     if not edges:
         return df.withColumn("_b", F.lit(0))
     cut = Bucketizer(splits=[-float("inf"), *edges, float("inf")], inputCol=x, outputCol="_b", handleInvalid="keep")
     return cut.transform(df.withColumn(x, F.col(x).cast("double"))).withColumn("_b", F.col("_b").cast("int"))
 
 
-def running(df: DataFrame, by: list[str], x: str, sums: list[str], edges: list[float], descending: bool = False) -> DataFrame:
+def running(df: DataFrame, by: list[str], x: str, sums: list[str], edges: list[float] | DataFrame, descending: bool = False) -> DataFrame:
     """df, with x distinct in each group of `by`, and upto_<c> (this row among them) and all_<c> for each column of sums."""
     g = bucketed(df, x, edges)
     totals = g.groupBy(*by, "_b").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
@@ -48,7 +63,7 @@ def running(df: DataFrame, by: list[str], x: str, sums: list[str], edges: list[f
     return joined.withColumns(upto).drop("_b", *(f"before_{c}" for c in sums))
 
 
-def next_value(df: DataFrame, by: list[str], x: str, edges: list[float]) -> DataFrame:
+def next_value(df: DataFrame, by: list[str], x: str, edges: list[float] | DataFrame) -> DataFrame:
     """df, with x distinct in each group of `by`, and next: the value after x, null after the last."""
     g = bucketed(df, x, edges)
     after = Window.partitionBy(*by).orderBy("_b")
@@ -63,7 +78,7 @@ def quantiles(long: DataFrame, by: list[str], x: str, probs: list[float]) -> Dat
     Rows collapse to distinct values; where the running count passes a quantile's rank, its value is read off.
     """
     counts = long.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    c = running(counts, by, "x", ["n"], bucket_edges(long, x))
+    c = running(counts, by, "x", ["n"], bucket_edges(long, x, by))
     ranks = F.array(*(F.struct(F.lit(float(p)).alias("prob"), (p * (F.col("all_n") - 1)).alias("at")) for p in probs))
     c = c.withColumn("_before", F.col("upto_n") - F.col("n"))
     covers = lambda at: (F.floor(at) < F.col("upto_n")) & (F.ceil(at) >= F.col("_before"))

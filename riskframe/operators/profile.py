@@ -138,5 +138,6 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 
 def constant_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, constant): at most one value, null being one."""
-    one = [((F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))) <= 1).alias(c) for c in columns]
-    return df.agg(*one).unpivot([], columns, "feature", "constant")
+    wide = df.agg(*(F.max(F.col(c).isNull().cast("int")).alias(c) for c in columns)).unpivot([], columns, "feature", "_null")
+    both = wide.join(distinct_counts(df, columns), "feature", "left")
+    return both.select("feature", (F.coalesce("distinct", F.lit(0)) + F.coalesce("_null", F.lit(0)) <= 1).alias("constant"))

@@ -5,10 +5,12 @@ Running sums go by buckets of the score (see ordered.py), so that scores are dea
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators.ordered import bucket_edges, quantile_list, running
+from riskframe.operators.ordered import bucket_edges, bucketed, quantile_list, running
 
 
 def score_curve(df: DataFrame, y: str, p: str, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
@@ -68,7 +70,7 @@ def feature_auc(df: DataFrame, columns: list[str], y: str, least: int = 100) ->
     long = df.select(y, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot([y], columns, "feature", "x")
     share = long.groupBy("feature").agg(F.avg(F.col("x").isNotNull().cast("double")).alias("coverage"), F.count("x").alias("_n"), F.min(F.when(F.col("x").isNotNull(), F.col(y))).alias("_lo"), F.max(F.when(F.col("x").isNotNull(), F.col(y))).alias("_hi"))
     g = long.where("x is not null").groupBy("feature", "x").agg(F.sum(y).cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
-    c = running(g, ["feature"], "x", ["pos"], bucket_edges(long, "x"), descending=True)
+    c = running(g, ["feature"], "x", ["pos"], bucket_edges(long, "x", ["feature"]), descending=True)
     above = F.sum((F.col("n") - F.col("pos")) * (F.col("upto_pos") - F.col("pos") / 2))
     auc = c.groupBy("feature").agg(F.try_divide(above, F.sum("pos") * (F.sum("n") - F.sum("pos"))).alias("auc"))
     out = share.where((F.col("_n") >= least) & (F.col("_lo") != F.col("_hi"))).join(auc, "feature")
@@ -87,24 +89,64 @@ def draw_weights(days: DataFrame, day: str, draws: int, seed: int) -> DataFrame:
     return picks.groupBy("draw", F.get("days", pick % F.size("days")).alias(day)).agg(F.count(F.lit(1)).alias("weight"))
 
 
+#: Distinct scores of a block of the bootstrap's matrix product.
+SCORES = 512
+
+
 def day_bootstrap(df: DataFrame, y: str, p: str, day: str, threshold: float, draws: int = 2_000, seed: int = 0) -> DataFrame:
     """(draw, pr_auc, precision, recall) over days resampled with replacement.
 
-    Scores collapse to (day, score) before they meet the draws, a small table of (draw, day, weight).
+    Rows collapse to (day, score). Scores are dealt by buckets in their order; a bucket's rows, as a matrix of scores by
+    days, are multiplied with the days' weights in all draws within its task, in blocks, so that no row meets a draw
+    outside. What lies above a bucket comes from the product of the bucket totals with the same weights. Days and draws
+    are few: their weights and the totals of a bucket are on the driver.
     """
-    per_day = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(day, F.col(p).cast("double").alias("_p"))
-    per_day = per_day.agg(F.sum(y).cast("double").alias("_pos"), F.count(F.lit(1)).cast("double").alias("_n"))
-    weights = draw_weights(df.select(day).where(F.col(day).isNotNull()).distinct(), day, draws, seed)
-    scores = per_day.join(weights, day).groupBy("draw", "_p").agg(F.sum(F.col("_pos") * F.col("weight")).alias("pos"), F.sum(F.col("_n") * F.col("weight")).alias("n"))
-    c = running(scores, ["draw"], "_p", ["pos", "n"], bucket_edges(df, p), descending=True)
-    above = F.col("_p") >= threshold
-    tp = F.sum(F.when(above, F.col("pos")))
-    out = c.groupBy("draw").agg(
-        F.try_divide(F.sum(F.col("pos") * F.col("upto_pos") / F.col("upto_n")), F.max("all_pos")).alias("pr_auc"),
-        F.try_divide(tp, F.sum(F.when(above, F.col("n")))).alias("precision"),
-        F.try_divide(tp, F.max("all_pos")).alias("recall"),
-    )
-    return out
+    spark = df.sparkSession
+    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.col(day).alias("_day"), F.col(p).cast("double").alias("_p"))
+    rows = bucketed(rows.agg(F.sum(y).cast("double").alias("_pos"), F.count(F.lit(1)).cast("double").alias("_n")), "_p", bucket_edges(df, p))
+    listed = draw_weights(df.select(day).where(F.col(day).isNotNull()).distinct(), day, draws, seed).toArrow()
+    schema = "draw int, pr_auc double, precision double, recall double"
+    if not listed.num_rows:
+        return spark.createDataFrame([], schema)
+    days = sorted(set(listed.column(1).to_pylist()))
+    place = {d: i for i, d in enumerate(days)}
+    weights = np.zeros((len(days), draws))
+    weights[[place[d] for d in listed.column(1).to_pylist()], listed.column(0).to_numpy()] = listed.column(2).to_numpy()
+    totals = rows.where(F.col("_day").isNotNull()).groupBy("_b", "_day").agg(F.sum("_pos"), F.sum("_n")).collect()
+    buckets = sorted({r[0] for r in totals}, reverse=True)
+    own = np.zeros((2, len(buckets), len(days)))
+    for b, d, pos, n in totals:
+        own[:, buckets.index(b), place[d]] = pos, n
+    sums = own @ weights  # of positives and rows, by bucket and draw
+    above = np.cumsum(sums, 1) - sums
+    shared = spark.sparkContext.broadcast((place, weights, {b: above[:, i] for i, b in enumerate(buckets)}))
+
+    def drawn(table: pa.Table) -> pa.Table:
+        at, w, before = shared.value
+        scores, row = np.unique(-table["_p"].to_numpy(), return_inverse=True)  # from the highest down
+        column = np.array([at[d] for d in table["_day"].to_pylist()])
+        order = np.argsort(row, kind="stable")
+        ends = np.searchsorted(row[order], np.arange(len(scores) + 1))
+        tp, seen = (x.copy() for x in before[table["_b"][0].as_py()])
+        ap, hit_tp, hit_n = np.zeros((3, w.shape[1]))
+        for first in range(0, len(scores), SCORES):
+            last = min(first + SCORES, len(scores))
+            part = order[ends[first] : ends[last]]
+            block = np.zeros((2, last - first, len(at)))
+            for i, c in enumerate(("_pos", "_n")):
+                block[i, row[part] - first, column[part]] = table[c].to_numpy()[part]
+            pos, n = block @ w
+            upto_tp, upto_n = tp + np.cumsum(pos, 0), seen + np.cumsum(n, 0)
+            ap += np.divide(pos * upto_tp, upto_n, out=np.zeros_like(pos), where=upto_n > 0).sum(0)
+            hits = -scores[first:last] >= threshold
+            hit_tp, hit_n = hit_tp + pos[hits].sum(0), hit_n + n[hits].sum(0)
+            tp, seen = upto_tp[-1], upto_n[-1]
+        return pa.table({"draw": np.arange(w.shape[1], dtype=np.int32), "ap": ap, "tp": hit_tp, "n": hit_n})
+
+    parts = rows.where(F.col("_day").isNotNull()).groupBy("_b").applyInArrow(drawn, "draw int, ap double, tp double, n double")
+    whole = spark.createDataFrame([(i, float(x)) for i, x in enumerate(sums[0].sum(0))], "draw int, pos double")
+    out = parts.groupBy("draw").agg(F.sum("ap").alias("ap"), F.sum("tp").alias("tp"), F.sum("n").alias("n")).join(whole, "draw")
+    return out.select("draw", F.try_divide("ap", "pos").alias("pr_auc"), F.try_divide("tp", "n").alias("precision"), F.try_divide("tp", "pos").alias("recall"))
 
 
 def bootstrap_interval(draws: DataFrame, metrics: list[str], level: float = 0.95) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
@@ -49,7 +50,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def append_once(batch: DataFrame, store: str, key: str, by: str | None = None) -> None:
-    """Appends the rows whose key the store does not have; one of repeated keys. Safe to run again.
+    """Appends the rows whose key the store does not have; one of repeated keys. Safe to run again. Null is a key.
 
     by: a column that partitions the store and that a key always has the same value of, such as its event day: then
     only the partitions that the batch touches are read.
@@ -60,7 +61,8 @@ def append_once(batch: DataFrame, store: str, key: str, by: str | None = None) -
         known = spark.read.schema(batch.schema).parquet(store)
         if by:
             known = known.join(batch.select(by).distinct(), by, "left_semi")
-        new = new.join(known.select(key), key, "left_anti")
+        seen = known.select(F.col(key).alias("_seen"))
+        new = new.join(seen, new[key].eqNullSafe(seen["_seen"]), "left_anti")
     writer = new.write.mode("append")
     (writer.partitionBy(by) if by else writer).parquet(store)
 
@@ -145,15 +147,44 @@ def join_one_to_one(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def validate_payload(df: DataFrame, required: list[str], map_column: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(good, bad): required fields present and the map's keys exactly the expected ones, lower-cased."""
-    low = df.withColumn(map_column, F.transform_keys(map_column, lambda k, _: F.lower(k)))
-    want = F.array(*(F.lit(k) for k in keys))
-    have = F.map_keys(map_column)
-    ok = F.size(F.array_except(want, have)) + F.size(F.array_except(have, want)) == 0
+    """(good, bad): required fields present and the map's keys exactly the expected ones, lower-cased.
+
+    Keys that are one when lower-cased make a row bad; its map is then as it came.
+    """
+    have = F.transform(F.map_keys(map_column), F.lower)
+    fine = F.coalesce(F.array_sort(have) == F.array_sort(F.array(*(F.lit(k) for k in keys)).cast("array<string>")), F.lit(False))
+    low = df.withColumns({"_fine": fine, map_column: F.when(fine, F.map_from_arrays(have, F.map_values(map_column))).otherwise(F.col(map_column))})
+    ok = F.col("_fine")
     for c in required:
         ok = ok & F.col(c).isNotNull()
-    ok = F.coalesce(ok, F.lit(False))
-    return low.where(ok), low.where(~ok)
+    return low.where(ok).drop("_fine"), low.where(~ok).drop("_fine")
+
+
+def read_payload(payload: Column, schema: str, block: list[str], map_column: str = "v") -> dict[str, Column]:
+    """The base fields of `schema` ("name type, ...") and the block's names out of JSON text, and `_ok`: whether it is
+    an object with no keys but these and the map, whose keys are the block's, all of them, in lower or upper case.
+
+    The text becomes a variant first, which any text does or does not; what is broken, repeats a key (also in another
+    case), is nested too deep or holds another kind is not ok, and nothing of it ends a job. A value that is no such
+    type is null.
+    """
+    base = dict(x.split() for x in (part.strip() for part in schema.split(",")))
+    x = F.try_parse_json(payload)
+    top = F.try_variant_get(x, "$", "map<string,variant>")
+    names = F.transform(F.map_keys(top), F.lower)
+    clean = F.size(F.array_distinct(names)) == F.size(names)
+    known = F.size(F.array_except(names, F.array(*(F.lit(c) for c in [*base, map_column])))) == 0
+
+    def one(values: Column, keys: Column, name: str) -> Column:
+        pairs = F.zip_with(keys, F.map_values(values), lambda k, y: F.struct(k.alias("k"), y.alias("y")))
+        return F.get(F.filter(pairs, lambda z: z["k"] == name), F.lit(0))["y"]
+
+    inner = F.try_variant_get(one(top, names, map_column), "$", "map<string,variant>")
+    inner_names = F.transform(F.map_keys(inner), F.lower)
+    exact = F.array_sort(inner_names) == F.array_sort(F.array(*(F.lit(c) for c in block)).cast("array<string>"))
+    out = {"_ok": F.coalesce(clean & known & exact, F.lit(False))}
+    out |= {c: F.try_variant_get(one(top, names, c), "$", kind) for c, kind in base.items()}
+    return out | {c: F.try_variant_get(one(inner, inner_names, c), "$", "double") for c in block}
 
 
 def compare_frames(a: DataFrame, b: DataFrame, key: str, columns: list[str], rtol: float = 1e-4, atol: float = 1e-5) -> DataFrame:
@@ -164,10 +195,39 @@ def compare_frames(a: DataFrame, b: DataFrame, key: str, columns: list[str], rto
     return x.join(y, [key, "feature"], "full").groupBy("feature").agg(F.count(F.lit(1)).alias("cells"), F.count_if(~same).alias("differing"))
 
 
-def digest(df: DataFrame) -> tuple[int, int]:
-    """Row count and an order-free digest of the content."""
-    r = df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*df.columns))).first()
-    return r[0], r[1] or 0
+def digest(df: DataFrame) -> tuple[int, str]:
+    """Row count and a digest of the rows as a multiset: sums of two independent hashes of each row, in any order.
+
+    A repeated row counts as often as it comes, and a null in one column is not a null in another.
+    """
+    parts = [x for c in df.columns for x in (F.col(c).isNull(), F.col(c))]
+    lanes = [F.sum(F.xxhash64(F.lit(lane), *parts).cast("decimal(38,0)")) for lane in (1, 2)]
+    n, a, b = df.agg(F.count(F.lit(1)), *lanes).first()
+    return n, f"{int(a or 0):x}:{int(b or 0):x}"
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file that nobody has written before; False if it is there already. Of two at once one succeeds."""
+    jvm = spark._jvm
+    own = jvm.org.apache.hadoop.fs.Path(path)
+    fs = own.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(own.getParent())
+    try:
+        if fs.getUri().getScheme() == "file":  # the local file system of Hadoop looks first and creates then
+            file = jvm.java.nio.file.Paths.get(own.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+            jvm.java.nio.file.Files.createFile(file, spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+            jvm.java.nio.file.Files.write(file, bytearray(text.encode()), spark.sparkContext._gateway.new_array(jvm.java.nio.file.OpenOption, 0))
+        else:
+            out = fs.create(own, False)
+            try:
+                out.write(bytearray(text.encode()))
+            finally:
+                out.close()
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
 
 
 def decision_log(log: DataFrame, history: DataFrame, key: str, day: str, features: list[str], low: int | None = None, high: int | None = None) -> DataFrame:
@@ -180,7 +240,7 @@ def decision_log(log: DataFrame, history: DataFrame, key: str, day: str, feature
         days = days.where(F.col(day) >= low)
     if high is not None:
         days = days.where(F.col(day) <= high)
-    expanded = log.withColumns({f: F.get_json_object("features", f"$.{f}").try_cast("double") for f in features})
+    expanded = log.withColumns({f: F.try_variant_get(F.try_parse_json("features"), f"$.{f}", "double") for f in features})
     return expanded.join(days, key)
 
 
@@ -192,5 +252,5 @@ def day_payloads(df: DataFrame, day: str, at: int, base: list[str], block: list[
 
 def parse_payloads(df: DataFrame, schema: str, block: list[str]) -> DataFrame:
     """Payloads (JSON text) back to typed columns; schema holds the base fields, the block becomes doubles."""
-    x = df.select(F.from_json("payload", f"{schema}, v map<string, double>").alias("x"))
-    return x.select("x.*").select("*", *(F.col("v")[c].alias(c) for c in block)).drop("v")
+    found = read_payload(F.col("payload"), schema, block)
+    return df.select(*(c.alias(n) for n, c in found.items() if n != "_ok"))

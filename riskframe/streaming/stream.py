@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from riskframe.functions.rowwise import decide
-from riskframe.sources.io import append_once, validate_payload
+from riskframe.sources.io import append_once, read_payload
 from riskframe.streaming.keyed import ROCKS
 
 def validated(stream: DataFrame, schema: str, required: list[str], block: list[str]) -> tuple[DataFrame, DataFrame]:
     """(good, bad) payloads of a stream with a JSON text column `payload`: parsed, and as they came.
 
-    Good ones parse, have every required field, and a map v whose keys are exactly the block's names.
+    Good ones are objects of known fields with every required one, and a map v whose keys are exactly the block's names.
     """
-    read = stream.withColumn("_x", F.from_json("payload", f"{schema}, v map<string, double>"))
-    flat = read.select("payload", F.col("_x").isNull().alias("_unread"), "_x.*").withColumn("v", F.coalesce("v", F.create_map().cast("map<string,double>")))
-    good, bad = validate_payload(flat, required, "v", block)
-    return good.where("NOT _unread").select(*(c for c in good.columns if c not in ("payload", "v", "_unread")), *(F.col("v")[c].alias(c) for c in block)), bad.select("payload")
+    read = read_payload(F.col("payload"), schema, block)
+    flat = stream.select("payload", *(c.alias(n) for n, c in read.items()))
+    ok = F.col("_ok")
+    for c in required:
+        ok = ok & F.col(c).isNotNull()
+    return flat.where(ok).drop("payload", "_ok"), flat.where(~ok).select("payload")
 
 
 def scored(batch: DataFrame, id: str, p: Column, threshold: float, contributions: dict[str, Column], k: int = 3) -> DataFrame:

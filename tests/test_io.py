@@ -72,6 +72,34 @@ def test_ledger_opens_once_and_sees_changes(spark, tmp_path):
     assert ledger.problems({"test": spark.range(11)}) == ["test has changed since it was opened"]
 
 
+def test_of_two_openings_at_once_one_fails(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def opened(i):
+        try:
+            C.Ledger(spark, f"file://{tmp_path}/ledger").open("test", spark.range(3), "2024-01-01", f"look {i}")
+            return True
+        except PermissionError:
+            return False
+
+    with ThreadPoolExecutor(6) as pool:
+        assert sum(pool.map(opened, range(6))) == 1
+
+
+def test_digest_is_of_a_multiset(spark):
+    of = lambda rows: io.digest(spark.createDataFrame(rows, "a int, b int"))
+    assert of([(1, 1), (1, 1), (5, 5)]) != of([(2, 2), (2, 2), (5, 5)])
+    assert of([(1, 2), (3, 4), (1, 2)]) == of([(1, 2), (1, 2), (3, 4)]) != of([(1, 2), (3, 4), (3, 4)])
+    assert of([(None, 1)]) != of([(1, None)]) and of([]) == (0, "0:0") and of([(None, None)]) != of([])
+
+
+def test_null_keys_are_appended_once(spark, tmp_path):
+    a = spark.createDataFrame([(None, 0), (1, 1), (None, 2)], "id int, v int")
+    for _ in range(3):
+        io.append_once(a, f"{tmp_path}/store", "id")
+    assert sorted(str(r[0]) for r in spark.read.parquet(f"{tmp_path}/store").collect()) == ["1", "None"]
+
+
 def test_encoders_come_back_as_they_were(spark, tmp_path):
     train = spark.createDataFrame([("a", "x", 1.0), ("a", None, 2.0), ("b", "y", 2.0)], "c string, d string, n double")
     other = spark.createDataFrame([("a", "z", 0.0), ("q", "y", 1.0), (None, None, 5.0)], "c string, d string, n double")

@@ -101,6 +101,7 @@ def test_append_once_and_one_to_one(spark, tmp_path):
 def test_stream_features_match_batch(spark, tmp_path):
     from riskframe.operators import windows as W
     from riskframe.plans.views import tx
+    from riskframe.streaming import keyed
 
     d = tx(spark, SF).select("id", "user_id", "t", "amount").orderBy("t", "id")
     rows = d.collect()
@@ -108,8 +109,47 @@ def test_stream_features_match_batch(spark, tmp_path):
         part = rows[i * len(rows) // 3 : (i + 1) * len(rows) // 3]
         spark.createDataFrame(part, d.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = ST.append_sink(ST.entity_features(s, "user_id", "t", "amount", "id"), str(tmp_path / "out"), "id", str(tmp_path / "ck"))
-    q.awaitTermination()
-    got = {r["id"]: r["cnt_window"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    out = ST.run_through(keyed.entity_features(s, {"user": "user_id"}, "t", "amount", "id", {"w": 7 * W.DAY}, []), f"{tmp_path}/out")
+    got = {r["id"]: r["w_cnt"] for r in out.collect()}
     want = {r["id"]: r["n"] for r in d.select("id", F.count(F.lit(1)).over(W.past("user_id", "t", 7 * W.DAY)).alias("n")).collect()}
     assert got == want
+
+
+def test_each_feature_has_its_own_buckets(spark, monkeypatch):
+    """Values of a feature in the thousands do not put all of another's in [0, 1] into one bucket."""
+    from riskframe.operators import ordered
+
+    monkeypatch.setattr(ordered, "SHARE", 0.5)
+    df = spark.range(4_000).select(F.col("id").alias("a"), F.rand(1).alias("b")).selectExpr("a + 1000.0 as a", "b").unpivot([], ["a", "b"], "feature", "x")
+    edges = ordered.bucket_edges(df, "x", ["feature"])
+    most = ordered.bucketed(df, "x", edges).groupBy("feature", "_b").count().groupBy("feature").agg(F.max("count"), F.count("*")).collect()
+    assert all(r[1] < 400 and r[2] > 30 for r in most)
+
+
+def test_bootstrap_by_plain_numpy(spark, monkeypatch):
+    """Ties, nulls and days of their own; blocks of three scores; the order of the rows changes nothing."""
+    import numpy as np
+
+    from riskframe.operators import rank_metrics as M
+
+    monkeypatch.setattr(M, "SCORES", 3)
+    r = np.random.default_rng(1)
+    rows = [(int(d), None if i % 29 == 0 else int(r.random() < 0.4), float(np.round(r.random(), 2))) for i, d in enumerate(r.integers(0, 5, 300))]
+    df = spark.createDataFrame([*rows, (None, 1, 0.5)], "day int, y int, p double")
+    found = {x["draw"]: x for x in M.day_bootstrap(df, "y", "p", "day", 0.6, draws=40, seed=3).collect()}
+    weights = {}
+    for x in M.draw_weights(df.select("day").where("day is not null").distinct(), "day", 40, 3).collect():
+        weights.setdefault(x["draw"], {})[x["day"]] = x["weight"]
+    assert len(found) == 40
+    for draw, w in weights.items():
+        own = [(p, y, w.get(d, 0)) for d, y, p in rows if y is not None]
+        pos, ap = sum(y * k for _, y, k in own), 0.0
+        for score in sorted({p for p, _, _ in own}):
+            here = sum(y * k for p, y, k in own if p == score)
+            tp, n = sum(y * k for p, y, k in own if p >= score), sum(k for p, _, k in own if p >= score)
+            ap += here * tp / n if n else 0.0
+        tp, n = sum(y * k for p, y, k in own if p >= 0.6), sum(k for p, _, k in own if p >= 0.6)
+        f = found[draw]
+        assert np.allclose([f["pr_auc"], f["precision"], f["recall"]], [ap / pos, tp / n, tp / pos])
+    again = M.day_bootstrap(df.orderBy("p"), "y", "p", "day", 0.6, draws=40, seed=3).collect()
+    assert all(np.allclose(tuple(x), tuple(found[x["draw"]])) for x in again)

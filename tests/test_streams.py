@@ -90,7 +90,10 @@ def test_append_sink_after_a_lost_checkpoint(spark, rows, tmp_path):
 
 def test_broken_payloads_go_aside_as_they_came(spark, tmp_path):
     good = '{"id": 1, "amount": 2.5, "v": {"V1": 0.5, "v2": null}}'
-    bad = ["{nope", '{"id": null, "amount": 1, "v": {"v1": 1, "v2": 2}}', '{"id": 2, "amount": 1, "v": {"v1": 1}}', '{"id": 3, "amount": 1}', ""]
+    deep = '{"id": 4, "amount": 1, "v": ' + '{"v1":' * 5_000 + "1" + "}" * 5_001
+    bad = ['{"id": 1, "amount": 1, "v": {"V1": 1, "v1": 2, "v2": 3}}', '{"id": 1, "amount": 1, "v": {"v1": 1, "v1": 2, "v2": 3}}', '{"id": 1, "ID": 2, "amount": 1, "v": {"v1": 1, "v2": 2}}', deep]
+    bad += ['{"id": 1, "amount": 1, "more": 1, "v": {"v1": 1, "v2": 2}}', '{"id": 1, "amount": 1, "v": [1, 2]}', "[]", "7", "null", '"x"', '{"id": 1, "amount": "a lot", "v": {"v1": 1, "v2": 2}}']
+    bad += ["{nope", '{"id": null, "amount": 1, "v": {"v1": 1, "v2": 2}}', '{"id": 2, "amount": 1, "v": {"v1": 1}}', '{"id": 3, "amount": 1}', ""]
     df = spark.createDataFrame([(p,) for p in [good, *bad]], "payload string")
     fine, aside = ST.validated(df, "id bigint, amount double", ["id", "amount"], ["v1", "v2"])
     assert [tuple(r) for r in fine.collect()] == [(1, 2.5, 0.5, None)]
