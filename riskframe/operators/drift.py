@@ -49,16 +49,20 @@ def full_bins(reference: DataFrame) -> DataFrame:
 def daily_psi(df: DataFrame, reference: DataFrame, features: list[str], day: str) -> DataFrame:
     """(day, feature, psi): sum of (c - r) ln(c / r) over all bins and missing, shares clipped and renormalised."""
     long = df.select(day, *(F.col(c).cast("double").alias(c) for c in features)).unpivot([day], features, "feature", "x")
-    counts = bin_counts(long, reference, (day,)).withColumn("bin", F.coalesce("bin", F.lit(-1)))
+    return psi_of_counts(bin_counts(long, reference, (day,)).withColumn("bin", F.coalesce("bin", F.lit(-1))), reference, (day,))
+
+
+def psi_of_counts(counts: DataFrame, reference: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, feature, psi) of bin counts (by, feature, bin, n), -1 for missing."""
     present = 1 - F.col("missing_share")
     ref = reference.select("feature", F.posexplode("props").alias("bin", "p"), "missing_share").select("feature", "bin", (F.col("p") * present).alias("r"))
     ref = ref.union(reference.select("feature", F.lit(-1), F.col("missing_share")))
-    grid = counts.select(day, "feature").distinct().join(ref, "feature").join(counts, [day, "feature", "bin"], "left")
-    w = Window.partitionBy(day, "feature")
+    grid = counts.select(*by, "feature").distinct().join(ref, "feature").join(counts, [*by, "feature", "bin"], "left")
+    w = Window.partitionBy(*by, "feature")
     c = F.coalesce("n", F.lit(0)) / F.sum(F.coalesce("n", F.lit(0))).over(w)
     g = grid.withColumns({"_c": F.greatest(c, F.lit(EPS)), "_r": F.greatest("r", F.lit(EPS))})
     g = g.withColumns({"_c": F.col("_c") / F.sum("_c").over(w), "_r": F.col("_r") / F.sum("_r").over(w)})
-    return g.groupBy(day, "feature").agg(F.sum((F.col("_c") - F.col("_r")) * F.ln(F.col("_c") / F.col("_r"))).alias("psi"))
+    return g.groupBy(*by, "feature").agg(F.sum((F.col("_c") - F.col("_r")) * F.ln(F.col("_c") / F.col("_r"))).alias("psi"))
 
 
 def drift_summary(psi: DataFrame, day: str, warn: float = 0.1, alert: float = 0.25) -> DataFrame:

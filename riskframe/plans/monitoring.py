@@ -9,8 +9,9 @@ from riskframe.functions.rowwise import feature_family
 from riskframe.operators import attribution as AT
 from riskframe.operators import drift as D
 from riskframe.operators import monitor as M
+from riskframe.operators import sketches as K
 from riskframe.plans.registry import query, rounded
-from riskframe.plans.views import TX, tx
+from riskframe.plans.views import TX, folder, tx
 from riskframe.sources import io
 
 FEATURES = ["amount", "k"]
@@ -54,6 +55,33 @@ def a45_daily_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(psi_of(spark, sf_dir))
 
 
+@query(PSI + """, w AS (SELECT feature, coalesce(bin, -1) AS bin, count(*) AS n FROM binned WHERE tx_day BETWEEN 20 AND 26 GROUP BY ALL),
+wg AS (SELECT r.feature, r.bin, greatest(r.r, 1e-6) AS r, greatest(coalesce(w.n, 0) / sum(coalesce(w.n, 0)) OVER (PARTITION BY r.feature), 1e-6) AS c FROM r LEFT JOIN w ON w.feature = r.feature AND w.bin = r.bin),
+wh AS (SELECT feature, c / sum(c) OVER (PARTITION BY feature) AS c, r / sum(r) OVER (PARTITION BY feature) AS r FROM wg)
+SELECT feature, round(sum((c - r) * ln(c / r)), 6) AS psi FROM wh GROUP BY feature""")
+def a45_window_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A week's drift from the bin counts of its days, which are stored first, one day of them twice."""
+    d = data(spark, sf_dir)
+    reference = D.build_reference(d.where("split = 'train'"), FEATURES)
+    at, bins = folder(spark, "bins"), K.daily_bins(d, reference, FEATURES, "tx_day")
+    K.write_days(bins, at, "tx_day")
+    K.write_days(bins.where("tx_day = 21"), at, "tx_day")
+    return rounded(K.window_psi(spark.read.parquet(at), reference, "tx_day", 20, 26))
+
+
+@query(REF + "SELECT feature, prob, count(*) AS n, true AS within FROM long, (SELECT CAST(unnest([0.1, 0.5, 0.9]) AS DOUBLE) AS prob) WHERE split = 'train' AND x IS NOT NULL GROUP BY ALL")
+def a42_sketched_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of the training days from their stored sketches, and whether the values below and up to each, counted
+    in the rows, agree with it within the sketch's rank error."""
+    d, at = data(spark, sf_dir), folder(spark, "sketches")
+    K.write_days(K.daily_sketches(d.where("split = 'train'"), FEATURES, "tx_day"), at, "tx_day")
+    found = D.frozen(K.sketched_quantiles(K.window_of(spark.read.parquet(at), "tx_day", 0, 13), [0.1, 0.5, 0.9]))
+    long = d.where("split = 'train'").select(*(F.col(c).cast("double").alias(c) for c in FEATURES)).unpivot([], FEATURES, "feature", "x").where("x IS NOT NULL")
+    at_most = (F.count_if(F.col("x") <= F.col("value")) / F.count(F.lit(1))) >= F.first("prob") - K.RANK_ERROR
+    at_least = (F.count_if(F.col("x") < F.col("value")) / F.count(F.lit(1))) <= F.first("prob") + K.RANK_ERROR
+    return long.join(found, "feature").groupBy("feature", "prob").agg(F.count(F.lit(1)).alias("n"), (at_most & at_least).alias("within"))
+
+
 POINT = {"review_rate": 0.3, "recall": 0.31}
 DRIFT = """, base AS (SELECT tx_day, count(*) AS n, avg(CAST(p >= 0.7 AS INTEGER)) AS review_rate FROM tx GROUP BY tx_day),
 drift AS (SELECT b.tx_day, any_value(n) AS n, any_value(review_rate) AS review_rate, any_value(review_rate) / 0.3 - 1 AS review_deviation, max(psi) FILTER (WHERE feature = 'p') AS score_psi, max(psi) FILTER (WHERE feature <> 'p') AS max_psi,

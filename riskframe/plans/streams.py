@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,23 +9,12 @@ from riskframe.functions.rowwise import sigmoid
 from riskframe.operators.windows import ACCOUNT_FEATURES, DAY, HOUR, account_features, account_inputs
 from riskframe.plans.features import keyed_tx
 from riskframe.plans.registry import query, rounded
-from riskframe.plans.views import EPOCH, TX, table, tx
+from riskframe.plans.views import EPOCH, TX, folder, table, tx
 from riskframe.sources import io
 from riskframe.streaming import keyed
 from riskframe.streaming import stream as ST
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and the executors share (on one machine, where none is named, a temporary one)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/riskframe-{name}-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, with integer seconds, k and a label as tx() has them."""
     schema = table(spark, sf_dir, "events").schema
