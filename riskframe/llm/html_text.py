@@ -9,9 +9,10 @@ of a textarea, of svg text elements and of formulas are visible.
 
 Text is written as it is laid out: collapsed white space, blank lines around blocks, list markers by depth,
 preformatted text as it is, and tables with their columns aligned, cells that span columns or rows among them. A cell
-wider than WIDEST characters does not widen its column, so that the text stays in proportion to the page; cells
-beyond COLUMNS columns are not moved by those that span rows. No nesting is too deep, and the time grows with the
-length of the page: after a tag whose quotes do not close, tags end at the next ">".
+wider than WIDEST characters does not widen its column, and no column begins beyond FARTHEST; cells
+beyond COLUMNS columns are not moved by those that span rows. Lists are indented by DEEPEST steps at most, and tables
+within NESTED others are lines of their cells, so that the text stays in proportion to the page. No nesting is too deep, and the
+time grows with the length of the page: after a tag whose quotes do not close, tags end at the next ">".
 
 Null, empty and markup-free input has defined text (null: empty); repeated rows each keep theirs, and ties do not
 arise. An empty table has an empty result; other columns of any name play no part.
@@ -61,13 +62,16 @@ P_SCOPE = {"td", "th", "table", "caption", "button", "li", "blockquote"}
 TAG = re.compile(r"</?([A-Za-z][^\s/>]*+)")
 TAG_END = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
-NOT_DISPLAYED = re.compile(r"(?i)display\s*:\s*none")
+DISPLAY = re.compile(r"(?i)(?<![\w-])display\s*:\s*([\w-]+)")
 VISIBILITY = re.compile(r"(?i)visibility\s*:\s*(hidden|collapse|visible)")
 SELECTOR = re.compile(r"([a-z][a-z0-9]*)?((?:[.#][\w-]+)*)", re.ASCII | re.IGNORECASE)
 LONG_NUMBER = re.compile(r"&#(?:[xX][0-9a-fA-F]{8,}+|[0-9]{8,}+);?")
 INTEGER = re.compile(r"\s*([+-]?[0-9]{1,9})(?![0-9])")
 #: Characters that a cell widens its column to, at most, and columns that cells spanning rows may block.
 WIDEST, COLUMNS = 80, 1_000
+#: Bounds of the layout alone, so that text stays in proportion to a page: steps of indentation that are shown, how far
+#: to the right a column may begin, and tables within tables whose columns are still aligned.
+DEEPEST, FARTHEST, NESTED = 16, 160, 6
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -103,7 +107,7 @@ class Page:
             self.gap = 0
         if not self.line:
             self.space = False
-            pad = "  " * self.indent
+            pad = "  " * min(self.indent, DEEPEST)
             self.line.append(pad + self.prefix if self.prefix else pad)
             self.prefix = ""
 
@@ -168,6 +172,11 @@ def integer(text: str, least: int, most: int, other: int) -> int:
 Rule = tuple[str, frozenset[str]]  # a tag (or ""), and the classes and ids (".x", "#x") that it must have
 
 
+def not_displayed(style: str) -> bool:
+    """Whether the last word on display is none."""
+    return [x.lower() for x in DISPLAY.findall(style)][-1:] == ["none"]
+
+
 def style_rules(css: str) -> tuple[list[Rule], list[Rule]]:
     """The selectors that a style sheet does not display, and those that it makes invisible."""
     gone, unseen, depth, start, head = [], [], 0, 0, ""
@@ -183,7 +192,7 @@ def style_rules(css: str) -> tuple[list[Rule], list[Rule]]:
         if depth or not head or "@" in head:
             continue
         shown = VISIBILITY.findall(part)
-        into = gone if NOT_DISPLAYED.search(part) else unseen if shown and shown[-1].lower() != "visible" else None
+        into = gone if not_displayed(part) else unseen if shown and shown[-1].lower() != "visible" else None
         if into is not None:
             for selector in head.split(","):
                 if (own := SELECTOR.fullmatch(selector.strip())) and own[0]:
@@ -212,7 +221,7 @@ def aligned(rows: list[list[tuple[int, int, list[str]]]]) -> list[str]:
         placed.append(out)
     offset, at = {}, 0
     for column in sorted(width):
-        offset[column] = at
+        offset[column] = min(at, FARTHEST)
         at += width[column] + 2
     text = []
     for row in placed:
@@ -240,6 +249,7 @@ class Layout:
         # Of each open table: the page around it, its rows, the lists around it, and its captions and loose text.
         self.tables: list[tuple[Page, list[list[tuple[int, int, list[str]]]], list[int], Page]] = []
         self.spans: list[tuple[int, int]] = []  # columns and rows of the open cells
+        self.flat = 0  # open tables that are nested too deep to be aligned: rows are lines there
         self.pre = 0
         self.roots = 0  # open svg and math elements
 
@@ -274,7 +284,7 @@ class Layout:
         def meets(rules: list[Rule]) -> bool:
             return any((not t or t == tag) and need <= own for t, need in rules)
 
-        gone = tag in UNSEEN or "hidden" in attributes or bool(NOT_DISPLAYED.search(style)) or meets(self.rules[0])
+        gone = tag in UNSEEN or "hidden" in attributes or not_displayed(style) or tag == "dialog" and "open" not in attributes or meets(self.rules[0])
         said = VISIBILITY.findall(style)
         seen = said[-1].lower() == "visible" if said else self.seen[-1] and not meets(self.rules[1])
         return not gone, seen
@@ -317,6 +327,12 @@ class Layout:
             return
         if not displayed or self.roots and tag in FOREIGN_UNSEEN:
             self.off = len(self.open)
+        elif tag == "table" and len(self.tables) >= NESTED:
+            self.flat += 1
+            self.page.want(2)
+        elif self.flat and tag in ("tr", "td", "th"):
+            self.page.want(1 if tag == "tr" else 0)
+            self.page.space = True
         elif tag == "table":
             own = Page()
             self.tables.append((self.page, [], self.lists, own))
@@ -396,7 +412,10 @@ class Layout:
             if len(self.open) < self.off:
                 self.off = 0
             return tag
-        if tag in ("td", "th") and self.tables:
+        if self.flat and tag in ("td", "th", "tr", "table"):
+            self.flat -= tag == "table"
+            self.page.want(2 if tag == "table" else 0)
+        elif tag in ("td", "th") and self.tables:
             cell = self.page.done()
             self.page = self.tables[-1][3]
             if not self.tables[-1][1]:

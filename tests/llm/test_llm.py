@@ -434,6 +434,23 @@ def test_html_of_a_long_odd_page_takes_no_time(page):
     assert len(text) < 100 * len(page)
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<ul>" * 5_000 + "<li>x" * 200_000, "<dl><dd>" * 20_000 + "<br>x" * 100_000, "<table><tr>" + f"<td rowspan=9999>{'w' * 80}" * 1_000 + "<tr><td>x" * 100_000]
+    + ["<table><tr><td>x<td>" * 3_000 + "<br>y" * 100_000, ("<table><tr><td>" + "<ul>" * 40 + "<li>z") * 300 + "<br>y" * 100_000, "<ol><li>" * 30_000],
+)
+def test_html_text_stays_in_proportion_to_the_page(page):
+    began = time.process_time()
+    text = html_text.visible_text(page)
+    assert len(text) < 300 * len(page) and text.count("y") == page.count("y")
+    assert time.process_time() - began < 20
+
+
+def test_html_displays_what_is_last_said():
+    page = '<p style="display:none; display:block">a</p><p style="display:block;display:NONE">b</p><dialog>c</dialog><dialog open>d</dialog><p style="my-display:none">e</p>'
+    assert html_text.visible_text(page).split() == ["a", "d", "e"]
+
+
 def test_licenses(spark):
     rows = [(1, "a/LICENSE", "Licensed under the Apache License, Version 2.0"), (2, "a/b/c/x.txt", "plain text"), (3, "a/b/LICENSE", "Released under the MIT License."), (4, "a/y.txt", "words\nLicensed under CC BY-NC 4.0.\n" + "more words " * 50), (5, "z/x.txt", "plain"), (6, None, None)]
     out = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
