@@ -6,11 +6,9 @@ become the training median and a flag that says so.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -19,14 +17,12 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.rowwise import apply_calibrator, in_days
 from riskframe.operators import calibrate
+from riskframe.operators.neighbours import nearest
 from riskframe.operators.ordered import quantiles
 from riskframe.operators.rank_metrics import ranking_metrics
 from riskframe.operators.split import Fold
 from riskframe.operators.trees import read_trees, tree_contributions
 
-#: Minority rows among which neighbours are sought, the first by a hash of the key.
-NEIGHBOURS_FROM = 4_000
-
 
 @dataclass(frozen=True)
 class Arm:
@@ -75,39 +71,21 @@ def uniform(*parts) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
 
 
-def smote(df: DataFrame, key: str, y: str, features: list[str], ratio: float, k: int = 5, seed: int = 0, pool: int = NEIGHBOURS_FROM) -> DataFrame:
+def smote(df: DataFrame, key: str, y: str, features: list[str], ratio: float, k: int = 5, seed: int = 0) -> DataFrame:
     """df (key, y, features without nulls) and synthetic rows of the minority (y = 1), with a null key.
 
     They bring the minority to about `ratio` of the majority: each minority row gives floor(q) or floor(q) + 1 of
-    them, by a hash. Each lies between its row and one of the row's k nearest minority neighbours, both chosen by
-    hashes. Neighbours come from at most `pool` minority rows, the first by a hash of the key: all, if there are
-    no more. Without a minority, or where it is large enough, df as it is.
+    them, by a hash. Each lies between its row and one of the row's k nearest neighbours in the whole minority, both
+    chosen by hashes. Without a minority, or where it is large enough, df as it is.
     """
     n = df.agg(F.count_if(F.col(y) == 1), F.count_if(F.col(y) == 0)).first()
     want = ratio * n[1] / n[0] - 1 if n[0] else 0.0
     if want <= 0 or n[0] < 2:
         return df
-    minority = df.where(F.col(y) == 1).select(key, F.array(*(F.col(c).cast("double") for c in features)).alias("x"))
-    some = minority.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(pool).collect()
-    shared = df.sparkSession.sparkContext.broadcast((np.array([r[0] for r in some]), np.array([r[1] for r in some])))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, points = shared.value
-        squares = (points**2).sum(1)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                far = squares[None, :] - 2 * x @ points.T + (x**2).sum(1)[:, None]
-                far[batch.column(0).to_numpy()[:, None] == ids[None, :]] = np.inf
-                # Ties to the smaller key; the row itself is no neighbour.
-                order = np.lexsort((np.broadcast_to(ids, far.shape), np.round(far, 9)), axis=1)[:, : min(k, len(ids) - 1)]
-                found = pa.array([points[row].tolist() for row in order], pa.list_(pa.list_(pa.float64())))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["key", "x", "near"])
-
+    minority = df.where(F.col(y) == 1).select(F.col(key).alias("key"), F.array(*(F.col(c).cast("double") for c in features)).alias("x"))
     kind = df.schema[key].dataType.simpleString()
     copies = F.floor(F.lit(want)) + (uniform(F.col("key"), F.lit(f"n{seed}")) < want - int(want)).cast("long")
-    rows = minority.mapInArrow(near, f"key {kind}, x array<double>, near array<array<double>>").withColumn("copies", copies).where("copies > 0")
+    rows = nearest(minority, k).withColumn("copies", copies).where("copies > 0 AND size(near) > 0")
     rows = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("j"))
     place = F.floor(uniform(F.col("key"), F.col("j"), F.lit(f"p{seed}")) * F.size("near")).cast("int")
     rows = rows.withColumns({"other": F.get("near", place), "u": uniform(F.col("key"), F.col("j"), F.lit(f"u{seed}"))})

@@ -38,7 +38,7 @@ def u4_purged_folds_of_the_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(LEARN + """, m AS (SELECT id, (amount - a) / s AS x FROM r, (SELECT avg(amount) AS a, stddev_pop(amount) AS s FROM r) WHERE y = 1),
-n AS (SELECT 0.8 * count(*) FILTER (WHERE y = 0) / count(*) FILTER (WHERE y = 1) - 1 AS q FROM r), pool AS (SELECT * FROM m ORDER BY md5(id || ':0'), id LIMIT 4000),
+n AS (SELECT 0.8 * count(*) FILTER (WHERE y = 0) / count(*) FILTER (WHERE y = 1) - 1 AS q FROM r), pool AS (SELECT * FROM m),
 near AS (SELECT m.id, m.x, o.x AS other, row_number() OVER (PARTITION BY m.id ORDER BY round((m.x - o.x) ** 2, 9), o.id) - 1 AS place, count(*) OVER (PARTITION BY m.id) AS have FROM m JOIN pool o ON o.id <> m.id),
 copies AS (SELECT id, CAST(floor(q) AS BIGINT) + CAST(CAST('0x' || substr(md5(id || ':n0'), 1, 8) AS BIGINT) / 4294967296.0 < q - floor(q) AS BIGINT) AS c FROM m, n),
 made AS (SELECT id, unnest(range(1, c + 1)) AS j FROM copies),

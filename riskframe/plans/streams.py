@@ -11,6 +11,7 @@ from riskframe.plans.features import keyed_tx
 from riskframe.plans.registry import query, rounded
 from riskframe.plans.views import EPOCH, TX, folder, table, tx
 from riskframe.sources import io
+from riskframe.sources.store import KeyedStore
 from riskframe.streaming import keyed
 from riskframe.streaming import stream as ST
 
@@ -93,22 +94,23 @@ SCORES = TX + ", s AS (SELECT id, 1 / (1 + exp(-((k - 50) / 20.0 + (amount - 20)
 def st3_stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same stream twice, as after a restart without a checkpoint: every key is in the log once."""
     at = folder(spark, "scores")
+    log = KeyedStore(spark, f"{at}/log", "id", 8)
     parts = {"k": (F.col("k") - 50) / F.lit(20.0), "amount": (F.col("amount") - 20) / F.lit(40.0)}
     p = sigmoid(parts["k"] + parts["amount"])
     for run in (1, 2):
-        sink = ST.score_sink(event_stream(spark, sf_dir), f"{at}/log", f"{at}/checkpoint{run}", "id", lambda batch: ST.scored(batch, "id", p, 0.7, parts, 1))
-        sink.awaitTermination()
-    log = spark.read.parquet(f"{at}/log")
-    return rounded(log.select("id", "p", "decision", F.get("reasons", F.lit(0))["feature"].alias("first_reason")))
+        ST.score_sink(event_stream(spark, sf_dir), log, f"run{run}", f"{at}/checkpoint{run}", lambda batch: ST.scored(batch, "id", p, 0.7, parts, 1)).awaitTermination()
+    return rounded(log.read().select("id", "p", "decision", F.get("reasons", F.lit(0))["feature"].alias("first_reason")))
 
 
 @query(TX + "SELECT id, event_type FROM tx")
 def st4_append_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row comes twice, in a batch and again after its checkpoint is lost."""
     at = folder(spark, "store")
+    store = KeyedStore(spark, f"{at}/rows", "id", 8)
     doubled = event_stream(spark, sf_dir).select("id", "event_type", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     for run in (1, 2):
-        ST.append_sink(doubled, f"{at}/rows", "id", f"{at}/checkpoint{run}").awaitTermination()
-    return spark.read.parquet(f"{at}/rows").select("id", "event_type")
+        store.sink(doubled, f"run{run}", f"{at}/checkpoint{run}").awaitTermination()
+    return store.read().select("id", "event_type")
 
 
 @query(TX + "SELECT tx_day, count(*) AS n, round(avg(CAST(p >= 0.7 AS INTEGER)), 6) AS review_rate FROM tx GROUP BY tx_day")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe.sources.io import shared_folder as folder  # noqa: F401
+
 EPOCH = 1_704_067_200  # 2024-01-01
 SPLITS = {"train": (0, 14), "valid": (21, 25), "test": (25, 30)}
 
@@ -33,14 +32,3 @@ def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and the executors share (on one machine, where none is named, a temporary one)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/riskframe-{name}-{uuid.uuid4().hex}"

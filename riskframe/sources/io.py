@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -49,6 +51,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and the executors share (on one machine, where none is named, a temporary one)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base}/riskframe-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends there, and no lost executor takes it away."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_once(batch: DataFrame, store: str, key: str, by: str | None = None) -> None:
     """Appends the rows whose key the store does not have; one of repeated keys. Safe to run again. Null is a key.
 

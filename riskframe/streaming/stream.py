@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from riskframe.functions.rowwise import decide
 from riskframe.sources.io import append_once, read_payload
+from riskframe.sources.store import KeyedStore
 from riskframe.streaming.keyed import ROCKS
 
 def validated(stream: DataFrame, schema: str, required: list[str], block: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -34,9 +35,9 @@ def scored(batch: DataFrame, id: str, p: Column, threshold: float, contributions
     return d.select(id, "p", decide(F.col("p"), threshold).alias("decision"), F.when(F.col("p") >= threshold, F.col("reasons")).alias("reasons"))
 
 
-def score_sink(stream: DataFrame, log: str, checkpoint: str, id: str, decide_batch: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+def score_sink(stream: DataFrame, log: KeyedStore, query: str, checkpoint: str, decide_batch: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Each row of a stream scored once into a decision log, however often a batch is run again."""
-    return append_sink(stream, log, id, checkpoint, decide_batch)
+    return log.sink(stream, query, checkpoint, decide_batch)
 
 
 def replay(df: DataFrame, day: str, first: int, last: int, process: Callable[[DataFrame, int], None]) -> list[int]:
