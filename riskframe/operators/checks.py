@@ -8,7 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.rowwise import apply_calibrator, prior_correction
@@ -180,6 +180,43 @@ def monitoring_report(log: DataFrame, sealed: DataFrame, history_days: DataFrame
     )
 
 
+def evaluation_report(log: DataFrame, labels: DataFrame, drift: DataFrame, key: str, day: str, run: str, expected_rows: int, earlier: tuple[str, int], days: tuple[int, int], thresholds: list[float], frozen: dict[str, tuple[object, object]], openings: int, selection: DataFrame, resampled: DataFrame) -> DataFrame:
+    """C8: a final evaluation on sealed rows, from its decision log (key, day, p, threshold, decision, run_label,
+    scored_at), its labels, and its daily drift (day, variant, psi).
+
+    The rows were opened once, each was scored once, all are labelled, in the order of days, with none left out; rows
+    of earlier runs (a prefix of labels and their number) stayed as they were; one threshold, that of all `thresholds`;
+    frozen things (name to what they were and are: a specification, a reference, digests of sources) did not change;
+    drift stays inside the days and has both variants; no key that chose a model, and none that was made by resampling,
+    is among the scored ones.
+    """
+    spark, own = log.sparkSession, log.where(F.col("run_label") == run)
+    low, high = days
+    first = own.groupBy(day).agg(F.min("scored_at").alias("first"))
+    backwards = first.withColumn("before", F.lag("first").over(Window.orderBy(day))).where("first < before")  # a row a day
+    missing = spark.range(low, high + 1).select(F.col("id").cast("int").alias(day)).join(first, day, "left_anti")
+    variants = drift.groupBy(day).agg(F.count_distinct("variant").alias("n"))
+    rows = [
+        ("opened once", known(spark, abs(openings - 1))),
+        ("as many rows as expected", own.agg(F.abs(F.count(F.lit(1)) - expected_rows).alias("bad"))),
+        ("every row labelled", counted(own.join(labels.where(F.col(labels.columns[1]).isNotNull()), key, "left_anti"))),
+        ("no run pending", counted(log.where("run_label = 'pending'"))),
+        ("one decision a key", repeated(own, key)),
+        ("earlier rows untouched", log.where(F.col("run_label").startswith(earlier[0])).agg(F.abs(F.count(F.lit(1)) - earlier[1]).alias("bad"))),
+        ("days scored in order", counted(backwards)),
+        ("every day present", counted(missing)),
+        ("no day outside", count_bad(own, ~F.col(day).between(low, high))),
+        ("one threshold everywhere", own.agg((F.count_if(~F.col("threshold").eqNullSafe(F.lit(thresholds[0]))) + int(len(set(thresholds)) > 1)).alias("bad"))),
+        ("decisions follow the threshold", count_bad(own, ~F.when(F.col("p") >= F.col("threshold"), "review").otherwise("accept").eqNullSafe(F.col("decision")))),
+        *((f"{name} unchanged", known(spark, int(was != now))) for name, (was, now) in frozen.items()),
+        ("drift inside the days", count_bad(drift, ~F.col(day).between(low, high))),
+        ("both variants of drift", count_bad(variants, F.col("n") != 2)),
+        ("no selection on scored rows", counted(V.leaked_keys(selection, own, key))),
+        ("no scored row was resampled", counted(V.leaked_keys(resampled, own, key))),
+    ]
+    return report(rows)
+
+
 def fingerprint(df: DataFrame, y: str, day: str, features: list[str]) -> dict[str, object]:
     """Rows, positives, days and the feature contract of a training table: what a cached result depends on."""
     r = df.agg(F.count(F.lit(1)), F.sum(F.col(y).cast("long")), F.min(day), F.max(day)).first()

@@ -177,6 +177,54 @@ def c7_monitoring_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.monitoring_report(log, d.where("split = 'test'"), d.select("id", "tx_day"), reference, own, verdicts, "id", "tx_day", (21, 23), ["amount", "p"], 3, 0.3, F.col("th"), digests)
 
 
+# Faults: a day left out and one scored too early, rows twice, unlabelled or with another threshold, decisions that do
+# not follow it, an earlier run that lost rows, a reference that changed, drift of a sealed day and without its variant,
+# a second opening, keys that chose the model or were resampled.
+FINAL = TX + ", f AS (SELECT * FROM tx WHERE split = 'test' AND tx_day <> 27) "
+
+
+@query(
+    FINAL
+    + rows_sql(
+        {
+            "opened once": "SELECT 1",
+            "as many rows as expected": "SELECT abs((SELECT count(*) + count(*) FILTER (WHERE k = 7) FROM f) - (SELECT count(*) FROM tx WHERE split = 'test'))",
+            "every row labelled": "SELECT count(*) FILTER (WHERE k % 50 = 1) FROM f",
+            "no run pending": "SELECT count(*) FROM tx WHERE split = 'valid' AND k = 3",
+            "one decision a key": "SELECT count(*) FILTER (WHERE k = 7) FROM f",
+            "earlier rows untouched": "SELECT 2",
+            "days scored in order": "SELECT 1",
+            "every day present": "SELECT 1",
+            "no day outside": "SELECT 0",
+            "one threshold everywhere": "SELECT count(*) FILTER (WHERE k = 65) FROM f",
+            "decisions follow the threshold": "SELECT count(*) FILTER (WHERE k = 65) FROM f",
+            "specification unchanged": "SELECT 0",
+            "reference unchanged": "SELECT 1",
+            "sources unchanged": "SELECT 0",
+            "drift inside the days": "SELECT 2",
+            "both variants of drift": "SELECT 1",
+            "no selection on scored rows": "SELECT count(*) FILTER (WHERE k = 9) FROM f",
+            "no scored row was resampled": "SELECT count(*) FILTER (WHERE k = 11) FROM f",
+        }
+    )
+)
+def c8_evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tx(spark, sf_dir)
+    test = d.where("split = 'test'")
+    at = F.timestamp_seconds(F.when(F.col("tx_day") == 26, 10).otherwise(F.col("tx_day")))
+    final = test.where("tx_day <> 27").withColumns({"threshold": F.when(F.col("k") == 65, 0.6).otherwise(0.7), "run_label": F.lit("final"), "scored_at": at})
+    final = final.withColumn("decision", F.when(F.col("p") >= 0.7, "review").otherwise("accept"))
+    old = d.where("split = 'train'").limit(10).withColumns({"threshold": F.lit(0.7), "run_label": F.lit("old-1"), "scored_at": F.timestamp_seconds(F.lit(0)), "decision": F.lit("accept")})
+    pending = d.where("split = 'valid' AND k = 3").withColumns({"threshold": F.lit(0.7), "run_label": F.lit("pending"), "scored_at": F.timestamp_seconds(F.lit(0)), "decision": F.lit("accept")})
+    log = final.union(final.where("k = 7")).unionByName(old).unionByName(pending)
+    labels = d.select("id", F.when(F.col("k") % 50 != 1, F.col("y")).alias("label"))
+    days = [(day, variant, 0.1) for day in range(25, 31) for variant in ("carried", "own") if (day, variant) != (26, "own")]
+    drift = spark.createDataFrame(days, "tx_day int, variant string, psi double")
+    selection = d.where("split = 'valid' OR split = 'test' AND k = 9").select("id")
+    frozen = {"specification": ("a", "a"), "reference": ("a", "b"), "sources": (io.digest(test), io.digest(test.orderBy("amount")))}
+    return C.evaluation_report(log, labels, drift, "id", "tx_day", "final", test.count(), ("old", 12), (25, 29), [0.7, 0.7], frozen, 2, selection, d.where("k = 11").select("id"))
+
+
 @query(TX + "SELECT 'first_day: 0 is now 3' AS reason UNION ALL SELECT 'positives: ' || (SELECT sum(y) FROM tx) || ' is now ' || (SELECT sum(y) FROM tx WHERE tx_day >= 3) UNION ALL SELECT 'rows: ' || (SELECT count(*) FROM tx) || ' is now ' || (SELECT count(*) FROM tx WHERE tx_day >= 3)")
 def c11_stale_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tx(spark, sf_dir)

@@ -120,6 +120,14 @@ def st5_daily_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(days.select(day.alias("tx_day"), "n", "review_rate"))
 
 
+@query(TX + """, l AS (SELECT tx_day, 'amount' AS feature, CASE WHEN k % 9 = 0 THEN -1 ELSE CAST(amount >= 5 AS INTEGER) + CAST(amount >= 20 AS INTEGER) + CAST(amount >= 80 AS INTEGER) END AS bin FROM tx UNION ALL SELECT tx_day, 'k', CAST(k >= 50 AS INTEGER) FROM tx)
+SELECT tx_day, feature, bin, count(*) AS n FROM l GROUP BY ALL""")
+def st5_daily_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = event_stream(spark, sf_dir).withColumn("amount", F.when(F.col("k") % 9 != 0, F.col("amount")))
+    days = ST.run_through(ST.daily_bins(e, "ts", {"amount": [5.0, 20.0, 80.0], "k": [50.0]}), folder(spark, "bins"), "complete")
+    return days.select(F.floor((F.unix_seconds("window.start") - EPOCH) / 86_400).cast("int").alias("tx_day"), "feature", "bin", "n")
+
+
 @query(TX + "SELECT a.id, CASE WHEN b.delay <= 30 THEN b.y END AS y FROM (SELECT * FROM tx WHERE tx_day < 20) a LEFT JOIN (SELECT id, y, k % 40 AS delay FROM tx WHERE k % 3 <> 0) b USING (id)")
 def st6_matured_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels come k % 40 days after the decision, for two thirds of the rows; those after 30 days are too late."""

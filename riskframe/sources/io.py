@@ -31,6 +31,62 @@ def typed_select(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(*(F.nullif(F.col(c), F.lit("")).try_cast(type_of(c)).alias(c) for c in columns or df.columns))
 
 
+#: Narrow types of the typed columns; a value that does not fit becomes null.
+NARROW = {"bigint": "bigint", "smallint": "tinyint", "double": "float", "string": "string"}
+
+
+def downcast(df: DataFrame) -> DataFrame:
+    """Each column in the narrowest type that its name allows: keys and times stay long, the label takes a byte, measures
+    are floats, the rest is text. What is no number becomes null, and so does NaN."""
+    out = []
+    for c, kind in df.dtypes:
+        x = F.col(c)
+        if kind in ("double", "float"):
+            x = F.when(~F.isnan(x), x)
+        out.append(x.try_cast(NARROW[type_of(c)]).alias(c))
+    return df.select(*out)
+
+
+def write_interim(df: DataFrame, path: str, key: str = "transactionid", prefix: str = "v") -> None:
+    """The base columns and the numbered block as two tables under path, both with the key, in the place of older ones."""
+    base, block = split_block(df.columns, prefix)
+    df.select(*base).write.mode("overwrite").parquet(f"{path}/base")
+    df.select(key, *block).write.mode("overwrite").parquet(f"{path}/block")
+
+
+def read_interim(spark: SparkSession, path: str, block: list[str] | None = None, key: str = "transactionid") -> DataFrame:
+    """The base with the wanted columns of the block (all by default); none of the block is read where none is wanted."""
+    base = spark.read.parquet(f"{path}/base")
+    if block == []:
+        return base
+    other = spark.read.parquet(f"{path}/block")
+    return base.join(other.select(key, *block) if block else other, key, "left")
+
+
+def decision_rows(scored: DataFrame, key: str, model: str, version: str, threshold: float, features: list[str], label: str, scored_at: Column | None = None) -> DataFrame:
+    """Rows of the decision log: key, model, scores, threshold, decision, reasons and features as JSON text, latency, run.
+
+    scored: key, p_raw, p, decision, reasons (null for rows that are accepted), the features, and latency_ms if it was
+    measured. Nulls are kept in the JSON.
+    """
+    keep = {"ignoreNullFields": "false"}
+    latency = F.col("latency_ms").cast("double") if "latency_ms" in scored.columns else F.lit(None).cast("double")
+    return scored.select(
+        F.col(key),
+        F.lit(model).alias("model_name"),
+        F.lit(version).alias("model_version"),
+        "p_raw",
+        "p",
+        F.lit(threshold).alias("threshold"),
+        "decision",
+        F.when(F.col("reasons").isNotNull(), F.to_json("reasons", keep)).alias("reason_codes"),
+        F.to_json(F.struct(*features), keep).alias("features"),
+        latency.alias("latency_ms"),
+        F.lit(label).alias("run_label"),
+        (F.current_timestamp() if scored_at is None else scored_at).alias("scored_at"),
+    )
+
+
 def split_block(columns: list[str], prefix: str = "v") -> tuple[list[str], list[str]]:
     """The other columns, and those of the numbered block in the order of their numbers."""
     block = sorted((c for c in columns if re.fullmatch(rf"{prefix}\d+", c)), key=lambda c: int(c[len(prefix) :]))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from riskframe.functions.rowwise import decide
+from riskframe.operators.drift import bin_of
 from riskframe.sources.io import append_once, read_payload
 from riskframe.sources.store import KeyedStore
 from riskframe.streaming.keyed import ROCKS
@@ -70,6 +71,14 @@ def daily(stream: DataFrame, ts: str, p: str, threshold: float, delay: str = "1
     return stream.withWatermark(ts, delay).groupBy(F.window(ts, "1 day")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(p) >= threshold).cast("double")).alias("review_rate"))
 
 
+def daily_bins(stream: DataFrame, ts: str, edges: dict[str, list[float]], delay: str = "1 day") -> DataFrame:
+    """Rows by day, feature and bin of the feature's frozen edges (-1: missing), final once the watermark has passed:
+    what drift of a day, or of any window of days, is computed from. The state is a number for each of them."""
+    parts = [F.struct(F.lit(f).alias("feature"), F.coalesce(bin_of(F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")), e), F.lit(-1)).alias("bin")) for f, e in edges.items()]
+    long = stream.withWatermark(ts, delay).select(ts, F.inline(F.array(*parts)))
+    return long.groupBy(F.window(ts, "1 day"), "feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
 def matured(decisions: DataFrame, labels: DataFrame, key: str, delay: str = "30 days") -> DataFrame:
     """Each decision with the label that comes within `delay` of it, or none once that time has passed.
 

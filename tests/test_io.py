@@ -72,6 +72,31 @@ def test_ledger_opens_once_and_sees_changes(spark, tmp_path):
     assert ledger.problems({"test": spark.range(11)}) == ["test has changed since it was opened"]
 
 
+def test_narrow_types_and_interim_tables(spark, tmp_path):
+    df = spark.createDataFrame([("1", "10", "1", "2.5", "7", "x", None), ("2", "20", "300", "oops", "NaN", "", "3")], "transactionid string, transactiondt string, isfraud string, c1 string, v2 string, productcd string, v1 string")
+    low = io.downcast(df)
+    assert dict(low.dtypes) == {"transactionid": "bigint", "transactiondt": "bigint", "isfraud": "tinyint", "c1": "float", "v2": "float", "productcd": "string", "v1": "float"}
+    rows = sorted(low.collect())
+    assert rows[0]["c1"] == 2.5 and rows[1]["c1"] is None and rows[1]["isfraud"] is None and rows[1]["v1"] == 3.0
+    assert io.downcast(spark.createDataFrame([(float("nan"),)], "c1 double")).first()[0] is None
+    io.write_interim(low, f"{tmp_path}/interim")
+    assert "v1" not in io.read_interim(spark, f"{tmp_path}/interim", []).columns
+    back = io.read_interim(spark, f"{tmp_path}/interim", ["v1"])
+    assert sorted(back.columns) == sorted(c for c in low.columns if c != "v2") and [r["v1"] for r in back.orderBy("transactionid").collect()] == [None, 3.0]
+    assert sorted(io.read_interim(spark, f"{tmp_path}/interim").columns) == sorted(low.columns)
+
+
+def test_decision_log_rows_go_there_and_back(spark, tmp_path):
+    scored = spark.createDataFrame([(1, 0.9, 0.8, "review", [("a", 0.5)], 1.5, None), (2, 0.2, 0.1, "accept", None, None, 2)], "id long, p_raw double, p double, decision string, reasons array<struct<feature:string,contribution:double>>, a double, b int")
+    rows = io.decision_rows(scored, "id", "trees", "v1", 0.7, ["a", "b"], "final", F.timestamp_seconds(F.lit(5)))
+    rows.write.mode("append").parquet(f"{tmp_path}/log")
+    r = {x["id"]: x for x in spark.read.parquet(f"{tmp_path}/log").collect()}
+    assert json.loads(r[1]["features"]) == {"a": 1.5, "b": None} and json.loads(r[1]["reason_codes"]) == [{"feature": "a", "contribution": 0.5}]
+    assert r[2]["reason_codes"] is None and r[2]["threshold"] == 0.7 and r[2]["latency_ms"] is None and r[2]["run_label"] == "final"
+    back = io.decision_log(spark.read.parquet(f"{tmp_path}/log"), spark.createDataFrame([(1, 3), (2, 4)], "id long, day int"), "id", "day", ["a", "b"], 4).collect()
+    assert [(x["id"], x["a"], x["b"]) for x in back] == [(2, None, 2.0)]
+
+
 def test_of_two_openings_at_once_one_fails(spark, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 
