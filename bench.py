@@ -23,6 +23,10 @@ HEADLINE = (
     "j1_left_joins",
     "a12_correlation",
     "st2_stream_features",
+    "w6_account_block",
+    "a45_window_psi",
+    "m20_tree_contributions",
+    "m6_smote",
 )
 LLM = (
     "op1_toxicity",
@@ -35,10 +39,13 @@ LLM = (
     "op8_ngram_join",
     "op9_bpe",
     "op10_topk",
+    "op11_centroids",
+    "op12_phrases",
+    "op13_sentence_piece",
     "pipeline",
 )
 #: Queries that take long are run once, the others three times.
-ONCE = {"op8_ngram_join", "pipeline", "op1_toxicity"}
+ONCE = {"op8_ngram_join", "pipeline", "op1_toxicity", "op12_phrases", "m20_tree_contributions", "m6_smote"}
 
 
 def main() -> None:
