@@ -231,7 +231,7 @@ def ratio_sweep(train: DataFrame, valid: DataFrame, key: str, y: str, features:
 
 
 def compact_models(train: DataFrame, valid: DataFrame, key: str, y: str, ranking: DataFrame, sizes: list[int], arm: Arm) -> DataFrame:
-    """(k, n, pr_auc, roc_auc, d_pr_auc) of models of the k most important features, each fitted anew on the training
+    """(k, n, prevalence, pr_auc, roc_auc, d_pr_auc) of models of the k most important features, each fitted anew on the training
     rows, against the model of all of them. ranking: (feature, importance) of the training rows, a row a feature."""
     ordered = [r["feature"] for r in ranking.orderBy(F.desc("importance"), "feature").select("feature").collect()]
     out, whole = [], None
@@ -239,8 +239,8 @@ def compact_models(train: DataFrame, valid: DataFrame, key: str, y: str, ranking
         scored = fit(train, key, y, ordered[:k], arm).score(valid)
         m = ranking_metrics(scored, y, "p").first()
         whole = m["pr_auc"] if whole is None else whole
-        out.append((k, m["n"], m["pr_auc"], m["roc_auc"], None if m["pr_auc"] is None else m["pr_auc"] - whole))
-    return train.sparkSession.createDataFrame(out, "k int, n long, pr_auc double, roc_auc double, d_pr_auc double")
+        out.append((k, m["n"], m["prevalence"], m["pr_auc"], m["roc_auc"], None if m["pr_auc"] is None else m["pr_auc"] - whole))
+    return train.sparkSession.createDataFrame(out, "k int, n long, prevalence double, pr_auc double, roc_auc double, d_pr_auc double")
 
 
 def leakage_probe(train: DataFrame, others: dict[str, DataFrame], key: str, y: str, features: list[str], most: float = 0.99) -> DataFrame:
