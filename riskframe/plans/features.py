@@ -11,7 +11,8 @@ from riskframe.operators import split as S
 from riskframe.operators import windows as W
 from riskframe.operators.profile import split_summary
 from riskframe.plans.registry import query, rounded
-from riskframe.plans.views import SPLITS, TX, table, tx
+from riskframe.plans.views import SPLITS, TX, folder, table, tx
+from riskframe.sources import io
 
 PAST = "PARTITION BY user_id ORDER BY t RANGE BETWEEN {} PRECEDING AND 1 PRECEDING"
 D7, ALL = PAST.format(604800), PAST.format("UNBOUNDED")
@@ -264,3 +265,27 @@ def u9_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w13_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = F.coalesce(F.col("t") >= F.lag("t").over(Window.partitionBy("event_type").orderBy("id")), F.lit(True))
     return tx(spark, sf_dir).withColumn("d", up).groupBy("event_type").agg(F.bool_and("d").alias("monotone"))
+
+
+def bucketed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Order lines and orders as tables with the same buckets of the order's key."""
+    out = []
+    for name, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
+        at = folder(spark, name)
+        out.append(io.write_bucketed(table(spark, sf_dir, name), at, f"bucketed_{name}_{at[-32:]}", key, 16))
+    return out[0], out[1]
+
+
+@query("SELECT l_orderkey, l_linenumber, o_custkey, o_orderstatus FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') o ON l_orderkey = o_orderkey")
+def j1_bucketed_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, orders = bucketed(spark, sf_dir)
+    return lines.join(orders.where("o_orderstatus <> 'P'"), F.col("l_orderkey") == F.col("o_orderkey"), "left").select("l_orderkey", "l_linenumber", "o_custkey", "o_orderstatus")
+
+
+@query("SELECT 'known' AS kind, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT 'new', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def j8_bucketed_semi_and_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, orders = bucketed(spark, sf_dir)
+    same = F.col("l_orderkey") == F.col("o_orderkey")
+    kinds = (("known", "left_semi"), ("new", "left_anti"))
+    parts = [lines.join(orders.where("o_orderstatus = 'F'"), same, how).agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n")) for kind, how in kinds]
+    return parts[0].union(parts[1])

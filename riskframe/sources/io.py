@@ -110,6 +110,16 @@ def publish_features(df: DataFrame, path: str, partition: str = "partition") ->
     df.write.mode("overwrite").partitionBy(partition).parquet(path)
 
 
+def write_bucketed(df: DataFrame, path: str, name: str, key: str, buckets: int) -> DataFrame:
+    """df as a table at path, its rows dealt into buckets by a hash of the key and sorted by it within them.
+
+    Tables with as many buckets of keys of one type are joined on them (also semi and anti) where they lie, without a
+    shuffle on either side.
+    """
+    df.repartition(buckets, key).write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     own = spark._jvm.org.apache.hadoop.fs.Path(path)
     return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
