@@ -34,10 +34,15 @@ def two_block(contributions: DataFrame, id: str) -> DataFrame:
     return g.withColumn("cancellation", 1 - F.try_divide("net", "gross"))
 
 
-def reconstruction(contributions: DataFrame, group: Column, id: str, limit: float = 1e-4) -> DataFrame:
-    """Whether the groups' sums add up to each row's total: rows, and those off by more than the limit."""
-    parts = contributions.groupBy(id, group.alias("_g")).agg(F.sum("contribution").alias("part"), F.count(F.lit(1)).alias("n"))
-    sums = parts.groupBy(id).agg(F.sum("part").alias("parts"))
+def group_sums(contributions: DataFrame, group: Column, id: str) -> DataFrame:
+    """(id, grp, part): each row's contributions by group."""
+    return contributions.groupBy(id, group.alias("grp")).agg(F.sum("contribution").alias("part"))
+
+
+def reconstruction(contributions: DataFrame, group: Column, id: str, limit: float = 1e-4, stored: DataFrame | None = None) -> DataFrame:
+    """Whether the groups' sums, those of a stored table (id, grp, part) if given, add up to each row's total: rows of
+    either, and those off by more than the limit, which a row of one alone is too."""
+    sums = (stored if stored is not None else group_sums(contributions, group, id)).groupBy(id).agg(F.sum("part").alias("parts"))
     whole = contributions.groupBy(id).agg(F.sum("contribution").alias("whole"))
     both = whole.join(sums, id, "full")
     off = F.coalesce(F.abs(F.col("whole") - F.col("parts")) > limit, F.lit(True))

@@ -1,4 +1,5 @@
-"""Check reports: one row a check, with how many things break it. Each is a small aggregate; a report is their union.
+"""Check reports: one row a check, with how many things break it. Each is a small aggregate, those of one table in one
+pass; a report is their union.
 
 A report does not stop at what it finds: passed() raises for callers that want to.
 """
@@ -7,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,12 +32,19 @@ def known(spark: SparkSession, bad: int) -> DataFrame:
     return spark.range(1).select(F.lit(bad).cast("long").alias("bad"))
 
 
-def report(checks: list[Check]) -> DataFrame:
-    """(check, bad, result), in one Spark job."""
-    out = None
-    for name, one in checks:
-        row = one.select(F.lit(name).alias("check"), F.col(one.columns[0]).cast("long").alias("bad"))
-        out = row if out is None else out.union(row)
+def together(df: DataFrame, bad: dict[str, Column] | None = None, **values: Column) -> DataFrame:
+    """(check, bad) of several checks of a table in one pass: by name the rows where `bad` holds (null counts as bad;
+    a row that a check leaves aside is a literal false to it), and aggregates by name, whose _ stand for spaces."""
+    found = {name: F.count_if(F.coalesce(c, F.lit(True))) for name, c in (bad or {}).items()} | {name.replace("_", " "): c for name, c in values.items()}
+    places = [f"_{i}" for i in range(len(found))]
+    row = df.agg(*(c.cast("long").alias(place) for place, c in zip(places, found.values(), strict=True)))
+    return row.select(F.inline(F.array(*(F.struct(F.lit(name).alias("check"), F.col(place).alias("bad")) for place, name in zip(places, found, strict=True)))))
+
+
+def report(checks: list[Check], *more: DataFrame) -> DataFrame:
+    """(check, bad, result), in one Spark job: checks of their own, and tables (check, bad)."""
+    rows = [one.select(F.lit(name).alias("check"), F.col(one.columns[0]).cast("long").alias("bad")) for name, one in checks]
+    out = reduce(DataFrame.union, [*rows, *more])
     return out.withColumn("result", F.when(F.col("bad") == 0, "pass").otherwise("fail"))
 
 
@@ -48,10 +57,13 @@ def passed(found: DataFrame) -> None:
 def decreasing(df: DataFrame, x: str, f: Column, steps: int = 1_000) -> DataFrame:
     """One row: neighbouring steps of x, spread evenly over its range, between which f falls."""
     ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    grid = ends.select(F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("i"), "lo", "hi").withColumn(x, F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / steps)
-    values = grid.select("i", f.alias("f"))
-    after = values.select((F.col("i") - 1).alias("i"), F.col("f").alias("g"))
-    return values.join(after, "i").agg(F.count_if(F.coalesce(F.col("g") < F.col("f"), F.lit(True))).alias("bad"))
+    grid = ends.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"))
+
+    def at(i: Column) -> Column:
+        return F.col("lo") + (F.col("hi") - F.col("lo")) * i / steps
+
+    both = grid.withColumn(x, at(F.col("i"))).withColumn("f", f).withColumn(x, at(F.col("i") + 1)).withColumn("g", f)
+    return both.agg(F.count_if(F.coalesce(F.col("g") < F.col("f"), F.lit(True))).alias("bad"))
 
 
 def out_of_days(df: DataFrame, day: str, low: int, high: int) -> DataFrame:
@@ -89,6 +101,7 @@ def protocol_report(train: DataFrame, valid: DataFrame, oof: DataFrame, folds: l
     spans = sorted(f.valid for f in folds)
     gap = train.agg(F.max(day).alias("a")).join(F.broadcast(valid.agg(F.min(day).alias("b"))))  # a row each
     corrected = prior_correction(F.col("p"), *priors)
+    inner = (F.col("p") > 0) & (F.col("p") < 1)
     folded = F.coalesce(sum(((F.col("fold") == f.fold) & F.col(day).between(*f.valid)).cast("int") for f in folds), F.lit(0))
     return report(
         [
@@ -99,14 +112,13 @@ def protocol_report(train: DataFrame, valid: DataFrame, oof: DataFrame, folds: l
             ("folds purged", known(spark, sum(g != purge for g in gaps))),
             ("folds in order", known(spark, sum(f.train[1] >= f.valid[0] for f in folds))),
             ("validation blocks disjoint", known(spark, sum(b[0] <= a[1] for a, b in zip(spans, spans[1:], strict=False)))),
-            ("out-of-fold rows in their block", count_bad(oof, folded != 1)),
             ("out-of-fold rows once", repeated(oof, key)),
             ("out-of-fold rows of training only", counted(oof.select(key).join(train.select(key), key, "left_anti"))),
             ("validation prevalence untouched", count_bad(valid.agg(F.avg(y).alias("r")), F.abs(F.col("r") - prevalence) >= 5e-5)),
-            ("prior correction lowers", count_bad(oof.where("p > 0 AND p < 1"), corrected >= F.col("p"))),
             ("prior correction keeps order", decreasing(oof, "p", corrected)),
             ("calibrator monotone", decreasing(oof, "p", apply_calibrator(F.col("p"), *calibrator))),
-        ]
+        ],
+        together(oof, {"out-of-fold rows in their block": folded != 1, "prior correction lowers": F.when(inner, corrected >= F.col("p")).otherwise(False)}),
     )
 
 
@@ -151,12 +163,11 @@ def serving_report(history: DataFrame, served: DataFrame, batch: DataFrame, log:
             ("store without repeats", repeated(history, key)),
             ("served features equal batch", cells.agg(F.sum("differing").alias("bad"))),
             ("nulls equal batch", count_bad(nulls.join(other, [key, "feature"]), F.col("a") != F.col("b"))),
-            ("decisions follow the threshold", count_bad(log, F.col("decision") != wanted)),
             ("no decision flips", count_bad(flips, (F.col("_p") >= threshold) != (F.col("p") >= threshold))),
             ("one decision a key", repeated(log, key)),
-            ("scores are probabilities", count_bad(log, ~F.col("p").between(0, 1))),
             ("calibrator monotone", decreasing(log, "p", apply_calibrator(F.col("p"), *calibrator))),
-        ]
+        ],
+        together(log, {"decisions follow the threshold": F.col("decision") != wanted, "scores are probabilities": ~F.col("p").between(0, 1)}),
     )
 
 
@@ -171,13 +182,12 @@ def monitoring_report(log: DataFrame, sealed: DataFrame, history_days: DataFrame
             ("days inside the window", count_bad(log.join(history_days, key, "left"), ~F.col(day).between(*window))),
             ("sources unchanged", known(log.sparkSession, int(digests[0] != digests[1]))),
             ("one threshold", log.agg((F.count_distinct(threshold) - 1).alias("bad"))),
-            ("as many monitored features as agreed", reference.agg(F.abs(F.count(F.lit(1)) - n).alias("bad"))),
             ("monitored features in the contract", counted(names.join(inside, "feature", "left_anti"))),
-            ("monitored features mostly present", count_bad(reference, F.col("missing_share") > most_missing)),
             ("references reproduce themselves", count_bad(self_psi, F.col("psi") >= 1e-9)),
             ("one decision a key", repeated(log, key)),
             ("baseline calls for no retraining", count_bad(verdicts, F.col("decision") == "retrain")),
-        ]
+        ],
+        together(reference, {"monitored features mostly present": F.col("missing_share") > most_missing}, as_many_monitored_features_as_agreed=F.abs(F.count(F.lit(1)) - n)),
     )
 
 
@@ -199,23 +209,29 @@ def evaluation_report(log: DataFrame, labels: DataFrame, drift: DataFrame, key:
     variants = drift.groupBy(day).agg(F.count_distinct("variant").alias("n"))
     rows = [
         ("opened once", known(spark, abs(openings - 1))),
-        ("as many rows as expected", own.agg(F.abs(F.count(F.lit(1)) - expected_rows).alias("bad"))),
         ("every row labelled", counted(own.join(labels.where(F.col(labels.columns[1]).isNotNull()), key, "left_anti"))),
-        ("no run pending", counted(log.where("run_label = 'pending'"))),
         ("one decision a key", repeated(own, key)),
-        ("earlier rows untouched", log.where(F.col("run_label").startswith(earlier[0])).agg(F.abs(F.count(F.lit(1)) - earlier[1]).alias("bad"))),
         ("days scored in order", counted(backwards)),
         ("every day present", counted(missing)),
-        ("no day outside", count_bad(own, ~F.col(day).between(low, high))),
-        ("one threshold everywhere", own.agg((F.count_if(~F.col("threshold").eqNullSafe(F.lit(thresholds[0]))) + int(len(set(thresholds)) > 1)).alias("bad"))),
-        ("decisions follow the threshold", count_bad(own, ~F.when(F.col("p") >= F.col("threshold"), "review").otherwise("accept").eqNullSafe(F.col("decision")))),
         *((f"{name} unchanged", known(spark, int(was != now))) for name, (was, now) in frozen.items()),
         ("drift inside the days", count_bad(drift, ~F.col(day).between(low, high))),
         ("both variants of drift", count_bad(variants, F.col("n") != 2)),
         ("no selection on scored rows", counted(V.leaked_keys(selection, own, key))),
         ("no scored row was resampled", counted(V.leaked_keys(resampled, own, key))),
     ]
-    return report(rows)
+    mine = F.col("run_label").eqNullSafe(F.lit(run))
+    wanted = F.when(F.col("p") >= F.col("threshold"), "review").otherwise("accept")
+    each = {
+        "no run pending": F.col("run_label").eqNullSafe(F.lit("pending")),
+        "no day outside": mine & ~F.col(day).between(low, high),
+        "decisions follow the threshold": mine & ~wanted.eqNullSafe(F.col("decision")),
+    }
+    totals = {
+        "as_many_rows_as_expected": F.abs(F.count_if(mine) - expected_rows),
+        "earlier_rows_untouched": F.abs(F.count_if(F.col("run_label").startswith(earlier[0])) - earlier[1]),
+        "one_threshold_everywhere": F.count_if(mine & ~F.col("threshold").eqNullSafe(F.lit(thresholds[0]))) + int(len(set(thresholds)) > 1),
+    }
+    return report(rows, together(log, each, **totals))
 
 
 def fingerprint(df: DataFrame, y: str, day: str, features: list[str]) -> dict[str, object]:
