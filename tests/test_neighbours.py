@@ -42,3 +42,21 @@ def test_blocks_meet_where_they_must():
 def test_no_rows_have_no_neighbours(spark):
     assert N.nearest(spark.createDataFrame([], "key long, x array<double>"), 5).collect() == []
     assert [tuple(r) for r in N.nearest(spark.createDataFrame([("a", [1.0])], "key string, x array<double>"), 5).collect()] in ([], [("a", [1.0], [])])
+
+
+def test_crowded_blocks_meet_where_neighbours_are_nearer():
+    """Blocks closer than a thousandth: the second may hold a nearer point, whatever its keys."""
+    centres, radius = np.array([[0.0], [0.002]]), np.array([0.0005, 0.0005])
+    assert N.meetings(centres, radius, np.array([1.5e-6, 1.5e-6]), [0, 9], [5, 12]) == [[0, 1], [0, 1]]
+
+
+def test_blocks_meet_few_others():
+    """Blocks are cut by place, so that the pairs of blocks that meet grow as the blocks do."""
+    x = np.random.default_rng(0).normal(size=(16_384, 2))
+    blocks = N.halves(x, 128)
+    assert sorted(np.concatenate(blocks).tolist()) == list(range(len(x)))
+    centres = np.array([x[b].mean(0) for b in blocks])
+    radius = np.array([np.sqrt(N.apart(c[None], x[b]).max()) for c, b in zip(centres, blocks, strict=True)])
+    reach = np.array([np.sort(N.apart(x[b], x[b]), axis=1)[:, 5].max() for b in blocks])
+    met = N.meetings(centres, radius, reach, [0] * len(blocks), [1] * len(blocks))
+    assert sum(map(len, met)) < len(blocks) ** 2 / 4 and N.cell_of(x, N.cuts(x, 3)).max() == 7
