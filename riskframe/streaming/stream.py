@@ -28,8 +28,9 @@ def validated(stream: DataFrame, schema: str, required: list[str], block: list[s
 
 
 def scored(batch: DataFrame, id: str, p: Column, threshold: float, contributions: dict[str, Column], k: int = 3) -> DataFrame:
-    """The batch's decisions: id, p, decision, and for reviews alone the k largest positive contributions as reasons."""
-    parts = F.array(*(F.struct((-c).alias("_order"), F.lit(name).alias("feature"), c.alias("contribution")) for name, c in contributions.items()))
+    """The batch's decisions: id, p, decision, and for reviews alone the k largest positive contributions as reasons,
+    ties in the order in which the contributions are given."""
+    parts = F.array(*(F.struct((-c).alias("_order"), F.lit(i).alias("_place"), F.lit(name).alias("feature"), c.alias("contribution")) for i, (name, c) in enumerate(contributions.items())))
     top = F.slice(F.array_sort(F.filter(parts, lambda x: x["contribution"] > 0)), 1, k)
     reasons = F.transform(top, lambda x: F.struct(x["feature"].alias("feature"), x["contribution"].alias("contribution")))
     d = batch.withColumns({"p": p, "reasons": reasons})

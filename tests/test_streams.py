@@ -109,3 +109,10 @@ def test_replay_is_in_order_and_recomputed_days_are_replaced(spark, tmp_path):
     for _ in range(2):
         ST.recompute_window(df.where("day <> 2").withColumn("n", F.col("n") + 1), f"{tmp_path}/d", "day", 2, 3)
     assert sorted((r["day"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/d").collect()) == [(1, 1), (3, 2), (9, 1)]
+
+
+def test_equal_contributions_keep_their_order(spark):
+    """k and amount contribute the same: the first given is the first reason."""
+    d = spark.createDataFrame([(1, 2.0), (2, -1.0)], "id long, x double").withColumn("p", F.lit(0.9))
+    found = ST.scored(d, "id", F.col("p"), 0.7, {"k": F.col("x"), "amount": F.col("x") * 1.0}, 1).orderBy("id").collect()
+    assert [[z["feature"] for z in r["reasons"]] for r in found] == [["k"], []]
