@@ -97,3 +97,11 @@ def test_sums_and_quantiles_of_crowded_values(spark, monkeypatch):
     values, n = np.unique(x, return_counts=True)
     assert [r["upto_n"] for r in rows] == np.cumsum(n).tolist() and {r["all_n"] for r in rows} == {len(x)}
     assert [r["next"] for r in rows] == [*values[1:].tolist(), None]
+
+
+def test_known_neighbours_give_the_same_synthetic_rows(rows):
+    d = rows.where("b IS NOT NULL").select("id", "y", *FEATURES)
+    near = L.neighbours(d, "id", "y", FEATURES).persist()
+    for ratio in (0.5, 0.9):
+        found, want = ([sorted((r["a"], r["b"]) for r in L.smote(d, "id", "y", FEATURES, ratio, near=z).where("id IS NULL").collect()) for z in (near, None)])
+        assert found == want and found
