@@ -3,7 +3,8 @@
 The features are those of operators.windows.segmented, with the same names. The state of a key is a map from time
 bucket to the bucket's rows, and a bounded list of the moments of each recent bucket. A row asks its own bucket and, for
 each window, the one where the window begins; what lies between comes from the moments. A batch rewrites the buckets
-that it adds to, and no others, so that its cost does not grow with a key's history.
+that it adds to, and no others, so that its cost does not grow with a key's history. A key of at most SMALL rows is one
+value instead, read and written at once: most keys are small, and each call to the store takes longer than their rows.
 """
 
 from __future__ import annotations
@@ -13,8 +14,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,11 +23,14 @@ from riskframe.operators.windows import BUCKET, DAY, STATS
 #: The provider that transformWithState needs: state on local disk, changes in the checkpoint.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NONE = (0, 0, 0.0, 0.0, 0.0)
+#: Rows (and values of other columns) up to which a key's state is one value.
+SMALL = 512
+NEVER = -(1 << 62)
 
 
 def moments(values: np.ndarray, rows: int) -> tuple[int, int, float, float, float]:
     """(rows, values, sum, mean, sum of squared deviations); NaN is no value."""
-    x = values[~np.isnan(values)]
+    x = values[~np.isnan(values)] if rows else values
     if not len(x):
         return rows, 0, 0.0, 0.0, 0.0
     mean = float(x.mean())
@@ -48,6 +51,7 @@ class Features(StatefulProcessor):
 
     def __init__(self, t: str, amount: str, id: str, windows: dict[str, int | None], others: list[str], bucket: int, lateness: int, idle_ms: int | None) -> None:
         self.t, self.amount, self.id, self.windows, self.others, self.bucket, self.idle_ms = t, amount, id, windows, others, bucket, idle_ms
+        self.most = SMALL
         # Buckets behind the latest one: of a row in time, and of what its windows reach.
         self.in_time = lateness // bucket
         self.keep = self.in_time + max(s for s in [0, *windows.values()] if s is not None) // bucket
@@ -58,26 +62,44 @@ class Features(StatefulProcessor):
         self.handle = handle
         self.rows = handle.getMapState("rows", "bucket bigint", f"times array<bigint>, amounts array<double>{firsts}")
         self.index = handle.getListState("index", f"bucket bigint, n bigint, m bigint, s double, mean double, q double, last bigint{counts}")
+        small = "".join(f", f{j} array<array<bigint>>, l{j} array<string>, v{j} array<bigint>" for j in range(len(self.others)))
+        self.small = handle.getValueState("small", f"buckets array<bigint>, times array<array<bigint>>, amounts array<array<double>>, old array<bigint>, olds array<double>{small}")
         self.levels = [handle.getMapState(f"level{j}", "level string", "first bigint") for j in range(len(self.others))]
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values([self.t, self.id], kind="stable")
-        # One entry stands for all buckets that are older than those kept.
-        index = {e[0]: tuple(e[1:]) for e in self.index.get()}
-        old = list(index.pop(-(1 << 62), (*NONE, -(1 << 62), *[0] * len(self.others))))
-        times, amounts = batch[self.t].to_numpy(np.int64), batch[self.amount].to_numpy(float)
-        own = times // self.bucket
-        low, least = (max(index) - self.keep, max(index) - self.in_time) if index else (-(1 << 62),) * 2
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        batch = list(rows)
+        columns = {c: i for i, c in enumerate(batch[0].__fields__)}
+        batch.sort(key=lambda r: (r[columns[self.t]], r[columns[self.id]]))
+        times, ids, *levels = ([r[columns[c]] for r in batch] for c in (self.t, self.id, *self.others))
+        amounts = [math.nan if (a := r[columns[self.amount]]) is None else a for r in batch]
         held: dict[int, list[list]] = {}
+        known_first: list[dict[str, int]] = [{} for _ in self.others]
+        small, index = self.small.get(), {}
+        old = [*NONE, NEVER, *[0] * len(self.others)]
+        if small is None:
+            # One entry stands for all buckets that are older than those kept.
+            index = {e[0]: tuple(e[1:]) for e in self.index.get()}
+            inline = not index
+            old = list(index.pop(NEVER, old))
+        else:
+            inline = True
+            own_buckets, all_times, all_amounts, o, q, *firsts = small
+            old = [o[0], o[1], *q, *o[2:]]
+            for i, b in enumerate(own_buckets):
+                held[b] = [list(x[i]) for x in (all_times, all_amounts, *firsts[::3])]
+                index[b] = self.summary(held[b])
+            known_first = [dict(zip(names, at, strict=True)) for names, at in zip(firsts[1::3], firsts[2::3], strict=True)]
+        own = [t // self.bucket for t in times]
+        low, least = (max(index) - self.keep, max(index) - self.in_time) if index else (NEVER,) * 2
         changed: set[int] = set()
-        stored = set(index)
+        stored = set() if inline else set(index)
 
         def bucket(b: int) -> list[list]:
             if b not in held:
                 held[b] = [list(x) for x in self.rows.getValue((b,))] if b in stored else [[] for _ in range(2 + len(self.others))]
             return held[b]
 
-        for b, t, a in zip(own.tolist(), times.tolist(), amounts.tolist(), strict=True):
+        for b, t, a in zip(own, times, amounts, strict=True):
             if b < low:  # too late for a bucket of its own
                 old = [*merged(tuple(old[:5]), moments(np.array([a]), 1)), max(old[5], t), *old[6:]]
                 continue
@@ -85,13 +107,16 @@ class Features(StatefulProcessor):
             i = bisect.bisect_right(at[0], t)
             at[0].insert(i, t), at[1].insert(i, a)
             changed.add(b)
-        for j, firsts in enumerate(self.first_times(batch)):
+        for j, firsts in enumerate(self.first_times(levels, times)):
             for level, t in firsts.items():
-                known = self.levels[j].getValue((level,))
+                known = (known_first[j].get(level),) if inline else self.levels[j].getValue((level,))
                 known = None if known is None else known[0]
                 if known is not None and known <= t:
                     continue
-                self.levels[j].updateValue((level,), (t,))
+                if inline:
+                    known_first[j][level] = t
+                else:
+                    self.levels[j].updateValue((level,), (t,))
                 if known is not None:  # a late row came before the one that was the first
                     if known // self.bucket < low:
                         old[6 + j] -= 1
@@ -104,9 +129,8 @@ class Features(StatefulProcessor):
                     bisect.insort(bucket(t // self.bucket)[2 + j], t)
                     changed.add(t // self.bucket)
         for b in changed:
-            x = held[b]
-            index[b] = (*moments(np.array(x[1], float), len(x[0])), x[0][-1] if x[0] else -(1 << 62), *map(len, x[2:]))
-        yield self.features(key, batch, own, index, old, least, bucket)
+            index[b] = self.summary(held[b])
+        yield from self.features(key, ids, times, own, index, old, least, bucket)
         # Buckets that no window of a row in time can reach any more join the oldest entry.
         low = max(index) - self.keep if index else low
         for b in sorted(b for b in index if b < low):
@@ -114,37 +138,55 @@ class Features(StatefulProcessor):
             changed.discard(b)
             if b in stored:
                 self.rows.removeKey((b,))
-        for b in changed:
-            self.rows.updateValue((b,), tuple(held[b]))
-        self.index.put([(-(1 << 62), *old), *((b, *index[b]) for b in sorted(index))])
+        if inline and index and sum(e[0] for e in index.values()) <= self.most and sum(map(len, known_first)) <= self.most:
+            order = sorted(index)
+            parts = [x for j, known in enumerate(known_first) for x in ([held[b][2 + j] for b in order], list(known), list(known.values()))]
+            self.small.update((order, [held[b][0] for b in order], [held[b][1] for b in order], [int(x) for x in (old[0], old[1], *old[5:])], [float(x) for x in old[2:5]], *parts))
+        else:
+            if inline:  # it was small until now
+                changed = set(index)
+                for j, known in enumerate(known_first):
+                    for level, t in known.items():
+                        self.levels[j].updateValue((level,), (t,))
+                if small is not None:
+                    self.small.clear()
+            for b in changed:
+                self.rows.updateValue((b,), tuple(held[b]))
+            self.index.put([(NEVER, *old), *((b, *index[b]) for b in sorted(index))])
         if self.idle_ms:
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
+    @staticmethod
+    def summary(x: list[list]) -> tuple:
+        return (*moments(np.array(x[1], float), len(x[0])), x[0][-1] if x[0] else NEVER, *map(len, x[2:]))
+
     @staticmethod
     def joined(old: list | tuple, e: tuple) -> list:
         return [*merged(tuple(old[:5]), e[:5]), max(old[5], e[5]), *(x + y for x, y in zip(old[6:], e[6:], strict=True))]
 
-    def first_times(self, batch: pd.DataFrame) -> list[dict[str, int]]:
-        """For each other column, the earliest time of each of its values in the batch; null is one."""
-        out = []
-        for other in self.others:
-            levels = batch[other].map(lambda x: "n" if x is None or x != x else f"v{x}")
-            out.append(batch.groupby(levels, sort=False)[self.t].min().astype(int).to_dict())
+    @staticmethod
+    def first_times(levels: list[list], times: list[int]) -> list[dict[str, int]]:
+        """For each other column, the earliest time of each of its values in the batch, which is in order; null is one."""
+        out: list[dict[str, int]] = []
+        for column in levels:
+            out.append({})
+            for x, t in zip(column, times, strict=True):
+                out[-1].setdefault("n" if x is None else f"v{x}", t)
         return out
 
-    def features(self, key, batch, own, index, old, least, bucket) -> pd.DataFrame:
-        out: list[tuple] = []
+    def features(self, key, ids, times, own, index, old, least, bucket) -> Iterator[Row]:
+        named = Row("id", "level", "key", "late", *(f"{label}_{c}" for label in self.windows for c in STATS), "gap", *(f"{o}_distinct" for o in self.others))
         order = sorted(index)
         upto = [list(old)]  # all before each bucket
         for b in order:
             upto.append(self.joined(upto[-1], index[b]))
-        for b, t in zip(own.tolist(), batch[self.t].tolist(), strict=True):
+        for id, b, t in zip(ids, own, times, strict=True):
             late = b < least
-            row: list = [late]
+            row: list = [id, key[0], key[1], late]
             if late:
-                out.append((*row, *[None] * (len(self.windows) * len(STATS) + 1 + len(self.others))))
+                yield named(*row, *[None] * (len(self.windows) * len(STATS) + 1 + len(self.others)))
                 continue
             here = bucket(b)
             i = bisect.bisect_left(here[0], t)
@@ -166,21 +208,13 @@ class Features(StatefulProcessor):
                 n, m, s, mean, q = found
                 row += [n, s if m else None, mean if m else None, math.sqrt(q / (m - 1)) if m > 1 else None]
             last = here[0][i - 1] if i else upto[place][5]
-            row.append(None if last == -(1 << 62) else t - last)
+            row.append(None if last == NEVER else t - last)
             row += [upto[place][6 + j] + bisect.bisect_left(here[2 + j], t) for j in range(len(self.others))]
-            out.append(tuple(row))
-        names = ["late", *(f"{label}_{c}" for label in self.windows for c in STATS), "gap", *(f"{o}_distinct" for o in self.others)]
-        found = pd.DataFrame(out, columns=names)
-        for c in names[1:]:
-            found[c] = found[c].astype("Int64" if c == "gap" or c.endswith(("_cnt", "_distinct")) else "float64")
-        found.insert(0, "id", batch[self.id].to_numpy())
-        found.insert(1, "level", key[0])
-        found.insert(2, "key", key[1])
-        return found
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            yield named(*row)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         """A key that stayed away: its history begins anew."""
-        for state in (self.rows, self.index, *self.levels):
+        for state in (self.rows, self.index, self.small, *self.levels):
             state.clear()
         yield from ()
 
@@ -207,4 +241,4 @@ def entity_features(stream: DataFrame, keys: dict[str, str], t: str, amount: str
     processor = Features(t, amount, id, windows, others, bucket, lateness, idle * 1000 if idle else None)
     stats = ", ".join(f"{label}_{c} {'bigint' if c == 'cnt' else 'double'}" for label in windows for c in STATS)
     schema = f"id {stream.schema[id].dataType.simpleString()}, level string, key string, late boolean, {stats}, gap bigint" + "".join(f", {o}_distinct bigint" for o in others)
-    return rows.groupBy("_level", "_key").transformWithStateInPandas(processor, schema, "append", "ProcessingTime" if idle else "None")
+    return rows.groupBy("_level", "_key").transformWithState(processor, schema, "append", "ProcessingTime" if idle else "None")

@@ -116,3 +116,14 @@ def test_equal_contributions_keep_their_order(spark):
     d = spark.createDataFrame([(1, 2.0), (2, -1.0)], "id long, x double").withColumn("p", F.lit(0.9))
     found = ST.scored(d, "id", F.col("p"), 0.7, {"k": F.col("x"), "amount": F.col("x") * 1.0}, 1).orderBy("id").collect()
     assert [[z["feature"] for z in r["reasons"]] for r in found] == [["k"], []]
+
+
+def test_small_keys_are_one_value_and_grow_out_of_it(spark, tmp_path, monkeypatch, rows):
+    """The same features whether keys stay one value, outgrow it between batches, or never are one."""
+    found = []
+    for small in (0, 40, 512):
+        monkeypatch.setattr(keyed, "SMALL", small)
+        stream = in_batches(spark, rows, str(tmp_path / f"in{small}"), 3)
+        out = ST.run_through(keyed.entity_features(stream, {"user": "user_id"}, "t", "amount", "id", {"w": 36_000, "h": None}, [], lateness=10_000_000), str(tmp_path / f"out{small}"))
+        found.append(sorted(map(tuple, out.select("id", "w_cnt", F.round("w_sum", 6), "h_cnt", F.round("h_std", 6), "gap").collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
