@@ -47,14 +47,19 @@ class Leaf:
     high: np.ndarray
     shares: np.ndarray
     value: float
-    table: np.ndarray | None
+    table: np.ndarray | None  # features x patterns
 
-    def contributions(self, x: np.ndarray) -> np.ndarray:
-        own = x[:, self.features]
-        inside = (own > self.low) & (own <= self.high)
+    def add(self, out: np.ndarray, x: np.ndarray) -> None:
+        """Adds the leaf's contributions to out; out and x have a line for each feature, so that all steps run along rows."""
+        inside = [(x[f] > low) & (x[f] <= high) for f, low, high in zip(self.features, self.low, self.high, strict=True)]
         if self.table is None:
-            return shapley(inside.astype(float), self.shares, self.value)
-        return self.table[inside @ (1 << np.arange(len(self.features)))]
+            out[self.features] += shapley(np.stack(inside, 1).astype(float), self.shares, self.value).T
+            return
+        pattern = np.zeros(x.shape[1], np.intp)
+        for i, own in enumerate(inside):
+            pattern |= own.astype(np.intp) << i
+        for i, f in enumerate(self.features):
+            out[f] += self.table[i].take(pattern)
 
 
 def leaf(path: list[tuple[int, float, bool, float]], value: float) -> Leaf:
@@ -71,7 +76,7 @@ def leaf(path: list[tuple[int, float, bool, float]], value: float) -> Leaf:
     table = None
     if len(features) <= TABLED:
         patterns = (np.arange(1 << len(features))[:, None] >> np.arange(len(features)) & 1).astype(float)
-        table = shapley(patterns, shares, value)
+        table = np.ascontiguousarray(shapley(patterns, shares, value).T)
     return Leaf(np.array(features, int), low, high, shares, value, table)
 
 
@@ -81,11 +86,11 @@ class Trees:
     base: float
 
     def contributions(self, x: np.ndarray, features: int) -> np.ndarray:
-        out = np.zeros((len(x), features))
+        out, lines = np.zeros((features, len(x))), np.ascontiguousarray(x.T)
         for own in self.leaves:
             if len(own.features):
-                out[:, own.features] += own.contributions(x)
-        return out
+                own.add(out, lines)
+        return out.T
 
 
 def read_trees(model: GBTClassificationModel) -> Trees:
@@ -109,18 +114,20 @@ def read_trees(model: GBTClassificationModel) -> Trees:
 def tree_contributions(df: DataFrame, id: str, columns: list[str], trees: Trees, names: list[str] | None = None) -> DataFrame:
     """(id, feature, contribution): a row for each of df's rows and features, whose values are numbers without nulls.
 
-    names: of the features, where columns has other ones. The trees are broadcast; they do not grow with the rows.
+    names: of the features, where columns has other ones; columns of one name are one feature, added up in the row's own
+    task. The trees are broadcast; they do not grow with the rows.
     """
     shared = df.sparkSession.sparkContext.broadcast(trees)
-    said = names or columns
+    said = list(dict.fromkeys(names or columns))
+    same = np.array([[float(n == s) for s in said] for n in names or columns])
 
     def explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
                 x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], 1).astype(float)
-                found = shared.value.contributions(x, len(columns))
-                row, place = np.divmod(np.arange(found.size), len(columns))
+                found = shared.value.contributions(x, len(columns)) @ same
+                row, place = np.divmod(np.arange(found.size), len(said))
                 feature = pa.DictionaryArray.from_arrays(pa.array(place.astype(np.int32)), pa.array(said)).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), feature, pa.array(found.reshape(-1))], [id, "feature", "contribution"])
 

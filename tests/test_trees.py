@@ -74,3 +74,34 @@ def test_no_rows_give_no_contributions(spark):
     assert T.tree_contributions(spark.createDataFrame([], "id long, a double"), "id", ["a"], model).collect() == []
     found = T.tree_contributions(spark.createDataFrame([(None, 1.0), (2, 2.0), (2, 2.0)], "id long, a double"), "id", ["a"], model).collect()
     assert sorted((x[0] is not None, x[2]) for x in found) == [(False, 1.0), (True, -1.0), (True, -1.0)]
+
+
+def test_compact_models_fit_the_whole_once_and_contributions_need_no_shuffle(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    n = 600
+    a, b, c = r.normal(size=(3, n))
+    df = spark.createDataFrame([(i, int(a[i] + 0.3 * b[i] > 0.4), float(a[i]), None if i % 7 == 0 else float(b[i]), float(c[i])) for i in range(n)], "id long, y int, a double, b double, c double")
+    train, valid = df.where("id < 400"), df.where("id >= 400")
+    arm = L.Arm("gbt", strength=0.2, trees=5, depth=3)
+    fitted = L.fit(train, "id", "y", ["a", "b", "c"], arm)
+    contributions, _ = fitted.explain(train, "id")
+    assert "Exchange" not in contributions._jdf.queryExecution().executedPlan().toString()
+    assert contributions.count() == contributions.dropDuplicates(["id", "feature"]).count() == 1_200
+    ranking = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("c", 1.0)], "feature string, importance double")
+    plain = L.compact_models(train, valid, "id", "y", ranking, [1], arm).collect()
+    fits, own = [], L.fit
+    monkeypatch.setattr(L, "fit", lambda *x, **k: fits.append(x[3]) or own(*x, **k))
+    monkeypatch.setattr(L, "prepare", lambda *x: pytest.fail("medians were taken again"))
+    found = L.compact_models(train, valid, "id", "y", ranking, [1], arm, fitted).collect()
+    assert [x["k"] for x in found] == [3, 1] and all(tuple(x) == pytest.approx(tuple(z), abs=1e-9) for x, z in zip(found, plain, strict=True))
+    assert fits == [["a"]]
+    with pytest.raises(ValueError):
+        L.compact_models(train, valid, "id", "y", ranking.where("feature <> 'c'"), [1], arm, fitted)
+
+
+def test_columns_of_one_name_are_one_feature(spark):
+    model = T.Trees([T.leaf([(0, 1.0, True, 0.5), (1, 0.5, True, 0.25)], 2.0), T.leaf([(0, 1.0, False, 0.5)], -1.0)], 0.0)
+    df = spark.createDataFrame([(1, 0.0, 0.0, 3.0), (2, 2.0, 1.0, 3.0)], "id long, a double, a_missing double, b double")
+    apart = {(x["id"], x["feature"]): x["contribution"] for x in T.tree_contributions(df, "id", ["a", "a_missing", "b"], model).collect()}
+    found = T.tree_contributions(df, "id", ["a", "a_missing", "b"], model, ["a", "a", "b"]).collect()
+    assert {(x["id"], x["feature"]): x["contribution"] for x in found} == {(i, f): apart[i, f] + (apart[i, "a_missing"] if f == "a" else 0.0) for i in (1, 2) for f in ("a", "b")}
