@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,17 +45,41 @@ def distinct_scores(df: DataFrame, y: str, p: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).cast("double").alias("_k")).persist()
 
 
+def excess(rows: DataFrame, points: list[float]) -> list[float]:
+    """sum((sigmoid(_z + b) - _y) * _k) of distinct_scores for each b: a sum a point from each task."""
+    shifts = np.array(points)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shifts))
+        for batch in batches:
+            z, y, k = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for i, b in enumerate(shifts):
+                with np.errstate(over="ignore"):
+                    total[i] += ((1.0 / (1.0 + np.exp(-(z + b))) - y) * k).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(shifts), dtype=np.int32)), pa.array(total)], ["i", "s"])
+
+    found = rows.select("_z", "_y", "_k").mapInArrow(summed, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
+    return [r["s"] for r in sorted(found, key=lambda r: r["i"])]
+
+
 def fit_shift(df: DataFrame, y: str, p: str, rounds: int = 6, steps: int = 32) -> float | None:
     """b with the least log loss of sigmoid(logit(p) + b): sum(sigmoid - y) rises in b, so each round weighs `steps`
-    values in one aggregate and keeps the interval where the sign turns. None without both classes."""
+    values in one pass and keeps the interval where the sign turns. None without both classes."""
     rows = distinct_scores(df, y, p)
+    found = shift_of(rows, rounds, steps)
+    rows.unpersist()
+    return found
+
+
+def shift_of(rows: DataFrame, rounds: int = 6, steps: int = 32) -> float | None:
+    least, most = rows.agg(F.min("_y"), F.max("_y")).first()
+    if least is None or least == most:
+        return None
     low, high = LOW, HIGH
     for _ in range(rounds):
         points = [low + (high - low) * i / steps for i in range(steps + 1)]
-        sums = rows.agg(F.min("_y").alias("least"), F.max("_y").alias("most"), *(F.sum((sigmoid(F.col("_z") + b) - F.col("_y")) * F.col("_k")).alias(f"s{i}") for i, b in enumerate(points))).first()
-        if sums["least"] is None or sums["least"] == sums["most"]:
-            return None
-        at = next((i for i in range(1, steps + 1) if sums[f"s{i}"] >= 0), steps)
+        sums = excess(rows, points)
+        at = next((i for i in range(1, steps + 1) if not sums[i] < 0), steps)
         low, high = points[at - 1], points[at]
     return (low + high) / 2
 
@@ -60,6 +87,12 @@ def fit_shift(df: DataFrame, y: str, p: str, rounds: int = 6, steps: int = 32) -
 def fit_platt(df: DataFrame, y: str, p: str, rounds: int = 25) -> tuple[float, float] | None:
     """(a, b) of sigmoid(a * logit(p) + b) by Newton steps, five sums each. None without both classes or a spread."""
     rows = distinct_scores(df, y, p)
+    found = platt_of(rows, rounds)
+    rows.unpersist()
+    return found
+
+
+def platt_of(rows: DataFrame, rounds: int = 25) -> tuple[float, float] | None:
     a, b = 1.0, 0.0
     for _ in range(rounds):
         q = sigmoid(a * F.col("_z") + b)
@@ -95,7 +128,9 @@ def choose(df: DataFrame, y: str, p: str, fold: str) -> DataFrame:
     """Calibrators fitted on all folds but the last, and their log loss on the last: (kind, a, b, log_loss), the best first."""
     last = df.agg(F.max(fold)).first()[0]
     early, late = df.where(F.col(fold) < last), df.where(F.col(fold) == last)
-    shift, platt = fit_shift(early, y, p), fit_platt(early, y, p)
+    seen = distinct_scores(early, y, p)
+    shift, platt = shift_of(seen), platt_of(seen)
+    seen.unpersist()
     kinds = {"identity": (1.0, 0.0)} | ({"shift": (1.0, shift)} if shift is not None else {}) | ({"platt": platt} if platt else {})
     z = F.col("_z")
     rows = late.select(logit(F.col(p)).alias("_z"), F.col(y).cast("double").alias("_y"))

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,13 @@ def test_payloads_round_trip(spark):
     assert [tuple(r) for r in back.collect()] == [(1, None, 2.5)]
     with pytest.raises(ValueError):
         io.decision_log(df, df, "id", "day", ["v1; drop"])
+
+
+def test_shift_sums_of_tasks_add_up(spark):
+    r = np.random.default_rng(4)
+    z, y, k = r.normal(size=500), r.integers(0, 2, 500), r.integers(1, 5, 500)
+    rows = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(z, y, k, strict=True)], "_z double, _y double, _k double").repartition(3)
+    points = [-750.0, -1.0, 0.0, 2.5, 30.0]
+    with np.errstate(over="ignore"):
+        want = [float(((1 / (1 + np.exp(-(z + b))) - y) * k).sum()) for b in points]
+    assert CA.excess(rows, points) == pytest.approx(want, abs=1e-9)

@@ -105,3 +105,27 @@ def test_known_neighbours_give_the_same_synthetic_rows(rows):
     for ratio in (0.5, 0.9):
         found, want = ([sorted((r["a"], r["b"]) for r in L.smote(d, "id", "y", FEATURES, ratio, near=z).where("id IS NULL").collect()) for z in (near, None)])
         assert found == want and found
+
+
+def test_arms_share_medians_and_a_fold_is_ranked_once(spark, rows, monkeypatch):
+    folds = [Fold(0, (0, 5), (7, 9)), Fold(1, (0, 9), (11, 13))]
+    arms = [L.Arm("logreg"), L.Arm("logreg", weighted=True)]
+    train, valid = rows.where("tx_day < 14"), rows.where("tx_day >= 14")
+    prepared, ranked, prepare, ranking = [], [], L.prepare, L.ranking_metrics
+    monkeypatch.setattr(L, "prepare", lambda *x: prepared.append(x) or prepare(*x))
+    monkeypatch.setattr(L, "ranking_metrics", lambda *x: ranked.append(x) or ranking(*x))
+    found = L.select_arm(train, valid, "id", "y", FEATURES, folds, arms, lambda d: d.agg(F.count(F.lit(1)).alias("n"))).collect()
+    assert len(found) == 2 and len(prepared) == 3
+    ranked.clear()
+    found = {r["arm"]: r for r in L.search(rows, "id", "y", FEATURES, folds, arms).collect()}
+    assert len(ranked) == 2
+    each = {arm.name: [r["pr_auc"] for r in L.cross_validate(rows, "id", "y", FEATURES, folds, arm).collect()] for arm in arms}
+    assert {n: r["mean_pr_auc"] for n, r in found.items()} == pytest.approx({n: sum(x) / 2 for n, x in each.items()}, abs=1e-9)
+    empty = L.search(rows, "id", "y", FEATURES, [Fold(0, (0, 5), (90, 95))], arms[:1]).collect()
+    assert [r["mean_pr_auc"] for r in empty] == [None]
+
+
+def test_rows_laid_out_are_the_same_rows_in_order(spark, rows):
+    out = L.laid_out(rows.coalesce(1), "id")
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[0]) == sorted(map(tuple, rows.collect()), key=lambda r: r[0])
+    assert not out.where("id IS NULL").count() and "LogicalRDD" not in out._jdf.queryExecution().analyzed().toString()
