@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskframe.operators import checks as C
 from riskframe.operators import learn as L
 from riskframe.operators import trees as T
+from riskframe.plans import registry
 
 
 def grown(r, features, depth, n=1.0, path=()):
@@ -105,3 +106,8 @@ def test_columns_of_one_name_are_one_feature(spark):
     apart = {(x["id"], x["feature"]): x["contribution"] for x in T.tree_contributions(df, "id", ["a", "a_missing", "b"], model).collect()}
     found = T.tree_contributions(df, "id", ["a", "a_missing", "b"], model, ["a", "a", "b"]).collect()
     assert {(x["id"], x["feature"]): x["contribution"] for x in found} == {(i, f): apart[i, f] + (apart[i, "a_missing"] if f == "a" else 0.0) for i in (1, 2) for f in ("a", "b")}
+
+
+def test_the_contribution_query_explains_its_rows_once(spark):
+    plan = registry.queries()["m20_tree_contributions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # three passes read a table of them
