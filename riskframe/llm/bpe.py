@@ -21,9 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from riskframe.llm.tables import in_batches
+
 NONE = 1 << 62
 #: Encoded words in a generation of a task's cache; bytes of the longest word that goes there and to the forest.
-CACHE_WORDS, SHORT = 400_000, 64
+CACHE_WORDS, SHORT = 200_000, 64
 
 
 class PairTree:
@@ -292,4 +294,4 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, *, with_ids: boo
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in columns.drop("text").schema.fields]
     fields += ["n_tokens long", *["ids array<int>"] * with_ids, "ids_sha256 string", "decoded_sha256 string"]
-    return columns.mapInArrow(encoded, ", ".join(fields))
+    return in_batches(columns).mapInArrow(encoded, ", ".join(fields))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.llm.tables import drop_written, join_salted, written
+from riskframe.llm.tables import drop_written, in_batches, join_salted, written
 
 #: Rows that a task holds as Python strings at once.
 ROWS = 256
@@ -48,7 +48,7 @@ EARLIER = 8
 #: Nodes whose ids are broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
 #: Words and nodes that a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 U = np.uint64
 K1, K2, K3, K4 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93)
@@ -142,7 +142,7 @@ def often(sample: DataFrame, hashes_of: Callable[[str], np.ndarray], least: int,
         for batch in batches:
             yield pa.RecordBatch.from_arrays([lists_of([hashes_of(t or "") for t in batch.column(0).to_pylist()])], ["s"])
 
-    counts = sample.mapInArrow(run, "s array<long>").dropDuplicates().select(F.explode("s").alias("h")).groupBy("h").count()
+    counts = in_batches(sample).mapInArrow(run, "s array<long>").dropDuplicates().select(F.explode("s").alias("h")).groupBy("h").count()
     found = counts.where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).select("h").toArrow()["h"].to_numpy()
     return np.sort(found.view(U))
 
@@ -204,7 +204,7 @@ def signed(docs: DataFrame, percent: int, size: int, shared) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["sig", "hot", "node", "rare", "doc_id", "text_hash", "n_shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "sig long, hot long, node long, rare int, doc_id long, text_hash long, n_shingles long")
+    return in_batches(rows).mapInArrow(run, "sig long, hot long, node long, rare int, doc_id long, text_hash long, n_shingles long")
 
 
 def starred(signed_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -254,7 +254,7 @@ def sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     if size_of[0] <= BROADCAST_NODES and (size_of[1] or 0) <= 4 * BROADCAST_NODES:
         members = F.broadcast(members)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(members, F.col("doc") == F.col("id"))
-    return texts.select("x", "ps", "text").mapInArrow(run, "x long, ps array<struct<p:long,n_least:long,n_most:long,salts:long>>, s array<long>")
+    return in_batches(texts.select("x", "ps", "text")).mapInArrow(run, "x long, ps array<struct<p:long,n_least:long,n_most:long,salts:long>>, s array<long>")
 
 
 def star_links(p: int, sets: dict[int, np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -307,7 +307,7 @@ def closed(members: DataFrame, percent: int) -> DataFrame:
                 sets[x] = s.values.to_numpy().view(U).copy()
         yield out()
 
-    return members.repartition("p").sortWithinPartitions("p").mapInArrow(run, "a long, b long")
+    return in_batches(members.repartition("p").sortWithinPartitions("p")).mapInArrow(run, "a long, b long")
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -376,7 +376,7 @@ def differences(members: DataFrame, percent: int, shared) -> DataFrame:
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
     pivots = members.where("p = x").select("p", F.col("s").alias("sp"), copies.alias("salt"))
     full = each.join(pivots, ["p", "salt"]).select("p", "x", "n_least", "n_most", "sp", F.col("s").alias("sx"))
-    return full.mapInArrow(run, "p long, x long, near boolean, size long, n long, probe boolean, keys array<long>")
+    return in_batches(full).mapInArrow(run, "p long, x long, near boolean, size long, n long, probe boolean, keys array<long>")
 
 
 def may_be_linked(percent: int) -> Column:

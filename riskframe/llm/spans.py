@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from riskframe.llm.tables import in_batches
+
 #: Rows that a task holds as Python strings at once.
 ROWS = 256
 
@@ -36,7 +38,7 @@ def scan(docs: DataFrame, columns: tuple[str, ...], schema: str, rows_of: Callab
     selected = docs.select(*columns)
     arrow = to_arrow_schema(selected.sparkSession.createDataFrame([], schema).schema)
     types, names = arrow.types, arrow.names
-    return selected.mapInArrow(scanned, schema)
+    return in_batches(selected).mapInArrow(scanned, schema)
 
 
 def kept(docs: DataFrame, column: str, keep_of: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
@@ -53,7 +55,7 @@ def kept(docs: DataFrame, column: str, keep_of: Callable[[], Callable[[list], li
                 batch = whole.slice(at, ROWS)
                 yield batch.filter(pa.array(f(batch.column(place).to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)
 
 
 def sha256(text: str) -> str:
