@@ -180,6 +180,41 @@ def segmented(df: DataFrame, key: str, t: str, value: str, windows: dict[str, in
     return found.select("_row.*", *(c.alias(n) for n, c in out.items()))
 
 
+#: Rows of a key up to which sliding frames, which add up their rows anew for each row, are cheaper than segments.
+FEW = 1_000
+
+
+def slid(df: DataFrame, key: str, t: str, value: str, windows: dict[str, int | None], distinct: dict[str, str], plain: tuple[str, ...]) -> DataFrame:
+    """What segmented gives, by sliding frames over one sort of each key's rows; a null in t is not expected."""
+    x = F.col(value).cast("double")
+    d = df.withColumns({"_at": F.col(t).cast("long"), "_v": F.when(~F.isnan(x), x)})
+    d = d.withColumns({f"_f{j}": (F.row_number().over(Window.partitionBy(key, other).orderBy("_at")) == 1).cast("int") for j, other in enumerate(distinct.values())}) if distinct else d
+    out: dict[str, Column] = {}
+    for label, seconds in windows.items():
+        found = past_aggregates(key, "_at", "_v", seconds, label)
+        out |= {n: c for n, c in found.items() if label not in plain or n in (f"{label}_cnt", f"{label}_sum")}
+    out["gap"] = secs_since_prev(key, "_at")
+    # The first row of a value counts from then on; of several at one time it does not matter which is the first.
+    out |= {f"{name}_distinct": F.coalesce(F.sum(f"_f{j}").over(past(key, "_at", None)), F.lit(0)) for j, name in enumerate(distinct)}
+    return d.select(*df.columns, *(c.alias(n) for n, c in out.items()))
+
+
+def by_rows_of_key(df: DataFrame, key: str, t: str, value: str, windows: dict[str, int | None], *, distinct: dict[str, str] | None = None, source: DataFrame | None = None, plain: tuple[str, ...] = ()) -> DataFrame:
+    """segmented for the keys of more than FEW rows (and those with a null time), slid for all others, with the same result.
+
+    Segments shuffle a row once for each window and sort it twice, which only hot keys are worth.
+    """
+    source = df if source is None else source
+    own = F.struct(F.col(key))
+    hot = source.groupBy(own.alias("_hot")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(t).isNull()).alias("_null")).where((F.col("_n") > FEW) | (F.col("_null") > 0)).select("_hot")
+    if hot.isEmpty():
+        return slid(df, key, t, value, windows, distinct or {}, plain)
+    # At most a FEWth of the rows: broadcast, so that a hot key stays dealt.
+    part = lambda d, how: d.join(F.broadcast(hot), own == F.col("_hot"), how)
+    many = segmented(part(df, "left_semi"), key, t, value, windows, distinct=distinct, source=part(source, "left_semi"), plain=plain)
+    return slid(part(df, "left_anti"), key, t, value, windows, distinct or {}, plain).unionByName(many)
+
+
 def entity_aggregates(df: DataFrame, keys: dict[str, str], t: str, amount: str, others: dict[str, str]) -> DataFrame:
     """Velocity features of each entity key: counts and sums in windows, history means and deviations, ratio and
     z-score of the amount, gaps, and distinct counts of `others` for the last key."""
@@ -187,7 +222,7 @@ def entity_aggregates(df: DataFrame, keys: dict[str, str], t: str, amount: str,
     last, given = list(keys)[-1], df
     a = F.when(~F.isnan(F.col(amount).cast("double")), F.col(amount))
     for prefix, key in keys.items():
-        found = segmented(df, key, t, amount, windows, distinct=others if prefix == last else {}, source=given, plain=("1h", "24h", "7d"))
+        found = by_rows_of_key(df, key, t, amount, windows, distinct=others if prefix == last else {}, source=given, plain=("1h", "24h", "7d"))
         names = {f"{label}_{c}": f"{prefix}_{'cnt' if c == 'cnt' else 'amt_sum'}_{label}" for label in ("1h", "24h", "7d") for c in ("cnt", "sum")}
         names |= {"hist_mean": f"{prefix}_amt_mean_hist", "hist_std": f"{prefix}_amt_std_hist", "gap": f"{prefix}_gap"}
         names |= {f"{name}_distinct": f"{prefix}_{name}_distinct" for name in others if prefix == last}
@@ -228,7 +263,7 @@ def account_block(df: DataFrame, keys: dict[str, str], t: str, amount: str, othe
         windows = {label: s for label, s in {"1h": HOUR, "24h": DAY, "7d": 7 * DAY, "hist": None}.items() if label in labels}
         distinct = {name: c for name, c in others.items() if f"{name}_distinct" in stats}
         plain = tuple(label for label in windows if f"{label}_mean" not in stats and f"{label}_std" not in stats)
-        found = segmented(df, key, t, amount, windows, distinct=distinct, source=given, plain=plain)
+        found = by_rows_of_key(df, key, t, amount, windows, distinct=distinct, source=given, plain=plain)
         df = found.select(*df.columns, *(F.col(c).alias(f"{level}_{c}") for c in stats))
     return account_features(df, amount)
 
