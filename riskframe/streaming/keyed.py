@@ -5,6 +5,9 @@ bucket to the bucket's rows, and a bounded list of the moments of each recent bu
 each window, the one where the window begins; what lies between comes from the moments. A batch rewrites the buckets
 that it adds to, and no others, so that its cost does not grow with a key's history. A key of at most SMALL rows is one
 value instead, read and written at once: most keys are small, and each call to the store takes longer than their rows.
+
+A key's rows of a batch go to its state and come back as lists, PACK rows each at most, as a row by itself costs more to
+hand over than to compute; their features are computed together.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -25,6 +29,10 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 NONE = (0, 0, 0.0, 0.0, 0.0)
 #: Rows (and values of other columns) up to which a key's state is one value.
 SMALL = 512
+#: Rows that a key holds up to which all of them are compared at once, and rows whose features are computed together.
+DENSE, TOGETHER = 1_024, 256
+#: Rows of a key in a list, and rows that a task holds while it makes lists.
+PACK, HELD = 4_096, 500_000
 NEVER = -(1 << 62)
 
 
@@ -43,15 +51,78 @@ def merged(a: tuple, b: tuple) -> tuple[int, int, float, float, float]:
         return a[0] + b[0], x[1], x[2], x[3], x[4]
     m, d = a[1] + b[1], b[3] - a[3]
     share = b[1] / m
-    return a[0] + b[0], m, a[2] + b[2], a[3] + d * share, a[4] + b[4] + d * d * share * a[1]
+    mean = a[3] + d * share if math.isfinite(d) else (a[2] + b[2]) / m
+    return a[0] + b[0], m, a[2] + b[2], mean, a[4] + b[4] + d * d * share * a[1]
+
+
+def points(values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """moments() of each value by itself."""
+    known = ~np.isnan(values)
+    x = np.where(known, values, 0.0)
+    return np.ones(len(x), np.int64), known.astype(np.int64), x, x, np.zeros(len(x))
+
+
+def ranges(parts: tuple[np.ndarray, ...], lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Moments of the parts lo <= i < hi, for each of such pairs; nothing but counts is ever subtracted."""
+    n, m, s, mean, q = parts
+    hi = np.maximum(lo, hi)
+    counts = [np.concatenate([[0], np.cumsum(x)]) for x in (n, m)]
+    n_in, m_in = (c[hi] - c[lo] for c in counts)
+    least, most = (lo.min(), hi.max()) if len(lo) else (0, 0)
+    span = slice(least, most)
+    i = np.arange(least, most)
+    inside = (i >= lo[:, None]) & (i < hi[:, None]) & (m[span] > 0)
+    s_in = np.where(inside, s[span], 0.0).sum(1)
+    mean_in = s_in / np.maximum(m_in, 1)
+    d = np.where(inside, mean[span] - mean_in[:, None], 0.0)
+    return n_in, m_in, s_in, mean_in, (np.where(inside, q[span], 0.0) + d * d * m[span]).sum(1)
+
+
+def merged_all(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """merged() of each pair."""
+    m, d = a[1] + b[1], b[3] - a[3]
+    share = b[1] / np.maximum(m, 1)
+    both = (a[1] > 0) & (b[1] > 0)
+    other = [np.where(a[1] > 0, x, y) for x, y in zip(a[3:], b[3:], strict=True)]
+    mean = np.where(np.isfinite(d), a[3] + d * share, (a[2] + b[2]) / np.maximum(m, 1))
+    return a[0] + b[0], m, a[2] + b[2], np.where(both, mean, other[0]), np.where(both, a[4] + b[4] + d * d * share * a[1], other[1])
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (..., _level, _key) as lists by key, as (_level, _key, lists); a key comes once for HELD rows, if it has no more than PACK."""
+
+    def lists(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        codes = [rows[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for c in ("_level", "_key")]
+        order = np.lexsort(codes)
+        level, key = (c[order] for c in codes)
+        fresh = np.concatenate([[True], (level[1:] != level[:-1]) | (key[1:] != key[:-1])])
+        starts = np.flatnonzero(fresh)
+        starts = starts[np.cumsum(fresh) - 1]
+        starts = np.flatnonzero((np.arange(len(order)) - starts) % PACK == 0)
+        ends = pa.array(np.append(starts, len(order)).astype(np.int32))
+        rows = rows.take(pa.array(order))
+        names = [c for c in rows.column_names if c not in ("_level", "_key")]
+        keys = [rows[c].take(pa.array(starts)).combine_chunks() for c in ("_level", "_key")]
+        return pa.RecordBatch.from_arrays([*keys, *(pa.ListArray.from_arrays(ends, rows[c].combine_chunks()) for c in names)], ["_level", "_key", *names])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= HELD:
+            yield lists(held)
+            held, n = [], 0
+    if n:
+        yield lists(held)
 
 
 class Features(StatefulProcessor):
-    """One key: rows in, a row of features out for each."""
+    """One key: rows in, as lists, a row of features out for each, as lists too."""
 
     def __init__(self, t: str, amount: str, id: str, windows: dict[str, int | None], others: list[str], bucket: int, lateness: int, idle_ms: int | None) -> None:
         self.t, self.amount, self.id, self.windows, self.others, self.bucket, self.idle_ms = t, amount, id, windows, others, bucket, idle_ms
-        self.most = SMALL
+        self.most, self.dense = SMALL, DENSE
         # Buckets behind the latest one: of a row in time, and of what its windows reach.
         self.in_time = lateness // bucket
         self.keep = self.in_time + max(s for s in [0, *windows.values()] if s is not None) // bucket
@@ -67,14 +138,16 @@ class Features(StatefulProcessor):
         self.levels = [handle.getMapState(f"level{j}", "level string", "first bigint") for j in range(len(self.others))]
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        batch = list(rows)
-        columns = {c: i for i, c in enumerate(batch[0].__fields__)}
-        batch.sort(key=lambda r: (r[columns[self.t]], r[columns[self.id]]))
-        times, ids, *levels = ([r[columns[c]] for r in batch] for c in (self.t, self.id, *self.others))
-        amounts = [math.nan if (a := r[columns[self.amount]]) is None else a for r in batch]
+        lists: list[list] = [[] for _ in range(3 + len(self.others))]
+        for row in rows:
+            for own, c in zip(lists, (self.t, self.id, self.amount, *self.others), strict=True):
+                own.extend(row[c])
+        order = sorted(range(len(lists[0])), key=list(zip(*lists[:2], strict=True)).__getitem__)
+        times, ids, amounts, *levels = ([x[i] for i in order] for x in lists)
+        amounts = [math.nan if a is None else a for a in amounts]
         held: dict[int, list[list]] = {}
         known_first: list[dict[str, int]] = [{} for _ in self.others]
-        small, index = self.small.get(), {}
+        small, index = self.small.get(), {}  # a bucket's moments; None: to be taken from its rows
         old = [*NONE, NEVER, *[0] * len(self.others)]
         if small is None:
             # One entry stands for all buckets that are older than those kept.
@@ -87,7 +160,7 @@ class Features(StatefulProcessor):
             old = [o[0], o[1], *q, *o[2:]]
             for i, b in enumerate(own_buckets):
                 held[b] = [list(x[i]) for x in (all_times, all_amounts, *firsts[::3])]
-                index[b] = self.summary(held[b])
+                index[b] = None
             known_first = [dict(zip(names, at, strict=True)) for names, at in zip(firsts[1::3], firsts[2::3], strict=True)]
         own = [t // self.bucket for t in times]
         low, least = (max(index) - self.keep, max(index) - self.in_time) if index else (NEVER,) * 2
@@ -129,16 +202,24 @@ class Features(StatefulProcessor):
                     bisect.insort(bucket(t // self.bucket)[2 + j], t)
                     changed.add(t // self.bucket)
         for b in changed:
-            index[b] = self.summary(held[b])
-        yield from self.features(key, ids, times, own, index, old, least, bucket)
+            index[b] = None
+        compared = inline and sum(len(held[b][0]) for b in index) <= self.dense
+        if not compared:
+            self.summarise(index, held)
+        yield from self.features(key, ids, times, own, index, old, least, bucket, compared)
         # Buckets that no window of a row in time can reach any more join the oldest entry.
         low = max(index) - self.keep if index else low
-        for b in sorted(b for b in index if b < low):
-            old = self.joined(old, index.pop(b))
+        gone = sorted(b for b in index if b < low)
+        fresh = [b for b in gone if index[b] is None]
+        if fresh:  # no moments yet: those of all their rows at once
+            old = self.joined(old, self.summary([[x for part in column for x in part] for column in zip(*(held[b] for b in fresh), strict=True)]))
+        for b in gone:
+            e = index.pop(b)
+            old = old if e is None else self.joined(old, e)
             changed.discard(b)
             if b in stored:
                 self.rows.removeKey((b,))
-        if inline and index and sum(e[0] for e in index.values()) <= self.most and sum(map(len, known_first)) <= self.most:
+        if inline and index and sum(len(held[b][0]) for b in index) <= self.most and sum(map(len, known_first)) <= self.most:
             order = sorted(index)
             parts = [x for j, known in enumerate(known_first) for x in ([held[b][2 + j] for b in order], list(known), list(known.values()))]
             self.small.update((order, [held[b][0] for b in order], [held[b][1] for b in order], [int(x) for x in (old[0], old[1], *old[5:])], [float(x) for x in old[2:5]], *parts))
@@ -148,6 +229,7 @@ class Features(StatefulProcessor):
                 for j, known in enumerate(known_first):
                     for level, t in known.items():
                         self.levels[j].updateValue((level,), (t,))
+                self.summarise(index, held)
                 if small is not None:
                     self.small.clear()
             for b in changed:
@@ -162,6 +244,10 @@ class Features(StatefulProcessor):
     def summary(x: list[list]) -> tuple:
         return (*moments(np.array(x[1], float), len(x[0])), x[0][-1] if x[0] else NEVER, *map(len, x[2:]))
 
+    def summarise(self, index: dict, held: dict) -> None:
+        """The moments of all buckets that have none yet."""
+        index.update({b: self.summary(held[b]) for b, e in index.items() if e is None})
+
     @staticmethod
     def joined(old: list | tuple, e: tuple) -> list:
         return [*merged(tuple(old[:5]), e[:5]), max(old[5], e[5]), *(x + y for x, y in zip(old[6:], e[6:], strict=True))]
@@ -176,41 +262,90 @@ class Features(StatefulProcessor):
                 out[-1].setdefault("n" if x is None else f"v{x}", t)
         return out
 
-    def features(self, key, ids, times, own, index, old, least, bucket) -> Iterator[Row]:
-        named = Row("id", "level", "key", "late", *(f"{label}_{c}" for label in self.windows for c in STATS), "gap", *(f"{o}_distinct" for o in self.others))
+    def features(self, key, ids, times, own, index, old, least, bucket, compared: bool) -> Iterator[Row]:
+        """compared: index has no moments, but the rows of all buckets are at hand."""
+        named = Row("level", "key", "id", "late", *(f"{label}_{c}" for label in self.windows for c in STATS), "gap", *(f"{o}_distinct" for o in self.others))
+        late = np.array(own, np.int64) < least
+        found: list[list] = [[] for _ in range(len(named) - 4)]
+        t, b = np.array(times, np.int64)[~late], np.array(own, np.int64)[~late]
         order = sorted(index)
-        upto = [list(old)]  # all before each bucket
-        for b in order:
-            upto.append(self.joined(upto[-1], index[b]))
-        for id, b, t in zip(ids, own, times, strict=True):
-            late = b < least
-            row: list = [id, key[0], key[1], late]
-            if late:
-                yield named(*row, *[None] * (len(self.windows) * len(STATS) + 1 + len(self.others)))
+        with np.errstate(all="ignore"):
+            if not compared:
+                upto = [list(old)]  # all before each bucket
+                for x in order:
+                    upto.append(self.joined(upto[-1], index[x]))
+            for at in range(0, len(t), TOGETHER):
+                part = slice(at, at + TOGETHER)
+                columns = self.compared(t[part], order, old, bucket) if compared else self.spread(t[part], b[part], order, index, upto, bucket)
+                for own_column, column in zip(found, columns, strict=True):
+                    own_column.extend(column.tolist())
+        if late.any():
+            places = np.where(late, -1, np.cumsum(~late) - 1).tolist()
+            found = [[None if i < 0 else column[i] for i in places] for column in found]
+        late = late.tolist()
+        for at in range(0, len(ids), PACK):
+            part = slice(at, at + PACK)
+            yield named(*key, ids[part], late[part], *(column[part] for column in found))
+
+    @staticmethod
+    def stats(found: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+        n, m, s, mean, q = found
+        return [n, np.where(m > 0, s, None), np.where(m > 0, mean, None), np.where(m > 1, np.sqrt(q / np.maximum(m - 1, 1)), None)]
+
+    def compared(self, t: np.ndarray, order: list[int], old: list, bucket) -> list[np.ndarray]:
+        """Features of rows in order from all rows that the key holds, and what is older."""
+        all_times = np.array([x for b in order for x in bucket(b)[0]], np.int64)
+        values = points(np.array([x for b in order for x in bucket(b)[1]], float))
+        hi = np.searchsorted(all_times, t)
+        out = []
+        for seconds in self.windows.values():
+            if seconds is None:
+                whole = ranges(values, np.zeros(len(t), np.int64), hi)
+                out += self.stats(merged_all(tuple(np.full(len(t), x) for x in old[:5]), whole) if old[0] else whole)
+            else:
+                out += self.stats(ranges(values, np.searchsorted(all_times, t - seconds), hi))
+        last = np.append(all_times, old[5])[np.where(hi > 0, hi - 1, len(all_times))]
+        out.append(np.where(last == NEVER, None, t - last))
+        for j in range(len(self.others)):
+            firsts = np.array([x for b in order for x in bucket(b)[2 + j]], np.int64)
+            out.append(old[6 + j] + np.searchsorted(firsts, t))
+        return out
+
+    def spread(self, t: np.ndarray, b: np.ndarray, order: list[int], index: dict, upto: list, bucket) -> list[np.ndarray]:
+        """Features of rows in order from the rows of their own buckets and of those where windows begin, and the moments of others."""
+        buckets = np.array(order, np.int64)
+
+        def rows_of(wanted: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(values, starts, ends) of each wanted bucket's list; one that is not there is empty."""
+            each, place = np.unique(wanted, return_inverse=True)
+            parts = [bucket(x)[column] if x in index else [] for x in each.tolist()]
+            ends = np.cumsum([len(x) for x in parts])
+            starts = ends - [len(x) for x in parts]
+            return np.array([x for part in parts for x in part], float if column == 1 else np.int64), starts[place], ends[place]
+
+        place = np.searchsorted(buckets, b)
+        here, starts, _ = rows_of(b, 0)
+        until = np.searchsorted(here, t)
+        head = ranges(points(rows_of(b, 1)[0]), starts, until)
+        known = tuple(np.array([index[x][i] for x in order]) for i in range(5))
+        out = []
+        for seconds in self.windows.values():
+            if seconds is None:
+                out += self.stats(merged_all(tuple(np.array([upto[i][c] for i in place.tolist()]) for c in range(5)), head))
                 continue
-            here = bucket(b)
-            i = bisect.bisect_left(here[0], t)
-            head = moments(np.array(here[1][:i], float), i)
-            place = bisect.bisect_left(order, b)
-            for seconds in self.windows.values():
-                if seconds is None:
-                    found, inside = merged(tuple(upto[place][:5]), head), []
-                else:
-                    first = b - seconds // self.bucket
-                    found = head
-                    inside = order[bisect.bisect_right(order, first) : place]
-                    if first in index:
-                        tail = bucket(first)
-                        k = bisect.bisect_left(tail[0], t - seconds)
-                        found = merged(found, moments(np.array(tail[1][k:], float), len(tail[0]) - k))
-                for other in inside:
-                    found = merged(found, index[other][:5])
-                n, m, s, mean, q = found
-                row += [n, s if m else None, mean if m else None, math.sqrt(q / (m - 1)) if m > 1 else None]
-            last = here[0][i - 1] if i else upto[place][5]
-            row.append(None if last == NEVER else t - last)
-            row += [upto[place][6 + j] + bisect.bisect_left(here[2 + j], t) for j in range(len(self.others))]
-            yield named(*row)
+            first = b - seconds // self.bucket
+            begun, _, ends = rows_of(first, 0)
+            tail = ranges(points(rows_of(first, 1)[0]), np.searchsorted(begun, t - seconds), ends)
+            own, again = np.unique(b, return_inverse=True)
+            inner = ranges(known, np.searchsorted(buckets, own - seconds // self.bucket, "right"), np.searchsorted(buckets, own))
+            out += self.stats(merged_all(merged_all(tail, tuple(x[again] for x in inner)), head))
+        before = np.array([upto[i][5] for i in place.tolist()], np.int64)
+        last = np.where(until > starts, np.append(here, NEVER)[until - 1], before)
+        out.append(np.where(last == NEVER, None, t - last))
+        for j in range(len(self.others)):
+            firsts, starts, _ = rows_of(b, 2 + j)
+            out.append(np.array([upto[i][6 + j] for i in place.tolist()]) + np.searchsorted(firsts, t) - starts)
+        return out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         """A key that stayed away: its history begins anew."""
@@ -239,6 +374,10 @@ def entity_features(stream: DataFrame, keys: dict[str, str], t: str, amount: str
     wanted = dict.fromkeys([id, t, amount, *others])
     rows = stream.select(*(F.col(c).cast("string").alias(c) if c in others else F.col(c).cast("double").alias(c) if c == amount else F.col(c).cast("long").alias(c) if c == t else F.col(c) for c in wanted), F.explode(levels).alias("_l")).select(*wanted, "_l.*")
     processor = Features(t, amount, id, windows, others, bucket, lateness, idle * 1000 if idle else None)
-    stats = ", ".join(f"{label}_{c} {'bigint' if c == 'cnt' else 'double'}" for label in windows for c in STATS)
-    schema = f"id {stream.schema[id].dataType.simpleString()}, level string, key string, late boolean, {stats}, gap bigint" + "".join(f", {o}_distinct bigint" for o in others)
-    return rows.groupBy("_level", "_key").transformWithState(processor, schema, "append", "ProcessingTime" if idle else "None")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    lists = rows.repartition("_level", "_key").mapInArrow(packed, "_level string, _key string, " + ", ".join(f"`{c}` array<{kinds[c]}>" for c in wanted))
+    stats = {f"{label}_{c}": "bigint" if c == "cnt" else "double" for label in windows for c in STATS}
+    out = {"id": kinds[id], "late": "boolean", **stats, "gap": "bigint", **{f"{o}_distinct": "bigint" for o in others}}
+    schema = "level string, key string, " + ", ".join(f"{c} array<{kind}>" for c, kind in out.items())
+    found = lists.groupBy("_level", "_key").transformWithState(processor, schema, "append", "ProcessingTime" if idle else "None")
+    return found.select("level", "key", F.inline(F.arrays_zip(*out))).select("id", "level", "key", *(c for c in out if c != "id"))

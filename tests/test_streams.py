@@ -127,3 +127,42 @@ def test_small_keys_are_one_value_and_grow_out_of_it(spark, tmp_path, monkeypatc
         out = ST.run_through(keyed.entity_features(stream, {"user": "user_id"}, "t", "amount", "id", {"w": 36_000, "h": None}, [], lateness=10_000_000), str(tmp_path / f"out{small}"))
         found.append(sorted(map(tuple, out.select("id", "w_cnt", F.round("w_sum", 6), "h_cnt", F.round("h_std", 6), "gap").collect())))
     assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+
+
+def test_rows_of_a_key_go_to_its_state_as_lists(spark, monkeypatch):
+    """One list for a key, whatever its rows' order, but for those of more than PACK rows."""
+    import pyarrow as pa
+
+    d = pa.RecordBatch.from_pylist([{"id": i, "_level": "a", "_key": None if i % 3 == 0 else str(i % 3)} for i in range(12)])
+    (out,) = keyed.packed(iter([d.slice(0, 5), d.slice(5)]))
+    assert {r["_key"]: r["id"] for r in out.to_pylist()} == {None: [0, 3, 6, 9], "1": [1, 4, 7, 10], "2": [2, 5, 8, 11]}
+    monkeypatch.setattr(keyed, "PACK", 3)
+    (out,) = keyed.packed(iter([d]))
+    assert sorted((r["_key"] or "", r["id"]) for r in out.to_pylist()) == [("", [0, 3, 6]), ("", [9]), ("1", [1, 4, 7]), ("1", [10]), ("2", [2, 5, 8]), ("2", [11])]
+
+
+@pytest.mark.parametrize("dense", [0, 1_024])
+def test_features_of_many_rows_at_once(spark, tmp_path, monkeypatch, dense):
+    """Whether rows are compared at once or by buckets: late rows, infinite and huge amounts, and the mean of an infinite history."""
+    import random
+
+    monkeypatch.setattr(keyed, "DENSE", dense)
+    r = random.Random(5)
+    rows = [(i, r.randrange(120) * 900, [1e300, float("inf")][i // 50] if i in (7, 50) else None if i % 7 == 0 else float(i % 11), "xyz"[i % 3]) for i in range(150)]
+    schema = "id long, t long, amount double, o string"
+    for part in (rows[:60], rows[60:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withColumn("k", F.lit("a"))
+    out = ST.run_through(keyed.entity_features(stream, {"a": "k"}, "t", "amount", "id", {"w": 14_400, "h": None}, ["o"], lateness=10_000_000), f"{tmp_path}/out")
+    found = {x["id"]: x for x in out.collect()}
+    assert len(found) == len(rows)
+    for id, t, *_ in rows:
+        past = [x for x in rows if x[1] < t and (x[0] < 60 or id >= 60)]
+        for label, s in (("w", 14_400), ("h", None)):
+            inside = [x for x in past if s is None or x[1] >= t - s]
+            v = [x[2] for x in inside if x[2] is not None]
+            assert found[id][f"{label}_cnt"] == len(inside)
+            assert found[id][f"{label}_sum"] == (pytest.approx(sum(v)) if v else None)
+            assert found[id][f"{label}_mean"] == (pytest.approx(sum(v) / len(v)) if v else None)
+        assert found[id]["o_distinct"] == len({x[3] for x in past})
+        assert found[id]["gap"] == (t - max(x[1] for x in past) if past else None)
