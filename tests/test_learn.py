@@ -129,3 +129,26 @@ def test_rows_laid_out_are_the_same_rows_in_order(spark, rows):
     out = L.laid_out(rows.coalesce(1), "id")
     assert sorted(map(tuple, out.collect()), key=lambda r: r[0]) == sorted(map(tuple, rows.collect()), key=lambda r: r[0])
     assert not out.where("id IS NULL").count() and "LogicalRDD" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_flags_of_features_without_gaps_are_left_out(spark):
+    """A flag that is 0 in all training rows is no column of the model; the null of a later row is filled all the same."""
+    rows = spark.createDataFrame([(i, i % 2, float(i), None if i % 5 == 0 else 1.0) for i in range(20)], "id long, y int, a double, b double")
+    found = L.prepare(rows, ["a", "b"])
+    assert found.columns == ["a", "b", "b_missing"] and found.of(["a"]).columns == ["a"]
+    fitted = L.fit(rows, "id", "y", ["a", "b"], L.Arm("gbt", trees=2, depth=2))
+    later = spark.createDataFrame([(1, None, None)], "id long, a double, b double")
+    assert fitted.model.numFeatures == 3 and fitted.score(later).count() == 1
+
+
+def test_probes_share_their_passes(spark):
+    """Two probes at once say what each says alone; a part without labels has no figures."""
+    rows = spark.createDataFrame([(i, i * 7 % 10 // 5, float(i % 13), float(i * 7 % 10 // 5)) for i in range(200)], "id long, y int, a double, leak double")
+    parts = {"valid": rows.where("id % 3 = 0"), "none": rows.where("false")}
+    both = L.leakage_probe(rows, parts, "id", "y", {"clean": ["a"], "leak": ["a", "leak"]})
+    for name, features in (("clean", ["a"]), ("leak", ["a", "leak"])):
+        alone = {r["part"]: r for r in L.leakage_probe(rows, parts, "id", "y", features).collect()}
+        for r in both.where(both["name"] == name).collect():
+            assert r["n"] == alone[r["part"]]["n"] and r["plausible"] == alone[r["part"]]["plausible"]
+            assert r["pr_auc"] == (None if r["part"] == "none" else pytest.approx(alone[r["part"]]["pr_auc"]))
+            assert r["part"] == "none" or r["plausible"] == (name == "clean")
