@@ -111,3 +111,15 @@ def test_columns_of_one_name_are_one_feature(spark):
 def test_the_contribution_query_explains_its_rows_once(spark):
     plan = registry.queries()["m20_tree_contributions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan  # three passes read a table of them
+
+
+def test_contributions_without_flags_that_say_nothing(spark):
+    """Features without gaps in training bring no flag to the trees, and later nulls of theirs are explained all the same."""
+    rows = spark.createDataFrame([(i, int(i % 13 > 6), float(i % 13), None if i % 4 == 0 else float(i % 5)) for i in range(120)], "id long, y int, a double, b double")
+    fitted = L.fit(rows, "id", "y", ["a", "b"], L.Arm("gbt", strength=0.1, trees=3, depth=3))
+    later = spark.createDataFrame([(1, None, 2.0), (2, 9.0, None)], "id long, a double, b double")
+    contributions, base = fitted.explain(later, "id")
+    assert fitted.model.numFeatures == 3 and contributions.count() == 4
+    margins = fitted.score(later).select("id", F.log(F.col("p") / (1 - F.col("p"))).alias("margin"))
+    both = contributions.groupBy("id").agg(F.sum("contribution").alias("total")).join(margins, "id").collect()
+    assert len(both) == 2 and all(r["total"] + base == pytest.approx(r["margin"]) for r in both)
