@@ -28,6 +28,8 @@ from riskframe.llm.tables import drop_written, join_salted, written
 
 #: Words of a block of the vocabulary, phrases of a trie, positions moved at once, tallies held by a task.
 WORDS, PHRASES, POSITIONS, TALLIES = 1_000_000, 250_000, 1 << 20, 2_000_000
+#: Symbols of a state up to which all states with as many find their places together.
+FEW = 16
 #: Bits of the array of frequent phrases: for each phrase, and at most.
 BITS, MOST_BITS = 16, 1 << 26
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -131,9 +133,7 @@ class DoubleArray:
             starts = np.flatnonzero(np.diff(parent, prepend=-1))
             sizes = np.diff(np.append(starts, len(at)))
             if depth:
-                for g in np.flatnonzero(sizes > 1)[np.argsort(-sizes[sizes > 1], kind="stable")].tolist():
-                    own = symbol[starts[g] : starts[g] + sizes[g]]
-                    self.put(parent[starts[g]], own, self.fit(own))
+                self.settle(parent[starts], symbol, starts, sizes)
                 alone = starts[sizes == 1]
                 self.put(parent[alone], symbol[alone], self.free(len(alone)) - symbol[alone])
             else:
@@ -156,21 +156,59 @@ class DoubleArray:
         self.reserve(self.free_from + int((self.check >= 0).sum()) + n + self.most)
         return np.flatnonzero(self.check[self.free_from :] < 0)[:n] + self.free_from
 
-    def fit(self, symbols: np.ndarray) -> int:
-        """A base with which all symbols fall on free places; places that are nearly full are not looked at again."""
-        at, step = self.free_from, 4096
+    def settle(self, parents: np.ndarray, symbol: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Bases of all groups of several symbols, the largest first: those of more than FEW symbols one by one, each from
+        where the last one was found on (until they are half as large), the others of a size together."""
+        order = np.argsort(-sizes, kind="stable")
+        at, since = self.free_from, 0
+        for g in order[sizes[order] > FEW].tolist():
+            if 2 * sizes[g] < since or not since:
+                at, since = self.first_free(), sizes[g]
+            own = symbol[starts[g] : starts[g] + sizes[g]]
+            base, at = self.fit(own, at)
+            self.put(parents[g], own, base)
+        self.first_free()
+        for size in range(FEW, 1, -1):
+            of_size = order[sizes[order] == size]
+            self.settle_together(parents[of_size], symbol[starts[of_size][:, None] + np.arange(size)])
+
+    def first_free(self, step: int = 4096) -> int:
+        """Where to look from: places that are nearly full are not looked at again."""
+        while self.free_from + step < len(self.check) and (self.check[self.free_from : self.free_from + step] < 0).sum() < step // 32:
+            self.free_from += step
+        return self.free_from
+
+    def fit(self, symbols: np.ndarray, at: int, step: int = 4096) -> tuple[int, int]:
+        """A base with which all symbols fall on free places, and where it was found; steps too full for so many are passed over."""
         while True:
             self.reserve(at + step + 2 * self.most)
             places = np.flatnonzero(self.check[at : at + step] < 0) + at
-            if at == self.free_from and len(places) < step // 32:
-                self.free_from += step
-            bases = places - symbols[0]
-            for part in np.split(bases, range(64, len(bases), 64)) if len(bases) else []:
-                fits = (self.check[part[:, None] + symbols] < 0).all(1)
-                if fits.any():
-                    return int(part[fits.argmax()])
+            if len(places) * (len(places) / step) ** (len(symbols) - 1) > 0.01:
+                bases, some = places - symbols[0], min(64, (1 << 18) // len(symbols) + 1)
+                for part in np.split(bases, range(some, len(bases), some)):
+                    fits = (self.check[part[:, None] + symbols] < 0).all(1)
+                    if fits.any():
+                        return int(part[fits.argmax()]), at
             at += step
 
+    def settle_together(self, parents: np.ndarray, symbols: np.ndarray) -> None:
+        """Bases of groups of equally many symbols: in each round every group tries one of the first free places, and gets
+        it if all its symbols' places are free and no group before it wants one of them."""
+        draw, spare = np.random.default_rng(0), 4
+        while len(parents):
+            free = self.free(max(65_536, spare * symbols.size))
+            bases = draw.choice(free, len(parents), replace=False) - symbols[:, 0]
+            places = bases[:, None] + symbols
+            self.reserve(int(places.max()) + 1)
+            mine = np.zeros(places.size, bool)
+            mine[np.unique(places, return_index=True)[1]] = True
+            won = (mine.reshape(places.shape) & (self.check[places] < 0)).all(1)
+            self.base[parents[won]] = bases[won]
+            self.check[places[won]] = parents[won][:, None]
+            if won.sum() < len(won) // 8:
+                spare *= 2
+            parents, symbols = parents[~won], symbols[~won]
+
     def accepted(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, phrase) of each phrase in codes, which end in zeros as many as a phrase has words."""
         near = np.minimum(np.searchsorted(self.words, codes), len(self.words) - 1)
@@ -329,7 +367,7 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, most: int
     # What a longer phrase always surrounds, one that is longer by a word does, as counts only fall with length.
     parts = F.array(F.expr("substring(phrase, 1, length(phrase) - 4)"), F.expr("substring(phrase, 5)"))
     around = found.where(F.length("phrase") > 8).select(F.explode(parts).alias("phrase"), "n").groupBy("phrase").agg(F.max("n").alias("most"))
-    long = long.join(around, "phrase", "left").where("100 * coalesce(most, 0) < 100 * a").drop("most")
+    long = long.join(around.hint("merge"), "phrase", "left").where("100 * coalesce(most, 0) < 100 * a").drop("most")  # both grow with the corpus
     each = long.select("phrase", "a", F.posexplode(F.expr("transform(sequence(0, length(phrase) div 4 - 1), i -> cast(conv(hex(substring(phrase, 4 * i + 1, 4)), 16, 10) as int))")).alias("at", "id"))
     named = join_salted(each, words.select("id", "lang", "word", "n"), "id", "phrase")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("word").cast("string").alias("word")))), lambda x: x["word"]), " ")

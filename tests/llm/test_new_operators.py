@@ -13,6 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from riskframe.llm import centroids, phrases, queries, sentence_piece
+from riskframe.llm.tables import join_salted, written
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None, "en"), (2, "", "en"), (3, "word", None), (3, "word", None), (4, "x y " * 30_000, "en"), (None, "No id: a  b.\tc▁d é😀 \n", "fr"), (6, " \n\t ", "en"), (7, "a" * 5000, "en")]
@@ -158,6 +159,31 @@ def test_double_array_accepts_its_phrases_only():
         assert list(zip(at.tolist(), phrase.tolist(), strict=True)) == want
 
 
+def test_tables_that_grow_with_the_corpus_are_not_broadcast(spark):
+    """Their files are small beside their rows, of which join_salted makes copies."""
+    rows = spark.createDataFrame([(i % 7, f"x{i}") for i in range(50)], "k int, x string")
+    small = written(spark.range(7).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("v")), "small")
+    for how in ("inner", "left"):
+        joined = join_salted(rows, small, "k", "x", how)
+        assert sorted(map(tuple, joined.collect())) == sorted((i % 7, f"x{i}", i % 7 * 2) for i in range(50))
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    found = phrases.collocations(docs_of(spark, made_texts(3)), 5, 20, 25)
+    assert found.collect() and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_states_of_a_trie_find_their_places_together(monkeypatch):
+    """Looked for one by one from the beginning, places took time that grew with the square of the phrases."""
+    fitted, fit = [], phrases.DoubleArray.fit
+    monkeypatch.setattr(phrases.DoubleArray, "fit", lambda self, symbols, *x: fitted.append(len(symbols)) or fit(self, symbols, *x))
+    r = np.random.default_rng(5)
+    own = np.unique((r.random((30_000, 3)) ** 3 * 2_000).astype(np.int32) + 1, axis=0)
+    trie = phrases.DoubleArray(own)
+    assert fitted and min(fitted) > 16
+    at, phrase = trie.accepted(np.append(own.reshape(-1), np.zeros(4)).astype(np.int32))
+    found = dict(zip(at.tolist(), phrase.tolist(), strict=True))
+    assert (trie.phrases[[found[3 * i] for i in range(len(own))]] == own).all()
+
+
 # Pieces
 
 
