@@ -152,3 +152,15 @@ def test_probes_share_their_passes(spark):
             assert r["n"] == alone[r["part"]]["n"] and r["plausible"] == alone[r["part"]]["plausible"]
             assert r["pr_auc"] == (None if r["part"] == "none" else pytest.approx(alone[r["part"]]["pr_auc"]))
             assert r["part"] == "none" or r["plausible"] == (name == "clean")
+
+
+def test_tree_search_takes_all_folds_and_the_whole_grid(spark, monkeypatch):
+    from riskframe.plans import learning
+
+    asked = []
+    monkeypatch.setattr(learning.L, "search", lambda d, key, y, features, folds, arms: asked.append((folds, arms)) or d.select("id"))
+    learning.m10_tree_search(spark, "/root/testdata/sf0.001")
+    ((folds, arms),) = asked
+    assert folds == learning.FOLDS and len(folds) == 3
+    grid = {(a.strength, a.trees, a.depth) for a in arms}
+    assert len(grid) == len(arms) == len({x[0] for x in grid}) * len({x[1] for x in grid}) * len({x[2] for x in grid}) == 8
