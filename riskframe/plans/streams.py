@@ -41,7 +41,7 @@ def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = keyed_tx(spark, sf_dir).withColumn("f", F.floor(F.col("tx_day") / 10) + F.when(F.col("k") % 17 == 0, 1).otherwise(0))
     d = d.select("id", "t", "amount", "k5", "k3", "card_key", "addr_key", "acct_key", "f")
     for f in range(4):
-        d.where(F.col("f") == f).drop("f").coalesce(1).write.mode("append").parquet(at)
+        d.where(F.col("f") == f).drop("f").repartition(1).write.mode("append").parquet(at)  # one file, of rows read by many tasks
     return spark.readStream.schema(d.drop("f").schema).option("maxFilesPerTrigger", 1).parquet(at)
 
 

@@ -8,13 +8,19 @@ value instead, read and written at once: most keys are small, and each call to t
 
 A key's rows of a batch go to its state and come back as lists, PACK rows each at most, as a row by itself costs more to
 hand over than to compute; their features are computed together.
+
+Keys are dealt by a hash into `groups` a level, and a group's small keys are one value, as a call for each key costs more
+than its rows: the features of all of them are computed together. A batch reads and writes the small keys of each group
+that it adds to; tens of millions of keys want more groups. Keys that expire (idle) have a state each.
 """
 
 from __future__ import annotations
 
 import bisect
 import math
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +40,8 @@ DENSE, TOGETHER = 1_024, 256
 #: Rows of a key in a list, and rows that a task holds while it makes lists.
 PACK, HELD = 4_096, 500_000
 NEVER = -(1 << 62)
+#: Groups that the keys of a level are dealt into, and rows in windows that are looked at together.
+GROUPS, LOOKED_AT = 256, 1 << 20
 
 
 def moments(values: np.ndarray, rows: int) -> tuple[int, int, float, float, float]:
@@ -88,6 +96,23 @@ def merged_all(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np
     return a[0] + b[0], m, a[2] + b[2], np.where(both, mean, other[0]), np.where(both, a[4] + b[4] + d * d * share * a[1], other[1])
 
 
+def spans(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Moments of the values lo <= i < hi, for each of such pairs, by LOOKED_AT of these rows at once; nothing is ever subtracted."""
+    known, out = ~np.isnan(values), []
+    x, n = np.where(known, values, 0.0), np.maximum(hi - lo, 0)
+    parts = np.concatenate([[0], np.cumsum(n)]) // LOOKED_AT
+    for at in np.split(np.arange(len(lo)), np.flatnonzero(np.diff(parts[:-1])) + 1):
+        size = n[at]
+        row = np.repeat(np.arange(len(at)), size)
+        i = np.arange(len(row)) + np.repeat(lo[at] - (np.cumsum(size) - size), size)
+        m = np.bincount(row, known[i], len(at)).astype(np.int64)
+        total = np.bincount(row, x[i], len(at))
+        mean = total / np.maximum(m, 1)
+        d = np.where(known[i], x[i] - mean[row], 0.0)
+        out.append((size, m, total, mean, np.bincount(row, d * d, len(at))))
+    return tuple(np.concatenate(column) for column in zip(*out, strict=True))
+
+
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (..., _level, _key) as lists by key, as (_level, _key, lists); a key comes once for HELD rows, if it has no more than PACK."""
 
@@ -357,7 +382,119 @@ class Features(StatefulProcessor):
         pass
 
 
-def entity_features(stream: DataFrame, keys: dict[str, str], t: str, amount: str, id: str, windows: dict[str, int | None], others: list[str], *, bucket: int = BUCKET, lateness: int = 7 * DAY, idle: int | None = None) -> DataFrame:
+class View:
+    """What Features asks of a state, by functions."""
+
+    def __init__(self, **calls: Callable) -> None:
+        self.__dict__.update(calls)
+
+
+class Groups(Features):
+    """A group of keys: rows in, as lists with their keys, a row of features out for each, as lists too.
+
+    What Features does for a key it does here with views of the group's states; keys whose rows are all compared
+    wait until all of them are, and are computed together.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        firsts = "".join(f", f{j} array<bigint>" for j in range(len(self.others)))
+        counts = "".join(f", d{j} array<bigint>" for j in range(len(self.others)))
+        rows = handle.getMapState("rows", "own string, bucket bigint", f"times array<bigint>, amounts array<double>{firsts}")
+        index = handle.getMapState("index", "own string", f"bucket array<bigint>, n array<bigint>, m array<bigint>, s array<double>, mean array<double>, q array<double>, last array<bigint>{counts}")
+        levels = [handle.getMapState(f"level{j}", "own string, level string", "first bigint") for j in range(len(self.others))]
+        self.group = handle.getValueState("group", "keys binary")
+
+        def put(entries: list[tuple]) -> None:
+            self.large.add(self.own)
+            index.updateValue((self.own,), tuple(list(column) for column in zip(*entries, strict=True)))
+
+        def of_key(state) -> View:
+            return View(getValue=lambda k: state.getValue((self.own, *k)), updateValue=lambda k, v: state.updateValue((self.own, *k), v), removeKey=lambda k: state.removeKey((self.own, *k)))
+
+        self.rows, self.levels = of_key(rows), [of_key(x) for x in levels]
+        self.index = View(get=lambda: zip(*index.getValue((self.own,)), strict=True) if self.own in self.large else (), put=put)
+        self.small = View(get=lambda: self.keys.get(self.own), update=lambda value: self.keys.__setitem__(self.own, value), clear=lambda: self.keys.pop(self.own))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        wanted = list(dict.fromkeys([self.t, self.id, self.amount, *self.others]))
+        columns: list[list] = [[] for _ in wanted]
+        places: dict[str | None, list[int]] = {}
+        n = 0
+        for row in rows:
+            for i, own in enumerate(row["_own"], n):
+                places.setdefault(own, []).append(i)
+            n += len(row["_own"])
+            for column, c in zip(columns, wanted, strict=True):
+                column.extend(row[c])
+        held = self.group.get()
+        self.keys, self.large = pickle.loads(held[0]) if held else ({}, set())
+        self.waiting: list[tuple] = []
+        for own, at in places.items():
+            self.own = "null" if own is None else f"key {own}"
+            yield from super().handleInputRows((key[0], own), [{c: [column[i] for i in at] for c, column in zip(wanted, columns, strict=True)}], timerValues)
+        self.group.update((pickle.dumps((self.keys, self.large), 5),))
+        yield from self.together(key[0])
+
+    def named(self) -> Row:
+        return Row("level", "key", "id", "late", *(f"{label}_{c}" for label in self.windows for c in STATS), "gap", *(f"{o}_distinct" for o in self.others))
+
+    def features(self, key, ids, times, own, index, old, least, bucket, compared: bool) -> Iterator[Row]:
+        if compared:
+            parts = [bucket(b) for b in sorted(index)]
+            lists = [list(chain.from_iterable(column)) for column in zip(*parts, strict=True)] if parts else [[] for _ in range(2 + len(self.others))]
+            self.waiting.append((key[1], ids, times, [b < least for b in own], tuple(old), lists))
+            return
+        named = self.named()
+        for row in super().features(key, ids, times, own, index, old, least, bucket, compared):
+            yield named(row[0], [key[1]] * len(row[2]), *row[2:])
+
+    def together(self, level: str) -> Iterator[Row]:
+        """compared() of all keys that wait."""
+        if not self.waiting:
+            return
+        keys, ids, times, late, olds, lists = zip(*self.waiting, strict=True)
+        sizes = [len(x) for x in ids]
+        late, t = np.array(list(chain.from_iterable(late))), np.array(list(chain.from_iterable(times)), np.int64)
+        place = np.repeat(np.arange(len(keys)), sizes)[~late]
+        t = t[~late]
+
+        def column(c: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+            """That list of all keys, and where each key's begins."""
+            return np.array(list(chain.from_iterable(x[c] for x in lists)), kind), np.concatenate([[0], np.cumsum([len(x[c]) for x in lists])])
+
+        def before(values: np.ndarray, starts: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+            """How many of values, in order within each key, come before a row's key or are less than a bound in it."""
+            each, rank = np.unique(values, return_inverse=True)
+            codes = np.repeat(np.arange(len(keys)), np.diff(starts)) * (len(each) + 1) + rank
+            return lambda bounds: np.searchsorted(codes, place * (len(each) + 1) + np.searchsorted(each, bounds))
+
+        old = [np.array(x)[place] for x in zip(*olds, strict=True)]
+        found: list[np.ndarray] = []
+        with np.errstate(all="ignore"):
+            all_times, starts = column(0, np.int64)
+            amounts, until = column(1, float)[0], before(all_times, starts)
+            first, hi = starts[place], until(t)
+            for seconds in self.windows.values():
+                if seconds is None:
+                    found += self.stats(merged_all(tuple(old[:5]), spans(amounts, first, hi)))
+                else:
+                    found += self.stats(spans(amounts, until(t - seconds), hi))
+            last = np.where(hi > first, np.append(all_times, NEVER)[hi - 1], old[5])
+            found.append(np.where(last == NEVER, None, t - last))
+            for j in range(len(self.others)):
+                firsts, starts = column(2 + j, np.int64)
+                found.append(old[6 + j] + before(firsts, starts)(t) - starts[place])
+        if late.any():
+            places = np.where(late, -1, np.cumsum(~late) - 1)
+            found = [np.append(x.astype(object), [None])[places] for x in found]
+        named, ids = self.named(), list(chain.from_iterable(ids))
+        names, flags = [keys[i] for i in np.repeat(np.arange(len(keys)), sizes).tolist()], late.tolist()
+        for at in range(0, len(ids), PACK):
+            part = slice(at, at + PACK)
+            yield named(level, names[part], ids[part], flags[part], *(x[part].tolist() for x in found))
+
+
+def entity_features(stream: DataFrame, keys: dict[str, str], t: str, amount: str, id: str, windows: dict[str, int | None], others: list[str], *, bucket: int = BUCKET, lateness: int = 7 * DAY, idle: int | None = None, groups: int = GROUPS) -> DataFrame:
     """(id, level, key, late, window features, gap, distincts) of each row and each of its keys, from strictly earlier
     rows of that key that have arrived; as segmented() names them, without what is 0 or null there.
 
@@ -366,18 +503,24 @@ def entity_features(stream: DataFrame, keys: dict[str, str], t: str, amount: str
     all their features, and later rows see them. Still later ones count in the history of what follows, but get no
     features themselves (`late` is true). Null keys are one key; NaN and null amounts are no values.
 
-    idle: seconds of absence after which a key's state goes.
+    idle: seconds of absence after which a key's state goes. groups: into how many the keys of a level are dealt.
     """
     if bad := [s for s in windows.values() if s is not None and (s <= 0 or s % bucket)]:
         raise ValueError(f"windows of {bad} seconds are no multiples of {bucket}")
-    levels = F.array(*(F.struct(F.lit(level).alias("_level"), F.col(c).cast("string").alias("_key")) for level, c in keys.items()))
+    own = lambda c: F.col(c).cast("string")
+    group = lambda c: own(c) if idle else F.pmod(F.xxhash64(own(c)), F.lit(groups)).cast("string")
+    levels = F.array(*(F.struct(F.lit(level).alias("_level"), group(c).alias("_key"), own(c).alias("_own")) for level, c in keys.items()))
     wanted = dict.fromkeys([id, t, amount, *others])
-    rows = stream.select(*(F.col(c).cast("string").alias(c) if c in others else F.col(c).cast("double").alias(c) if c == amount else F.col(c).cast("long").alias(c) if c == t else F.col(c) for c in wanted), F.explode(levels).alias("_l")).select(*wanted, "_l.*")
-    processor = Features(t, amount, id, windows, others, bucket, lateness, idle * 1000 if idle else None)
+    rows = stream.select(*(F.col(c).cast("string").alias(c) if c in others else F.col(c).cast("double").alias(c) if c == amount else F.col(c).cast("long").alias(c) if c == t else F.col(c) for c in wanted), F.explode(levels).alias("_l"))
+    rows = rows.select(*wanted, "_l._own", "_l._level", "_l._key")
+    processor = (Features if idle else Groups)(t, amount, id, windows, others, bucket, lateness, idle * 1000 if idle else None)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    lists = rows.repartition("_level", "_key").mapInArrow(packed, "_level string, _key string, " + ", ".join(f"`{c}` array<{kinds[c]}>" for c in wanted))
+    lists = rows.repartition("_level", "_key").mapInArrow(packed, "_level string, _key string, " + ", ".join(f"`{c}` array<{kinds[c]}>" for c in [*wanted, "_own"]))
     stats = {f"{label}_{c}": "bigint" if c == "cnt" else "double" for label in windows for c in STATS}
     out = {"id": kinds[id], "late": "boolean", **stats, "gap": "bigint", **{f"{o}_distinct": "bigint" for o in others}}
-    schema = "level string, key string, " + ", ".join(f"{c} array<{kind}>" for c, kind in out.items())
+    if not idle:
+        out = {"key": "string", **out}
+    schema = "level string, " + ("key string, " if idle else "") + ", ".join(f"{c} array<{kind}>" for c, kind in out.items())
     found = lists.groupBy("_level", "_key").transformWithState(processor, schema, "append", "ProcessingTime" if idle else "None")
-    return found.select("level", "key", F.inline(F.arrays_zip(*out))).select("id", "level", "key", *(c for c in out if c != "id"))
+    found = found.select("level", *(["key"] if idle else []), F.inline(F.arrays_zip(*out)))
+    return found.select("id", "level", "key", *(c for c in out if c not in ("id", "key")))

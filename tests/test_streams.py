@@ -166,3 +166,47 @@ def test_features_of_many_rows_at_once(spark, tmp_path, monkeypatch, dense):
             assert found[id][f"{label}_mean"] == (pytest.approx(sum(v) / len(v)) if v else None)
         assert found[id]["o_distinct"] == len({x[3] for x in past})
         assert found[id]["gap"] == (t - max(x[1] for x in past) if past else None)
+
+
+def test_small_keys_of_a_group_are_read_and_written_together(monkeypatch):
+    """Two batches of 200 keys: one value is read and written in each, whatever the keys; the features are those of each key's past."""
+    import random
+    import statistics
+
+    calls = []
+
+    class Store(dict):
+        def call(self, name, default=None):
+            def do(*x):
+                calls.append(name)
+                if name == "update":
+                    self[()] = x[0]
+                return self.get((), default)
+
+            return do
+
+    def state(*_):
+        own = Store()
+        return keyed.View(**{name: own.call(name) for name in ("get", "update", "getValue", "updateValue", "removeKey")})
+
+    monkeypatch.setattr(keyed, "LOOKED_AT", 50)
+    processor = keyed.Groups("t", "amount", "id", {"w": 36_000, "h": None}, ["o"], 3_600, 10_000_000, None)
+    processor.init(keyed.View(getMapState=state, getValueState=state))
+    r = random.Random(2)
+    rows = [(i, r.choice([None, *map(str, range(200))]), r.randrange(300) * 600, None if i % 9 == 0 else float(i % 13), "xyz"[i % 3]) for i in range(1_500)]
+    found = {}
+    for batch in (rows[:700], rows[700:]):
+        given = [dict(zip(("id", "_own", "t", "amount", "o"), map(list, zip(*batch[i : i + 300], strict=True)), strict=True)) for i in range(0, len(batch), 300)]
+        for out in processor.handleInputRows(("a", "0"), iter(given), None):
+            for i, x in enumerate(zip(*out[1:], strict=True)):
+                found[x[1]] = dict(zip(out.__fields__[1:], x, strict=True))
+    assert calls == ["get", "update"] * 2 and len(found) == len(rows)
+    for x in rows:
+        past = [y for y in rows if y[1] == x[1] and y[2] < x[2] and (y[0] < 700 or x[0] >= 700)]
+        f = found[x[0]]
+        assert f["key"] == x[1] and not f["late"] and f["gap"] == (x[2] - max(y[2] for y in past) if past else None) and f["o_distinct"] == len({y[4] for y in past})
+        for label, s in (("w", 36_000), ("h", None)):
+            inside = [y for y in past if s is None or y[2] >= x[2] - s]
+            v = [y[3] for y in inside if y[3] is not None]
+            assert f[f"{label}_cnt"] == len(inside) and f[f"{label}_sum"] == (pytest.approx(sum(v)) if v else None)
+            assert f[f"{label}_std"] == (pytest.approx(statistics.stdev(v), abs=1e-9) if len(v) > 1 else None)
